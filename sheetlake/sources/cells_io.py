@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import schema as S
 from ..session import shuffle_partitions
@@ -26,27 +25,31 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
     schema = S.CELLS if extra is None else S.T.StructType(S.CELLS.fields + extra.fields)
     if not _exists(spark, path):
         return S.empty(spark, schema)
-    return spark.read.schema(schema).parquet(path)
+    # one sub-folder per run; recursive lookup reads them all without partition columns
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_records_per_file: int = 5_000_000,
-                layout: str = "by_file") -> None:
-    """Append cells under ``path``.
-
-    ``by_file`` (default) hashes ``file_path`` into ``buckets`` tasks, so one
-    workbook's cells land in one output file and files stay large;
-    ``per_sheet`` gives each (file, worksheet) its own files, like one output
-    per sheet.  Spark names every part with a unique id, so appends never
-    overwrite.
+                layout: str = "by_file", mode: str = "append") -> None:
+    """Write cells under ``path`` (append by default).
+
+    ``by_file`` (default) range-partitions on (file_path, worksheet, row): a
+    workbook's cells stay together and sorted, so Parquet row-group statistics
+    prune by file, while a workbook with a third of all cells is cut into
+    several tasks by row range instead of landing in one.  ``per_sheet``
+    hashes (file_path, worksheet) like one output per sheet.  Spark names every
+    part with a unique id, so appends never overwrite.
     """
     spark = cells.sparkSession
     n = buckets or shuffle_partitions(spark)
-    keys = ["file_path"] if layout == "by_file" else ["file_path", "worksheet"]
+    cells = cells.select(*S.CELL_COLUMNS)
+    if layout == "by_file":
+        laid = cells.repartitionByRange(n, "file_path", "worksheet", "row")
+    else:
+        laid = cells.repartition(n, "file_path", "worksheet")
     (
-        cells.select(*S.CELL_COLUMNS)
-        .repartition(n, *keys)
-        .sortWithinPartitions(*keys, "row", "column")
-        .write.mode("append")
+        laid.sortWithinPartitions("file_path", "worksheet", "row", "column")
+        .write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
         .parquet(path)
     )
@@ -60,10 +63,7 @@ def processed_paths(spark: SparkSession, path: str) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return S.empty(spark, S.LEDGER)
-    try:
-        return spark.read.schema(S.LEDGER).parquet(path)
-    except AnalysisException:
-        raise
+    return spark.read.schema(S.LEDGER).option("recursiveFileLookup", "true").parquet(path)
 
 
 def committed_cells(spark: SparkSession, output_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from ..functions import paths
 from . import workbook
 
@@ -151,6 +152,30 @@ def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
 # one run
 
 
+def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: str,
+            catalog: DataFrame | None = None, buckets: int | None = None, files_per_task: int = 8) -> DataFrame:
+    """Decode ``selected`` paths once and write staging, cells and ledger of ``run_id``.
+
+    Every folder is the run's own (``_staging/<run>``, ``cells/<run>``,
+    ``ledger/<run>``) and written with overwrite, so replaying a run (a retried
+    job, a replayed stream batch) replaces its output instead of adding to it.
+    The ledger is written last.  Returns the run's ledger rows.
+    """
+    from . import cells_io
+
+    out = output_dir.rstrip("/")
+    staging = f"{out}/_staging/{run_id}"
+    read_workbooks(selected, files_per_task=files_per_task).write.mode("overwrite").partitionBy("kind").parquet(
+        staging
+    )
+    staged = spark.read.parquet(staging)
+    cells_io.write_cells(staged.where(F.col("kind") == "cell"), f"{out}/cells/{run_id}", buckets=buckets,
+                         mode="overwrite")
+    summary = staged.where(F.col("kind").isin("sheet", "error"))
+    ledger_rows(summary, run_id, catalog).write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
+    return cells_io.read_ledger(spark, f"{out}/ledger/{run_id}")
+
+
 def run(
     spark: SparkSession,
     catalog: DataFrame,
@@ -160,50 +185,48 @@ def run(
     run_id: str | None = None,
     buckets: int | None = None,
     files_per_task: int = 8,
+    path_rule: str | None = "filter",
+    marker: str = paths.DEFAULT_MARKER,
 ) -> dict:
     """Convert the selected catalog files; return the run id and its totals.
 
-    ``skip``: ``ledger`` (files done per ledger), ``cells`` (any path present in
-    the cells, the strict path-keyed rule) or ``none``.
-    Layout under ``output_dir``: ``cells/`` (Parquet), ``ledger/`` (Parquet),
-    ``_staging/run_id=<id>/`` (decoded rows of the run).
+    ``path_rule``: ``filter`` keeps files whose path contains ``marker``;
+    ``gate`` converts the whole catalog but only if at least one marker folder
+    exists (else nothing is done); ``None`` converts the whole catalog.
+
+    ``skip``: ``ledger`` (files done per ledger; files whose last run had
+    errors are retried), ``cells`` (any path present in the cells: the strict
+    path-keyed rule) or ``none``.  ``listing``: a fresh listing; catalog files
+    missing from it are left out.
     """
     from . import cells_io
 
     run_id = run_id or uuid.uuid4().hex
     out = output_dir.rstrip("/")
     candidates = catalog.where(paths.is_spreadsheet(paths.extension("file_path")))
+    if path_rule == "filter":
+        candidates = candidates.where(paths.under_marker("file_path", marker))
+    elif path_rule == "gate":
+        from ..operators.catalog import marker_folders
+
+        if marker_folders(catalog, marker).isEmpty():
+            return {"files": 0, "sheets": 0, "rows": 0, "errors": 0, "skipped": 0, "run_id": None}
     if listing is not None:
         candidates = only_existing(candidates, listing)
-    n_candidates = candidates.count()
+    candidates = candidates.select("file_path").distinct()
     if skip == "ledger":
-        ledger = cells_io.read_ledger(spark, f"{out}/ledger")
-        candidates = skip_processed(candidates, done_from_ledger(ledger))
+        todo = skip_processed(candidates, done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger")))
     elif skip == "cells":
-        candidates = skip_processed(candidates, cells_io.processed_paths(spark, f"{out}/cells"))
-    selected = candidates.select("file_path").distinct()
-
-    staging = f"{out}/_staging/run_id={run_id}"
-    decoded = read_workbooks(selected, files_per_task=files_per_task)
-    decoded.write.mode("overwrite").partitionBy("kind").parquet(staging)
-
-    staged = spark.read.parquet(staging)
-    cells = staged.where(F.col("kind") == "cell").select(*S.CELL_COLUMNS)
-    cells_io.write_cells(cells, f"{out}/cells", buckets=buckets)
-
-    summary = staged.where(F.col("kind").isin("sheet", "error"))
-    ledger_run = ledger_rows(summary, run_id, catalog)
-    # files that produced nothing at all (no sheet, no error) still get a row
-    ledger_run.write.mode("append").parquet(f"{out}/ledger")
-    totals = run_totals(spark.read.parquet(f"{out}/ledger").where(F.col("run_id") == run_id),
-                        skipped=0).first().asDict()
-    selected_n = totals["files"]
-    totals["skipped"] = int(n_candidates - selected_n)
+        todo = skip_processed(candidates, cells_io.processed_paths(spark, f"{out}/cells"))
+    else:
+        todo = candidates
+    # freeze the selection: it reads the ledger this run is about to extend
+    todo = cut_lineage(todo)
+    counts = candidates.agg(F.count(F.lit(1)).alias("n")).first()["n"], todo.count()
+    totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
+    if counts[1]:
+        ledger_run = convert(spark, todo, out, run_id, catalog, buckets, files_per_task)
+        totals = run_totals(ledger_run).first().asDict()
+    totals["skipped"] = int(counts[0] - counts[1])
     totals["run_id"] = run_id
     return totals
-
-
-__all__: Sequence[str] = (
-    "skip_processed", "only_existing", "done_from_ledger", "read_workbooks", "file_stats", "ledger_rows",
-    "run_totals", "run",
-)
