@@ -18,6 +18,7 @@ from ..operators import catalog as cat
 from ..operators import cells as cl
 from ..operators import changes as ch
 from ..operators import reshape as rs
+from ..operators import synth
 from . import views as V
 from .views import SQL_CATALOG, SQL_CELLS, SQL_FILES, with_ctes
 
@@ -619,3 +620,79 @@ def latest_version(spark, d):
         "event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("version"), "event_type",
         "value",
     )
+
+
+# ---------------------------------------------------------------------------
+# themed sheets (one themed row per order)
+
+SQL_MIX = "((o_orderkey * 7919) % 1000003)"
+SQL_INVOICE_AMOUNT = f"CAST(CAST(10000 + {SQL_MIX} % 990000 AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2))"
+
+
+@register(
+    "synth_theme_rules",
+    "SELECT source_key, Invoice_ID, Customer_Name, Invoice_Date, Due_Date, Amount, Tax, "
+    "CAST(Amount + Tax AS DECIMAL(18,2)) AS Total, Status, Payment_Method FROM ("
+    "SELECT o_orderkey AS source_key, 'INV-' || CAST(10000 + o_orderkey % 90000 AS VARCHAR) AS Invoice_ID, "
+    "'Customer#' || CAST(o_custkey AS VARCHAR) AS Customer_Name, CAST(o_orderdate AS DATE) AS Invoice_Date, "
+    "CAST(o_orderdate AS DATE) + 30 AS Due_Date, " + SQL_INVOICE_AMOUNT + " AS Amount, "
+    "CAST(" + SQL_INVOICE_AMOUNT + " * 0.08 AS DECIMAL(18,2)) AS Tax, "
+    "CASE o_orderkey % 4 WHEN 0 THEN 'Paid' WHEN 1 THEN 'Pending' WHEN 2 THEN 'Overdue' ELSE 'Cancelled' END"
+    " AS Status, CASE o_custkey % 4 WHEN 0 THEN 'Credit Card' WHEN 1 THEN 'Bank Transfer' WHEN 2 THEN 'Check' "
+    "ELSE 'Cash' END AS Payment_Method FROM orders)",
+)
+def synth_theme_rules(spark, d):
+    t = synth.theme(V.table(spark, d, "orders"), "financial_invoices")
+    return t.withColumnRenamed("_seed", "source_key")
+
+
+OFFSET_START_ROW = 5
+OFFSET_GENERATED = "2024-01-01 00:00"
+OFFSET_FILE = "/data/SOV/test_08_sales_orders.xlsx"
+
+
+def _sql_money_text(expr: str) -> str:
+    s = f"CAST({expr} AS VARCHAR)"
+    return f"regexp_replace(regexp_replace({s}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+SQL_PRICE = f"CAST(CAST(1000 + {SQL_MIX} % 49000 AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2))"
+SQL_OFFSET_WIDE = (
+    "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 + 4 AS BIGINT) AS row, "
+    "'ORD-' || CAST(10000 + o_orderkey % 90000 AS VARCHAR) AS v1, 'Customer#' || CAST(o_custkey AS VARCHAR) AS v2, "
+    "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS v3, 'Product ' || CAST(o_orderkey % 1000 AS VARCHAR) AS v4, "
+    "CAST(1 + o_orderkey % 100 AS VARCHAR) AS v5, " + _sql_money_text(SQL_PRICE) + " AS v6, "
+    + _sql_money_text(f"CAST((1 + o_orderkey % 100) * {SQL_PRICE} AS DECIMAL(18,2))") + " AS v7, "
+    "CASE o_orderkey % 4 WHEN 0 THEN 'Standard' WHEN 1 THEN 'Express' WHEN 2 THEN 'Overnight' "
+    "ELSE 'International' END AS v8, "
+    "CASE o_custkey % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Shipped' WHEN 2 THEN 'Delivered' ELSE 'Cancelled' END"
+    " AS v9 FROM orders"
+)
+
+
+def _sql_offset_fixed() -> str:
+    fn = OFFSET_FILE.rsplit("/", 1)[-1]
+    rows = []
+    titles = ["'Sales Orders Report'", f"'Generated: {OFFSET_GENERATED}'",
+              "'Total Records: ' || CAST((SELECT COUNT(*) FROM orders) AS VARCHAR)"]
+    for i, t in enumerate(titles):
+        for j in range(1, 10):
+            v = t if j == 1 else "CAST(NULL AS VARCHAR)"
+            rows.append(f"SELECT '{OFFSET_FILE}', '{fn}', 'Data', CAST({i} AS BIGINT), CAST({j} AS BIGINT), {v}")
+    for j, h in enumerate(synth.HEADERS["sales_orders"], start=1):
+        rows.append(f"SELECT '{OFFSET_FILE}', '{fn}', 'Data', CAST(3 AS BIGINT), CAST({j} AS BIGINT), '{h}'")
+    return " UNION ALL ".join(rows)
+
+
+@register(
+    "synth_offset_sheet",
+    with_ctes(
+        "SELECT file_path, file_name, worksheet, row, \"column\", value FROM fixed UNION ALL "
+        + _sql_unpivot("w", 9, OFFSET_FILE, "Data"),
+        w=SQL_OFFSET_WIDE,
+        fixed="SELECT * FROM (" + _sql_offset_fixed() + ") AS t(file_path, file_name, worksheet, row, \"column\", value)",
+    ),
+)
+def synth_offset_sheet(spark, d):
+    t = synth.theme(V.table(spark, d, "orders"), "sales_orders")
+    return synth.offset_sheet(t, "sales_orders", OFFSET_START_ROW, OFFSET_FILE, generated=OFFSET_GENERATED)
