@@ -25,9 +25,14 @@ def trim_zeros(text: Column) -> Column:
     return F.regexp_replace(no_zeros, r"\.$", "")
 
 
+def trim_fixed_point(text: Column) -> Column:
+    """Trailing-zero trim for text that always has a dot (fixed-scale decimals): no regex."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
 def number_text(col: Column | str, scale: int = NUMBER_SCALE) -> Column:
     """Fractional number as fixed-point text (never exponent form)."""
-    return trim_zeros(_c(col).cast(T.DecimalType(38, scale)).cast("string"))
+    return trim_fixed_point(_c(col).cast(T.DecimalType(38, scale)).cast("string"))
 
 
 def as_text(col: Column | str, dtype: T.DataType, scale: int = NUMBER_SCALE) -> Column:
@@ -41,7 +46,7 @@ def as_text(col: Column | str, dtype: T.DataType, scale: int = NUMBER_SCALE) ->
         # NaN / infinity cannot be fixed-point; keep Spark's own spelling for them
         return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c.cast("string")).otherwise(number_text(c, scale))
     if isinstance(dtype, T.DecimalType):
-        return trim_zeros(c.cast("string")) if dtype.scale > 0 else c.cast("string")
+        return trim_fixed_point(c.cast("string")) if dtype.scale > 0 else c.cast("string")
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text, column_name, column_number
+from ..functions.text import as_text, column_name
 from ..session import cut_lineage, shuffle_partitions
 
 _POS = "_sl_pos"
@@ -111,7 +111,8 @@ def to_cells(
     )
     named = [f"column_{i}" for i in range(1, len(values) + 1)]
     long = wide.unpivot(list(lineage) + ["row"] + list(keep), named, "column", "value")
-    col = column_number("column") if column_as == "number" else F.col("column")
+    # generated names are ``column_<n>``: the number is the text after the prefix
+    col = F.substring("column", 8, 12).cast("bigint") if column_as == "number" else F.col("column")
     return long.select(*lineage, "row", *keep, col.alias("column"), "value")
 
 

@@ -40,7 +40,7 @@ CELLS_NAMED = T.StructType([
 # row per failure, so that a single decoding pass feeds cells, ledger and
 # statistics.
 DECODED = T.StructType([
-    T.StructField("kind", T.StringType(), False),  # cell | sheet | error
+    T.StructField("kind", T.StringType(), False),  # cell | sheet | error | file
     T.StructField("file_path", T.StringType(), False),
     T.StructField("file_name", T.StringType(), True),
     T.StructField("worksheet", T.StringType(), True),
@@ -50,6 +50,13 @@ DECODED = T.StructType([
     T.StructField("n_rows", T.LongType(), True),
     T.StructField("n_cols", T.LongType(), True),
     T.StructField("message", T.StringType(), True),
+    # per-file summary (kind = file): the run's ledger row
+    T.StructField("status", T.StringType(), True),
+    T.StructField("n_sheets", T.LongType(), True),
+    T.StructField("n_empty_sheets", T.LongType(), True),
+    T.StructField("n_cells", T.LongType(), True),
+    T.StructField("n_errors", T.LongType(), True),
+    T.StructField("modified_at", T.TimestampType(), True),
 ])
 
 # Ledger of ingest runs: one row per file and run.

@@ -10,22 +10,33 @@ from ..session import shuffle_partitions
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` (a glob allowed) matches anything."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    found = fs.globStatus(hpath)
+    return found is not None and len(found) > 0
+
+
+def cells_location(output_dir: str) -> str:
+    """Where an ingest output keeps its cells: the cell partitions of every run."""
+    return f"{output_dir.rstrip('/')}/runs/*/kind=cell"
 
 
 def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = None) -> DataFrame:
-    """All cell Parquet under ``path`` with the fixed schema (no inference).
+    """All cells with the fixed schema (no inference).
 
-    Columns added later (``extra``) read as null from older files.  A folder
-    that does not exist yet gives an empty frame; any other read error is raised.
+    ``path`` is an ingest output folder (cells of every run are read) or any
+    folder of cell Parquet (read recursively).  Columns added later
+    (``extra``) read as null from older files.  Nothing there yet gives an
+    empty frame; any other read error is raised.
     """
     schema = S.CELLS if extra is None else S.T.StructType(S.CELLS.fields + extra.fields)
+    runs = cells_location(path)
+    if _exists(spark, runs):
+        return spark.read.schema(schema).parquet(runs)
     if not _exists(spark, path):
         return S.empty(spark, schema)
-    # one sub-folder per run; recursive lookup reads them all without partition columns
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
@@ -70,7 +81,7 @@ def committed_cells(spark: SparkSession, output_dir: str) -> DataFrame:
     """Cells of files whose ledger shows a finished run (semi join on the ledger)."""
     out = output_dir.rstrip("/")
     ledger = read_ledger(spark, f"{out}/ledger").select("file_path").distinct()
-    return read_cells(spark, f"{out}/cells").join(ledger, "file_path", "left_semi")
+    return read_cells(spark, out).join(ledger, "file_path", "left_semi")
 
 
 def file_row_counts(cells: DataFrame) -> DataFrame:

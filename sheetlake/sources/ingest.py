@@ -5,29 +5,27 @@ Flow of one run (``run``):
 1. ``select``: catalog minus files already done (anti join on the ledger, or
    on distinct ``file_path`` of the cells), minus files no longer listed (semi
    join on a fresh listing).  Joins, not driver-side sets.
-2. ``read_workbooks``: ``mapInPandas`` over the selected paths; each task
+2. ``read_workbooks``: ``mapInArrow`` over the selected paths; each task
    opens its files through the Hadoop-compatible file system of pyarrow and
    decodes one workbook at a time, emitting cell rows, one summary row per
    sheet and one row per failure (a bad file or sheet never stops the run).
-3. The decoded rows are written once to a staging folder of the run; cells,
-   ledger and statistics are derived from that staging copy, so no workbook is
+3. The decoded rows are written once, partitioned by kind, to the run's own
+   folder; ledger and statistics are derived from that copy, so no workbook is
    decoded twice and a lost executor only re-decodes its own files.
-4. Cells are appended to the output (bucketed by file so one workbook's cells
-   sit together), the ledger row of each file is appended last: readers that
-   join on the ledger never see a half-written run.
+4. The ``kind=cell`` part of that copy is the cell table; the ledger row of
+   each file is written last: readers that join on the ledger never see a
+   half-written run.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import cut_lineage
 from ..functions import paths
 from . import workbook
 
@@ -66,29 +64,85 @@ def done_from_ledger(ledger: DataFrame, retry_errors: bool = True) -> DataFrame:
 # decoding on executors
 
 
-def _decode_partition(batches: Iterator[pd.DataFrame], max_cells: int) -> Iterator[pd.DataFrame]:
-    cols = [f.name for f in S.DECODED.fields]
-    for batch in batches:
-        for path in batch["file_path"]:
-            for rows in workbook.decode_path(path, max_cells=max_cells):
-                yield pd.DataFrame(rows, columns=cols)
+def _arrow_schema():
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "timestamp": pa.timestamp("us", tz="UTC")}
+    return pa.schema([
+        pa.field(f.name, kinds[f.dataType.simpleString()], nullable=f.nullable) for f in S.DECODED.fields
+    ])
+
+
+def _to_batch(rows: list[tuple], schema):
+    import pyarrow as pa
+
+    cols = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def file_status(n_sheets: int, n_empty: int, n_errors: int) -> str:
+    """ok | partial (some sheets failed) | error (nothing read) | empty (only empty sheets)."""
+    good = n_sheets - n_empty
+    if n_errors:
+        return "partial" if good else "error"
+    return "ok" if good else "empty"
+
+
+_PAD = (None,) * 6
+
 
+def _decode_partition(batches, max_cells: int, batch_rows: int):
+    """Arrow batches of (path, modified_at) in, Arrow batches of decoded rows out.
 
-def read_workbooks(selected: DataFrame, files_per_task: int = 8, max_cells: int = 50_000) -> DataFrame:
+    Rows of many small workbooks are gathered into one batch of about
+    ``batch_rows`` rows (one Arrow conversion per batch, not per sheet).  After
+    each workbook one ``file`` row carries its ledger fields.
+    """
+    schema = _arrow_schema()
+    buf: list[tuple] = []
+    for batch in batches:
+        for path, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n_sheets = n_empty = n_cells = n_errors = 0
+            shown = name = path
+            for rows in workbook.decode_path(path, max_cells=max_cells):
+                for r in rows:
+                    kind = r[0]
+                    if kind == "sheet":
+                        n_sheets += 1
+                        n_empty += r[7] == 0
+                        n_cells += r[7] * r[8]
+                    elif kind == "error":
+                        n_errors += 1
+                    shown, name = r[1], r[2]
+                buf.extend(r + _PAD for r in rows)
+                if len(buf) >= batch_rows:
+                    yield _to_batch(buf, schema)
+                    buf = []
+            buf.append(("file", shown, name, None, None, None, None, None, None, None,
+                        file_status(n_sheets, n_empty, n_errors), n_sheets, n_empty, n_cells, n_errors, modified))
+    if buf:
+        yield _to_batch(buf, schema)
+
+
+def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
+                   n_files: int | None = None, batch_rows: int = 20_000) -> DataFrame:
     """Decode every selected workbook into ``schema.DECODED`` rows.
 
     ``selected`` needs ``file_path`` (a path or URI).  Files are spread by a
-    hash of their path over ``ceil(files / files_per_task)`` tasks: a file
-    cannot be split, so the aim is many small tasks that the scheduler can
-    balance.  Each task holds one workbook at a time and emits it in chunks of
-    at most ``max_cells`` rows.
+    hash of their path over ``ceil(files / files_per_task)`` tasks, but never
+    fewer than two tasks per core while there are files for them: a file
+    cannot be split, so the aim is many small tasks the scheduler can balance
+    (a slow workbook delays only its own task).  Each task holds one workbook
+    at a time and emits it in chunks of at most ``max_cells`` rows.
     """
-    paths_df = selected.select("file_path").distinct()
+    modified = F.col("modified_at") if "modified_at" in selected.columns else F.lit(None).cast("timestamp")
+    paths_df = selected.select("file_path", modified.alias("modified_at")).dropDuplicates(["file_path"])
     # the task count comes from the file count: one scalar, not the data
-    total = paths_df.count()
-    parts = max(1, -(-total // max(1, files_per_task)))
+    total = paths_df.count() if n_files is None else n_files
+    floor = 2 * selected.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(total, max(floor, -(-total // max(1, files_per_task)))))
     spread = paths_df.repartition(parts, "file_path")
-    return spread.mapInPandas(lambda it: _decode_partition(it, max_cells), S.DECODED)
+    return spread.mapInArrow(lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
 
 
 # ---------------------------------------------------------------------------
@@ -109,34 +163,6 @@ def file_stats(decoded: DataFrame) -> DataFrame:
     )
 
 
-def ledger_rows(decoded_summary: DataFrame, run_id: str, catalog: DataFrame | None = None) -> DataFrame:
-    """One ledger row per file from the sheet and error rows of a run."""
-    per_file = decoded_summary.groupBy("file_path").agg(
-        F.count(F.when(F.col("kind") == "sheet", 1)).alias("n_sheets"),
-        F.count(F.when((F.col("kind") == "sheet") & (F.col("n_rows") == 0), 1)).alias("n_empty_sheets"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "sheet", F.col("n_rows") * F.col("n_cols"))), F.lit(0)).alias(
-            "n_cells"
-        ),
-        F.count(F.when(F.col("kind") == "error", 1)).alias("n_errors"),
-    )
-    good = F.col("n_sheets") - F.col("n_empty_sheets")
-    status = (
-        F.when((F.col("n_errors") > 0) & (good > 0), F.lit("partial"))
-        .when(F.col("n_errors") > 0, F.lit("error"))
-        .when(good == 0, F.lit("empty"))
-        .otherwise(F.lit("ok"))
-    )
-    out = per_file.select(
-        F.lit(run_id).alias("run_id"), "file_path", status.alias("status"),
-        *[F.col(c).cast("bigint").alias(c) for c in ("n_sheets", "n_empty_sheets", "n_cells", "n_errors")],
-    )
-    if catalog is not None and "modified_at" in catalog.columns:
-        out = out.join(catalog.select("file_path", "modified_at"), "file_path", "left")
-    else:
-        out = out.withColumn("modified_at", F.lit(None).cast("timestamp"))
-    return out.withColumn("file_hash", F.lit(None).cast("string")).select(*[f.name for f in S.LEDGER.fields])
-
-
 def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
     """Totals of one run from its ledger rows: files, sheets, rows (cells), errors, skipped."""
     return ledger_run.agg(
@@ -153,26 +179,44 @@ def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
 
 
 def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: str,
-            catalog: DataFrame | None = None, buckets: int | None = None, files_per_task: int = 8) -> DataFrame:
-    """Decode ``selected`` paths once and write staging, cells and ledger of ``run_id``.
-
-    Every folder is the run's own (``_staging/<run>``, ``cells/<run>``,
-    ``ledger/<run>``) and written with overwrite, so replaying a run (a retried
-    job, a replayed stream batch) replaces its output instead of adding to it.
-    The ledger is written last.  Returns the run's ledger rows.
+            files_per_task: int = 32, n_files: int | None = None,
+            max_records_per_file: int = 5_000_000) -> DataFrame:
+    """Decode ``selected`` paths once and write the run's rows and ledger.
+
+    The decoded rows go to ``runs/<run>/kind=cell|sheet|error|file``: the
+    ``kind=cell`` folders *are* the cell table (read with the fixed cell
+    schema, the extra summary columns are never read), so cells are written
+    once, straight from the decoding tasks, each task's files holding whole
+    workbooks in sheet/row/column order.  The ledger (``ledger/<run>``) is a
+    projection of the one-row-per-file ``kind=file`` part, written last.  Every
+    folder belongs to the run and is written with overwrite, so replaying a run
+    (retried job, replayed stream batch) replaces its output instead of adding
+    to it.  Returns the run's ledger rows.
     """
     from . import cells_io
 
     out = output_dir.rstrip("/")
-    staging = f"{out}/_staging/{run_id}"
-    read_workbooks(selected, files_per_task=files_per_task).write.mode("overwrite").partitionBy("kind").parquet(
-        staging
+    run_dir = f"{out}/runs/{run_id}"
+    decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files)
+    # three kinds: concurrent writers per task instead of sorting each task by kind
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, "0")
+    spark.conf.set(key, "4")
+    try:
+        (
+            decoded.write.mode("overwrite")
+            .partitionBy("kind")
+            .option("maxRecordsPerFile", max_records_per_file)
+            .parquet(run_dir)
+        )
+    finally:
+        spark.conf.set(key, before)
+    files = spark.read.schema(S.DECODED).parquet(f"{run_dir}/kind=file")
+    ledger = files.select(
+        F.lit(run_id).alias("run_id"), "file_path", "status", "n_sheets", "n_empty_sheets", "n_cells", "n_errors",
+        "modified_at", F.lit(None).cast("string").alias("file_hash"),
     )
-    staged = spark.read.parquet(staging)
-    cells_io.write_cells(staged.where(F.col("kind") == "cell"), f"{out}/cells/{run_id}", buckets=buckets,
-                         mode="overwrite")
-    summary = staged.where(F.col("kind").isin("sheet", "error"))
-    ledger_rows(summary, run_id, catalog).write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
+    ledger.write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
     return cells_io.read_ledger(spark, f"{out}/ledger/{run_id}")
 
 
@@ -183,8 +227,7 @@ def run(
     listing: DataFrame | None = None,
     skip: str = "ledger",
     run_id: str | None = None,
-    buckets: int | None = None,
-    files_per_task: int = 8,
+    files_per_task: int = 32,
     path_rule: str | None = "filter",
     marker: str = paths.DEFAULT_MARKER,
 ) -> dict:
@@ -213,20 +256,27 @@ def run(
             return {"files": 0, "sheets": 0, "rows": 0, "errors": 0, "skipped": 0, "run_id": None}
     if listing is not None:
         candidates = only_existing(candidates, listing)
-    candidates = candidates.select("file_path").distinct()
+    keep = ["file_path"] + (["modified_at"] if "modified_at" in candidates.columns else [])
+    candidates = candidates.select(*keep).dropDuplicates(["file_path"])
     if skip == "ledger":
-        todo = skip_processed(candidates, done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger")))
+        done = done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger"))
     elif skip == "cells":
-        todo = skip_processed(candidates, cells_io.processed_paths(spark, f"{out}/cells"))
+        done = cells_io.processed_paths(spark, out)
+    else:
+        done = None
+    # one pass counts candidates and the ones still to do; the ledger this run
+    # extends is only written after its decode job has finished
+    if done is None:
+        flagged = candidates.withColumn("_todo", F.lit(True))
     else:
-        todo = candidates
-    # freeze the selection: it reads the ledger this run is about to extend
-    todo = cut_lineage(todo)
-    counts = candidates.agg(F.count(F.lit(1)).alias("n")).first()["n"], todo.count()
+        flagged = candidates.join(done.select("file_path").distinct().withColumn("_done", F.lit(True)),
+                                  "file_path", "left").withColumn("_todo", F.col("_done").isNull())
+    c = flagged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_todo"), 1)).alias("todo")).first()
+    todo = flagged.where("_todo")
     totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
-    if counts[1]:
-        ledger_run = convert(spark, todo, out, run_id, catalog, buckets, files_per_task)
+    if c["todo"]:
+        ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"])
         totals = run_totals(ledger_run).first().asDict()
-    totals["skipped"] = int(counts[0] - counts[1])
+    totals["skipped"] = int(c["n"] - c["todo"])
     totals["run_id"] = run_id
     return totals
