@@ -108,3 +108,17 @@ def preview(cells: DataFrame, file_path: str, n: int = 10, path_chars: int = 40,
             shorten("value", value_chars).alias("value"),
         )
     )
+
+
+def sheet_status(sheets: DataFrame, cells: DataFrame, keys: Sequence[str] = ("worksheet",)) -> DataFrame:
+    """Every listed sheet with its cell count and ``converted`` / ``empty``.
+
+    Empty sheets have no cells, so they never reach the output; this is the
+    record of that decision (left join of the sheet list to per-sheet counts).
+    """
+    keys = list(keys)
+    per_sheet = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
+    n = F.coalesce(F.col("n_cells"), F.lit(0)).cast("bigint")
+    return sheets.select(*keys).join(per_sheet, keys, "left").select(
+        *keys, n.alias("n_cells"), F.when(n == 0, F.lit("empty")).otherwise(F.lit("converted")).alias("status")
+    )

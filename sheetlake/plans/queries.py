@@ -419,15 +419,10 @@ def empty_sheet_skip(spark, d):
         },
         columns=["o_orderkey", "o_orderstatus", "o_totalprice"],
     )
-    per_sheet = cells.groupBy("worksheet").agg(F.count(F.lit(1)).alias("n_cells"))
     sheets = V.table(spark, d, "customer").select(
         F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("worksheet")
     )
-    j = sheets.join(per_sheet, "worksheet", "left")
-    n = F.coalesce(F.col("n_cells"), F.lit(0)).cast("bigint")
-    return j.select(
-        "worksheet", n.alias("n_cells"), F.when(n == 0, F.lit("empty")).otherwise(F.lit("converted")).alias("status")
-    )
+    return cl.sheet_status(sheets, cells)
 
 
 @register("worksheet_filter", with_ctes("SELECT * FROM cells WHERE worksheet = 'nation'", cells=SQL_CELLS))

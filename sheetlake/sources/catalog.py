@@ -39,14 +39,50 @@ def _usable_roots(spark: SparkSession, roots: Sequence[str]) -> list[str]:
     return keep
 
 
-def list_files(spark: SparkSession, roots: Sequence[str], glob: str | None = None) -> DataFrame:
+def split_root(spark: SparkSession, root: str, min_branches: int = 64, max_levels: int = 4) -> list[str]:
+    """Sub-folders (breadth first) and top-level files standing for ``root``.
+
+    Spark lists many input paths in parallel on executors
+    (``spark.sql.sources.parallelPartitionDiscovery.threshold``) but walks a
+    single root on the driver; splitting a root into at least ``min_branches``
+    folders, a few levels down at most, lets a tree of millions of files be
+    listed by the cluster.  Files met on the way are kept as paths of their own.
+    """
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    frontier = [root]
+    files: list[str] = []
+    for _ in range(max_levels):
+        if len(frontier) >= min_branches:
+            break
+        nxt: list[str] = []
+        for d in frontier:
+            p = jvm.org.apache.hadoop.fs.Path(d)
+            for st in p.getFileSystem(conf).listStatus(p):
+                name = st.getPath().getName()
+                if name.startswith((".", "_")):
+                    continue  # hidden, as Spark's own listing skips them
+                (nxt if st.isDirectory() else files).append(st.getPath().toString())
+        if not nxt:
+            frontier = []
+            break
+        frontier = nxt
+    return frontier + files
+
+
+def list_files(spark: SparkSession, roots: Sequence[str], glob: str | None = None,
+               min_branches: int = 64) -> DataFrame:
     """Every file under the usable roots: path, root, size, modified_at (bytes not read)."""
     out = None
     for root in _usable_roots(spark, roots):
+        parts = split_root(spark, root, min_branches)
+        if not parts:
+            continue
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         if glob:
             reader = reader.option("pathGlobFilter", glob)
-        part = reader.load(root).select(
+        part = reader.load(parts).select(
             paths.absolute("path").alias("file_path"),
             F.lit(paths_plain(root)).alias("root"),
             F.col("length").alias("size"),

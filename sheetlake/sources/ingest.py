@@ -153,13 +153,19 @@ def file_stats(decoded: DataFrame) -> DataFrame:
     """Per file and total (rollup row with null ``file_path``): files, sheets, rows, errors.
 
     ``decoded`` needs ``kind`` in (cell, error, ...), ``file_path``, ``worksheet``.
+    Two levels: cells collapse to one row per (file, sheet, kind) first -- a
+    partial + final aggregate, so a workbook with a third of all cells costs
+    one row per task before the shuffle -- and the distinct counts and the
+    rollup run on that small table instead of expanding every cell row.
     """
+    per_sheet = decoded.groupBy("file_path", "worksheet", "kind").agg(F.count(F.lit(1)).alias("n"))
     sheet_key = F.when(F.col("kind") == "cell", F.concat_ws("/", "file_path", "worksheet"))
-    return decoded.rollup("file_path").agg(
+    zero = F.lit(0).cast("bigint")
+    return per_sheet.rollup("file_path").agg(
         F.countDistinct("file_path").alias("files"),
         F.countDistinct(sheet_key).alias("sheets"),
-        F.count(F.when(F.col("kind") == "cell", 1)).alias("rows"),
-        F.count(F.when(F.col("kind") == "error", 1)).alias("errors"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "cell", F.col("n"))), zero).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "error", F.col("n"))), zero).alias("errors"),
     )
 
 

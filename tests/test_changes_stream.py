@@ -51,3 +51,35 @@ def test_stream_converts_only_new_files(spark, tmp_path):
     stream.ingest_stream(spark, str(src), out, ck).awaitTermination()
     assert cells_io.read_cells(spark, out).count() == 17
     assert cells_io.read_ledger(spark, f"{out}/ledger").count() == 2
+
+
+def test_detect_hashes_only_files_whose_time_changed(spark, tmp_path):
+    import hashlib
+    import os
+
+    a, b, c = tmp_path / "a.xlsx", tmp_path / "b.xlsx", tmp_path / "c.xlsx"
+    for p, text in ((a, "A"), (b, "B"), (c, "C")):
+        p.write_text(text)
+    t0 = dt.datetime(2024, 1, 1)
+    old = spark.createDataFrame(
+        [(str(a), t0, hashlib.sha256(b"A").hexdigest()), (str(b), t0, hashlib.sha256(b"B").hexdigest()),
+         (str(c), t0, "stale")],
+        "file_path string, modified_at timestamp, file_hash string",
+    )
+    b.write_text("B2")
+    os.remove(c)
+    new = spark.createDataFrame([(str(a), t0), (str(b), dt.datetime(2024, 1, 2))], "file_path string, modified_at timestamp")
+    got = {r.file_path.rsplit("/", 1)[-1]: r.status for r in changes.detect(old, new).collect()}
+    assert got == {"a.xlsx": "unchanged", "b.xlsx": "modified", "c.xlsx": "missing"}
+
+
+def test_old_outputs_without_a_new_column_read_as_null(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sheetlake import schema as S
+
+    out = str(tmp_path / "cells")
+    spark.createDataFrame([("/f", "f", "S", 0, 1, "x")], S.CELLS).write.parquet(out)
+    extra = T.StructType([T.StructField("source_modified_at", T.StringType(), True)])
+    r = cells_io.read_cells(spark, out, extra=extra).first()
+    assert r.value == "x" and r.source_modified_at is None
