@@ -116,6 +116,35 @@ def to_cells(
     return long.select(*lineage, "row", *keep, col.alias("column"), "value")
 
 
+def sheets_to_cells(sheets: Sequence[tuple[DataFrame, str | Column, Mapping[str, str], Sequence[str]]]) -> DataFrame:
+    """Many wide sheets of different widths -> one cell table, in one pass.
+
+    Each entry: (frame, order key, lineage literals ``file_path``/``file_name``/
+    ``worksheet``, value columns).  Every sheet becomes rows of (lineage, order
+    key as bigint, array of value texts); the union gets one skew-safe row index
+    per (file_path, worksheet) -- one lineage cut for all sheets instead of one
+    per sheet -- and ``posexplode`` turns each array into numbered cells (nulls
+    kept).
+    """
+    parts = []
+    for df, order, lineage, cols in sheets:
+        types = dict((f.name, f.dataType) for f in df.schema.fields)
+        order_col = F.col(order) if isinstance(order, str) else order
+        parts.append(df.select(
+            *[F.lit(lineage[k]).alias(k) for k in ("file_path", "file_name", "worksheet")],
+            order_col.cast("bigint").alias("_sl_order"),
+            F.array(*[as_text(F.col(c), types[c]) for c in cols]).alias("_sl_values"),
+        ))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    indexed = with_row_index(stacked, ["_sl_order"], ["file_path", "worksheet"])
+    cells = indexed.select("file_path", "file_name", "worksheet", "row",
+                           F.posexplode("_sl_values").alias("_sl_pos", "value"))
+    return cells.select("file_path", "file_name", "worksheet", "row",
+                        (F.col("_sl_pos") + 1).cast("bigint").alias("column"), "value")
+
+
 def to_wide(
     cells: DataFrame,
     index: Sequence[str] = ("file_path", "worksheet", "row"),

@@ -125,11 +125,16 @@ def sheet_cells(spark: SparkSession, sf_dir: str, name: str, column_as: str = "n
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, _, _ in SHEETS:
-        part = sheet_cells(spark, sf_dir, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Cells of all stand-in worksheets (one row-index pass for all of them)."""
+    return reshape.sheets_to_cells([
+        (
+            table(spark, sf_dir, name).select(*cols),
+            pk,
+            {"file_path": f"/data/SOV/{name}.xlsx", "file_name": f"{name}.xlsx", "worksheet": name},
+            cols,
+        )
+        for name, pk, cols in SHEETS
+    ])
 
 
 def _sql_text(table_name: str, col: str) -> str:
