@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import ship_package
 
 
 def content_hash(content: Column | str) -> Column:
@@ -111,6 +112,7 @@ def hash_files(paths_df: DataFrame, files_per_task: int = 16) -> DataFrame:
     Only the given paths are read; a path that cannot be read gets a null hash.
     """
     spark = paths_df.sparkSession
+    ship_package(spark)
     p = paths_df.select("file_path").distinct()
     n = max(2 * spark.sparkContext.defaultParallelism, 1)
     return p.repartition(n, "file_path").mapInArrow(_hash_partition, "file_path string, file_hash string")

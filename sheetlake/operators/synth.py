@@ -19,6 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ship_package
 from . import reshape
 
 # ---------------------------------------------------------------------------
@@ -197,3 +198,53 @@ def offset_sheet(themed: DataFrame, name: str, start_row: int, file_path: str, w
         columns=headers,
     )
     return fixed.unionByName(data)
+
+
+def write_workbooks(
+    df: DataFrame,
+    folder: str,
+    file_name: Column,
+    order: list[str],
+    columns: list[str],
+    sheet: str = "Data",
+    header: bool = True,
+    rows_per_file: int = 50_000,
+) -> DataFrame:
+    """Write the rows of ``df`` as .xlsx workbooks under ``folder``; one task per workbook.
+
+    Rows are grouped by ``file_name`` (a Column giving a stem), numbered in
+    ``order`` inside each group with the skew-safe row index, and cut into
+    workbooks of at most ``rows_per_file`` rows (``<stem>_part_<n>.xlsx``), so
+    no task ever holds more than that many rows however large a group is.
+    Each workbook has one sheet: an optional header row, then the data.  File
+    names are fixed by the data, so a retried task rewrites the same file.
+    Returns the written files (``file_path``, ``n_rows``), materialised.
+    """
+    ship_package(df.sparkSession)
+    base = df.select(file_name.alias("_wb_stem"), *order, *[c for c in columns if c not in order])
+    idx = reshape.with_row_index(base, order, ["_wb_stem"], name="_wb_row")
+    part = (F.floor(F.col("_wb_row") / F.lit(rows_per_file)) + 1).cast("bigint")
+    named = idx.withColumn(
+        "_wb_path",
+        F.concat(F.lit(folder.rstrip("/") + "/"), F.col("_wb_stem"), F.lit("_part_"), part.cast("string"),
+                 F.lit(".xlsx")),
+    )
+    cols = list(columns)
+
+    def write_one(pdf):
+        import pandas as pd
+
+        from ..sources.workbook_writer import open_for_write, write_xlsx
+
+        pdf = pdf.sort_values("_wb_row")
+        path = pdf["_wb_path"].iloc[0]
+        data = pdf[cols].astype(object).where(pdf[cols].notna(), None).values.tolist()
+        rows = ([cols] if header else []) + data
+        with open_for_write(path) as f:
+            write_xlsx(f, {sheet: rows})
+        return pd.DataFrame({"file_path": [path], "n_rows": [len(data)]})
+
+    written = named.select("_wb_path", "_wb_row", *cols).groupBy("_wb_path").applyInPandas(
+        write_one, "file_path string, n_rows bigint"
+    )
+    return cut_lineage(written)

@@ -691,3 +691,43 @@ def _sql_offset_fixed() -> str:
 def synth_offset_sheet(spark, d):
     t = synth.theme(V.table(spark, d, "orders"), "sales_orders")
     return synth.offset_sheet(t, "sales_orders", OFFSET_START_ROW, OFFSET_FILE, generated=OFFSET_GENERATED)
+
+
+# ---------------------------------------------------------------------------
+# end to end: workbooks written by Spark from a table, then scanned and ingested
+
+WORKBOOK_ROWS = 50
+
+
+@register(
+    "ingest_workbooks",
+    with_ctes(
+        "SELECT file_name, 'customers' AS worksheet, CAST(0 AS BIGINT) AS row, CAST(1 AS BIGINT) AS \"column\", "
+        "'c_custkey' AS value FROM h UNION ALL "
+        "SELECT file_name, 'customers', CAST(0 AS BIGINT), CAST(2 AS BIGINT), 'c_name' FROM h UNION ALL "
+        "SELECT file_name, 'customers', CAST(0 AS BIGINT), CAST(3 AS BIGINT), 'c_acctbal' FROM h UNION ALL "
+        "SELECT file_name, 'customers', row, CAST(1 AS BIGINT), v1 FROM w UNION ALL "
+        "SELECT file_name, 'customers', row, CAST(2 AS BIGINT), v2 FROM w UNION ALL "
+        "SELECT file_name, 'customers', row, CAST(3 AS BIGINT), v3 FROM w",
+        c="SELECT c_custkey, c_name, c_acctbal, c_nationkey, "
+        "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer",
+        w=f"SELECT 'nation_' || CAST(c_nationkey AS VARCHAR) || '_part_' || CAST(i // {WORKBOOK_ROWS} + 1 AS VARCHAR)"
+        f" || '.xlsx' AS file_name, CAST(i % {WORKBOOK_ROWS} + 1 AS BIGINT) AS row, CAST(c_custkey AS VARCHAR) AS v1,"
+        " c_name AS v2, " + V.sql_number_text("c_acctbal") + " AS v3 FROM c",
+        h="SELECT DISTINCT file_name FROM w",
+    ),
+)
+def ingest_workbooks(spark, d):
+    """Customers of each nation written as workbooks (50 rows each), then catalog scan + ingest + cells."""
+    from ..session import scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources import cells_io, ingest
+
+    folder, out = scratch_dir(spark, "workbooks"), scratch_dir(spark, "ingest")
+    c = V.table(spark, d, "customer")
+    synth.write_workbooks(
+        c, folder, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")), ["c_custkey"],
+        ["c_custkey", "c_name", "c_acctbal"], sheet="customers", rows_per_file=WORKBOOK_ROWS,
+    )
+    ingest.run(spark, catalog_source.scan(spark, [folder]), out, path_rule=None)
+    return cells_io.read_cells(spark, out).select("file_name", "worksheet", "row", "column", "value")

@@ -70,3 +70,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder (for intermediate outputs)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/sheetlake-{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sheetlake`` importable in executor Python workers (once per context).
+
+    Functions run on executors (decoder, workbook writer, file hasher) live in
+    this package; a zip of it is added with ``addPyFile`` -- what
+    ``--py-files`` does -- so workers import it wherever the driver runs from.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="sheetlake-pyfiles-"), "sheetlake.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(pkg):
+            if "__pycache__" in folder:
+                continue
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import ship_package
 from ..functions import paths
 from . import workbook
 
@@ -136,6 +137,7 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     at a time and emits it in chunks of at most ``max_cells`` rows.
     """
     modified = F.col("modified_at") if "modified_at" in selected.columns else F.lit(None).cast("timestamp")
+    ship_package(selected.sparkSession)
     paths_df = selected.select("file_path", modified.alias("modified_at")).dropDuplicates(["file_path"])
     # the task count comes from the file count: one scalar, not the data
     total = paths_df.count() if n_files is None else n_files
