@@ -23,21 +23,27 @@ def cells_location(output_dir: str) -> str:
     return f"{output_dir.rstrip('/')}/runs/*/kind=cell"
 
 
-def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = None) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = None,
+               column_as: str = "number") -> DataFrame:
     """All cells with the fixed schema (no inference).
 
     ``path`` is an ingest output folder (cells of every run are read) or any
-    folder of cell Parquet (read recursively).  Columns added later
+    folder of cell Parquet (read recursively).  ``column_as="name"`` gives
+    ``column`` as ``column_N`` text.  Columns added later
     (``extra``) read as null from older files.  Nothing there yet gives an
     empty frame; any other read error is raised.
     """
     schema = S.CELLS if extra is None else S.T.StructType(S.CELLS.fields + extra.fields)
     runs = cells_location(path)
     if _exists(spark, runs):
-        return spark.read.schema(schema).parquet(runs)
-    if not _exists(spark, path):
-        return S.empty(spark, schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        df = spark.read.schema(schema).parquet(runs)
+    elif not _exists(spark, path):
+        df = S.empty(spark, schema)
+    else:
+        df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    if column_as == "name":
+        df = df.withColumn("column", F.concat(F.lit("column_"), F.col("column").cast("string")))
+    return df
 
 
 def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_records_per_file: int = 5_000_000,

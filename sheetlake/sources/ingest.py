@@ -288,3 +288,16 @@ def run(
     totals["skipped"] = int(c["n"] - c["todo"])
     totals["run_id"] = run_id
     return totals
+
+
+def convert_files(spark: SparkSession, files: Sequence[str], output_dir: str, run_id: str | None = None) -> dict:
+    """Convert an explicit list of files (globs allowed): no catalog, no path rule, no skip."""
+    from . import catalog as catalog_source
+
+    return run(spark, catalog_source.from_paths(spark, files), output_dir, skip="none", path_rule=None,
+               run_id=run_id)
+
+
+def exit_code(totals: dict) -> int:
+    """0 when a run had no errors, 2 when any file or sheet failed."""
+    return 2 if totals.get("errors") else 0

@@ -109,3 +109,28 @@ def test_load_or_scan_uses_saved_catalog_until_rescan(spark, tree):
 def test_empty_frames_keep_schema(spark):
     assert S.empty(spark, S.CELLS).schema == S.CELLS
     assert cells_io.read_cells(spark, "/definitely/not/here").columns == S.CELL_COLUMNS
+
+
+def test_explicit_file_list_and_exit_code(spark, tree):
+    out = str(tree / "o_list")
+    files = [str(tree / "project1/SOV/2024/data1.xlsx"), str(tree / "project1/SOV/2024/broken.xlsx")]
+    r = ingest.convert_files(spark, files, out)
+    assert (r["files"], r["sheets"], r["rows"], r["errors"]) == (2, 2, 21, 1)
+    assert ingest.exit_code(r) == 2
+    named = cells_io.read_cells(spark, out, column_as="name")
+    assert sorted({x.column for x in named.collect()}) == ["column_1", "column_2", "column_3"]
+
+
+def test_workbooks_written_by_spark_read_back(spark, tmp_path):
+    from sheetlake.operators import synth
+
+    df = spark.createDataFrame([(k % 3, k, f"n{k}", k * 1.5) for k in range(25)], "g long, k long, s string, x double")
+    written = synth.write_workbooks(df, str(tmp_path / "wb"), F.concat(F.lit("g"), F.col("g").cast("string")),
+                                    ["k"], ["k", "s", "x"], rows_per_file=4)
+    assert written.count() == 3 + 2 + 2  # groups of 9, 8 and 8 rows, at most 4 rows per file
+    out = str(tmp_path / "out")
+    ingest.run(spark, catalog.scan(spark, [str(tmp_path / "wb")]), out, path_rule=None)
+    cells = cells_io.read_cells(spark, out)
+    assert cells.count() == (25 + written.count()) * 3
+    first = {(r.row, r.column): r.value for r in cells.where(F.col("file_name") == "g0_part_1.xlsx").collect()}
+    assert first[(0, 1)] == "k" and first[(1, 1)] == "0" and first[(2, 3)] == "4.5"
