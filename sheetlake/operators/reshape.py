@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text, column_name
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage
 
 _POS = "_sl_pos"
 _PID = "_sl_pid"
@@ -47,11 +47,11 @@ def with_row_index(
     without the one-task-per-group window (see module notes).  The order keys
     should be unique inside a group for a deterministic index.
     """
-    spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
     keys = list(partition_by)
     order = [F.col(o) if isinstance(o, str) else o for o in order_by]
-    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    # without an explicit count AQE sizes the range partitions from the data
+    ranged = (df.repartitionByRange(num_partitions, *keys, *order) if num_partitions
+              else df.repartitionByRange(*keys, *order)).sortWithinPartitions(*keys, *order)
     # position ids follow the sorted order inside each partition; the lineage cut
     # freezes them (and the sampled range bounds) before they are used twice
     tagged = cut_lineage(ranged.withColumn(_POS, F.monotonically_increasing_id()))

@@ -123,32 +123,46 @@ class _Book:
             return when.strftime("%Y-%m-%d") if when.time() == _dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
         return number_text(x)
 
-    def sheet_cells(self, part: str) -> list[tuple[int, int, str]]:
-        """Non-empty cells of a sheet part as (row, column) 1-based physical positions."""
-        out = []
+    def iter_rows(self, part: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+        """(row, [(column, text), ...]) of the non-empty cells, 1-based physical positions."""
         row_no = 0
         for _, el in ET.iterparse(self.zf.open(part)):
             if el.tag != f"{NS_MAIN}row":
                 continue
             row_no = int(el.get("r", row_no + 1))
             col_no = 0
+            found = []
             for c in el.iter(f"{NS_MAIN}c"):
                 ref = c.get("r")
                 m = _CELL_REF.match(ref) if ref else None
                 col_no = _col_index(m.group(1)) if m else col_no + 1
                 val = self.value(c)
                 if val is not None and val != "":
-                    out.append((row_no, col_no, val))
+                    found.append((col_no, val))
             el.clear()
-        return out
+            if found:
+                yield row_no, found
+
+    def part_size(self, part: str) -> int:
+        return self.zf.getinfo(part).file_size
 
 
 def _error(path, name, sheet, message):
     return ("error", path, name, sheet, None, None, None, None, None, message[:500])
 
 
-def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000) -> Iterator[list[tuple]]:
-    """Decode one workbook from a seekable file object; yields lists of rows."""
+# Sheet parts larger than this (uncompressed XML bytes) are read twice instead of held.
+TWO_PASS_BYTES = 64 << 20
+
+
+def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
+                      two_pass_bytes: int = TWO_PASS_BYTES) -> Iterator[list[tuple]]:
+    """Decode one workbook from a seekable file object; yields lists of rows.
+
+    Memory: a sheet up to ``two_pass_bytes`` of XML is held as its non-empty
+    cells; a larger one is parsed twice (row/column numbers first, values
+    second), holding only the index sets.
+    """
     name = path.rsplit("/", 1)[-1]
     try:
         book = _Book(zipfile.ZipFile(fileobj))
@@ -159,23 +173,40 @@ def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000) -> Iterator[l
         try:
             if part is None:
                 raise KeyError(f"no part for sheet {sheet_name!r}")
-            found = book.sheet_cells(part)
+            if book.part_size(part) <= two_pass_bytes:
+                # one pass: the sheet's non-empty cells are held until its width is known
+                held = list(book.iter_rows(part))
+                rows_seen = [r for r, _ in held]
+                cols_seen = sorted({c for _, found in held for c, _ in found})
+                source = held
+            else:
+                # two passes: first only the used row/column numbers, then stream the values
+                rows_seen, cols = [], set()
+                for r, found in book.iter_rows(part):
+                    rows_seen.append(r)
+                    cols.update(c for c, _ in found)
+                cols_seen = sorted(cols)
+                source = None
         except Exception as e:  # one bad sheet does not stop the file
             yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
             continue
-        rows = sorted({r for r, _, _ in found})
-        cols = sorted({c for _, c, _ in found})
-        row_ix = {r: i for i, r in enumerate(rows)}
-        col_ix = {c: i + 1 for i, c in enumerate(cols)}
-        grid = {(row_ix[r], col_ix[c]): v for r, c, v in found}
-        yield [("sheet", path, name, sheet_name, None, None, None, len(rows), len(cols), None)]
+        col_ix = {c: i + 1 for i, c in enumerate(cols_seen)}
+        width = len(cols_seen)
+        yield [("sheet", path, name, sheet_name, None, None, None, len(rows_seen), width, None)]
         chunk = []
-        for r in range(len(rows)):
-            for c in range(1, len(cols) + 1):
-                chunk.append(("cell", path, name, sheet_name, r, c, grid.get((r, c)), None, None, None))
-                if len(chunk) >= max_cells:
-                    yield chunk
-                    chunk = []
+        try:
+            for r_ix, (_, found) in enumerate(source if source is not None else book.iter_rows(part)):
+                values = [None] * width
+                for c, v in found:
+                    values[col_ix[c] - 1] = v
+                for j, v in enumerate(values, start=1):
+                    chunk.append(("cell", path, name, sheet_name, r_ix, j, v, None, None, None))
+                    if len(chunk) >= max_cells:
+                        yield chunk
+                        chunk = []
+        except Exception as e:
+            yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
+            continue
         if chunk:
             yield chunk
 
@@ -202,7 +233,7 @@ def plain_path(path: str) -> str:
     return path
 
 
-def decode_path(path: str, max_cells: int = 50_000) -> Iterator[list[tuple]]:
+def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES) -> Iterator[list[tuple]]:
     """Decode the workbook at ``path``; unsupported formats give one error row."""
     shown = plain_path(path)
     name = shown.rsplit("/", 1)[-1]
@@ -216,4 +247,4 @@ def decode_path(path: str, max_cells: int = 50_000) -> Iterator[list[tuple]]:
         yield [_error(shown, name, None, f"{type(e).__name__}: {e}")]
         return
     with f:
-        yield from decode_bytes_file(f, shown, max_cells=max_cells)
+        yield from decode_bytes_file(f, shown, max_cells=max_cells, two_pass_bytes=two_pass_bytes)

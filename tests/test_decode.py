@@ -83,3 +83,18 @@ def test_number_text():
     assert workbook.number_text(3.0) == "3"
     assert workbook.number_text(0.1 + 0.2) == "0.3"
     assert workbook.number_text(-0.0000001) == "0"
+
+
+def test_two_pass_mode_gives_the_same_rows(tmp_path):
+    p = tmp_path / "big.xlsx"
+    write_xlsx(p, {"S": [[None, "a", None, 1], [None, None, None, None], [None, "c", None, 2.5]]}, offsets={"S": (2, 2)})
+    one = [r for chunk in workbook.decode_path(str(p)) for r in chunk]
+    two = [r for chunk in workbook.decode_path(str(p), two_pass_bytes=0) for r in chunk]
+    assert one == two and len(_cells(one)) == 4
+
+
+def test_max_cells_chunks(tmp_path):
+    p = tmp_path / "chunks.xlsx"
+    write_xlsx(p, {"S": [[i, i + 1, i + 2] for i in range(10)]})
+    chunks = list(workbook.decode_path(str(p), max_cells=7))
+    assert max(len(c) for c in chunks) <= 7 and sum(len(c) for c in chunks) == 31
