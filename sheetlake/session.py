@@ -65,9 +65,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/sheetlake-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _CUTS.setdefault(id(spark.sparkContext._jsc), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CUTS: dict[int, list[str]] = {}
+
+
+def drop_lineage_cuts(spark: SparkSession) -> int:
+    """Delete the lineage-cut folders this context wrote; call when their frames are no longer used."""
+    sc = spark.sparkContext
+    paths = _CUTS.pop(id(sc._jsc), [])
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)
+    return len(paths)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -61,3 +61,12 @@ def test_unpivot_then_pivot_returns_the_input(spark, grid):
     assert cells.count() == len(grid) * 3
     back = reshape.to_wide(cells, n_columns=3).orderBy("row")
     assert [tuple(r)[3:] for r in back.collect()] == [tuple(row) for row in grid]
+
+
+def test_lineage_cuts_are_tracked_and_dropped(spark):
+    from sheetlake.session import cut_lineage, drop_lineage_cuts
+
+    drop_lineage_cuts(spark)
+    cut = cut_lineage(spark.range(10))
+    assert cut.count() == 10
+    assert drop_lineage_cuts(spark) == 1
