@@ -49,6 +49,27 @@ def number_text(x: float) -> str:
     return "0" if out in ("-0", "") else out
 
 
+_PLAIN_NUMBER = re.compile(r"-?[0-9]{1,15}(\.[0-9]{1,6})?")
+
+
+def stored_number_text(raw: str) -> str:
+    """``number_text`` of a stored number, straight from its text when that is already plain.
+
+    Short integers and decimals with at most six places need no float round
+    trip (the result is the same); anything else (exponents, long fractions)
+    goes through ``number_text``.
+    """
+    if _PLAIN_NUMBER.fullmatch(raw):
+        neg = raw.startswith("-")
+        body = raw[1:] if neg else raw
+        if "." in body:
+            body = body.rstrip("0").rstrip(".")
+        whole, _, frac = body.partition(".")
+        body = (whole.lstrip("0") or "0") + ("." + frac if frac else "")
+        return "0" if body == "0" else ("-" + body if neg else body)
+    return number_text(float(raw))
+
+
 def _col_index(letters: str) -> int:
     n = 0
     for ch in letters:
@@ -115,27 +136,33 @@ class _Book:
             return "true" if raw.strip() in ("1", "true") else "false"
         if t in ("str", "e", "d"):
             return raw
-        x = float(raw)
-        if int(c.get("s", "0")) in self.date_styles:
+        if self.date_styles and int(c.get("s", "0")) in self.date_styles:
+            x = float(raw)
             when = self.epoch + _dt.timedelta(days=x)
             when = when.replace(microsecond=0) if when.microsecond < 500_000 else (
                 when + _dt.timedelta(seconds=1)).replace(microsecond=0)
             return when.strftime("%Y-%m-%d") if when.time() == _dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
-        return number_text(x)
+        return stored_number_text(raw)
 
     def iter_rows(self, part: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
         """(row, [(column, text), ...]) of the non-empty cells, 1-based physical positions."""
         row_no = 0
+        row_tag, cell_tag = f"{NS_MAIN}row", f"{NS_MAIN}c"
+        letters_ix: dict[str, int] = {}
+        digits = "0123456789"
         for _, el in ET.iterparse(self.zf.open(part)):
-            if el.tag != f"{NS_MAIN}row":
+            if el.tag != row_tag:
                 continue
             row_no = int(el.get("r", row_no + 1))
             col_no = 0
             found = []
-            for c in el.iter(f"{NS_MAIN}c"):
+            for c in el.iter(cell_tag):
                 ref = c.get("r")
-                m = _CELL_REF.match(ref) if ref else None
-                col_no = _col_index(m.group(1)) if m else col_no + 1
+                if ref:
+                    letters = ref.rstrip(digits)
+                    col_no = letters_ix.get(letters) or letters_ix.setdefault(letters, _col_index(letters))
+                else:
+                    col_no += 1
                 val = self.value(c)
                 if val is not None and val != "":
                     found.append((col_no, val))
