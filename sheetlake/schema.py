@@ -70,6 +70,7 @@ LEDGER = T.StructType([
     T.StructField("n_errors", T.LongType(), True),
     T.StructField("modified_at", T.TimestampType(), True),
     T.StructField("file_hash", T.StringType(), True),
+    T.StructField("run_at", T.TimestampType(), True),
 ])
 
 RUN_STATS = T.StructType([

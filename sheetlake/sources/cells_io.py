@@ -24,12 +24,15 @@ def cells_location(output_dir: str) -> str:
 
 
 def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = None,
-               column_as: str = "number") -> DataFrame:
+               column_as: str = "number", latest_only: bool = True) -> DataFrame:
     """All cells with the fixed schema (no inference).
 
-    ``path`` is an ingest output folder (cells of every run are read) or any
-    folder of cell Parquet (read recursively).  ``column_as="name"`` gives
-    ``column`` as ``column_N`` text.  Columns added later
+    ``path`` is an ingest output folder or any folder of cell Parquet (read
+    recursively).  For an ingest output, ``latest_only`` (default) keeps each
+    file's cells from its latest ledger run only: a file converted again
+    (retried after errors, or changed) is not counted twice, and cells of a run
+    whose ledger was never written are not visible.  ``column_as="name"``
+    gives ``column`` as ``column_N`` text.  Columns added later
     (``extra``) read as null from older files.  Nothing there yet gives an
     empty frame; any other read error is raised.
     """
@@ -37,6 +40,8 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
     runs = cells_location(path)
     if _exists(spark, runs):
         df = spark.read.schema(schema).parquet(runs)
+        if latest_only:
+            df = _latest_runs_only(spark, df, path)
     elif not _exists(spark, path):
         df = S.empty(spark, schema)
     else:
@@ -46,6 +51,18 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
     return df
 
 
+def _latest_runs_only(spark: SparkSession, cells: DataFrame, output_dir: str) -> DataFrame:
+    """Semi join of cells to the latest ledger run of their file (run id from the file's path)."""
+    ledger = read_ledger(spark, f"{output_dir.rstrip('/')}/ledger")
+    latest = ledger.groupBy("file_path").agg(
+        F.max_by("run_id", F.struct("run_at", "run_id")).alias("_sl_run")
+    )
+    tagged = cells.withColumn(
+        "_sl_run", F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+)/kind=cell/", 1)
+    )
+    return tagged.join(latest, ["file_path", "_sl_run"], "left_semi").drop("_sl_run")
+
+
 def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_records_per_file: int = 5_000_000,
                 layout: str = "by_file", mode: str = "append") -> None:
     """Write cells under ``path`` (append by default).

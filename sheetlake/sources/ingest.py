@@ -19,6 +19,7 @@ Flow of one run (``run``):
 
 from __future__ import annotations
 
+import datetime as _dt
 import uuid
 from collections.abc import Sequence
 
@@ -56,7 +57,7 @@ def done_from_ledger(ledger: DataFrame, retry_errors: bool = True) -> DataFrame:
     done, like a path-keyed skip; the default retries files whose last run had
     errors.
     """
-    last = ledger.groupBy("file_path").agg(F.max_by("status", "run_id").alias("status"))
+    last = ledger.groupBy("file_path").agg(F.max_by("status", F.struct("run_at", "run_id")).alias("status"))
     done = ["ok", "empty"] if retry_errors else ["ok", "partial", "empty"]
     return last.where(F.col("status").isin(done)).select("file_path")
 
@@ -220,9 +221,11 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
     finally:
         spark.conf.set(key, before)
     files = spark.read.schema(S.DECODED).parquet(f"{run_dir}/kind=file")
+    # one instant for the whole run, fixed on the driver (a retried task writes the same value)
+    run_at = F.lit(_dt.datetime.now(_dt.timezone.utc)).cast("timestamp")
     ledger = files.select(
         F.lit(run_id).alias("run_id"), "file_path", "status", "n_sheets", "n_empty_sheets", "n_cells", "n_errors",
-        "modified_at", F.lit(None).cast("string").alias("file_hash"),
+        "modified_at", F.lit(None).cast("string").alias("file_hash"), run_at.alias("run_at"),
     )
     ledger.write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
     return cells_io.read_ledger(spark, f"{out}/ledger/{run_id}")

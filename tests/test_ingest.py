@@ -134,3 +134,28 @@ def test_workbooks_written_by_spark_read_back(spark, tmp_path):
     assert cells.count() == (25 + written.count()) * 3
     first = {(r.row, r.column): r.value for r in cells.where(F.col("file_name") == "g0_part_1.xlsx").collect()}
     assert first[(0, 1)] == "k" and first[(1, 1)] == "0" and first[(2, 3)] == "4.5"
+
+
+def test_partial_file_retried_without_duplicate_cells(spark, tmp_path):
+    import zipfile
+
+    src = tmp_path / "in/SOV"
+    src.mkdir(parents=True)
+    good = tmp_path / "good.xlsx"
+    write_xlsx(good, {"Fine": [[1, 2], [3, 4]], "Broken": [[9]]})
+    # rebuild the workbook with the second sheet's XML damaged: that sheet fails, the first converts
+    with zipfile.ZipFile(good) as zin, zipfile.ZipFile(src / "mixed.xlsx", "w") as zout:
+        for item in zin.namelist():
+            data = zin.read(item)
+            if item == "xl/worksheets/sheet2.xml":
+                data = b"<worksheet><sheetData><row"
+            zout.writestr(item, data)
+    out = str(tmp_path / "out")
+    c = catalog.scan(spark, [str(tmp_path / "in")])
+    first = ingest.run(spark, c, out)
+    assert (first["sheets"], first["rows"], first["errors"]) == (1, 4, 1)
+    assert [r.status for r in cells_io.read_ledger(spark, f"{out}/ledger").collect()] == ["partial"]
+    second = ingest.run(spark, c, out)  # partial files are retried by default
+    assert second["files"] == 1
+    assert cells_io.read_cells(spark, out).count() == 4
+    assert cells_io.read_cells(spark, out, latest_only=False).count() == 8
