@@ -100,18 +100,20 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``sheetlake`` importable in executor Python workers (once per context).
 
     Functions run on executors (decoder, workbook writer, file hasher) live in
-    this package; a zip of it is added with ``addPyFile`` -- what
-    ``--py-files`` does -- so workers import it wherever the driver runs from.
+    this package; a zip of it is written to the shared checkpoint folder and
+    added with ``addPyFile`` -- what ``--py-files`` does -- so workers import
+    it wherever the driver runs from.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    import io
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="sheetlake-pyfiles-"), "sheetlake.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(pkg):
             if "__pycache__" in folder:
                 continue
@@ -119,5 +121,13 @@ def ship_package(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = f"{scratch_dir(spark, 'pyfiles')}/sheetlake.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    stream = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+    try:
+        stream.write(bytearray(buf.getvalue()))
+    finally:
+        stream.close()
     sc.addPyFile(target)
     _SHIPPED.add(key)

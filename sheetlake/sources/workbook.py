@@ -238,12 +238,17 @@ def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
             yield chunk
 
 
+# Hadoop scheme names that pyarrow knows under another name.
+SCHEME_ALIASES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(path: str):
     """Open a path or URI for random access through pyarrow's file systems."""
     from pyarrow import fs as pafs
 
     if "://" in path:
-        filesystem, inner = pafs.FileSystem.from_uri(path)
+        scheme, rest = path.split("://", 1)
+        filesystem, inner = pafs.FileSystem.from_uri(f"{SCHEME_ALIASES.get(scheme, scheme)}://{rest}")
     elif path.startswith("file:"):
         filesystem, inner = pafs.LocalFileSystem(), path[len("file:"):]
     else:

@@ -60,13 +60,16 @@ def ingest_stream(
     marker: str = paths.DEFAULT_MARKER,
     available_now: bool = True,
     processing_time: str | None = None,
+    max_files_per_trigger: int | None = None,
 ):
     """Start the incremental conversion; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything new and stops (a scheduled run);
     otherwise ``processing_time`` sets a trigger interval for a long-running job.
+    ``max_files_per_trigger`` bounds each micro-batch (a backlog of a million
+    files becomes many bounded batches, each a replay-safe run).
     """
-    listing = file_stream(spark, root)
+    listing = file_stream(spark, root, max_files_per_trigger=max_files_per_trigger)
     if path_rule == "filter":
         listing = listing.where(paths.under_marker("file_path", marker))
 
