@@ -115,7 +115,8 @@ def hash_files(paths_df: DataFrame, files_per_task: int = 16) -> DataFrame:
     ship_package(spark)
     p = paths_df.select("file_path").distinct()
     n = max(2 * spark.sparkContext.defaultParallelism, 1)
-    return p.repartition(n, "file_path").mapInArrow(_hash_partition, "file_path string, file_hash string")
+    # a hash of the path, so the spread is not merged with the distinct's exchange (see ingest)
+    return p.repartition(n, F.xxhash64("file_path")).mapInArrow(_hash_partition, "file_path string, file_hash string")
 
 
 def detect(old: DataFrame, new_listing: DataFrame) -> DataFrame:

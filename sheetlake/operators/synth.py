@@ -244,7 +244,16 @@ def write_workbooks(
             write_xlsx(f, {sheet: rows})
         return pd.DataFrame({"file_path": [path], "n_rows": [len(data)]})
 
-    written = named.select("_wb_path", "_wb_row", *cols).groupBy("_wb_path").applyInPandas(
-        write_one, "file_path string, n_rows bigint"
+    # Python does the heavy work here, so the task count follows the number of
+    # files, not the shuffle size: an explicit repartition on the file (never
+    # coalesced by AQE) that the grouping then reuses without another exchange
+    n_files = named.select("_wb_path").distinct().count()
+    sc = df.sparkSession.sparkContext
+    parts = max(1, min(n_files, max(2 * sc.defaultParallelism, -(-n_files // 8))))
+    written = (
+        named.select("_wb_path", "_wb_row", *cols)
+        .repartition(parts, "_wb_path")
+        .groupBy("_wb_path")
+        .applyInPandas(write_one, "file_path string, n_rows bigint")
     )
     return cut_lineage(written)

@@ -23,6 +23,7 @@ import datetime as _dt
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,10 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     total = paths_df.count() if n_files is None else n_files
     floor = 2 * selected.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(total, max(floor, -(-total // max(1, files_per_task)))))
-    spread = paths_df.repartition(parts, "file_path")
+    # spread on a hash of the path, not the path itself: a repartition identical to
+    # an exchange below it (the de-duplication's) would be dropped as redundant and
+    # that exchange, carrying only paths, coalesced by AQE into a single task
+    spread = paths_df.repartition(parts, F.xxhash64("file_path"))
     return spread.mapInArrow(lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
 
 
@@ -282,12 +286,18 @@ def run(
     else:
         flagged = candidates.join(done.select("file_path").distinct().withColumn("_done", F.lit(True)),
                                   "file_path", "left").withColumn("_todo", F.col("_done").isNull())
-    c = flagged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_todo"), 1)).alias("todo")).first()
-    todo = flagged.where("_todo")
-    totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
-    if c["todo"]:
-        ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"])
-        totals = run_totals(ledger_run).first().asDict()
+    # kept between the count and the decode job so the listing and the joins run
+    # once (recomputed from lineage if an executor holding it is lost)
+    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        c = flagged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_todo"), 1)).alias("todo")).first()
+        todo = flagged.where("_todo")
+        totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
+        if c["todo"]:
+            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"])
+            totals = run_totals(ledger_run).first().asDict()
+    finally:
+        flagged.unpersist()
     totals["skipped"] = int(c["n"] - c["todo"])
     totals["run_id"] = run_id
     return totals
