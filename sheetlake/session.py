@@ -26,8 +26,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # local sizing: small inputs still split over every core
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("SHEETLAKE_MAX_PARTITION_BYTES", "32m"))
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.driver.memory", os.environ.get("SHEETLAKE_DRIVER_MEMORY", "16g"))
     )
+    if os.environ.get("SHEETLAKE_EVENT_LOG"):
+        builder = builder.config("spark.eventLog.enabled", "true").config(
+            "spark.eventLog.dir", os.environ["SHEETLAKE_EVENT_LOG"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -128,23 +128,27 @@ def _decode_partition(batches, max_cells: int, batch_rows: int):
 
 
 def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
-                   n_files: int | None = None, batch_rows: int = 20_000) -> DataFrame:
+                   n_files: int | None = None, batch_rows: int = 20_000, n_bytes: int | None = None,
+                   bytes_per_task: int = 256 << 10) -> DataFrame:
     """Decode every selected workbook into ``schema.DECODED`` rows.
 
-    ``selected`` needs ``file_path`` (a path or URI).  Files are spread by a
-    hash of their path over ``ceil(files / files_per_task)`` tasks, but never
-    fewer than two tasks per core while there are files for them: a file
-    cannot be split, so the aim is many small tasks the scheduler can balance
-    (a slow workbook delays only its own task).  Each task holds one workbook
-    at a time and emits it in chunks of at most ``max_cells`` rows.
+    ``selected`` needs ``file_path`` (a path or URI).  A file cannot be split,
+    so the aim is many tasks the scheduler can balance, sized by work: with the
+    selection's total bytes known (``n_bytes``; decoding time follows the
+    compressed size) there is one task per ``bytes_per_task`` (about a second
+    of decoding), otherwise one per ``files_per_task`` files; never fewer than
+    two per core while there are files, never more than one per file.  Files
+    are spread by a hash of their path; each task holds one workbook at a
+    time and emits it in chunks of at most ``max_cells`` rows.
     """
     modified = F.col("modified_at") if "modified_at" in selected.columns else F.lit(None).cast("timestamp")
     ship_package(selected.sparkSession)
     paths_df = selected.select("file_path", modified.alias("modified_at")).dropDuplicates(["file_path"])
-    # the task count comes from the file count: one scalar, not the data
+    # the task count comes from the file count and bytes: scalars, not the data
     total = paths_df.count() if n_files is None else n_files
     floor = 2 * selected.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(total, max(floor, -(-total // max(1, files_per_task)))))
+    wanted = -(-n_bytes // max(1, bytes_per_task)) if n_bytes else -(-total // max(1, files_per_task))
+    parts = max(1, min(total, max(floor, wanted)))
     # spread on a hash of the path, not the path itself: a repartition identical to
     # an exchange below it (the de-duplication's) would be dropped as redundant and
     # that exchange, carrying only paths, coalesced by AQE into a single task
@@ -192,7 +196,7 @@ def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
 
 
 def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: str,
-            files_per_task: int = 32, n_files: int | None = None,
+            files_per_task: int = 32, n_files: int | None = None, n_bytes: int | None = None,
             max_records_per_file: int = 5_000_000) -> DataFrame:
     """Decode ``selected`` paths once and write the run's rows and ledger.
 
@@ -210,7 +214,7 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
 
     out = output_dir.rstrip("/")
     run_dir = f"{out}/runs/{run_id}"
-    decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files)
+    decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes)
     # three kinds: concurrent writers per task instead of sorting each task by kind
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key, "0")
@@ -271,7 +275,7 @@ def run(
             return {"files": 0, "sheets": 0, "rows": 0, "errors": 0, "skipped": 0, "run_id": None}
     if listing is not None:
         candidates = only_existing(candidates, listing)
-    keep = ["file_path"] + (["modified_at"] if "modified_at" in candidates.columns else [])
+    keep = ["file_path"] + [c for c in ("modified_at", "size") if c in candidates.columns]
     candidates = candidates.select(*keep).dropDuplicates(["file_path"])
     if skip == "ledger":
         done = done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger"))
@@ -290,11 +294,15 @@ def run(
     # once (recomputed from lineage if an executor holding it is lost)
     flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        c = flagged.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_todo"), 1)).alias("todo")).first()
+        size = F.col("size") if "size" in flagged.columns else F.lit(None).cast("bigint")
+        c = flagged.agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_todo"), 1)).alias("todo"),
+            F.sum(F.when(F.col("_todo"), size)).alias("bytes"),
+        ).first()
         todo = flagged.where("_todo")
         totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
         if c["todo"]:
-            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"])
+            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"], n_bytes=c["bytes"])
             totals = run_totals(ledger_run).first().asDict()
     finally:
         flagged.unpersist()
