@@ -19,12 +19,6 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def trim_zeros(text: Column) -> Column:
-    """'12.500000' -> '12.5', '3.000000' -> '3'; text without a dot is untouched."""
-    no_zeros = F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1")
-    return F.regexp_replace(no_zeros, r"\.$", "")
-
-
 def trim_fixed_point(text: Column) -> Column:
     """Trailing-zero trim for text that always has a dot (fixed-scale decimals): no regex."""
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))

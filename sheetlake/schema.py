@@ -73,15 +73,6 @@ LEDGER = T.StructType([
     T.StructField("run_at", T.TimestampType(), True),
 ])
 
-RUN_STATS = T.StructType([
-    T.StructField("files", T.LongType(), False),
-    T.StructField("sheets", T.LongType(), False),
-    T.StructField("rows", T.LongType(), False),
-    T.StructField("errors", T.LongType(), False),
-    T.StructField("skipped", T.LongType(), False),
-])
-
-
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """An empty frame that still carries ``schema``."""
     return spark.createDataFrame([], schema)

@@ -98,14 +98,3 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return S.empty(spark, S.LEDGER)
     return spark.read.schema(S.LEDGER).option("recursiveFileLookup", "true").parquet(path)
-
-
-def committed_cells(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Cells of files whose ledger shows a finished run (semi join on the ledger)."""
-    out = output_dir.rstrip("/")
-    ledger = read_ledger(spark, f"{out}/ledger").select("file_path").distinct()
-    return read_cells(spark, out).join(ledger, "file_path", "left_semi")
-
-
-def file_row_counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_cells"))

@@ -26,14 +26,12 @@ from xml.etree import ElementTree as ET
 
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-NS_PKG_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
 # Built-in number format ids that show dates or times.
 DATE_FORMAT_IDS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36,
                              45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58])
 OOXML_EXTENSIONS = (".xlsx", ".xlsm")
 
-_CELL_REF = re.compile(r"([A-Z]+)([0-9]+)")
 _DATE_TOKENS = re.compile(r"[dmyhs]", re.IGNORECASE)
 _EPOCH_1900 = _dt.datetime(1899, 12, 30)
 _EPOCH_1904 = _dt.datetime(1904, 1, 1)

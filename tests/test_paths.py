@@ -58,3 +58,35 @@ def test_iso_text(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 03:04:05' AS a, TIMESTAMP_NTZ'2024-01-02 03:04:05.25' AS b")
     r = df.select(paths.iso_text("a"), paths.iso_text("b")).first()
     assert tuple(r) == ("2024-01-02T03:04:05", "2024-01-02T03:04:05.250000")
+
+
+def test_column_number_and_name(spark):
+    from sheetlake.functions import text
+
+    assert _eval(spark, text.column_number, ["column_1", "column_12", "foo", None]) == [1, 12, None, None]
+    df = spark.createDataFrame([(3,)], "n long")
+    assert df.select(text.column_name("n")).first()[0] == "column_3"
+
+
+def test_value_text_of_table_types(spark):
+    from pyspark.sql import types as T
+
+    from sheetlake.functions import text
+
+    df = spark.sql(
+        "SELECT 1.5D AS d, 10000000000D AS big, CAST(2.50 AS DECIMAL(10,2)) AS dec, true AS b, DATE'2024-01-31' AS dt,"
+        " TIMESTAMP_NTZ'2024-01-31 10:11:12.5' AS ts, 7 AS i"
+    )
+    types = {f.name: f.dataType for f in df.schema.fields}
+    row = df.select(*[text.as_text(c, types[c]).alias(c) for c in df.columns]).first()
+    assert tuple(row) == ("1.5", "10000000000", "2.5", "true", "2024-01-31", "2024-01-31 10:11:12", "7")
+    assert isinstance(types["ts"], T.TimestampNTZType)
+
+
+def test_modified_text_and_size_kb(spark):
+    from sheetlake.functions import text
+    from sheetlake.operators import changes
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-05-06 07:08:09' AS m, 2048 AS b")
+    r = df.select(changes.modified_text("m"), text.size_kb("b"), text.shorten(F.lit("abcdef"), 3)).first()
+    assert tuple(r) == ("2024-05-06T07:08:09", 2.0, "abc")
