@@ -164,14 +164,20 @@ def browser_listing(spark, d):
     )
 
 
-# Directory list sheet: a header, then one entry per customer; some entries are
-# blank or null, some name folders that do not exist, all carry stray spaces.
-def _dir_entry(custkey, nationkey, segment):
-    part = V._pick(F.pmod(custkey, F.lit(3)), V.FOLDER_PARTS)
+# Directory list sheet: a header, then one entry per customer with stray spaces:
+# blank for customers in debt, empty (null) for the household segment; the
+# folder part follows the segment, so some entries name folders that exist and
+# some do not.
+def _dir_entry(acctbal, nationkey, segment):
+    part = (
+        F.when(segment.isin("AUTOMOBILE", "BUILDING"), F.lit("/SOV/"))
+        .when(segment == "FURNITURE", F.lit("/sov/"))
+        .otherwise(F.lit("/SOV_data/"))
+    )
     path = F.concat(F.lit("  /data/"), F.lower(segment), part, F.lit("y"), nationkey.cast("string"), F.lit(" "))
     return (
-        F.when(F.pmod(custkey, F.lit(7)) == 3, F.lit("   "))
-        .when(F.pmod(custkey, F.lit(11)) == 5, F.lit(None).cast("string"))
+        F.when(acctbal < 0, F.lit("   "))
+        .when(segment == "HOUSEHOLD", F.lit(None).cast("string"))
         .otherwise(path)
     )
 
@@ -182,9 +188,10 @@ SQL_DIR_ENTRIES = """
   SELECT CAST(0 AS BIGINT), CAST(2 AS BIGINT), 'Name'
   UNION ALL
   SELECT row, CAST(1 AS BIGINT),
-         CASE WHEN c_custkey % 7 = 3 THEN '   ' WHEN c_custkey % 11 = 5 THEN NULL
+         CASE WHEN c_acctbal < 0 THEN '   ' WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL
               ELSE '  /data/' || lower(c_mktsegment)
-                   || CASE c_custkey % 3 WHEN 0 THEN '/SOV/' WHEN 1 THEN '/sov/' ELSE '/SOV_data/' END
+                   || CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN '/SOV/'
+                           WHEN c_mktsegment = 'FURNITURE' THEN '/sov/' ELSE '/SOV_data/' END
                    || 'y' || CAST(c_nationkey AS VARCHAR) || ' ' END
   FROM (SELECT *, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS row FROM customer)
   UNION ALL
@@ -205,12 +212,12 @@ SQL_DIR_ENTRIES = """
     ),
 )
 def directory_list_clean(spark, d):
-    c = V.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
+    c = V.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name", "c_acctbal")
     sheet = rs.with_row_index(c, ["c_custkey"]).withColumn("row", F.col("row") + 1)
     body = rs.to_cells(
         sheet.select(
             "row",
-            _dir_entry(F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")).alias("entry"),
+            _dir_entry(F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_mktsegment")).alias("entry"),
             "c_name",
         ),
         columns=["entry", "c_name"],
@@ -343,10 +350,10 @@ def roundtrip_check(spark, d):
     )
 
 
-# Supplier sheet with every tenth row blank and a blank third column.
+# Supplier sheet whose rows of suppliers in debt are blank, plus a blank third column.
 def _blanked_supplier(spark, d):
     s = V.table(spark, d, "supplier")
-    blank = F.pmod("s_suppkey", F.lit(10)) == 3
+    blank = F.col("s_acctbal") < 0
     keep = lambda c: F.when(~blank, F.col(c))
     return s.select(
         "s_suppkey",
@@ -360,10 +367,10 @@ def _blanked_supplier(spark, d):
 
 SQL_BLANK_SHEET = (
     "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS row, "
-    "CASE WHEN s_suppkey % 10 <> 3 THEN CAST(s_suppkey AS VARCHAR) END AS v1, "
-    "CASE WHEN s_suppkey % 10 <> 3 THEN s_name END AS v2, CAST(NULL AS VARCHAR) AS v3, "
-    "CASE WHEN s_suppkey % 10 <> 3 THEN CAST(s_nationkey AS VARCHAR) END AS v4, "
-    "CASE WHEN s_suppkey % 10 <> 3 THEN " + V.sql_number_text("s_acctbal") + " END AS v5 FROM supplier"
+    "CASE WHEN s_acctbal >= 0 THEN CAST(s_suppkey AS VARCHAR) END AS v1, "
+    "CASE WHEN s_acctbal >= 0 THEN s_name END AS v2, CAST(NULL AS VARCHAR) AS v3, "
+    "CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS VARCHAR) END AS v4, "
+    "CASE WHEN s_acctbal >= 0 THEN " + V.sql_number_text("s_acctbal") + " END AS v5 FROM supplier"
 )
 
 
@@ -455,9 +462,15 @@ def processed_paths(spark, d):
     return cl.processed_paths(V.cells(spark, d))
 
 
+PROCESSED_BALANCE = 5000
+
+
 def _previous_output(spark, d):
-    """Cells written by an earlier run: every third catalog file, one row each."""
-    c = V.catalog(spark, d).where(F.pmod("c_custkey", F.lit(3)) == 0)
+    """Cells written by an earlier run: the files of customers with a balance over 5,000, one row each."""
+    c = V.catalog(spark, d).join(
+        V.table(spark, d, "customer").where(F.col("c_acctbal") > PROCESSED_BALANCE).select("c_custkey"),
+        "c_custkey", "left_semi",
+    )
     return rs.to_cells(
         c.select("file_path", F.lit(0).alias("row"), "extension", "size"),
         lineage={"file_path": "file_path", "file_name": paths.base_name("file_path"), "worksheet": F.lit("Sheet1")},
@@ -469,7 +482,8 @@ def _previous_output(spark, d):
     "skip_processed",
     with_ctes(
         "SELECT file_path, extension FROM catalog c WHERE NOT EXISTS "
-        "(SELECT 1 FROM catalog p WHERE p.c_custkey % 3 = 0 AND p.file_path = c.file_path)",
+        "(SELECT 1 FROM catalog p JOIN customer k ON k.c_custkey = p.c_custkey "
+        f"WHERE k.c_acctbal > {PROCESSED_BALANCE} AND p.file_path = c.file_path)",
         **CAT,
     ),
 )
@@ -484,14 +498,18 @@ def skip_processed(spark, d):
     "existing_files",
     with_ctes(
         "SELECT file_path, extension FROM catalog c WHERE EXISTS "
-        "(SELECT 1 FROM files f WHERE f.c_custkey % 4 <> 1 AND f.file_path = c.file_path)",
+        "(SELECT 1 FROM files f JOIN customer k ON k.c_custkey = f.c_custkey "
+        "WHERE k.c_acctbal >= 0 AND f.file_path = c.file_path)",
         **CAT,
     ),
 )
 def existing_files(spark, d):
     from ..sources import ingest
 
-    listing = V.files(spark, d).where(F.pmod("c_custkey", F.lit(4)) != 1)
+    # files of customers in debt were removed since the catalog was made
+    listing = V.files(spark, d).join(
+        V.table(spark, d, "customer").where(F.col("c_acctbal") >= 0).select("c_custkey"), "c_custkey", "left_semi"
+    )
     return ingest.only_existing(V.catalog(spark, d), listing).select("file_path", "extension")
 
 
@@ -567,18 +585,19 @@ def content_hash(spark, d):
     return p.select("page_id", ch.content_hash("html").alias("file_hash"))
 
 
-# Two catalog versions of the pages: some added, some removed, some touched
-# (new time, same bytes) and some really changed.
+# Two catalog versions of the pages: pages with an anchor (#) were added after
+# the old one, pages with a query (?) removed since; English and French pages
+# were touched (new time) and the French ones really changed.
 def _page_versions(spark, d):
-    p = V.table(spark, d, "pages").select("page_id", "html")
+    p = V.table(spark, d, "pages").select("page_id", "url", "html")
     key = F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file_path")
     base = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
-    changed = F.pmod("page_id", F.lit(4)) == 0
-    touched = changed | (F.pmod("page_id", F.lit(3)) == 0)
-    old = p.where(F.pmod("page_id", F.lit(7)) != 0).select(
+    changed = F.col("url").contains("/fr/")
+    touched = changed | F.col("url").contains("/en/")
+    old = p.where(~F.col("url").contains("#")).select(
         key, base.alias("modified_at"), ch.content_hash("html").alias("file_hash")
     )
-    new = p.where(F.pmod("page_id", F.lit(11)) != 5).select(
+    new = p.where(~F.col("url").contains("?")).select(
         key,
         F.when(touched, base + F.expr("INTERVAL 1 DAY")).otherwise(base).alias("modified_at"),
         F.when(changed, F.concat("html", F.lit(" "))).otherwise(F.col("html")).alias("content"),
@@ -589,10 +608,11 @@ def _page_versions(spark, d):
 @register(
     "change_status",
     "WITH o AS (SELECT 'page_' || CAST(page_id AS VARCHAR) AS file_path, page_id AS m, sha256(html) AS h "
-    "FROM pages WHERE page_id % 7 <> 0), "
+    "FROM pages WHERE NOT contains(url, '#')), "
     "n AS (SELECT 'page_' || CAST(page_id AS VARCHAR) AS file_path, "
-    "page_id + CASE WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN 86400 ELSE 0 END AS m, "
-    "CASE WHEN page_id % 4 = 0 THEN html || ' ' ELSE html END AS content FROM pages WHERE page_id % 11 <> 5) "
+    "page_id + CASE WHEN contains(url, '/fr/') OR contains(url, '/en/') THEN 86400 ELSE 0 END AS m, "
+    "CASE WHEN contains(url, '/fr/') THEN html || ' ' ELSE html END AS content FROM pages "
+    "WHERE NOT contains(url, '?')) "
     "SELECT coalesce(o.file_path, n.file_path) AS file_path, "
     "CASE WHEN o.file_path IS NULL THEN 'new' WHEN n.file_path IS NULL THEN 'missing' "
     "WHEN o.m = n.m THEN 'unchanged' WHEN sha256(n.content) = o.h THEN 'unchanged' ELSE 'modified' END AS status "
