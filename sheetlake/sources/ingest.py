@@ -91,23 +91,61 @@ def file_status(n_sheets: int, n_empty: int, n_errors: int) -> str:
     return "ok" if good else "empty"
 
 
+def status_column(n_sheets, n_empty, n_errors):
+    """``file_status`` as a Column expression (for ledger rows summed over a file's units)."""
+    good = n_sheets - n_empty
+    return (
+        F.when((n_errors > 0) & (good > 0), F.lit("partial"))
+        .when(n_errors > 0, F.lit("error"))
+        .when(good > 0, F.lit("ok"))
+        .otherwise(F.lit("empty"))
+    )
+
+
 _PAD = (None,) * 6
 
+UNITS = "file_path string, modified_at timestamp, sheet_index int, weight bigint"
+
+
+def _plan_partition(batches, split_bytes: int):
+    """(path, modified_at, size) of large files in, one unit per sheet (or the whole file) out."""
+    import pyarrow as pa
+
+    for batch in batches:
+        paths, mods, sizes = (batch.column(i).to_pylist() for i in range(3))
+        out = ([], [], [], [])
+        for path, mod, size in zip(paths, mods, sizes):
+            units = workbook.plan_units(path, split_bytes)
+            total = sum(w for _, _, w in units) or 1
+            for idx, _, w in units:
+                # weight in file bytes, shared out by the sheets' XML sizes
+                for col, v in zip(out, (path, mod, idx, int((size or 0) * w / total) if idx >= 0 else size)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.string()), pa.array(out[1], pa.timestamp("us", tz="UTC")),
+             pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())],
+            names=["file_path", "modified_at", "sheet_index", "weight"],
+        )
+
 
 def _decode_partition(batches, max_cells: int, batch_rows: int):
-    """Arrow batches of (path, modified_at) in, Arrow batches of decoded rows out.
+    """Arrow batches of units (path, modified_at, sheet index) in, Arrow batches of decoded rows out.
 
+    A unit is a whole workbook (sheet index -1) or one sheet of a large one.
     Rows of many small workbooks are gathered into one batch of about
     ``batch_rows`` rows (one Arrow conversion per batch, not per sheet).  After
-    each workbook one ``file`` row carries its ledger fields.
+    each unit one ``file`` row carries its part of the file's ledger counts.
     """
     schema = _arrow_schema()
     buf: list[tuple] = []
     for batch in batches:
-        for path, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        cols = [batch.column(i).to_pylist() for i in range(3)]
+        for path, modified, idx in zip(*cols):
             n_sheets = n_empty = n_cells = n_errors = 0
-            shown = name = path
-            for rows in workbook.decode_path(path, max_cells=max_cells):
+            shown = name = workbook.plain_path(path)
+            name = shown.rsplit("/", 1)[-1]
+            sheet = None if idx is None or idx < 0 else idx
+            for rows in workbook.decode_path(path, max_cells=max_cells, sheet_index=sheet):
                 for r in rows:
                     kind = r[0]
                     if kind == "sheet":
@@ -116,7 +154,6 @@ def _decode_partition(batches, max_cells: int, batch_rows: int):
                         n_cells += r[7] * r[8]
                     elif kind == "error":
                         n_errors += 1
-                    shown, name = r[1], r[2]
                 buf.extend(r + _PAD for r in rows)
                 if len(buf) >= batch_rows:
                     yield _to_batch(buf, schema)
@@ -129,31 +166,46 @@ def _decode_partition(batches, max_cells: int, batch_rows: int):
 
 def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
                    n_files: int | None = None, batch_rows: int = 20_000, n_bytes: int | None = None,
-                   bytes_per_task: int = 256 << 10) -> DataFrame:
+                   bytes_per_task: int = 256 << 10, split_file_bytes: int = 8 << 20,
+                   split_xml_bytes: int = 32 << 20) -> DataFrame:
     """Decode every selected workbook into ``schema.DECODED`` rows.
 
-    ``selected`` needs ``file_path`` (a path or URI).  A file cannot be split,
-    so the aim is many tasks the scheduler can balance, sized by work: with the
-    selection's total bytes known (``n_bytes``; decoding time follows the
-    compressed size) there is one task per ``bytes_per_task`` (about a second
-    of decoding), otherwise one per ``files_per_task`` files; never fewer than
-    two per core while there are files, never more than one per file.  Files
-    are spread by a hash of their path; each task holds one workbook at a
-    time and emits it in chunks of at most ``max_cells`` rows.
+    ``selected`` needs ``file_path`` (a path or URI), optionally ``size`` and
+    ``modified_at``.  Work units: a whole workbook, or -- for a file larger
+    than ``split_file_bytes`` whose sheets hold more than ``split_xml_bytes``
+    of XML -- each of its sheets, so one huge workbook is decoded by many
+    tasks instead of one (only such files are opened for planning, and only
+    their zip directory is read).  Units are spread by a hash over one task per
+    ``bytes_per_task`` of input (about a second of decoding; by file count when
+    sizes are unknown), never fewer than two tasks per core.  Each task holds
+    one workbook (or sheet) at a time and emits it in chunks of at most
+    ``max_cells`` rows.
     """
     modified = F.col("modified_at") if "modified_at" in selected.columns else F.lit(None).cast("timestamp")
+    size = F.col("size") if "size" in selected.columns else F.lit(None).cast("bigint")
     ship_package(selected.sparkSession)
-    paths_df = selected.select("file_path", modified.alias("modified_at")).dropDuplicates(["file_path"])
+    paths_df = selected.select("file_path", modified.alias("modified_at"), size.alias("size")).dropDuplicates(
+        ["file_path"])
     # the task count comes from the file count and bytes: scalars, not the data
     total = paths_df.count() if n_files is None else n_files
     floor = 2 * selected.sparkSession.sparkContext.defaultParallelism
     wanted = -(-n_bytes // max(1, bytes_per_task)) if n_bytes else -(-total // max(1, files_per_task))
-    parts = max(1, min(total, max(floor, wanted)))
-    # spread on a hash of the path, not the path itself: a repartition identical to
-    # an exchange below it (the de-duplication's) would be dropped as redundant and
+    parts = max(1, min(max(floor, wanted), 256 * max(1, total)))
+    large = F.col("size") > F.lit(split_file_bytes)
+    whole = paths_df.where(~large | F.col("size").isNull()).select(
+        "file_path", "modified_at", F.lit(-1).alias("sheet_index"), F.col("size").alias("weight"))
+    planned = (
+        paths_df.where(large)
+        .repartition(floor, F.xxhash64("file_path"))
+        .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes), UNITS)
+    )
+    units = whole.unionByName(planned)
+    # spread on a hash, not on the path itself: a repartition identical to an
+    # exchange below it (the de-duplication's) would be dropped as redundant and
     # that exchange, carrying only paths, coalesced by AQE into a single task
-    spread = paths_df.repartition(parts, F.xxhash64("file_path"))
-    return spread.mapInArrow(lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
+    spread = units.repartition(parts, F.xxhash64("file_path", "sheet_index"))
+    return spread.select("file_path", "modified_at", "sheet_index").mapInArrow(
+        lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
 
 
 # ---------------------------------------------------------------------------
@@ -197,6 +249,7 @@ def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
 
 def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: str,
             files_per_task: int = 32, n_files: int | None = None, n_bytes: int | None = None,
+            split_file_bytes: int = 8 << 20, split_xml_bytes: int = 32 << 20,
             max_records_per_file: int = 5_000_000) -> DataFrame:
     """Decode ``selected`` paths once and write the run's rows and ledger.
 
@@ -214,7 +267,8 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
 
     out = output_dir.rstrip("/")
     run_dir = f"{out}/runs/{run_id}"
-    decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes)
+    decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes,
+                             split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes)
     # three kinds: concurrent writers per task instead of sorting each task by kind
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key, "0")
@@ -231,8 +285,15 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
     files = spark.read.schema(S.DECODED).parquet(f"{run_dir}/kind=file")
     # one instant for the whole run, fixed on the driver (a retried task writes the same value)
     run_at = F.lit(_dt.datetime.now(_dt.timezone.utc)).cast("timestamp")
-    ledger = files.select(
-        F.lit(run_id).alias("run_id"), "file_path", "status", "n_sheets", "n_empty_sheets", "n_cells", "n_errors",
+    # a file split into sheet units has one partial row per unit: sum them
+    per_file = files.groupBy("file_path").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("n_sheets", "n_empty_sheets", "n_cells", "n_errors")],
+        F.max("modified_at").alias("modified_at"),
+    )
+    ledger = per_file.select(
+        F.lit(run_id).alias("run_id"), "file_path",
+        status_column(F.col("n_sheets"), F.col("n_empty_sheets"), F.col("n_errors")).alias("status"),
+        "n_sheets", "n_empty_sheets", "n_cells", "n_errors",
         "modified_at", F.lit(None).cast("string").alias("file_hash"), run_at.alias("run_at"),
     )
     ledger.write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
@@ -249,6 +310,8 @@ def run(
     files_per_task: int = 32,
     path_rule: str | None = "filter",
     marker: str = paths.DEFAULT_MARKER,
+    split_file_bytes: int = 8 << 20,
+    split_xml_bytes: int = 32 << 20,
 ) -> dict:
     """Convert the selected catalog files; return the run id and its totals.
 
@@ -302,7 +365,8 @@ def run(
         todo = flagged.where("_todo")
         totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
         if c["todo"]:
-            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"], n_bytes=c["bytes"])
+            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"], n_bytes=c["bytes"],
+                                 split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes)
             totals = run_totals(ledger_run).first().asDict()
     finally:
         flagged.unpersist()

@@ -180,13 +180,57 @@ def _error(path, name, sheet, message):
 TWO_PASS_BYTES = 64 << 20
 
 
+def _decode_sheet(book: _Book, path: str, name: str, sheet_name: str, part: str | None, max_cells: int,
+                  two_pass_bytes: int) -> Iterator[list[tuple]]:
+    """Rows of one sheet: its summary row, then its cells in chunks; an error row if it fails."""
+    try:
+        if part is None:
+            raise KeyError(f"no part for sheet {sheet_name!r}")
+        if book.part_size(part) <= two_pass_bytes:
+            # one pass: the sheet's non-empty cells are held until its width is known
+            held = list(book.iter_rows(part))
+            rows_seen = [r for r, _ in held]
+            cols_seen = sorted({c for _, found in held for c, _ in found})
+            source = held
+        else:
+            # two passes: first only the used row/column numbers, then stream the values
+            rows_seen, cols = [], set()
+            for r, found in book.iter_rows(part):
+                rows_seen.append(r)
+                cols.update(c for c, _ in found)
+            cols_seen = sorted(cols)
+            source = None
+    except Exception as e:  # one bad sheet does not stop the file
+        yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
+        return
+    col_ix = {c: i + 1 for i, c in enumerate(cols_seen)}
+    width = len(cols_seen)
+    yield [("sheet", path, name, sheet_name, None, None, None, len(rows_seen), width, None)]
+    chunk = []
+    try:
+        for r_ix, (_, found) in enumerate(source if source is not None else book.iter_rows(part)):
+            values = [None] * width
+            for c, v in found:
+                values[col_ix[c] - 1] = v
+            for j, v in enumerate(values, start=1):
+                chunk.append(("cell", path, name, sheet_name, r_ix, j, v, None, None, None))
+                if len(chunk) >= max_cells:
+                    yield chunk
+                    chunk = []
+    except Exception as e:
+        yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
+        return
+    if chunk:
+        yield chunk
+
+
 def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
-                      two_pass_bytes: int = TWO_PASS_BYTES) -> Iterator[list[tuple]]:
-    """Decode one workbook from a seekable file object; yields lists of rows.
+                      two_pass_bytes: int = TWO_PASS_BYTES, sheet_index: int | None = None) -> Iterator[list[tuple]]:
+    """Decode one workbook (or only its sheet number ``sheet_index``) from a seekable file object.
 
-    Memory: a sheet up to ``two_pass_bytes`` of XML is held as its non-empty
-    cells; a larger one is parsed twice (row/column numbers first, values
-    second), holding only the index sets.
+    Yields lists of rows.  Memory: a sheet up to ``two_pass_bytes`` of XML is
+    held as its non-empty cells; a larger one is parsed twice (row/column
+    numbers first, values second), holding only the index sets.
     """
     name = path.rsplit("/", 1)[-1]
     try:
@@ -194,46 +238,41 @@ def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
     except Exception as e:  # not a workbook at all: one error row for the file
         yield [_error(path, name, None, f"{type(e).__name__}: {e}")]
         return
-    for sheet_name, part in book.sheets:
-        try:
-            if part is None:
-                raise KeyError(f"no part for sheet {sheet_name!r}")
-            if book.part_size(part) <= two_pass_bytes:
-                # one pass: the sheet's non-empty cells are held until its width is known
-                held = list(book.iter_rows(part))
-                rows_seen = [r for r, _ in held]
-                cols_seen = sorted({c for _, found in held for c, _ in found})
-                source = held
-            else:
-                # two passes: first only the used row/column numbers, then stream the values
-                rows_seen, cols = [], set()
-                for r, found in book.iter_rows(part):
-                    rows_seen.append(r)
-                    cols.update(c for c, _ in found)
-                cols_seen = sorted(cols)
-                source = None
-        except Exception as e:  # one bad sheet does not stop the file
-            yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
-            continue
-        col_ix = {c: i + 1 for i, c in enumerate(cols_seen)}
-        width = len(cols_seen)
-        yield [("sheet", path, name, sheet_name, None, None, None, len(rows_seen), width, None)]
-        chunk = []
-        try:
-            for r_ix, (_, found) in enumerate(source if source is not None else book.iter_rows(part)):
-                values = [None] * width
-                for c, v in found:
-                    values[col_ix[c] - 1] = v
-                for j, v in enumerate(values, start=1):
-                    chunk.append(("cell", path, name, sheet_name, r_ix, j, v, None, None, None))
-                    if len(chunk) >= max_cells:
-                        yield chunk
-                        chunk = []
-        except Exception as e:
-            yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
-            continue
-        if chunk:
-            yield chunk
+    sheets = book.sheets if sheet_index is None else book.sheets[sheet_index:sheet_index + 1]
+    for sheet_name, part in sheets:
+        yield from _decode_sheet(book, path, name, sheet_name, part, max_cells, two_pass_bytes)
+
+
+def plan_units(path: str, split_bytes: int) -> list[tuple[int, str | None, int]]:
+    """Work units of one workbook: ``[(-1, None, bytes)]`` for the whole file, or one per sheet.
+
+    Only the zip directory and the workbook part are read.  A workbook whose
+    sheet XML adds up to more than ``split_bytes`` is cut into its sheets so
+    that one large workbook is decoded by many tasks; anything that cannot be
+    planned stays one whole unit (its decoding reports the error).
+    """
+    shown = plain_path(path)
+    ext = ("." + shown.rsplit(".", 1)[-1].lower()) if "." in shown.rsplit("/", 1)[-1] else ""
+    if ext not in OOXML_EXTENSIONS:
+        return [(-1, None, 0)]
+    try:
+        with _open(path) as f:
+            zf = zipfile.ZipFile(f)
+            sizes = {i.filename: i.file_size for i in zf.infolist()}
+            wb = ET.fromstring(zf.read("xl/workbook.xml"))
+            rels = {}
+            if "xl/_rels/workbook.xml.rels" in sizes:
+                for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")):
+                    target = r.get("Target", "")
+                    rels[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(
+                        "xl/" + target)
+            sheets = [(s.get("name"), rels.get(s.get(f"{NS_REL}id"))) for s in wb.iter(f"{NS_MAIN}sheet")]
+    except Exception:
+        return [(-1, None, 0)]
+    weights = [sizes.get(part, 0) if part else 0 for _, part in sheets]
+    if len(sheets) <= 1 or sum(weights) <= split_bytes:
+        return [(-1, None, sum(weights))]
+    return [(i, sheet_name, w) for i, ((sheet_name, _), w) in enumerate(zip(sheets, weights))]
 
 
 # Hadoop scheme names that pyarrow knows under another name.
@@ -263,8 +302,9 @@ def plain_path(path: str) -> str:
     return path
 
 
-def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES) -> Iterator[list[tuple]]:
-    """Decode the workbook at ``path``; unsupported formats give one error row."""
+def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES,
+                sheet_index: int | None = None) -> Iterator[list[tuple]]:
+    """Decode the workbook at ``path`` (or one of its sheets); unsupported formats give one error row."""
     shown = plain_path(path)
     name = shown.rsplit("/", 1)[-1]
     ext = ("." + name.rsplit(".", 1)[-1].lower()) if "." in name else ""
@@ -277,4 +317,5 @@ def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PA
         yield [_error(shown, name, None, f"{type(e).__name__}: {e}")]
         return
     with f:
-        yield from decode_bytes_file(f, shown, max_cells=max_cells, two_pass_bytes=two_pass_bytes)
+        yield from decode_bytes_file(f, shown, max_cells=max_cells, two_pass_bytes=two_pass_bytes,
+                                     sheet_index=sheet_index)

@@ -159,3 +159,25 @@ def test_partial_file_retried_without_duplicate_cells(spark, tmp_path):
     assert second["files"] == 1
     assert cells_io.read_cells(spark, out).count() == 4
     assert cells_io.read_cells(spark, out, latest_only=False).count() == 8
+
+
+def test_large_workbook_is_split_into_sheet_units(spark, tmp_path):
+    src = tmp_path / "in/SOV"
+    src.mkdir(parents=True)
+    sheets = {f"S{i}": [[i, j, f"v{j}"] for j in range(200)] for i in range(6)}
+    sheets["Empty"] = []
+    write_xlsx(src / "big.xlsx", sheets)
+    write_xlsx(src / "small.xlsx", {"A": [[1]]})
+    c = catalog.scan(spark, [str(tmp_path / "in")])
+    whole, split = str(tmp_path / "whole"), str(tmp_path / "split")
+    r1 = ingest.run(spark, c, whole)
+    # thresholds of 0 bytes: every multi-sheet workbook is cut into its sheets
+    r2 = ingest.run(spark, c, split, split_file_bytes=0, split_xml_bytes=0)
+    assert {k: r1[k] for k in ("files", "sheets", "rows", "errors")} == {k: r2[k] for k in ("files", "sheets", "rows", "errors")}
+    assert r2["files"] == 2 and r2["rows"] == 6 * 200 * 3 + 1
+    a = sorted(tuple(r) for r in cells_io.read_cells(spark, whole).collect())
+    b = sorted(tuple(r) for r in cells_io.read_cells(spark, split).collect())
+    assert a == b
+    led = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.n_sheets, r.n_empty_sheets, r.n_cells)
+           for r in cells_io.read_ledger(spark, f"{split}/ledger").collect()}
+    assert led == {"big.xlsx": ("ok", 7, 1, 3600), "small.xlsx": ("ok", 1, 0, 1)}
