@@ -24,11 +24,11 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from ..functions import paths
 from . import workbook
 
@@ -104,30 +104,79 @@ def status_column(n_sheets, n_empty, n_errors):
 
 _PAD = (None,) * 6
 
-UNITS = "file_path string, modified_at timestamp, sheet_index int, weight bigint"
+UNITS = ("file_path string, modified_at timestamp, sheet_index int, weight bigint, range_start bigint, "
+         "range_end bigint")
+RANGE_INDEX = ("file_path string, modified_at timestamp, sheet_index int, range_start bigint, range_end bigint, "
+               "n_rows bigint, cols array<bigint>")
 
 
-def _plan_partition(batches, split_bytes: int):
-    """(path, modified_at, size) of large files in, one unit per sheet (or the whole file) out."""
+def _plan_partition(batches, split_bytes: int, range_bytes: int):
+    """(path, modified_at, size) of large files in; units out: whole file, sheets, or sheet byte ranges."""
     import pyarrow as pa
 
     for batch in batches:
         paths, mods, sizes = (batch.column(i).to_pylist() for i in range(3))
-        out = ([], [], [], [])
+        out = ([], [], [], [], [], [])
         for path, mod, size in zip(paths, mods, sizes):
-            units = workbook.plan_units(path, split_bytes)
-            total = sum(w for _, _, w in units) or 1
-            for idx, _, w in units:
+            units = workbook.plan_units(path, split_bytes, range_bytes)
+            total = sum(u[2] for u in units) or 1
+            for idx, _, w, a, b in units:
                 # weight in file bytes, shared out by the sheets' XML sizes
-                for col, v in zip(out, (path, mod, idx, int((size or 0) * w / total) if idx >= 0 else size)):
+                weight = int((size or 0) * w / total) if idx >= 0 else size
+                for col, v in zip(out, (path, mod, idx, weight, a, b)):
                     col.append(v)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.string()), pa.array(out[1], pa.timestamp("us", tz="UTC")),
-             pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())],
-            names=["file_path", "modified_at", "sheet_index", "weight"],
+             pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()),
+             pa.array(out[5], pa.int64())],
+            names=["file_path", "modified_at", "sheet_index", "weight", "range_start", "range_end"],
         )
 
 
+def _index_partition(batches):
+    """First pass over sheet byte ranges: non-empty row count and column numbers of each range."""
+    import pyarrow as pa
+
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(5)]
+        n_rows, used = [], []
+        for path, _, idx, a, b in zip(*cols):
+            try:
+                n, c, _ = workbook.index_range(path, idx, a, b)
+            except Exception:  # the second pass reports the error for this range
+                n, c = 0, []
+            n_rows.append(n)
+            used.append(c)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(i) for i in range(5)] + [pa.array(n_rows, pa.int64()), pa.array(used, pa.list_(pa.int64()))],
+            names=["file_path", "modified_at", "sheet_index", "range_start", "range_end", "n_rows", "cols"],
+        )
+
+
+def _range_partition(batches, max_cells: int, batch_rows: int):
+    """Second pass over sheet byte ranges: cells numbered with the sheet-wide offset and column map."""
+    schema = _arrow_schema()
+    buf: list[tuple] = []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(8)]
+        for path, modified, idx, a, b, offset, used, total in zip(*cols):
+            first = a == 0
+            shown = workbook.plain_path(path)
+            n_errors = 0
+            for rows in workbook.decode_range(path, idx, a, b, offset, used, total, first, max_cells=max_cells):
+                n_errors += sum(1 for r in rows if r[0] == "error")
+                buf.extend(r + _PAD for r in rows)
+                if len(buf) >= batch_rows:
+                    yield _to_batch(buf, schema)
+                    buf = []
+            # the sheet's counts travel with its first range; the others add only their errors
+            buf.append(("file", shown, shown.rsplit("/", 1)[-1], None, None, None, None, None, None, None,
+                        None, 1 if first else 0, int(first and total == 0), total * len(used) if first else 0,
+                        n_errors, modified))
+    if buf:
+        yield _to_batch(buf, schema)
+
+
 def _decode_partition(batches, max_cells: int, batch_rows: int):
     """Arrow batches of units (path, modified_at, sheet index) in, Arrow batches of decoded rows out.
 
@@ -167,7 +216,7 @@ def _decode_partition(batches, max_cells: int, batch_rows: int):
 def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
                    n_files: int | None = None, batch_rows: int = 20_000, n_bytes: int | None = None,
                    bytes_per_task: int = 256 << 10, split_file_bytes: int = 8 << 20,
-                   split_xml_bytes: int = 32 << 20) -> DataFrame:
+                   split_xml_bytes: int = 32 << 20, range_xml_bytes: int = 64 << 20) -> DataFrame:
     """Decode every selected workbook into ``schema.DECODED`` rows.
 
     ``selected`` needs ``file_path`` (a path or URI), optionally ``size`` and
@@ -175,7 +224,12 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     than ``split_file_bytes`` whose sheets hold more than ``split_xml_bytes``
     of XML -- each of its sheets, so one huge workbook is decoded by many
     tasks instead of one (only such files are opened for planning, and only
-    their zip directory is read).  Units are spread by a hash over one task per
+    their zip directory is read).  A sheet of more than ``range_xml_bytes`` of
+    XML is cut further into byte ranges of its decompressed XML: a first pass
+    counts each range's non-empty rows and columns, a window over those counts
+    gives each range its row offset and an aggregate the sheet's column map,
+    and a second pass emits the cells -- so even a single sheet holding a third
+    of all cells is decoded by many tasks.  Units are spread by a hash over one task per
     ``bytes_per_task`` of input (about a second of decoding; by file count when
     sizes are unknown), never fewer than two tasks per core.  Each task holds
     one workbook (or sheet) at a time and emits it in chunks of at most
@@ -194,18 +248,45 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     large = F.col("size") > F.lit(split_file_bytes)
     whole = paths_df.where(~large | F.col("size").isNull()).select(
         "file_path", "modified_at", F.lit(-1).alias("sheet_index"), F.col("size").alias("weight"))
-    planned = (
-        paths_df.where(large)
-        .repartition(floor, F.xxhash64("file_path"))
-        .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes), UNITS)
-    )
-    units = whole.unionByName(planned)
+    whole = whole.withColumn("range_start", F.lit(-1).cast("bigint")).withColumn("range_end", F.lit(-1).cast("bigint"))
+    large_paths = paths_df.where(large)
+    if large_paths.limit(1).count() == 0:
+        units, ranges = whole, None
+    else:
+        planned = cut_lineage(
+            large_paths.repartition(floor, F.xxhash64("file_path"))
+            .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS)
+        )
+        units = whole.unionByName(planned.where(F.col("range_start") < 0))
+        ranges = planned.where(F.col("range_start") >= 0)
     # spread on a hash, not on the path itself: a repartition identical to an
     # exchange below it (the de-duplication's) would be dropped as redundant and
     # that exchange, carrying only paths, coalesced by AQE into a single task
     spread = units.repartition(parts, F.xxhash64("file_path", "sheet_index"))
-    return spread.select("file_path", "modified_at", "sheet_index").mapInArrow(
+    decoded = spread.select("file_path", "modified_at", "sheet_index").mapInArrow(
         lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
+    if ranges is None:
+        return decoded
+    key = ["file_path", "sheet_index"]
+    by_range = F.xxhash64("file_path", "sheet_index", "range_start")
+    index = cut_lineage(
+        ranges.select("file_path", "modified_at", "sheet_index", "range_start", "range_end")
+        .repartition(floor, by_range).mapInArrow(_index_partition, RANGE_INDEX)
+    )
+    # per sheet: all used columns (at most the sheet width) and the row total;
+    # per range: rows in the ranges before it (a window over one row per range)
+    per_sheet = index.groupBy(*key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("cols")))).alias("all_cols"),
+        F.sum("n_rows").alias("total_rows"),
+    )
+    before = Window.partitionBy(*key).orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = index.withColumn("row_offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    work = offsets.join(per_sheet, key).select(
+        "file_path", "modified_at", "sheet_index", "range_start", "range_end", "row_offset", "all_cols",
+        "total_rows")
+    ranged = work.repartition(floor, by_range).mapInArrow(
+        lambda it: _range_partition(it, max_cells, batch_rows), S.DECODED)
+    return decoded.unionByName(ranged)
 
 
 # ---------------------------------------------------------------------------
@@ -249,7 +330,7 @@ def run_totals(ledger_run: DataFrame, skipped: int = 0) -> DataFrame:
 
 def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: str,
             files_per_task: int = 32, n_files: int | None = None, n_bytes: int | None = None,
-            split_file_bytes: int = 8 << 20, split_xml_bytes: int = 32 << 20,
+            split_file_bytes: int = 8 << 20, split_xml_bytes: int = 32 << 20, range_xml_bytes: int = 64 << 20,
             max_records_per_file: int = 5_000_000) -> DataFrame:
     """Decode ``selected`` paths once and write the run's rows and ledger.
 
@@ -268,7 +349,8 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
     out = output_dir.rstrip("/")
     run_dir = f"{out}/runs/{run_id}"
     decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes,
-                             split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes)
+                             split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
+                             range_xml_bytes=range_xml_bytes)
     # three kinds: concurrent writers per task instead of sorting each task by kind
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key, "0")
@@ -312,6 +394,7 @@ def run(
     marker: str = paths.DEFAULT_MARKER,
     split_file_bytes: int = 8 << 20,
     split_xml_bytes: int = 32 << 20,
+    range_xml_bytes: int = 64 << 20,
 ) -> dict:
     """Convert the selected catalog files; return the run id and its totals.
 
@@ -366,7 +449,8 @@ def run(
         totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
         if c["todo"]:
             ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"], n_bytes=c["bytes"],
-                                 split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes)
+                                 split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
+                                 range_xml_bytes=range_xml_bytes)
             totals = run_totals(ledger_run).first().asDict()
     finally:
         flagged.unpersist()

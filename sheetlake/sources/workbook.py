@@ -142,13 +142,16 @@ class _Book:
             return when.strftime("%Y-%m-%d") if when.time() == _dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
         return stored_number_text(raw)
 
-    def iter_rows(self, part: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
-        """(row, [(column, text), ...]) of the non-empty cells, 1-based physical positions."""
+    def iter_rows(self, part: str, source=None) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+        """(row, [(column, text), ...]) of the non-empty cells, 1-based physical positions.
+
+        ``source``: a file object with the sheet XML (a row range) instead of the part.
+        """
         row_no = 0
         row_tag, cell_tag = f"{NS_MAIN}row", f"{NS_MAIN}c"
         letters_ix: dict[str, int] = {}
         digits = "0123456789"
-        for _, el in ET.iterparse(self.zf.open(part)):
+        for _, el in ET.iterparse(source if source is not None else self.zf.open(part)):
             if el.tag != row_tag:
                 continue
             row_no = int(el.get("r", row_no + 1))
@@ -243,8 +246,137 @@ def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
         yield from _decode_sheet(book, path, name, sheet_name, part, max_cells, two_pass_bytes)
 
 
-def plan_units(path: str, split_bytes: int) -> list[tuple[int, str | None, int]]:
-    """Work units of one workbook: ``[(-1, None, bytes)]`` for the whole file, or one per sheet.
+_SHEET_DATA = re.compile(rb"<([A-Za-z_][\w.-]*:)?sheetData\b[^>]*?(/?)>")
+_ROOT_TAG = re.compile(rb"<([A-Za-z_][\w.:-]*)[\s>]")
+
+
+def sheet_ranges(size: int, range_bytes: int) -> list[tuple[int, int]]:
+    """Byte ranges [start, end) of a sheet's XML for about ``range_bytes`` each."""
+    k = max(1, -(-size // max(1, range_bytes)))
+    step = -(-size // k)
+    return [(i * step, (i + 1) * step if i < k - 1 else size + 1) for i in range(k)]
+
+
+def range_document(stream, start: int, end: int, chunk: int = 1 << 20) -> bytes | None:
+    """A well-formed sheet document holding only the rows whose start tag lies in [start, end).
+
+    The decompressed stream is read from the beginning (deflate cannot seek),
+    but only the rows of the range are kept and later parsed: the head up to
+    ``<sheetData>``, the range's rows, and closing tags.  None for a sheet
+    without rows.
+    """
+    buf = bytearray()
+    off = 0  # absolute offset of buf[0]
+    head = None
+    while head is None:
+        data = stream.read(chunk)
+        buf += data
+        m = _SHEET_DATA.search(buf)
+        if m:
+            if m.group(2):  # <sheetData/>: no rows at all
+                return None
+            head, prefix = bytes(buf[:m.end()]), m.group(1) or b""
+        elif not data:
+            return None
+    root = _ROOT_TAG.search(head, head.find(b"<", head.find(b"?>") + 1 if head.startswith(b"<?") else 0)).group(1)
+    row_start = re.compile(rb"<" + re.escape(prefix) + rb"row[\s>/]")
+    data_end = b"</" + prefix + b"sheetData"
+    pos = len(head)  # scanning position inside buf
+    begin = None
+    out = None
+    while True:
+        if begin is None:
+            m = row_start.search(buf, pos)
+            while m and off + m.start() < start:
+                m = row_start.search(buf, m.end())
+            stop = buf.find(data_end, pos)
+            if m and (stop < 0 or m.start() < stop):
+                begin = m.start()
+                pos = m.end()
+                if off + begin >= end:
+                    out = b""
+                    break
+                continue
+            if stop >= 0:
+                out = b""
+                break
+            keep = max(pos, len(buf) - 64)  # a tag split over two reads stays whole
+            off += keep
+            del buf[:keep]
+            pos = 0
+        else:
+            m = row_start.search(buf, pos)
+            while m and off + m.start() < end:
+                m = row_start.search(buf, m.end())
+            stop = buf.find(data_end, begin)
+            cut = min(x for x in (m.start() if m else -1, stop) if x >= 0) if (m or stop >= 0) else -1
+            if cut >= 0:
+                out = bytes(buf[begin:cut])
+                break
+            pos = max(begin, len(buf) - 64)
+        data = stream.read(chunk)
+        if not data:
+            out = bytes(buf[begin:]) if begin is not None else b""
+            break
+        buf += data
+    return head + out + b"</" + prefix + b"sheetData></" + root + b">"
+
+
+def _range_rows(book: "_Book", part: str, start: int, end: int):
+    import io
+
+    doc = range_document(book.zf.open(part), start, end)
+    return [] if doc is None else book.iter_rows(part, source=io.BytesIO(doc))
+
+
+def index_range(path: str, sheet_index: int, start: int, end: int) -> tuple[int, list[int], str | None]:
+    """Non-empty row count and column numbers of one byte range of a sheet (first pass of a split sheet)."""
+    with _open(path) as f:
+        book = _Book(zipfile.ZipFile(f))
+        sheet_name, part = book.sheets[sheet_index]
+        n, cols = 0, set()
+        for _, found in _range_rows(book, part, start, end):
+            n += 1
+            cols.update(c for c, _ in found)
+    return n, sorted(cols), sheet_name
+
+
+def decode_range(path: str, sheet_index: int, start: int, end: int, row_offset: int, cols: list[int],
+                 total_rows: int, first: bool, max_cells: int = 50_000) -> Iterator[list[tuple]]:
+    """Cells of one byte range of a sheet, numbered with the sheet-wide row offset and column map."""
+    shown = plain_path(path)
+    name = shown.rsplit("/", 1)[-1]
+    sheet_name = None
+    try:
+        with _open(path) as f:
+            book = _Book(zipfile.ZipFile(f))
+            sheet_name, part = book.sheets[sheet_index]
+            if first:
+                yield [("sheet", shown, name, sheet_name, None, None, None, total_rows, len(cols), None)]
+            col_ix = {c: i + 1 for i, c in enumerate(cols)}
+            width = len(cols)
+            chunk = []
+            for r_ix, (_, found) in enumerate(_range_rows(book, part, start, end), start=row_offset):
+                values = [None] * width
+                for c, v in found:
+                    values[col_ix[c] - 1] = v
+                for j, v in enumerate(values, start=1):
+                    chunk.append(("cell", shown, name, sheet_name, r_ix, j, v, None, None, None))
+                    if len(chunk) >= max_cells:
+                        yield chunk
+                        chunk = []
+            if chunk:
+                yield chunk
+    except Exception as e:
+        yield [_error(shown, name, sheet_name, f"{type(e).__name__}: {e}")]
+
+
+def plan_units(path: str, split_bytes: int, range_bytes: int | None = None) -> list[tuple]:
+    """Work units of one workbook: ``(sheet index, sheet name, XML bytes, range start, range end)``.
+
+    ``[(-1, None, bytes, -1, -1)]`` is the whole file; otherwise one unit per
+    sheet, and a sheet of more than ``range_bytes`` of XML becomes several
+    byte-range units (range -1/-1 means the whole sheet).
 
     Only the zip directory and the workbook part are read.  A workbook whose
     sheet XML adds up to more than ``split_bytes`` is cut into its sheets so
@@ -254,7 +386,7 @@ def plan_units(path: str, split_bytes: int) -> list[tuple[int, str | None, int]]
     shown = plain_path(path)
     ext = ("." + shown.rsplit(".", 1)[-1].lower()) if "." in shown.rsplit("/", 1)[-1] else ""
     if ext not in OOXML_EXTENSIONS:
-        return [(-1, None, 0)]
+        return [(-1, None, 0, -1, -1)]
     try:
         with _open(path) as f:
             zf = zipfile.ZipFile(f)
@@ -268,11 +400,18 @@ def plan_units(path: str, split_bytes: int) -> list[tuple[int, str | None, int]]
                         "xl/" + target)
             sheets = [(s.get("name"), rels.get(s.get(f"{NS_REL}id"))) for s in wb.iter(f"{NS_MAIN}sheet")]
     except Exception:
-        return [(-1, None, 0)]
+        return [(-1, None, 0, -1, -1)]
     weights = [sizes.get(part, 0) if part else 0 for _, part in sheets]
-    if len(sheets) <= 1 or sum(weights) <= split_bytes:
-        return [(-1, None, sum(weights))]
-    return [(i, sheet_name, w) for i, ((sheet_name, _), w) in enumerate(zip(sheets, weights))]
+    big_sheet = range_bytes is not None and any(w > range_bytes for w in weights)
+    if (len(sheets) <= 1 and not big_sheet) or sum(weights) <= split_bytes:
+        return [(-1, None, sum(weights), -1, -1)]
+    units = []
+    for i, ((sheet_name, _), w) in enumerate(zip(sheets, weights)):
+        if range_bytes is not None and w > range_bytes:
+            units.extend((i, sheet_name, b - a if b <= w else w - a, a, b) for a, b in sheet_ranges(w, range_bytes))
+        else:
+            units.append((i, sheet_name, w, -1, -1))
+    return units
 
 
 # Hadoop scheme names that pyarrow knows under another name.

@@ -181,3 +181,27 @@ def test_large_workbook_is_split_into_sheet_units(spark, tmp_path):
     led = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.n_sheets, r.n_empty_sheets, r.n_cells)
            for r in cells_io.read_ledger(spark, f"{split}/ledger").collect()}
     assert led == {"big.xlsx": ("ok", 7, 1, 3600), "small.xlsx": ("ok", 1, 0, 1)}
+
+
+def test_single_huge_sheet_is_split_into_byte_ranges(spark, tmp_path):
+    src = tmp_path / "in/SOV"
+    src.mkdir(parents=True)
+    rows = [[i, f"t{i}", None if i % 7 == 0 else i * 0.5] for i in range(600)]
+    rows[50] = [None, None, None]  # a blank row inside the sheet
+    write_xlsx(src / "one.xlsx", {"Only": rows}, offsets={"Only": (3, 2)})
+    write_xlsx(src / "two.xlsx", {"A": [[1, 2]], "B": [[3]] * 40})
+    c = catalog.scan(spark, [str(tmp_path / "in")])
+    whole, split = str(tmp_path / "whole"), str(tmp_path / "split")
+    r1 = ingest.run(spark, c, whole)
+    # every file planned, every sheet over 2,000 bytes of XML cut into ranges of about that size
+    r2 = ingest.run(spark, c, split, split_file_bytes=0, split_xml_bytes=0, range_xml_bytes=2000)
+    keys = ("files", "sheets", "rows", "errors")
+    assert {k: r1[k] for k in keys} == {k: r2[k] for k in keys}
+    a = sorted(tuple(r) for r in cells_io.read_cells(spark, whole).collect())
+    b = sorted(tuple(r) for r in cells_io.read_cells(spark, split).collect())
+    assert a == b and len(a) == 599 * 3 + 2 + 40
+    led = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.n_sheets, r.n_cells)
+           for r in cells_io.read_ledger(spark, f"{split}/ledger").collect()}
+    assert led == {"one.xlsx": ("ok", 1, 599 * 3), "two.xlsx": ("ok", 2, 42)}
+    n_units = spark.read.parquet(f"{split}/runs/{r2['run_id']}/kind=file").count()
+    assert n_units > 5  # the single sheet was decoded as several ranges
