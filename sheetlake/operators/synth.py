@@ -219,6 +219,8 @@ def write_workbooks(
     Each workbook has one sheet: an optional header row, then the data.  File
     names are fixed by the data, so a retried task rewrites the same file.
     Returns the written files (``file_path``, ``n_rows``), materialised.
+    Each task streams its rows sorted by (file, row) and holds one file's rows
+    at a time.
     """
     ship_package(df.sparkSession)
     base = df.select(file_name.alias("_wb_stem"), *order, *[c for c in columns if c not in order])
@@ -231,29 +233,44 @@ def write_workbooks(
     )
     cols = list(columns)
 
-    def write_one(pdf):
-        import pandas as pd
+    def write_partition(batches):
+        import pyarrow as pa
 
         from ..sources.workbook_writer import open_for_write, write_xlsx
 
-        pdf = pdf.sort_values("_wb_row")
-        path = pdf["_wb_path"].iloc[0]
-        data = pdf[cols].astype(object).where(pdf[cols].notna(), None).values.tolist()
-        rows = ([cols] if header else []) + data
-        with open_for_write(path) as f:
-            write_xlsx(f, {sheet: rows})
-        return pd.DataFrame({"file_path": [path], "n_rows": [len(data)]})
+        done_paths, done_rows = [], []
+        cur, rows = None, []
+
+        def flush():
+            with open_for_write(cur) as f:
+                write_xlsx(f, {sheet: ([cols] if header else []) + rows})
+            done_paths.append(cur)
+            done_rows.append(len(rows))
+
+        # rows arrive sorted by (file, row): one file is held at a time
+        for batch in batches:
+            d = batch.to_pydict()
+            for i, path in enumerate(d["_wb_path"]):
+                if path != cur:
+                    if cur is not None:
+                        flush()
+                    cur, rows = path, []
+                rows.append([d[c][i] for c in cols])
+        if cur is not None:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(done_paths, pa.string()), pa.array(done_rows, pa.int64())],
+                                         names=["file_path", "n_rows"])
 
     # Python does the heavy work here, so the task count follows the number of
     # files, not the shuffle size: an explicit repartition on the file (never
-    # coalesced by AQE) that the grouping then reuses without another exchange
+    # coalesced by AQE), rows sorted by (file, row) inside each task
     n_files = named.select("_wb_path").distinct().count()
     sc = df.sparkSession.sparkContext
     parts = max(1, min(n_files, max(2 * sc.defaultParallelism, -(-n_files // 8))))
     written = (
         named.select("_wb_path", "_wb_row", *cols)
         .repartition(parts, "_wb_path")
-        .groupBy("_wb_path")
-        .applyInPandas(write_one, "file_path string, n_rows bigint")
+        .sortWithinPartitions("_wb_path", "_wb_row")
+        .mapInArrow(write_partition, "file_path string, n_rows bigint")
     )
     return cut_lineage(written)
