@@ -76,8 +76,14 @@ def _col_index(letters: str) -> int:
 
 
 def _text_of(el) -> str:
-    """Concatenated ``<t>`` text of a shared or inline string (rich runs included)."""
-    return "".join(t.text or "" for t in el.iter(f"{NS_MAIN}t"))
+    """Text of a shared or inline string: its ``<t>``, or the ``<t>`` of its rich-text runs.
+
+    Phonetic guides (``<rPh>``) also hold ``<t>`` elements; they are not part of the value.
+    """
+    t = el.find(f"{NS_MAIN}t")
+    if t is not None:
+        return t.text or ""
+    return "".join(r.findtext(f"{NS_MAIN}t", "") for r in el.findall(f"{NS_MAIN}r"))
 
 
 def _is_date_format(code: str) -> bool:
@@ -136,6 +142,8 @@ class _Book:
             return raw
         if self.date_styles and int(c.get("s", "0")) in self.date_styles:
             x = float(raw)
+            if self.epoch is _EPOCH_1900 and 0 < x < 60:
+                x += 1  # serials before the non-existent 1900-02-29 count from 1899-12-31
             when = self.epoch + _dt.timedelta(days=x)
             when = when.replace(microsecond=0) if when.microsecond < 500_000 else (
                 when + _dt.timedelta(seconds=1)).replace(microsecond=0)

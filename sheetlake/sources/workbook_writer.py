@@ -24,10 +24,13 @@ def _col_letters(n: int) -> str:
 
 
 def _serial(v) -> float:
+    """Excel date serial (1900 system, which counts a non-existent 1900-02-29 as day 60)."""
     base = dt.datetime(1899, 12, 30)
     if isinstance(v, dt.datetime):
-        return (v - base).total_seconds() / 86400.0
-    return float((dt.datetime(v.year, v.month, v.day) - base).days)
+        x = (v - base).total_seconds() / 86400.0
+    else:
+        x = float((dt.datetime(v.year, v.month, v.day) - base).days)
+    return x - 1 if x < 61 else x
 
 
 def write_xlsx(path, sheets: dict, offsets: dict | None = None) -> None:

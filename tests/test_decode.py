@@ -98,3 +98,19 @@ def test_max_cells_chunks(tmp_path):
     write_xlsx(p, {"S": [[i, i + 1, i + 2] for i in range(10)]})
     chunks = list(workbook.decode_path(str(p), max_cells=7))
     assert max(len(c) for c in chunks) <= 7 and sum(len(c) for c in chunks) == 31
+
+
+def test_rich_text_phonetic_runs_and_early_dates(tmp_path):
+    import zipfile
+
+    p = tmp_path / "rich.xlsx"
+    write_xlsx(p, {"S": [["x", dt.date(1900, 1, 1), dt.date(1900, 3, 1)]]})
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sst = (f'<?xml version="1.0"?><sst {ns}><si><r><t>Hello </t></r><r><t>world</t></r>'
+           f'<rPh sb="0" eb="1"><t>HW</t></rPh></si></sst>')
+    out = tmp_path / "rich2.xlsx"
+    with zipfile.ZipFile(p) as zin, zipfile.ZipFile(out, "w") as zout:
+        for item in zin.namelist():
+            zout.writestr(item, sst if item == "xl/sharedStrings.xml" else zin.read(item))
+    vals = [c[3] for c in _cells(_rows(out))]
+    assert vals == ["Hello world", "1900-01-01", "1900-03-01"]
