@@ -83,3 +83,15 @@ def test_old_outputs_without_a_new_column_read_as_null(spark, tmp_path):
     extra = T.StructType([T.StructField("source_modified_at", T.StringType(), True)])
     r = cells_io.read_cells(spark, out, extra=extra).first()
     assert r.value == "x" and r.source_modified_at is None
+
+
+def test_stream_with_one_file_per_trigger_runs_one_batch_per_file(spark, tmp_path):
+    src = tmp_path / "in/SOV"
+    src.mkdir(parents=True)
+    for i in range(3):
+        write_xlsx(src / f"f{i}.xlsx", {"S": [[i, i + 1]]})
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    stream.ingest_stream(spark, str(tmp_path / "in"), out, ck, max_files_per_trigger=1).awaitTermination()
+    ledger = cells_io.read_ledger(spark, f"{out}/ledger").collect()
+    assert len(ledger) == 3 and len({r.run_id for r in ledger}) == 3
+    assert cells_io.read_cells(spark, out).count() == 6
