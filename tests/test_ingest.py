@@ -205,3 +205,21 @@ def test_single_huge_sheet_is_split_into_byte_ranges(spark, tmp_path):
     assert led == {"one.xlsx": ("ok", 1, 599 * 3), "two.xlsx": ("ok", 2, 42)}
     n_units = spark.read.parquet(f"{split}/runs/{r2['run_id']}/kind=file").count()
     assert n_units > 5  # the single sheet was decoded as several ranges
+
+
+def test_unreadable_saved_catalog_falls_back_to_a_scan(spark, tree):
+    store = tree / "bad_store"
+    store.mkdir()
+    (store / "part-0.parquet").write_bytes(b"not parquet at all")
+    c = catalog.load_or_scan(spark, [str(tree)], str(store))
+    assert c.count() == 5
+
+
+def test_unreadable_cell_output_fails_loudly(spark, tmp_path):
+    import pytest
+
+    out = tmp_path / "out/runs/r1/kind=cell"
+    out.mkdir(parents=True)
+    (out / "part-0.parquet").write_bytes(b"garbage")
+    with pytest.raises(Exception):
+        cells_io.read_cells(spark, str(tmp_path / "out"), latest_only=False).count()
