@@ -5,10 +5,12 @@ Flow of one run (``run``):
 1. ``select``: catalog minus files already done (anti join on the ledger, or
    on distinct ``file_path`` of the cells), minus files no longer listed (semi
    join on a fresh listing).  Joins, not driver-side sets.
-2. ``read_workbooks``: ``mapInArrow`` over the selected paths; each task
-   opens its files through the Hadoop-compatible file system of pyarrow and
-   decodes one workbook at a time, emitting cell rows, one summary row per
-   sheet and one row per failure (a bad file or sheet never stops the run).
+2. ``read_workbooks``: ``mapInArrow`` over work units -- whole workbooks,
+   the sheets of a large workbook, or byte ranges of a huge sheet -- spread by
+   bytes; each task opens its files through pyarrow's file systems and decodes
+   one unit at a time, emitting cell rows, one summary row per sheet, one row
+   per failure (a bad file or sheet never stops the run) and one ``file`` row
+   with the unit's ledger counts.
 3. The decoded rows are written once, partitioned by kind, to the run's own
    folder; ledger and statistics are derived from that copy, so no workbook is
    decoded twice and a lost executor only re-decodes its own files.
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import cut_lineage, ship_package
 from ..functions import paths
+from ..session import cut_lineage, ship_package
 from . import workbook
 
 
