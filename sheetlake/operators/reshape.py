@@ -107,12 +107,12 @@ def to_cells(
         *lineage_cols,
         F.col(row).cast("bigint").alias("row"),
         *[F.col(k) for k in keep],
-        *[as_text(F.col(c), types[c]).alias(f"column_{i}") for i, c in enumerate(values, start=1)],
+        *[as_text(F.col(c), types[c]).alias(str(i)) for i, c in enumerate(values, start=1)],
     )
-    named = [f"column_{i}" for i in range(1, len(values) + 1)]
+    named = [str(i) for i in range(1, len(values) + 1)]
     long = wide.unpivot(list(lineage) + ["row"] + list(keep), named, "column", "value")
-    # generated names are ``column_<n>``: the number is the text after the prefix
-    col = F.substring("column", 8, 12).cast("bigint") if column_as == "number" else F.col("column")
+    # value columns are named by their number, so the unpivoted name casts straight to it
+    col = F.col("column").cast("bigint") if column_as == "number" else F.concat(F.lit("column_"), F.col("column"))
     return long.select(*lineage, "row", *keep, col.alias("column"), "value")
 
 
