@@ -98,3 +98,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return S.empty(spark, S.LEDGER)
     return spark.read.schema(S.LEDGER).option("recursiveFileLookup", "true").parquet(path)
+
+
+def output_files_report(spark: SparkSession, output_dir: str, limit: int = 50) -> DataFrame:
+    """Per written cell file of an ingest output: name, size in KB, rows, source workbook; first ``limit`` by name.
+
+    Reads only Parquet metadata columns and ``file_name`` (``_metadata`` of the scan), all runs included.
+    """
+    from ..operators.cells import output_files_summary
+
+    runs = cells_location(output_dir)
+    if not _exists(spark, runs):
+        return S.empty(spark, S.T.StructType([
+            S.T.StructField("output_file", S.T.StringType()), S.T.StructField("size_kb", S.T.DoubleType()),
+            S.T.StructField("n_rows", S.T.LongType()), S.T.StructField("source_file", S.T.StringType()),
+        ]))
+    return output_files_summary(spark.read.schema(S.CELLS).parquet(runs), limit=limit)

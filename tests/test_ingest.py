@@ -223,3 +223,13 @@ def test_unreadable_cell_output_fails_loudly(spark, tmp_path):
     (out / "part-0.parquet").write_bytes(b"garbage")
     with pytest.raises(Exception):
         cells_io.read_cells(spark, str(tmp_path / "out"), latest_only=False).count()
+
+
+def test_output_files_report_of_an_ingest(spark, tree):
+    out = str(tree / "o_report")
+    ingest.run(spark, catalog.scan(spark, [str(tree)]), out)
+    rep = cells_io.output_files_report(spark, out).collect()
+    assert sum(r.n_rows for r in rep) == 24
+    assert {r.source_file for r in rep} <= {"data1.xlsx", "data2.XLSX"}
+    assert all(r.size_kb > 0 for r in rep)
+    assert cells_io.output_files_report(spark, str(tree / "nothing")).count() == 0
