@@ -19,6 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import CELL_AT, literal_rows
 from ..session import cut_lineage, ship_package
 from . import reshape
 
@@ -187,7 +188,7 @@ def offset_sheet(themed: DataFrame, name: str, start_row: int, file_path: str, w
     for i, t in enumerate(titles):
         fixed_rows.extend((i, j, t if j == 1 else None) for j in range(1, width + 1))
     fixed_rows.extend((top, j, h) for j, h in enumerate(headers, start=1))
-    fixed = spark.createDataFrame(fixed_rows, "row bigint, column bigint, value string").select(
+    fixed = literal_rows(spark, fixed_rows, CELL_AT).select(
         F.lit(file_path).alias("file_path"), F.lit(file_name).alias("file_name"), F.lit(worksheet).alias("worksheet"),
         "row", "column", "value",
     )

@@ -20,6 +20,7 @@ from ..operators import changes as ch
 from ..operators import reshape as rs
 from ..operators import synth
 from . import views as V
+from ..schema import CELL_AT, literal_rows
 from .views import SQL_CATALOG, SQL_CELLS, SQL_FILES, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -222,7 +223,7 @@ def directory_list_clean(spark, d):
         ),
         columns=["entry", "c_name"],
     )
-    header = spark.createDataFrame([(0, 1, "Directory Path"), (0, 2, "Name")], "row bigint, column bigint, value string")
+    header = literal_rows(spark, [(0, 1, "Directory Path"), (0, 2, "Name")], CELL_AT)
     entries = body.unionByName(header)
     return cat.clean_directory_list(entries, cat.all_folders(V.files(spark, d)))
 

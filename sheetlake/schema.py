@@ -30,6 +30,13 @@ CELLS = T.StructType([
 
 CELL_COLUMNS = [f.name for f in CELLS.fields]
 
+# Position and text of a fixed cell (titles, headers) before lineage is added.
+CELL_AT = T.StructType([
+    T.StructField("row", T.LongType(), True),
+    T.StructField("column", T.LongType(), True),
+    T.StructField("value", T.StringType(), True),
+])
+
 # Same table with the column kept as its auto name ``column_N``.
 CELLS_NAMED = T.StructType([
     f if f.name != "column" else T.StructField("column", T.StringType(), True)
@@ -74,5 +81,28 @@ LEDGER = T.StructType([
 ])
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    """An empty frame that still carries ``schema``."""
-    return spark.createDataFrame([], schema)
+    """An empty frame that still carries ``schema`` (nullability included).
+
+    Built as an empty local relation on the JVM side: creating it from a
+    Python list would start Python workers for tasks that hold no rows.
+    """
+    try:
+        from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
+
+        jschema = spark._jsparkSession.parseDataType(schema.json())
+        jdf = spark._jsparkSession.createDataFrame(spark._jvm.java.util.ArrayList(), jschema)
+        return ClassicDataFrame(jdf, spark)
+    except Exception:  # e.g. a Spark Connect session: no JVM at hand
+        return spark.createDataFrame([], schema)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few fixed rows (titles, headers) as a JVM-side frame: ``inline`` of literal structs, no Python tasks."""
+    from pyspark.sql import functions as F
+
+    if not rows:
+        return empty(spark, schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
