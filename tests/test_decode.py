@@ -114,3 +114,38 @@ def test_rich_text_phonetic_runs_and_early_dates(tmp_path):
             zout.writestr(item, sst if item == "xl/sharedStrings.xml" else zin.read(item))
     vals = [c[3] for c in _cells(_rows(out))]
     assert vals == ["Hello world", "1900-01-01", "1900-03-01"]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_values = st.one_of(
+    st.none(),
+    st.integers(min_value=-10**12, max_value=10**12),
+    st.floats(min_value=-1e9, max_value=1e9, allow_nan=False).map(lambda x: round(x, 4)),
+    st.booleans(),
+    st.text(alphabet="abcXYZ <>&'\"é", min_size=1, max_size=6).filter(lambda t: t.strip() == t),
+)
+
+
+def _expected_text(v):
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return workbook.number_text(float(v)) if isinstance(v, float) else str(v)
+    return v
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(_values, min_size=3, max_size=3), min_size=1, max_size=8))
+def test_decoded_values_follow_the_text_rules(tmp_path_factory, grid):
+    p = tmp_path_factory.mktemp("prop") / "g.xlsx"
+    write_xlsx(p, {"S": grid})
+    cells = _cells(_rows(p))
+    # expected: blank rows and columns dropped, the rest in order
+    keep_rows = [r for r in grid if any(v is not None for v in r)]
+    keep_cols = [j for j in range(3) if any(r[j] is not None for r in grid)]
+    want = [("S", i, k + 1, _expected_text(r[j])) for i, r in enumerate(keep_rows) for k, j in enumerate(keep_cols)]
+    assert cells == want

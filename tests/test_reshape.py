@@ -70,3 +70,16 @@ def test_lineage_cuts_are_tracked_and_dropped(spark):
     cut = cut_lineage(spark.range(10))
     assert cut.count() == 10
     assert drop_lineage_cuts(spark) == 1
+
+
+def test_sheets_to_cells_equals_one_sheet_at_a_time(spark):
+    a = spark.createDataFrame([(2, "x", 1.5), (1, None, 2.0)], "k long, s string, d double")
+    b = spark.createDataFrame([(10, True), (5, False), (7, None)], "k long, flag boolean")
+    lin = lambda n: {"file_path": f"/f/{n}.xlsx", "file_name": f"{n}.xlsx", "worksheet": n}
+    stacked = reshape.sheets_to_cells([(a, "k", lin("a"), ["k", "s", "d"]), (b, "k", lin("b"), ["k", "flag"])])
+    one = []
+    for df, name, cols in ((a, "a", ["k", "s", "d"]), (b, "b", ["k", "flag"])):
+        idx = reshape.with_row_index(df, ["k"])
+        one.append(reshape.to_cells(idx, lineage={k: F.lit(v) for k, v in lin(name).items()}, columns=cols))
+    expected = one[0].unionByName(one[1])
+    assert sorted(map(tuple, stacked.collect())) == sorted(map(tuple, expected.collect()))
