@@ -149,3 +149,20 @@ def test_decoded_values_follow_the_text_rules(tmp_path_factory, grid):
     keep_cols = [j for j in range(3) if any(r[j] is not None for r in grid)]
     want = [("S", i, k + 1, _expected_text(r[j])) for i, r in enumerate(keep_rows) for k, j in enumerate(keep_cols)]
     assert cells == want
+
+
+def test_range_document_with_prefixed_tags():
+    import io
+    from xml.etree import ElementTree as ET
+
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = "".join(f'<x:row r="{i}"><x:c r="A{i}"><x:v>{i}</x:v></x:c></x:row>' for i in range(1, 51))
+    xml = (f'<?xml version="1.0"?><x:worksheet xmlns:x="{ns}"><x:dimension ref="A1:A50"/>'
+           f'<x:sheetData>{rows}</x:sheetData><x:pageMargins/></x:worksheet>').encode()
+    size = len(xml)
+    seen = []
+    for a, b in workbook.sheet_ranges(size, 200):
+        doc = workbook.range_document(io.BytesIO(xml), a, b, chunk=64)
+        root = ET.fromstring(doc)
+        seen += [int(r.get("r")) for r in root.iter(f"{{{ns}}}row")]
+    assert seen == list(range(1, 51))
