@@ -20,7 +20,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def cells_location(output_dir: str) -> str:
     """Where an ingest output keeps its cells: the cell partitions of every run."""
-    return f"{output_dir.rstrip('/')}/runs/*/kind=cell"
+    return f"{output_dir.rstrip('/')}/runs/run_id=*/kind=cell"
+
+
+def _run_partitions(spark: SparkSession, output_dir: str, schema: S.T.StructType) -> DataFrame:
+    """The ``kind=cell`` partitions of every run, with ``run_id`` as a (string) partition column.
+
+    ``run_id`` and ``kind`` come from the folder names (no per-row work); the
+    filter on ``kind`` prunes the other partitions before any file is opened.
+    """
+    with_parts = S.T.StructType(schema.fields + [
+        S.T.StructField("run_id", S.T.StringType(), True), S.T.StructField("kind", S.T.StringType(), True)])
+    df = spark.read.schema(with_parts).parquet(f"{output_dir.rstrip('/')}/runs")
+    return df.where(F.col("kind") == "cell").drop("kind")
 
 
 def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = None,
@@ -39,9 +51,8 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
     schema = S.CELLS if extra is None else S.T.StructType(S.CELLS.fields + extra.fields)
     runs = cells_location(path)
     if _exists(spark, runs):
-        df = spark.read.schema(schema).parquet(runs)
-        if latest_only:
-            df = _latest_runs_only(spark, df, path)
+        df = _run_partitions(spark, path, schema)
+        df = (_latest_runs_only(spark, df, path) if latest_only else df).drop("run_id")
     elif not _exists(spark, path):
         df = S.empty(spark, schema)
     else:
@@ -52,15 +63,10 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
 
 
 def _latest_runs_only(spark: SparkSession, cells: DataFrame, output_dir: str) -> DataFrame:
-    """Semi join of cells to the latest ledger run of their file (run id from the file's path)."""
+    """Semi join of cells (with their ``run_id`` partition column) to the latest ledger run of their file."""
     ledger = read_ledger(spark, f"{output_dir.rstrip('/')}/ledger")
-    latest = ledger.groupBy("file_path").agg(
-        F.max_by("run_id", F.struct("run_at", "run_id")).alias("_sl_run")
-    )
-    tagged = cells.withColumn(
-        "_sl_run", F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+)/kind=cell/", 1)
-    )
-    return tagged.join(latest, ["file_path", "_sl_run"], "left_semi").drop("_sl_run")
+    latest = ledger.groupBy("file_path").agg(F.max_by("run_id", F.struct("run_at", "run_id")).alias("run_id"))
+    return cells.join(latest, ["file_path", "run_id"], "left_semi")
 
 
 def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_records_per_file: int = 5_000_000,
@@ -107,10 +113,9 @@ def output_files_report(spark: SparkSession, output_dir: str, limit: int = 50) -
     """
     from ..operators.cells import output_files_summary
 
-    runs = cells_location(output_dir)
-    if not _exists(spark, runs):
+    if not _exists(spark, cells_location(output_dir)):
         return S.empty(spark, S.T.StructType([
             S.T.StructField("output_file", S.T.StringType()), S.T.StructField("size_kb", S.T.DoubleType()),
             S.T.StructField("n_rows", S.T.LongType()), S.T.StructField("source_file", S.T.StringType()),
         ]))
-    return output_files_summary(spark.read.schema(S.CELLS).parquet(runs), limit=limit)
+    return output_files_summary(_run_partitions(spark, output_dir, S.CELLS), limit=limit)

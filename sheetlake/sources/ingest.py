@@ -336,7 +336,7 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
             max_records_per_file: int = 5_000_000) -> DataFrame:
     """Decode ``selected`` paths once and write the run's rows and ledger.
 
-    The decoded rows go to ``runs/<run>/kind=cell|sheet|error|file``: the
+    The decoded rows go to ``runs/run_id=<run>/kind=cell|sheet|error|file``: the
     ``kind=cell`` folders *are* the cell table (read with the fixed cell
     schema, the extra summary columns are never read), so cells are written
     once, straight from the decoding tasks, each task's files holding whole
@@ -349,7 +349,7 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
     from . import cells_io
 
     out = output_dir.rstrip("/")
-    run_dir = f"{out}/runs/{run_id}"
+    run_dir = f"{out}/runs/run_id={run_id}"
     decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes,
                              split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
                              range_xml_bytes=range_xml_bytes)

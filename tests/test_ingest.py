@@ -203,7 +203,7 @@ def test_single_huge_sheet_is_split_into_byte_ranges(spark, tmp_path):
     led = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.n_sheets, r.n_cells)
            for r in cells_io.read_ledger(spark, f"{split}/ledger").collect()}
     assert led == {"one.xlsx": ("ok", 1, 599 * 3), "two.xlsx": ("ok", 2, 42)}
-    n_units = spark.read.parquet(f"{split}/runs/{r2['run_id']}/kind=file").count()
+    n_units = spark.read.parquet(f"{split}/runs/run_id={r2['run_id']}/kind=file").count()
     assert n_units > 5  # the single sheet was decoded as several ranges
 
 
@@ -218,7 +218,7 @@ def test_unreadable_saved_catalog_falls_back_to_a_scan(spark, tree):
 def test_unreadable_cell_output_fails_loudly(spark, tmp_path):
     import pytest
 
-    out = tmp_path / "out/runs/r1/kind=cell"
+    out = tmp_path / "out/runs/run_id=r1/kind=cell"
     out.mkdir(parents=True)
     (out / "part-0.parquet").write_bytes(b"garbage")
     with pytest.raises(Exception):
