@@ -69,6 +69,9 @@ def ingest_stream(
     ``max_files_per_trigger`` bounds each micro-batch (a backlog of a million
     files becomes many bounded batches, each a replay-safe run).
     """
+    if path_rule not in ("filter", None):
+        # a gate would mark the files of a skipped batch as seen, so they would never be converted
+        raise ValueError("streams support path_rule='filter' or None; use ingest.run for the gate")
     listing = file_stream(spark, root, max_files_per_trigger=max_files_per_trigger)
     if path_rule == "filter":
         listing = listing.where(paths.under_marker("file_path", marker))

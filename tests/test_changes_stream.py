@@ -95,3 +95,10 @@ def test_stream_with_one_file_per_trigger_runs_one_batch_per_file(spark, tmp_pat
     ledger = cells_io.read_ledger(spark, f"{out}/ledger").collect()
     assert len(ledger) == 3 and len({r.run_id for r in ledger}) == 3
     assert cells_io.read_cells(spark, out).count() == 6
+
+
+def test_stream_rejects_the_gate_rule(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(ValueError):
+        stream.ingest_stream(spark, str(tmp_path), str(tmp_path / "o"), str(tmp_path / "c"), path_rule="gate")
