@@ -166,3 +166,19 @@ def test_range_document_with_prefixed_tags():
         root = ET.fromstring(doc)
         seen += [int(r.get("r")) for r in root.iter(f"{{{ns}}}row")]
     assert seen == list(range(1, 51))
+
+
+def test_1904_date_system(tmp_path):
+    import zipfile
+
+    p = tmp_path / "d.xlsx"
+    write_xlsx(p, {"S": [[dt.date(2024, 1, 31)]]})
+    out = tmp_path / "d1904.xlsx"
+    with zipfile.ZipFile(p) as zin, zipfile.ZipFile(out, "w") as zout:
+        for item in zin.namelist():
+            data = zin.read(item)
+            if item == "xl/workbook.xml":
+                data = data.replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>')
+            zout.writestr(item, data)
+    # the same serial counts from 1904-01-01 instead of 1899-12-30: 1462 days later
+    assert [c[3] for c in _cells(_rows(out))] == [str(dt.date(2024, 1, 31) + dt.timedelta(days=1462))]
