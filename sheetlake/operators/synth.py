@@ -267,7 +267,7 @@ def write_workbooks(
     # coalesced by AQE), rows sorted by (file, row) inside each task
     n_files = named.select("_wb_path").distinct().count()
     sc = df.sparkSession.sparkContext
-    parts = max(1, min(n_files, max(2 * sc.defaultParallelism, -(-n_files // 8))))
+    parts = max(1, min(n_files, max(2 * sc.defaultParallelism, -(-n_files // 32))))
     written = (
         named.select("_wb_path", "_wb_row", *cols)
         .repartition(parts, "_wb_path")
