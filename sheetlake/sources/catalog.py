@@ -117,8 +117,10 @@ def scan(spark: SparkSession, roots: Sequence[str], discovered_at: str | None =
         "size",
         "modified_at",
     ).where(paths.is_spreadsheet("extension"))
-    # overlapping roots list a file twice: keep one row per path
-    return cat.dropDuplicates(["file_path"])
+    # only nested roots can list a file twice; the roots list is small, so decide here
+    usable = [paths_plain(r).rstrip("/") + "/" for r in _usable_roots(spark, roots)]
+    nested = any(a != b and b.startswith(a) for a in usable for b in usable)
+    return cat.dropDuplicates(["file_path"]) if nested else cat
 
 
 def from_paths(spark: SparkSession, files: Sequence[str], discovered_at: str | None = None) -> DataFrame:

@@ -233,3 +233,9 @@ def test_output_files_report_of_an_ingest(spark, tree):
     assert {r.source_file for r in rep} <= {"data1.xlsx", "data2.XLSX"}
     assert all(r.size_kb > 0 for r in rep)
     assert cells_io.output_files_report(spark, str(tree / "nothing")).count() == 0
+
+
+def test_nested_roots_list_each_file_once(spark, tree):
+    c = catalog.scan(spark, [str(tree), str(tree / "project1")])
+    paths = [r.file_path for r in c.collect()]
+    assert len(paths) == len(set(paths)) == 5
