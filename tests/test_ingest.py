@@ -239,3 +239,10 @@ def test_nested_roots_list_each_file_once(spark, tree):
     c = catalog.scan(spark, [str(tree), str(tree / "project1")])
     paths = [r.file_path for r in c.collect()]
     assert len(paths) == len(set(paths)) == 5
+
+
+def test_explicit_file_list_accepts_globs(spark, tree):
+    c = catalog.from_paths(spark, [str(tree / "project1/SOV/2024/*.xlsx"), str(tree / "no_sov/data4.xlsx")])
+    got = sorted(r.file_path.rsplit("/", 1)[-1] for r in c.collect())
+    assert got == ["broken.xlsx", "data1.xlsx", "data4.xlsx"]
+    assert {r.extension for r in c.collect()} == {".xlsx"}
