@@ -102,3 +102,28 @@ def test_stream_rejects_the_gate_rule(spark, tmp_path):
 
     with pytest.raises(ValueError):
         stream.ingest_stream(spark, str(tmp_path), str(tmp_path / "o"), str(tmp_path / "c"), path_rule="gate")
+
+
+def test_detect_against_a_real_listing(spark, tmp_path):
+    import hashlib
+    import os
+    import time
+
+    from sheetlake.sources import catalog
+
+    root = tmp_path / "r"
+    root.mkdir()
+    for n in ("keep", "edit", "gone"):
+        (root / f"{n}.xlsx").write_bytes(n.encode())
+    # the saved catalog: listing plus the hash of each file's bytes at that time
+    first = catalog.list_files(spark, [str(root)])
+    saved = [(r.file_path, r.modified_at, hashlib.sha256(open(r.file_path, "rb").read()).hexdigest())
+             for r in first.collect()]
+    old = spark.createDataFrame(saved, "file_path string, modified_at timestamp, file_hash string")
+    time.sleep(1.1)
+    (root / "edit.xlsx").write_bytes(b"edited")
+    os.remove(root / "gone.xlsx")
+    (root / "new.xlsx").write_bytes(b"n")
+    got = {r.file_path.rsplit("/", 1)[-1]: r.status
+           for r in changes.detect(old, catalog.list_files(spark, [str(root)])).collect()}
+    assert got == {"keep.xlsx": "unchanged", "edit.xlsx": "modified", "gone.xlsx": "missing", "new.xlsx": "new"}
