@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlake.llm import html_density, mixing, multi_index, packing, topk, warc
+from sheetlake.llm import html_density, jaccard_join, mixing, multi_index, packing, topk, warc
 from sheetlake.llm.common import table
 
 #: The tokenizer's vocabulary as ranks; the file of the same name in .json is the tokenizer itself.
@@ -24,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, threshold=90)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.main_texts(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+# shingles of every text, pairs by shared shingles, reachability by recursion
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+      ELSE list_transform(range(len(a) - 2), lambda i: array_to_string(list_slice(a, i + 1, i + 3), ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i
+      FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id
+      AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM o WHERE 100 * i >= 90 * (na + nb - i)),
+r AS (SELECT a AS doc_id, a AS reach FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(min(r.reach), s.doc_id) AS component_id
+FROM s LEFT JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.sh)"""
+
 # the article element with its tags taken out; the block tags that these pages use become spaces
 _OP4 = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS body FROM pages),
@@ -85,6 +104,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 #: name -> (query, DuckDB SQL for the same rows, or None where SQL cannot express it)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, None),
+    "op3_jaccard": (op3_jaccard, _OP3),
     "op4_html_text": (op4_html_text, _OP4),
     "op5_warc": (op5_warc, _OP5),
     "op7_pack": (op7_pack, None),
