@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlake.llm import html_density, jaccard_join, mixing, multi_index, packing, topk, warc
+from sheetlake.llm import html_density, jaccard_join, kneser_ney, mixing, multi_index, packing, secret_scan, topk, warc
 from sheetlake.llm.common import table
 
 #: The tokenizer's vocabulary as ranks; the file of the same name in .json is the tokenizer itself.
@@ -24,6 +24,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, with perplexity and threshold; rejected ones have no row."""
+    decided = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return decided.where("keep").select("doc_id", "lang", "perplexity", "threshold")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
@@ -40,6 +46,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets that are left when false positives are removed; the candidate itself only as a digest."""
+    found = secret_scan.scanned(table(spark, sf_dir, "documents"), secret_scan.words(table(spark, sf_dir, "benchmark")))
+    return found.where("secret").select("doc_id", "place", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.inner_product_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -104,10 +116,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 #: name -> (query, DuckDB SQL for the same rows, or None where SQL cannot express it)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, None),
+    "op2_quality": (op2_quality, None),
     "op3_jaccard": (op3_jaccard, _OP3),
     "op4_html_text": (op4_html_text, _OP4),
     "op5_warc": (op5_warc, _OP5),
     "op7_pack": (op7_pack, None),
+    "op8_secrets": (op8_secrets, None),
     "op9_topk": (op9_topk, _OP9),
     "op10_nearest": (op10_nearest, _OP10),
 }
