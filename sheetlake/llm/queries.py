@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlake.llm import html_density, jaccard_join, kneser_ney, mixing, multi_index, packing, secret_scan, topk, warc
+from sheetlake.llm import html_density, jaccard_join, kneser_ney, mixing, multi_index, packing, secret_scan, suffix_dedup, topk, warc
 from sheetlake.llm.common import table
 
 #: The tokenizer's vocabulary as ranks; the file of the same name in .json is the tokenizer itself.
@@ -42,6 +42,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -120,6 +124,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_jaccard": (op3_jaccard, _OP3),
     "op4_html_text": (op4_html_text, _OP4),
     "op5_warc": (op5_warc, _OP5),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_pack": (op7_pack, None),
     "op8_secrets": (op8_secrets, None),
     "op9_topk": (op9_topk, _OP9),
