@@ -10,8 +10,8 @@ classes that meet on a prefix shingle must pass
 * the suffix filter: the counts of both sets over fixed cells of the hash space
   differ by no more than the sets may,
 
-and is then verified once, on the whole sets.  In a prefix list of many
-classes the one with the shingle furthest in front is the hub and meets the
+and is then verified once, on the whole sets.  In a prefix list of more than a few
+classes, the one with the shingle furthest in front is the hub and meets the
 others first; what these links join needs no further pair.  Rounds of hubs
 leave few lists with several components, and those are joined in full, across
 components only.  So a group of thousands of copies costs about one
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import BROADCAST_ROWS, cut, join_small, ready
+from sheetlake.llm.common import cut, join_small, ready
 from sheetlake.llm.components import components
 from sheetlake.llm.shingles import mixed, shingle_sets
 
@@ -36,7 +36,9 @@ FREQUENCY_BITS = 20
 _CHUNK = 1024
 #: Cells of the suffix filter.
 CELLS = 64
-#: Rounds of hubs before the lists are joined in full.
+#: A prefix list of at most this many classes is joined in full at once.
+SHORT = 32
+#: Rounds of hubs before what is left of longer lists is joined in full.
 HUB_ROUNDS = 3
 #: Texts hashed at a time.
 _TEXTS = 512
@@ -155,18 +157,13 @@ def _suffix(t: int, x: str, y: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The links among distinct pairs (a, b): both whole sets, each pair once."""
-    pairs = cut(pairs)
+    """The links among distinct pairs (a, b): both whole sets, each pair once.  Pairs are a written table."""
     n = pairs.count()
-    if not n:
-        return pairs
-    hubs = pairs.select(F.col("a").alias("cid")).distinct()
-    left = join_small(sets, hubs, ["cid"], "left_semi", min(n, BROADCAST_ROWS + 1) if n > BROADCAST_ROWS else n).select(
-        F.col("cid").alias("a"), F.col("shingles").alias("one"))
     right = join_small(sets.withColumnsRenamed({"cid": "b", "shingles": "two"}), pairs, ["b"], "inner", n)
-    both = right.join(left, "a")
+    hubs = pairs.select(F.col("a").alias("cid")).distinct()
+    left = join_small(sets, hubs, ["cid"], "left_semi", n).withColumnsRenamed({"cid": "a", "shingles": "one"})
     i = F.size(F.array_intersect("one", "two"))
-    return cut(both.where(i * 100 >= (F.size("one") + F.size("two") - i) * t).select("a", "b"))
+    return cut(right.join(left, "a").where(i * 100 >= (F.size("one") + F.size("two") - i) * t).select("a", "b"))
 
 
 def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +188,7 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
     postings = classes.select("cid", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select(
         "cid", "n", "pos", "shingle", F.when(F.col("pos") > 0, F.try_element_at("prefix", F.col("pos"))).alias("before"))
     in_list = F.count("*").over(Window.partitionBy("shingle"))
-    lists = cut(postings.withColumn("members", in_list).where("members > 1").drop("members"))
+    lists = cut(postings.withColumn("members", in_list).where("members > 1"))
     edges = None
     if not lists.isEmpty():
         edges = _links(docs, k, threshold, classes, lists)
@@ -208,50 +205,62 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
 
 
 def _links(docs: DataFrame, k: int, t: int, classes: DataFrame, lists: DataFrame) -> DataFrame | None:
-    """(node, label) over the classes that share a prefix shingle."""
+    """(node, label) over the classes that share a prefix shingle and link."""
     about = classes.select("cid", "n", "cells")
-    wanted = cut(lists.select("cid").distinct().join(classes.select("cid", "set_id"), "cid"))
+    short = lists.where(F.col("members") <= SHORT).withColumn("label", F.col("cid"))
+    long = cut(lists.where(F.col("members") > SHORT))
+    pairs = _joined(short, about, t)
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_stars(long.withColumn("label", F.col("cid")), about, t, 0)).distinct()
+    pairs = cut(pairs)
+    # the texts are read once more, for the sets of all classes that can take part in a verification
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long.select("cid")).distinct()
+    wanted = cut(wanted.join(classes.select("cid", "set_id"), "cid"))
     sets = cut(whole_sets(docs, k, wanted, wanted.count()))
-    edges = labels = tested = None
-    for turn in range(HUB_ROUNDS + 1):
-        now = lists
-        if labels is not None:
-            now = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            several = F.min("label").over(Window.partitionBy("shingle")) != F.max("label").over(Window.partitionBy("shingle"))
-            now = cut(now.withColumn("several", several).where("several").drop("several"))
-            if now.isEmpty():
-                break
-        else:
-            now = now.withColumn("label", F.col("cid"))
-        if turn < HUB_ROUNDS:
-            order = F.struct("pos", F.xxhash64(F.lit(turn), "cid").alias("at"), "cid", "n", "before", "label")
-            if turn:  # another hub than before: the front one of the component whose hash is the smallest
-                order = F.struct(F.xxhash64(F.lit(turn), "label").alias("turn"), "pos", "cid", "n", "before", "label")
-            met = now.select(F.struct(*now.columns).alias("y"), F.min(order).over(Window.partitionBy("shingle")).alias("x"))
-            pairs = met.where(F.col("x.label") != F.col("y.label")).where(_passes(t, "x", "y")).select(
-                F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            one, two = about.select(F.col("cid").alias("a"), F.struct("n", "cells").alias("x")), about.select(
-                F.col("cid").alias("b"), F.struct("n", "cells").alias("y"))
-            pairs = pairs.join(one, "a").join(two, "b").where(_suffix(t, "x", "y")).select("a", "b")
-        else:
-            full = now.join(about.select("cid", "cells"), "cid")
-            # the smaller of two sets must have the shingle in its shorter index prefix
-            index = F.col("n") - _overlap(F.col("n"), F.col("n"), t) + 1
-            x, y = full.where(F.col("pos") < index).alias("x"), full.alias("y")
-            ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
-            pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & ordered
-                           & _passes(t, "x", "y") & _suffix(t, "x", "y")).select(
-                F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-            swapped = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(swapped, ["a", "b"], "left_anti")
+    labels, tested = None, pairs
+    for turn in range(1, HUB_ROUNDS + 2):
         found = _verified(pairs, sets, t)
         if labels is not None:
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        edges = cut(found)
-        if not edges.isEmpty():
-            labels = components(edges)
+            found = cut(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if found.isEmpty():
+            labels = None
+            now = long.withColumn("label", F.col("cid"))
+        else:
+            labels = components(found)
+            now = long.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        if turn > HUB_ROUNDS:
+            break
+        several = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        now = cut(now.join(several.select("shingle"), "shingle", "left_semi"))
+        if now.isEmpty():
+            break
+        pairs = _stars(now, about, t, turn) if turn < HUB_ROUNDS else _joined(now, about, t)
+        swapped = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = cut(pairs.join(swapped, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs)
     return labels
+
+
+def _stars(now: DataFrame, about: DataFrame, t: int, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of the hub of each list with the others of another component."""
+    # the first hub is the class with the shingle furthest in front; then the front one of a component drawn anew each turn
+    draw = F.xxhash64(F.lit(turn), "label") if turn else F.lit(0)
+    hubs = now.groupBy("shingle").agg(F.min(F.struct(draw.alias("draw"), "pos", "cid", "n", "before", "label")).alias("x"))
+    met = hubs.join(now.select("shingle", F.struct("cid", "n", "pos", "before", "label").alias("y")), "shingle")
+    pairs = met.where(F.col("x.label") != F.col("y.label")).where(_passes(t, "x", "y")).select(
+        F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    one = about.select(F.col("cid").alias("a"), F.struct("n", "cells").alias("x"))
+    two = about.select(F.col("cid").alias("b"), F.struct("n", "cells").alias("y"))
+    return pairs.join(two, "b").join(one, "a").where(_suffix(t, "x", "y")).select("a", "b")
+
+
+def _joined(now: DataFrame, about: DataFrame, t: int) -> DataFrame:
+    """Distinct pairs (a, b) across components that share a list and pass all filters: a is the smaller set."""
+    full = now.join(about.select("cid", "cells"), "cid")
+    # the smaller of two sets must have the shingle in its shorter index prefix
+    index = F.col("n") - _overlap(F.col("n"), F.col("n"), t) + 1
+    x, y = full.where(F.col("pos") < index).alias("x"), full.alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & ordered
+                  & _passes(t, "x", "y") & _suffix(t, "x", "y")).select(
+        F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
