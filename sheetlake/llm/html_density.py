@@ -46,6 +46,8 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
             "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _TOKENS = re.compile(r"[a-z0-9]+")
+#: A tag that the page's end cuts off.
+_OPEN_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 
 
 class Node:
@@ -211,7 +213,7 @@ def article(html: str | None) -> str:
     if not html:
         return ""
     page = Tree()
-    page.feed(html)
+    page.feed(_OPEN_TAG.sub("", html))
     page.close()
     top = main_node(page)
     return "" if top is None else text_of(top)

@@ -92,7 +92,8 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """doc_id, n (set size), set_id, cells and prefix (rarest first) of every document."""
+    """The columns of every document but its text, with n (set size), set_id, cells and prefix (rarest first)."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
     rank = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +114,12 @@ def profiles(docs: DataFrame, k: int, t: int) -> DataFrame:
                     order = np.lexsort((s, often[(s >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]))[:first]
                     prefixes.append(s[order].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
+                    [*(some.column(f.name) for f in kept), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
                      pa.array(cells, pa.list_(pa.int16())), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set_id", "cells", "prefix"])
+                    [*(f.name for f in kept), "n", "set_id", "cells", "prefix"])
 
-    return docs.mapInArrow(profile, "doc_id long, n long, set_id binary, cells array<short>, prefix array<long>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return docs.mapInArrow(profile, f"{schema}, n long, set_id binary, cells array<short>, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -166,6 +168,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return cut(right.join(left, "a").where(i * 100 >= (F.size("one") + F.size("two") - i) * t).select("a", "b"))
 
 
+def _row_keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """128 bits that name a row's id and text."""
+    return {"k1": F.xxhash64(F.lit(31), F.col(text_col), F.col(id_col)), "k2": F.xxhash64(F.lit(32), F.col(id_col), F.col(text_col))}
+
+
 def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with the size of their shingle set and the component of their links.
 
@@ -177,10 +184,12 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
     component (or a text without words) with null ids only has a null
     component_id.  An empty table gives no rows; other columns are ignored.
 
-    Returns doc_id, n_shingles, component_id.
+    Returns doc_id, n_shingles, component_id, the component's own number
+    (null without words) and the hashes k1, k2 of id and text.
     """
     spark = ready(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[c.alias(n) for n, c in _row_keys(id_col, text_col).items()])
     rows = cut(profiles(docs, k, threshold))
     named = rows.where("set_id is not null")
     classes = cut(named.where("prefix is not null").dropDuplicates(["set_id"]).select(
@@ -189,19 +198,38 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
         "cid", "n", "pos", "shingle", F.when(F.col("pos") > 0, F.try_element_at("prefix", F.col("pos"))).alias("before"))
     in_list = F.count("*").over(Window.partitionBy("shingle"))
     lists = cut(postings.withColumn("members", in_list).where("members > 1"))
-    edges = None
-    if not lists.isEmpty():
-        edges = _links(docs, k, threshold, classes, lists)
-    members = named.select("doc_id", "n", "set_id").join(classes.select("set_id", "cid"), "set_id")
+    labels = None if lists.isEmpty() else _links(docs, k, threshold, classes, lists)
+    members = named.select("doc_id", "n", "set_id", "k1", "k2").join(classes.select("set_id", "cid"), "set_id")
     label = F.col("cid")
-    if edges is not None:
-        members = members.join(edges.withColumnRenamed("node", "cid"), "cid", "left")
+    if labels is not None:
+        members = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
         label = F.coalesce("label", "cid")
     members = members.withColumn("component", label)
     first = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = members.join(first, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    bare = rows.where("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.unionByName(bare)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "k1", "k2"]
+    bare = rows.where("set_id is null").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return members.join(first, "component").select(*columns).unionByName(bare.select(*columns))
+
+
+def representatives(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id (null last).
+
+    Texts without words stay.  Which documents go is decided on hashes of id
+    and text; of rows that repeat both, one stays.
+    """
+    rows = linked(docs, k, threshold, id_col, text_col)
+    first = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")) == 1
+    keys = cut(rows.where("component is not null").withColumn("stays", first).groupBy("k1", "k2").agg(
+        F.max("stays").alias("stays"), F.count("*").alias("rows")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"}))
+    gone = keys.where("not stays").select("__k1", "__k2")
+    out = docs.withColumns({f"__{n}": c for n, c in _row_keys(id_col, text_col).items()})
+    out = join_small(out, gone, ["__k1", "__k2"], "left_anti", gone.count())
+    repeated = keys.where("stays and rows > 1").select("__k1", "__k2")
+    n = repeated.count()
+    if n:
+        one = join_small(out, repeated, ["__k1", "__k2"], "left_semi", n).dropDuplicates(["__k1", "__k2"])
+        out = join_small(out, repeated, ["__k1", "__k2"], "left_anti", n).unionByName(one)
+    return out.drop("__k1", "__k2")
 
 
 def _links(docs: DataFrame, k: int, t: int, classes: DataFrame, lists: DataFrame) -> DataFrame | None:

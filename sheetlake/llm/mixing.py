@@ -173,18 +173,16 @@ def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: s
     words come as often as the whole part of their source's ratio.
     """
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
-    n_of = mix(docs, seed=seed, **names, **options).groupBy("tie", "tie2").agg(
-        F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    n_of = cut(n_of)
-    keyed = docs.withColumns(_keys(seed, **names))
-    once = join_small(keyed, n_of, ["tie", "tie2"], "inner", n_of.count())
-    repeated = n_of.where("rows_ > 1")
-    if not repeated.isEmpty():
-        place = F.row_number().over(Window.partitionBy("tie", "tie2").orderBy(F.lit(0)))
-        again = once.where("rows_ > 1").withColumn("place_", place).withColumn(
-            "copies_", F.floor((F.col("copies_") + F.col("rows_") - F.col("place_")) / F.col("rows_"))).drop("place_")
-        once = once.where("rows_ = 1").unionByName(again)
-    return once.where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(
+    n_of = cut(mix(docs, seed=seed, **names, **options).groupBy(
+        F.col("tie").alias("__tie"), F.col("tie2").alias("__tie2")).agg(
+        F.sum("copies").alias("__copies"), F.count("*").alias("__rows")))
+    keyed = docs.withColumns({f"__{n}": c for n, c in _keys(seed, **names).items()})
+    once = join_small(keyed, n_of, ["__tie", "__tie2"], "inner", n_of.count())
+    if not n_of.where("__rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("__tie", "__tie2").orderBy(F.lit(0)))
+        share = F.floor((F.col("__copies") + F.col("__rows") - place) / F.col("__rows"))
+        once = once.where("__rows = 1").unionByName(once.where("__rows > 1").withColumn("__copies", share))
+    return once.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 

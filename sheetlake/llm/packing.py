@@ -92,9 +92,24 @@ def fillings(have: np.ndarray, room: int, width: int = WIDTH, depth: int = DEPTH
     found.sort(key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
     kept: list[tuple[int, ...]] = []
     for _, one in found:
-        if one not in kept:
+        if len(kept) < width and not any(dominates(other, one) for other in kept):
             kept.append(one)
-    return kept[:width]
+    return kept
+
+
+def dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``other`` can be laid into pieces of ``one``; each filling dominates itself.
+
+    Pieces go one to one where there are many of them.
+    """
+    if len(other) > 2 * DEPTH:
+        return len(other) <= len(one) and all(a >= b for a, b in zip(one, other, strict=False))
+
+    def lay(i: int, rooms: tuple[int, ...]) -> bool:
+        return i == len(other) or any(
+            lay(i + 1, (*rooms[:j], room - other[i], *rooms[j + 1 :])) for j, room in enumerate(rooms) if room >= other[i])
+
+    return sum(other) <= sum(one) and lay(0, one)
 
 
 def completed(have: np.ndarray, length: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:

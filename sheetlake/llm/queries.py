@@ -31,7 +31,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, threshold=90)
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), k=3, threshold=90).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
