@@ -1,16 +1,31 @@
-"""The corpus pipeline: each stage one operator over all that the stage before kept."""
+"""The corpus pipeline: each stage is one operator over all that the stage before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetlake.llm import mixing, packing
+from sheetlake.llm import jaccard_join, kneser_ney, mixing, packing, secret_scan
 from sheetlake.llm.common import cut, table
 from sheetlake.llm.queries import tokenizer_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return kneser_ney.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.representatives(docs, k=5, threshold=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secret_scan.redacted(docs, secret_scan.words(table(spark, sf_dir, "benchmark")))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their weights: a document leaves, stays or comes twice."""
+    """Sources brought to their weights: a document goes, stays or comes twice."""
     return mixing.mixed(docs)
 
 
@@ -19,14 +34,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer_path())
 
 
-STAGES = [("mix_sources", mix_sources), ("pack", pack)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
-#: The stages draw, train and search; SQL cannot express them.
+#: The stages train, search and draw; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage is written as Parquet and read again by the next."""
+    """All stages over documents; what a stage returns is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
