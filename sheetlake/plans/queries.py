@@ -714,6 +714,38 @@ def synth_offset_sheet(spark, d):
     return synth.offset_sheet(t, "sales_orders", OFFSET_START_ROW, OFFSET_FILE, generated=OFFSET_GENERATED)
 
 
+# ---------------------------------------------------------------------------
+# value text: what it says, read back, is the value itself
+
+
+@register(
+    "value_text_exact",
+    "SELECT 'small' AS kind, l_orderkey AS id, l_linenumber AS part, (l_extendedprice * 1e-9) * 1e15 AS value, "
+    "CAST(NULL AS VARCHAR) AS moment, true AS plain FROM lineitem UNION ALL "
+    "SELECT 'large', l_orderkey, l_linenumber, (l_extendedprice * 1e30) * 1e-28, NULL, true FROM lineitem UNION ALL "
+    "SELECT 'time', event_id, 0, NULL, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), true FROM events",
+)
+def value_text_exact(spark, d):
+    """Doubles far from 1 and timestamps as text; the text has no exponent and, cast back, is the source."""
+    li, ev = V.table(spark, d, "lineitem"), V.table(spark, d, "events")
+    double = li.schema["l_extendedprice"].dataType
+
+    def numbers(kind, factor, scale):
+        text = as_text(F.col("l_extendedprice") * F.lit(factor), double)
+        return li.select(
+            F.lit(kind).alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("part"),
+            (text.cast("double") * F.lit(scale)).alias("value"), F.lit(None).cast("string").alias("moment"),
+            text.rlike(r"^-?[0-9]+(\.[0-9]*[1-9])?$").alias("plain"))
+
+    stamp = as_text("ts", ev.schema["ts"].dataType)
+    times = ev.select(
+        F.lit("time").alias("kind"), F.col("event_id").alias("id"), F.lit(0).cast(li.schema["l_linenumber"].dataType).alias("part"),
+        F.lit(None).cast("double").alias("value"),
+        F.date_format(stamp.cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"),
+        stamp.rlike(r"^[0-9-]{10} [0-9:]{8}(\.[0-9]*[1-9])?$").alias("plain"))
+    return numbers("small", 1e-9, 1e15).unionByName(numbers("large", 1e30, 1e-28)).unionByName(times)
+
+
 # ---------------------------------------------------------------------------
 # end to end: workbooks written by Spark from a table, then scanned and ingested
 

@@ -147,9 +147,9 @@ def _sql_text(table_name: str, col: str) -> str:
     return col
 
 
-def sql_number_text(expr: str, scale: int = 6) -> str:
-    dec = f"CAST(CAST({expr} AS DECIMAL(38,{scale})) AS VARCHAR)"
-    return f"regexp_replace(regexp_replace({dec}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+def sql_number_text(expr: str) -> str:
+    """Text of a double between 1e-4 and 1e15: the shortest that reads back, without a trailing ``.0``."""
+    return f"regexp_replace(CAST({expr} AS VARCHAR), '\\.0$', '')"
 
 
 def sql_sheet_cells(name: str, column_as: str = "number") -> str:

@@ -6,10 +6,10 @@ header (the first row is data); fully blank rows and columns are dropped and
 the rest renumbered densely (rows from 0, columns from 1); every remaining
 (row, column) pair becomes one cell, empty ones with a null value.
 
-Value text: integers without decimals, other numbers rounded to six places
-with trailing zeros trimmed, dates ``yyyy-MM-dd`` (with `` HH:mm:ss`` when a
-time is present), booleans ``true``/``false``, text as stored.  Formulas give
-their cached value.
+Value text: numbers with all stored digits, without exponent and without
+trailing zeros; dates ``yyyy-MM-dd`` (with `` HH:mm:ss`` when a time is
+present, and milliseconds when there are any), booleans ``true``/``false``,
+text as stored.  Formulas give their cached value.
 
 Rows are tuples in the order of ``schema.DECODED``:
 (kind, file_path, file_name, worksheet, row, column, value, n_rows, n_cols, message).
@@ -37,35 +37,45 @@ _EPOCH_1900 = _dt.datetime(1899, 12, 30)
 _EPOCH_1904 = _dt.datetime(1904, 1, 1)
 
 
-def number_text(x: float) -> str:
-    """Text of a number under the value rules (see module doc)."""
-    if x != x or x in (float("inf"), float("-inf")):
-        return str(x)
-    if float(x).is_integer() and abs(x) < 1e18:
-        return str(int(x))
-    out = f"{x:.6f}".rstrip("0").rstrip(".")
-    return "0" if out in ("-0", "") else out
+_NUMBER = re.compile(r"([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?")
 
 
-_PLAIN_NUMBER = re.compile(r"-?[0-9]{1,15}(\.[0-9]{1,6})?")
+def stored_number_text(raw: str) -> str:
+    """A stored number's text: its digits as they are, exponent expanded, needless zeros left out."""
+    raw = raw.strip()
+    if raw.isdigit() and raw[0] != "0":
+        return raw
+    found = _NUMBER.fullmatch(raw)
+    if not found or not (found[2] or found[3]):
+        return raw  # not a number: what is stored
+    sign, whole, part, power = found.groups()
+    digits, point = whole + part, len(whole) + int(power or 0)
+    digits = "0" * max(0, -point) + digits + "0" * max(0, point - len(digits))
+    point = max(0, point)
+    head, tail = digits[:point].lstrip("0") or "0", digits[point:].rstrip("0")
+    text = f"{head}.{tail}" if tail else head
+    return "0" if text == "0" else ("-" if sign == "-" else "") + text
 
 
-def stored_number_text(raw: str) -> str:
-    """``number_text`` of a stored number, straight from its text when that is already plain.
+def number_text(x: float) -> str:
+    """Text of a number under the value rules (see module doc)."""
+    return str(x) if x != x or x in (float("inf"), float("-inf")) else stored_number_text(repr(float(x)))
 
-    Short integers and decimals with at most six places need no float round
-    trip (the result is the same); anything else (exponents, long fractions)
-    goes through ``number_text``.
-    """
-    if _PLAIN_NUMBER.fullmatch(raw):
-        neg = raw.startswith("-")
-        body = raw[1:] if neg else raw
-        if "." in body:
-            body = body.rstrip("0").rstrip(".")
-        whole, _, frac = body.partition(".")
-        body = (whole.lstrip("0") or "0") + ("." + frac if frac else "")
-        return "0" if body == "0" else ("-" + body if neg else body)
-    return number_text(float(raw))
+
+def date_text(epoch: _dt.datetime, raw: str) -> str:
+    """A date serial as text, to the millisecond; a serial that is no date stays a number."""
+    try:
+        x = float(raw)
+        if epoch is _EPOCH_1900 and 0 < x < 60:
+            x += 1  # serials before the non-existent 1900-02-29 count from 1899-12-31
+        days = int(x // 1)
+        when = epoch + _dt.timedelta(days=days, milliseconds=round((x - days) * 86_400_000))
+    except (OverflowError, ValueError):
+        return stored_number_text(raw)
+    if when.time() == _dt.time(0):
+        return when.date().isoformat()
+    text = when.isoformat(" ", "milliseconds")
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
 
 def _col_index(letters: str) -> int:
@@ -141,13 +151,7 @@ class _Book:
         if t in ("str", "e", "d"):
             return raw
         if self.date_styles and int(c.get("s", "0")) in self.date_styles:
-            x = float(raw)
-            if self.epoch is _EPOCH_1900 and 0 < x < 60:
-                x += 1  # serials before the non-existent 1900-02-29 count from 1899-12-31
-            when = self.epoch + _dt.timedelta(days=x)
-            when = when.replace(microsecond=0) if when.microsecond < 500_000 else (
-                when + _dt.timedelta(seconds=1)).replace(microsecond=0)
-            return when.strftime("%Y-%m-%d") if when.time() == _dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
+            return date_text(self.epoch, raw)
         return stored_number_text(raw)
 
     def iter_rows(self, part: str, source=None) -> Iterator[tuple[int, list[tuple[int, str]]]]:
@@ -184,7 +188,7 @@ class _Book:
 
 
 def _error(path, name, sheet, message):
-    return ("error", path, name, sheet, None, None, None, None, None, message[:500])
+    return ("error", path, name, sheet, None, None, None, None, None, message)
 
 
 # Sheet parts larger than this (uncompressed XML bytes) are read twice instead of held.

@@ -81,8 +81,22 @@ def test_file_uri_paths(tmp_path):
 
 def test_number_text():
     assert workbook.number_text(3.0) == "3"
-    assert workbook.number_text(0.1 + 0.2) == "0.3"
-    assert workbook.number_text(-0.0000001) == "0"
+    assert workbook.number_text(0.1 + 0.2) == "0.30000000000000004"
+    assert workbook.number_text(-0.0000001) == "-0.0000001"
+    assert workbook.number_text(-0.0) == "0" and workbook.number_text(1e33) == "1" + "0" * 33
+
+
+def test_stored_digits_are_kept():
+    stored = {"0.0000001234": "0.0000001234", "1E-7": "0.0000001", "-1.50e+3": "-1500", "007.10": "7.1", "12345678901234567890": "12345678901234567890",
+              "0.123456789012": "0.123456789012", ".5": "0.5", "5.": "5", "-0.0": "0", "+3": "3", "1e2": "100", "12.34e1": "123.4", "x": "x"}
+    assert {k: workbook.stored_number_text(k) for k in stored} == stored
+
+
+def test_date_text():
+    e = workbook._EPOCH_1900
+    assert workbook.date_text(e, "45000") == "2023-03-15" and workbook.date_text(e, "45000.5") == "2023-03-15 12:00:00"
+    assert workbook.date_text(e, repr(45000 + 3723.25 / 86400)) == "2023-03-15 01:02:03.25"
+    assert workbook.date_text(e, "1e9") == "1000000000" and workbook.date_text(e, "-800000.5") == "-800000.5"
 
 
 def test_two_pass_mode_gives_the_same_rows(tmp_path):
@@ -182,3 +196,10 @@ def test_1904_date_system(tmp_path):
             zout.writestr(item, data)
     # the same serial counts from 1904-01-01 instead of 1899-12-30: 1462 days later
     assert [c[3] for c in _cells(_rows(out))] == [str(dt.date(2024, 1, 31) + dt.timedelta(days=1462))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.floats(allow_nan=False, allow_infinity=False))
+def test_number_text_reads_back(x):
+    text = workbook.number_text(x)
+    assert float(text) == x and "e" not in text.lower()

@@ -79,10 +79,26 @@ def test_value_text_of_table_types(spark):
     )
     types = {f.name: f.dataType for f in df.schema.fields}
     row = df.select(*[text.as_text(c, types[c]).alias(c) for c in df.columns]).first()
-    assert tuple(row) == ("1.5", "10000000000", "2.5", "true", "2024-01-31", "2024-01-31 10:11:12", "7")
+    assert tuple(row) == ("1.5", "10000000000", "2.5", "true", "2024-01-31", "2024-01-31 10:11:12.5", "7")
     assert isinstance(types["ts"], T.TimestampNTZType)
 
 
+def test_number_text_keeps_every_digit(spark):
+    from sheetlake.functions import text
+
+    values = [1e-7, 0.123456789, 1.234e-10, 1e33, -1.5e300, 5e-324, 123456789012345680.0, 1e7, 12345678.9, 0.001, -0.0, 100.0, 0.1 + 0.2]
+    got = _eval_doubles(spark, text.number_text, values)
+    assert all(float(t) == v and "E" not in t for t, v in zip(got, values))
+    assert got[:4] == ["0.0000001", "0.123456789", "0.0000000001234", "1" + "0" * 33] and got[10] == "0" and got[11] == "100"
+    small = spark.sql("SELECT CAST('0.00000000123' AS DECIMAL(20,15)) AS d")
+    assert small.select(text.as_text("d", small.schema["d"].dataType)).first()[0] == "0.00000000123"
+
+
+def _eval_doubles(spark, fn, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    return [r[1] for r in df.select("i", fn("v")).orderBy("i").collect()]
+
+
 def test_modified_text_and_size_kb(spark):
     from sheetlake.functions import text
     from sheetlake.operators import changes
