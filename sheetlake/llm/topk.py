@@ -44,50 +44,54 @@ def score_bounds(q: np.ndarray, c: np.ndarray, q_norm: np.ndarray, c_norm: np.nd
 
 def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products row by row; Python integers where doubles could round."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1]) < 2.0**52:
-        return np.einsum("ij,ij->i", q, c).astype(np.int64)
+    if _doubles_do(q, c):
+        return np.einsum("ij,ij->i", q, c)
     return np.array([sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q, c, strict=True)], object)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+def _doubles_do(q: np.ndarray, c: np.ndarray) -> bool:
+    return np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1]) < 2.0**52
+
+
+class Candidates:
+    """The candidates of a task with their norms and segment statistics."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
+        self.ids, self.data, self.norm = ids, data, (data * data).sum(1)
+        self.levels = [segment_statistics(data, n) for n in LEVELS]
+
+
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, c: Candidates, k: int) -> tuple[np.ndarray, ...]:
     """(query row, candidate row, score) of each query's k best candidates, ties to the smaller id."""
-    q_norm, c_norm = (q * q).sum(1), (c * c).sum(1)
-    own = q_ids[:, None] == c_ids[None]
+    norm = (q * q).sum(1)
+    alive = q_ids[:, None] != c.ids[None]
     floor = np.full(len(q), -np.inf)
-    alive = ~own
-    known = np.zeros_like(own)
-    rows, cols, scores = [], [], []
-
-    def settle(mask: np.ndarray) -> None:
-        i, j = np.nonzero(mask & ~known)
-        known[i, j] = True
-        for at in range(0, len(i), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            rows.append(i[part]), cols.append(j[part]), scores.append(exact_scores(q[i[part]], c[j[part]]))
-
-    for level in LEVELS:
-        bound = score_bounds(segment_statistics(q, level), segment_statistics(c, level), q_norm, c_norm)
+    n_top = min(k, len(c.ids))
+    for level, stats in zip(LEVELS, c.levels, strict=True):
+        bound = score_bounds(segment_statistics(q, level), stats, norm, c.norm)
         bound[~alive] = -np.inf
-        # exact scores of the k most promising give the score that others must reach
-        top = np.argpartition(-bound, min(k, bound.shape[1] - 1), axis=1)[:, :k]
-        promising = np.zeros_like(alive)
-        np.put_along_axis(promising, top, True, axis=1)
-        settle(promising & alive)
-        if rows:
-            i, s = np.concatenate(rows), np.concatenate(scores).astype(np.float64)
-            order = np.lexsort((-s, i))
-            i, s = i[order], s[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            floor[i[place == k - 1]] = s[place == k - 1]
+        # exact scores of the k most promising candidates give the score that others must reach
+        top = np.argpartition(bound, bound.shape[1] - n_top, axis=1)[:, -n_top:]
+        rows = np.repeat(np.arange(len(q)), n_top)
+        score = exact_scores(q[rows], c.data[top.ravel()]).astype(np.float64).reshape(top.shape)
+        score[~np.take_along_axis(alive, top, 1)] = -np.inf
+        if n_top == k:
+            floor = np.maximum(floor, score.min(1))
         alive &= bound >= floor[:, None]
-    settle(alive)
-    if not rows:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, np.int64)
-    i, j, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
-    order = np.lexsort((c_ids[j], -s.astype(object) if s.dtype == object else -s, i))
-    i, j, s = i[order], j[order], s[order]
+    if alive.mean() > 1 / 16 and _doubles_do(q, c.data):  # many survivors: their scores as one product
+        score = q @ c.data.T
+        score[~alive] = -np.inf
+        last = np.partition(score, score.shape[1] - n_top, axis=1)[:, -n_top]
+        i, j = np.nonzero((score >= last[:, None]) & alive)
+        score = score[i, j]
+    else:
+        i, j = np.nonzero(alive)
+        score = np.concatenate([exact_scores(q[i[at : at + 65_536]], c.data[j[at : at + 65_536]])
+                                for at in range(0, len(i), 65_536)] or [np.empty(0)])
+    order = np.lexsort((c.ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[keep], j[keep], s[keep]
+    return i[keep], j[keep], score[keep]
 
 
 def inner_product_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256,
@@ -116,14 +120,14 @@ def inner_product_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale:
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            c_ids, c = unpacked(right)
+            c = Candidates(*unpacked(right))
             for at in range(left.num_rows):
                 one = left.slice(at, 1)
                 q_ids, q = unpacked(one)
-                i, j, s = best_of_block(q_ids, q, c_ids, c, k)
+                i, j, s = best_of_block(q_ids, q, c, k)
                 found["query"] += [(one.column("block")[0].as_py() << 16) + int(x) for x in i]
                 found["query_id"] += q_ids[i].tolist()
-                found["vec_id"] += c_ids[j].tolist()
+                found["vec_id"] += c.ids[j].tolist()
                 found["score"] += [int(x) for x in s]
         return pa.table({n: pa.array(v, pa.int64()) for n, v in found.items()})
 
