@@ -44,12 +44,11 @@ def running_total(catalog: DataFrame, order: str = "root") -> DataFrame:
 def marker_folders(listing: DataFrame, marker: str = paths.DEFAULT_MARKER, path: str = "file_path") -> DataFrame:
     """Distinct folders whose path contains ``marker``, sorted.
 
-    Every file contributes its ancestor folders (``explode``); the distinct is
-    a partial + final aggregate, so a folder with millions of files costs one
-    row per task before the shuffle.  Folders without files are not seen.
+    The folders come from file paths: distinct parents first, so a folder with
+    millions of files is one row, then their ancestors.  Folders without files
+    are in ``sources.catalog.folders``.
     """
-    folders = listing.select(F.explode(paths.ancestors(F.col(path))).alias("folder"))
-    return folders.where(paths.under_marker("folder", marker)).distinct().orderBy("folder")
+    return all_folders(listing, path).where(paths.under_marker("folder", marker)).orderBy("folder")
 
 
 def clean_directory_list(entries: DataFrame, existing_dirs: DataFrame) -> DataFrame:
@@ -74,4 +73,6 @@ def clean_directory_list(entries: DataFrame, existing_dirs: DataFrame) -> DataFr
 
 def all_folders(listing: DataFrame, path: str = "file_path") -> DataFrame:
     """Every folder that holds at least one listed file, at any depth."""
-    return listing.select(F.explode(paths.ancestors(F.col(path))).alias("folder")).distinct()
+    one = listing.select(paths.parent(path).alias("_parent"), F.col(path).alias("_path")).groupBy("_parent").agg(
+        F.min("_path").alias("_path"))
+    return one.select(F.explode(paths.ancestors(F.col("_path"))).alias("folder")).distinct()

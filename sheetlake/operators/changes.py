@@ -46,18 +46,18 @@ def status(
         F.col(key).alias("_k"), F.col(modified).alias("_old_m"), F.col(old_hash).alias("_old_h"),
         F.lit(True).alias("_in_old"),
     )
-    n_cols = [F.col(key).alias("_k"), F.col(modified).alias("_new_m"), F.lit(True).alias("_in_new")]
-    if new_hash is not None:
-        n_cols.append(F.col(new_hash).alias("_new_src"))
-    else:
-        n_cols.append(F.col(new_content).alias("_new_src"))
-    n = new.select(*n_cols)
-    j = o.join(n, "_k", "full_outer")
+    n = new.select(F.col(key).alias("_k"), F.col(modified).alias("_new_m"), F.lit(True).alias("_in_new"))
     time_changed = ~F.col("_old_m").eqNullSafe(F.col("_new_m"))
     both = F.col("_in_old").isNotNull() & F.col("_in_new").isNotNull()
-    src = F.col("_new_src")
-    computed = src if new_hash is not None else F.sha2(src.cast("binary"), 256)
-    h = F.when(both & time_changed, computed)
+    if new_hash is not None:
+        source = new.select(F.col(key).alias("_k"), F.col(new_hash).alias("_h"))
+    else:
+        # keys and times decide first; only files with another time are hashed
+        touched = o.join(n, "_k").where(time_changed).select("_k")
+        source = new.select(F.col(key).alias("_k"), F.col(new_content).alias("_content")).join(touched, "_k", "left_semi").select(
+            "_k", content_hash("_content").alias("_h"))
+    j = o.join(n, "_k", "full_outer").join(source, "_k", "left")
+    h = F.when(both & time_changed, F.col("_h"))
     st = (
         F.when(F.col("_in_old").isNull(), F.lit("new"))
         .when(F.col("_in_new").isNull(), F.lit("missing"))
@@ -84,39 +84,39 @@ def _hash_partition(batches):
     import hashlib
 
     import pyarrow as pa
-    from pyarrow import fs as pafs
 
-    local = pafs.LocalFileSystem()
+    from ..sources.files import open_input
+
     for batch in batches:
-        out = []
+        hashes, messages = [], []
         for path in batch.column(0).to_pylist():
             try:
-                if "://" in path:
-                    filesystem, inner = pafs.FileSystem.from_uri(path)
-                else:
-                    filesystem, inner = local, path[5:] if path.startswith("file:") else path
                 h = hashlib.sha256()
-                with filesystem.open_input_stream(inner) as f:
+                with open_input(path) as f:
                     while chunk := f.read(1 << 20):
                         h.update(chunk)
-                out.append(h.hexdigest())
-            except OSError:
-                out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())],
-                                         names=["file_path", "file_hash"])
+                hashes.append(h.hexdigest())
+                messages.append(None)
+            except Exception as e:
+                hashes.append(None)
+                messages.append(f"{type(e).__name__}: {e}")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.array(messages, pa.string())],
+                                         names=["file_path", "file_hash", "message"])
 
 
 def hash_files(paths_df: DataFrame, files_per_task: int = 16) -> DataFrame:
-    """SHA-256 of the bytes of each ``file_path``, computed on executors, streamed in 1 MB chunks.
+    """file_path, file_hash, message: SHA-256 of each file's bytes, computed on executors, streamed in 1 MB chunks.
 
-    Only the given paths are read; a path that cannot be read gets a null hash.
+    Only the given paths are read; a path that cannot be read gets a null hash
+    and a message.
     """
     spark = paths_df.sparkSession
     ship_package(spark)
     p = paths_df.select("file_path").distinct()
-    n = max(2 * spark.sparkContext.defaultParallelism, 1)
+    n = max(1, -(-p.count() // files_per_task))
     # a hash of the path, so the spread is not merged with the distinct's exchange (see ingest)
-    return p.repartition(n, F.xxhash64("file_path")).mapInArrow(_hash_partition, "file_path string, file_hash string")
+    return p.repartition(n, F.xxhash64("file_path")).mapInArrow(
+        _hash_partition, "file_path string, file_hash string, message string")
 
 
 def detect(old: DataFrame, new_listing: DataFrame) -> DataFrame:
@@ -129,5 +129,8 @@ def detect(old: DataFrame, new_listing: DataFrame) -> DataFrame:
     n = new_listing.select("file_path", F.col("modified_at").alias("_new_m"))
     changed = o.join(n, "file_path", "inner").where(~F.col("_old_m").eqNullSafe(F.col("_new_m")))
     hashes = hash_files(changed)
-    new_with_hash = new_listing.select("file_path", "modified_at").join(hashes, "file_path", "left")
-    return status(old, new_with_hash, new_hash="file_hash")
+    new_with_hash = new_listing.select("file_path", "modified_at").join(hashes.drop("message"), "file_path", "left")
+    found = status(old, new_with_hash, new_hash="file_hash")
+    bad = hashes.where("message is not null").select("file_path", "message")
+    return found.join(bad, "file_path", "left").withColumn(
+        "status", F.when(F.col("message").isNotNull(), F.lit("unreadable")).otherwise(F.col("status")))

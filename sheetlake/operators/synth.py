@@ -237,13 +237,14 @@ def write_workbooks(
     def write_partition(batches):
         import pyarrow as pa
 
-        from ..sources.workbook_writer import open_for_write, write_xlsx
+        from ..sources.files import open_output
+        from ..sources.workbook_writer import write_xlsx
 
         done_paths, done_rows = [], []
         cur, rows = None, []
 
         def flush():
-            with open_for_write(cur) as f:
+            with open_output(cur) as f:
                 write_xlsx(f, {sheet: ([cols] if header else []) + rows})
             done_paths.append(cur)
             done_rows.append(len(rows))

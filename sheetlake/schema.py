@@ -30,6 +30,9 @@ CELLS = T.StructType([
 
 CELL_COLUMNS = [f.name for f in CELLS.fields]
 
+# Cells with the version of the file they come from; outputs written without it read as null.
+CELL_VERSION = T.StructType([T.StructField("source_modified_at", T.TimestampType(), True)])
+
 # Position and text of a fixed cell (titles, headers) before lineage is added.
 CELL_AT = T.StructType([
     T.StructField("row", T.LongType(), True),
@@ -64,6 +67,9 @@ DECODED = T.StructType([
     T.StructField("n_cells", T.LongType(), True),
     T.StructField("n_errors", T.LongType(), True),
     T.StructField("modified_at", T.TimestampType(), True),
+    T.StructField("file_hash", T.StringType(), True),
+    # modification time of the file that a cell was read from
+    T.StructField("source_modified_at", T.TimestampType(), True),
 ])
 
 # Ledger of ingest runs: one row per file and run.

@@ -1,115 +1,125 @@
 """File catalog: scan directory trees, explicit file lists, cached catalogs.
 
-The listing is Spark's own (``binaryFile`` source with recursive lookup): on a
-cluster it lists in parallel (``parallelPartitionDiscovery``), and selecting
-only ``path``, ``modificationTime`` and ``length`` prunes the ``content``
-column so no file bytes are read.
+A tree is listed on the executors, level by level: a frame of folders in, their
+files and folders out, the folders being the next level.  No name is special
+(hidden names, brackets), folders without files are seen, and the driver holds
+neither files nor folders.  A folder that cannot be listed is an error row.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+import logging
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import paths
+from ..session import cut_lineage, ship_package
 from .cells_io import _exists
+from .files import filesystem, plain_path
 
-# Case-insensitive glob of the spreadsheet extensions (.xls, .xlsx, .xlsm, .xlsb).
+_log = logging.getLogger(__name__)
+
+#: One row per entry of a tree: file, folder, or an error under the path that could not be listed.
+TREE = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("root", T.StringType(), True),
+    T.StructField("kind", T.StringType(), False),  # file | folder | error
+    T.StructField("size", T.LongType(), True),
+    T.StructField("modified_at", T.TimestampType(), True),
+    T.StructField("message", T.StringType(), True),
+])
+
+# Case-insensitive glob of the spreadsheet extensions (.xls, .xlsx, .xlsm, .xlsb), for streams.
 SPREADSHEET_GLOB = "*.{[xX][lL][sS],[xX][lL][sS][xXmMbB]}"
 
 
-def _usable_roots(spark: SparkSession, roots: Sequence[str]) -> list[str]:
-    """Roots that exist and are directories; the others are skipped (with no error)."""
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    conf = sc._jsc.hadoopConfiguration()
-    keep = []
-    for r in dict.fromkeys(str(x) for x in roots):
-        p = jvm.org.apache.hadoop.fs.Path(r)
+def check_roots(roots: Sequence[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """(roots that are directories, [(root, why it is skipped)]), each root once."""
+    from pyarrow import fs as pafs
+
+    usable, skipped = [], []
+    for root in dict.fromkeys(plain_path(str(r)).rstrip("/") or "/" for r in roots):
         try:
-            fs = p.getFileSystem(conf)
-            if fs.exists(p) and fs.getFileStatus(p).isDirectory():
-                keep.append(fs.makeQualified(p).toString())
-        except Exception:  # unreadable root: skipped like a missing one
-            continue
-    return keep
-
-
-def split_root(spark: SparkSession, root: str, min_branches: int = 64, max_levels: int = 4) -> list[str]:
-    """Sub-folders (breadth first) and top-level files standing for ``root``.
-
-    Spark lists many input paths in parallel on executors
-    (``spark.sql.sources.parallelPartitionDiscovery.threshold``) but walks a
-    single root on the driver; splitting a root into at least ``min_branches``
-    folders, a few levels down at most, lets a tree of millions of files be
-    listed by the cluster.  Files met on the way are kept as paths of their own.
+            system, inner, _ = filesystem(root)
+            kind = system.get_file_info([inner])[0].type
+            if kind == pafs.FileType.Directory:
+                usable.append(root)
+                continue
+            reason = "does not exist" if kind == pafs.FileType.NotFound else "is not a directory"
+        except Exception as e:  # no such file system, no access: skipped like a missing one
+            reason = f"{type(e).__name__}: {e}"
+        skipped.append((root, reason))
+        _log.warning("root %s skipped: %s", root, reason)
+    return usable, skipped
+
+
+def _listed(batches: Iterator) -> Iterator:
+    """Folders (path, root) in, their entries out."""
+    import pyarrow as pa
+    from pyarrow import fs as pafs
+
+    kinds = {pafs.FileType.File: "file", pafs.FileType.Directory: "folder"}
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string()]
+    for batch in batches:
+        for path, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                system, inner, prefix = filesystem(path)
+                rows = [
+                    (prefix + i.path, root, kinds[i.type], i.size if i.is_file else None, i.mtime, None)
+                    for i in system.get_file_info(pafs.FileSelector(inner, recursive=False)) if i.type in kinds
+                ]
+            except Exception as e:
+                rows = [(path, root, "error", None, None, f"{type(e).__name__}: {e}")]
+            for at in range(0, len(rows), 10_000):
+                cols = list(zip(*rows[at:at + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=TREE.names)
+
+
+def tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Every file and folder below the usable roots (the roots included as folders), and errors: ``TREE`` rows.
+
+    One small job per level of the tree; a level's folders are spread over the
+    executors.  Overlapping roots list their common part once for each.
     """
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    conf = sc._jsc.hadoopConfiguration()
-    frontier = [root]
-    files: list[str] = []
-    for _ in range(max_levels):
-        if len(frontier) >= min_branches:
-            break
-        nxt: list[str] = []
-        for d in frontier:
-            p = jvm.org.apache.hadoop.fs.Path(d)
-            for st in p.getFileSystem(conf).listStatus(p):
-                name = st.getPath().getName()
-                if name.startswith((".", "_")):
-                    continue  # hidden, as Spark's own listing skips them
-                (nxt if st.isDirectory() else files).append(st.getPath().toString())
-        if not nxt:
-            frontier = []
-            break
-        frontier = nxt
-    return frontier + files
-
-
-def list_files(spark: SparkSession, roots: Sequence[str], glob: str | None = None,
-               min_branches: int = 64) -> DataFrame:
-    """Every file under the usable roots: path, root, size, modified_at (bytes not read)."""
-    out = None
-    for root in _usable_roots(spark, roots):
-        parts = split_root(spark, root, min_branches)
-        if not parts:
-            continue
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        part = reader.load(parts).select(
-            paths.absolute("path").alias("file_path"),
-            F.lit(paths_plain(root)).alias("root"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("modified_at"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return S.empty(spark, S.CATALOG).select("file_path", "root", "size", "modified_at")
+    usable, _ = check_roots(roots)
+    if not usable:
+        return S.empty(spark, TREE)
+    ship_package(spark)
+    most = 4 * spark.sparkContext.defaultParallelism
+    level = S.literal_rows(spark, [(r, r, "folder", None, None, None) for r in usable], TREE)
+    out, n = level, len(usable)
+    while n:
+        folders = level.where("kind = 'folder'").select("path", "root")
+        level = cut_lineage(folders.repartition(min(n, most), F.xxhash64("path")).mapInArrow(_listed, TREE))
+        out = out.unionByName(level)
+        n = level.where("kind = 'folder'").count()
     return out
 
 
-def paths_plain(uri: str) -> str:
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
+def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Every file under the usable roots: file_path, root, size, modified_at (bytes not read)."""
+    return tree(spark, roots).where("kind = 'file'").select(
+        F.col("path").alias("file_path"), "root", "size", "modified_at")
+
+
+def folders(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Every folder under the usable roots, with or without files: folder, root."""
+    return tree(spark, roots).where("kind = 'folder'").select(F.col("path").alias("folder"), "root")
 
 
 def scan(spark: SparkSession, roots: Sequence[str], discovered_at: str | None = None) -> DataFrame:
-    """Catalog of spreadsheet files under ``roots`` (missing or non-directory roots skipped).
+    """Catalog of spreadsheet files under ``roots``; roots that are no directories are skipped (see ``check_roots``).
 
     One row per path even when roots overlap; fixed schema even when empty.
     """
     when = discovered_at or _dt.datetime.now().isoformat()
-    listed = list_files(spark, roots, SPREADSHEET_GLOB)
-    cat = listed.select(
+    usable, _ = check_roots(roots)
+    cat = list_files(spark, usable).select(
         "file_path",
         paths.extension("file_path").alias("extension"),
         F.lit(when).alias("discovered_at"),
@@ -118,56 +128,101 @@ def scan(spark: SparkSession, roots: Sequence[str], discovered_at: str | None =
         "modified_at",
     ).where(paths.is_spreadsheet("extension"))
     # only nested roots can list a file twice; the roots list is small, so decide here
-    usable = [paths_plain(r).rstrip("/") + "/" for r in _usable_roots(spark, roots)]
-    nested = any(a != b and b.startswith(a) for a in usable for b in usable)
+    nested = any(a != b and b.startswith(a.rstrip("/") + "/") for a in usable for b in usable)
     return cat.dropDuplicates(["file_path"]) if nested else cat
 
 
+def _expanded(spark: SparkSession, entry: str) -> list[tuple[str, int, _dt.datetime]]:
+    """(path, size, modification time) of an entry of an explicit list: the file of that name, else a glob's files."""
+    from pyarrow import fs as pafs
+
+    def facts(path: str):
+        system, inner, prefix = filesystem(path)
+        info = system.get_file_info([inner])[0]
+        return info.type, (prefix + inner, info.size, info.mtime)
+
+    kind, row = facts(entry)
+    if kind == pafs.FileType.File:
+        return [row]
+    if kind == pafs.FileType.Directory or not any(c in entry for c in "*?[{"):
+        return []
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry)
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [facts(st.getPath().toString())[1] for st in found if st.isFile()]
+
+
 def from_paths(spark: SparkSession, files: Sequence[str], discovered_at: str | None = None) -> DataFrame:
-    """Catalog of an explicit file list (globs allowed); each entry must exist."""
+    """Catalog of an explicit file list (globs allowed), each file once.
+
+    Every entry must be a file or a glob that matches files; otherwise the list
+    is refused with a ``ValueError`` that names all such entries.  Extensions
+    are not checked here: a file that is no workbook becomes an error when it
+    is converted.
+    """
     when = discovered_at or _dt.datetime.now().isoformat()
-    df = spark.read.format("binaryFile").load(list(files))
-    return df.select(
-        paths.absolute("path").alias("file_path"),
-        paths.extension(paths.absolute("path")).alias("extension"),
-        F.lit(when).alias("discovered_at"),
-        F.lit(None).cast("string").alias("root"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+    found, refused = {}, []
+    for entry in files:
+        rows = _expanded(spark, str(entry))
+        found.update({r[0]: r for r in rows})
+        if not rows:
+            refused.append(str(entry))
+    if refused:
+        raise ValueError(f"not a file: {', '.join(refused)}")
+    rows = [(p, None, when, None, size, at) for p, size, at in found.values()]
+    return S.literal_rows(spark, rows, S.CATALOG).withColumn("extension", paths.extension("file_path"))
 
 
 def save(catalog: DataFrame, path: str) -> None:
-    """Write the catalog (Parquet, replacing the old one).
-
-    Never overwrite a path that the same plan reads: ``load_or_scan`` writes a
-    fresh scan, which does not read the old catalog.
-    """
-    catalog.select(*[f.name for f in S.CATALOG.fields]).write.mode("overwrite").parquet(path)
+    """Write the catalog (Parquet) beside the old one, then put it in its place: a failed write leaves the old one."""
+    sc = catalog.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    path = path.rstrip("/")
+    new, old, here = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("-new", "-old", ""))
+    catalog.select(*[f.name for f in S.CATALOG.fields]).write.mode("overwrite").parquet(path + "-new")
+    fs = here.getFileSystem(conf)
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    if not fs.rename(new, here):
+        raise OSError(f"catalog could not be put in place: {path}")
+    fs.delete(old, True)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CATALOG).parquet(path)
 
 
+def _roots_file(path: str) -> str:
+    return path.rstrip("/") + "-roots"
+
+
 def load_or_scan(spark: SparkSession, roots: Sequence[str], path: str, rescan: bool = False) -> DataFrame:
-    """The saved catalog if it covers every root and ``rescan`` is off, else a fresh scan (saved).
+    """The catalog of ``roots`` from a store that keeps every root ever scanned.
 
-    A saved catalog that cannot be read falls back to a scan.  A failure to
-    save does not stop the caller.
+    Roots that the store covers come from it (roots without spreadsheets
+    included), the others are scanned and added; ``rescan`` scans all asked
+    for.  A store that cannot be read counts as empty.  A failure to save does
+    not stop the caller.
     """
-    wanted = {paths_plain(r) for r in _usable_roots(spark, roots)}
-    if not rescan and _exists(spark, path):
+    usable, _ = check_roots(roots)
+    cached, known = None, []
+    if _exists(spark, path):
         try:
             cached = load(spark, path)
-            have = {r[0] for r in cached.select("root").distinct().collect()}  # one row per root
-            if wanted <= have:
-                return cached.where(F.col("root").isin(sorted(wanted)))
+            known = [r[0] for r in spark.read.schema("root string").parquet(_roots_file(path)).distinct().collect()]
         except Exception:
-            pass
-    fresh = scan(spark, roots)
+            cached, known = None, []
+    missing = [r for r in usable if rescan or r not in known]
+    if cached is not None and not missing:
+        return cached.where(F.col("root").isin(usable))
+    fresh = cut_lineage(scan(spark, missing)) if missing else S.empty(spark, S.CATALOG)
+    kept = S.empty(spark, S.CATALOG) if cached is None else cut_lineage(cached.where(~F.col("root").isin(missing)))
+    everything = kept.unionByName(fresh)
     try:
-        save(fresh, path)
-        return load(spark, path)
-    except Exception:
-        return fresh
+        save(everything, path)
+        names = sorted({*(k for k in known if k not in missing), *missing})
+        S.literal_rows(spark, [(r,) for r in names], T.StructType([T.StructField("root", T.StringType())])).write.mode(
+            "overwrite").parquet(_roots_file(path))
+    except Exception as e:
+        _log.warning("catalog not saved: %s", e)
+    return everything.where(F.col("root").isin(usable))

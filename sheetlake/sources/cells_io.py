@@ -63,10 +63,19 @@ def read_cells(spark: SparkSession, path: str, extra: S.T.StructType | None = No
 
 
 def _latest_runs_only(spark: SparkSession, cells: DataFrame, output_dir: str) -> DataFrame:
-    """Semi join of cells (with their ``run_id`` partition column) to the latest ledger run of their file."""
-    ledger = read_ledger(spark, f"{output_dir.rstrip('/')}/ledger")
-    latest = ledger.groupBy("file_path").agg(F.max_by("run_id", F.struct("run_at", "run_id")).alias("run_id"))
-    return cells.join(latest, ["file_path", "run_id"], "left_semi")
+    """Cells of each file's latest run that read it (ok, partial or empty); a run that could not keeps the earlier cells.
+
+    Runs without a ledger are left out by their partition; of the others, only
+    the (file, run) pairs that a later run replaced are taken away.  Those are
+    few, so the cells are not shuffled unless very many files were converted
+    again.
+    """
+    ledger = read_ledger(spark, f"{output_dir.rstrip('/')}/ledger").where(F.col("status").isin("ok", "partial", "empty"))
+    runs = [r[0] for r in ledger.select("run_id").distinct().collect()]  # one row per run
+    order = F.struct("run_at", "run_id")
+    newest = ledger.groupBy("file_path").agg(F.max(order).alias("_newest"))
+    replaced = ledger.join(newest, "file_path").where(order < F.col("_newest")).select("file_path", "run_id").distinct()
+    return cells.where(F.col("run_id").isin(runs)).join(replaced, ["file_path", "run_id"], "left_anti")
 
 
 def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_records_per_file: int = 5_000_000,
@@ -96,8 +105,11 @@ def write_cells(cells: DataFrame, path: str, buckets: int | None = None, max_rec
 
 
 def processed_paths(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ``file_path`` in the written cells (column-pruned scan)."""
-    return read_cells(spark, path).select("file_path").distinct()
+    """Distinct ``file_path`` in the cells of any finished run (column-pruned scan)."""
+    if not _exists(spark, cells_location(path)):
+        return read_cells(spark, path).select("file_path").distinct()
+    runs = [r[0] for r in read_ledger(spark, f"{path.rstrip('/')}/ledger").select("run_id").distinct().collect()]
+    return _run_partitions(spark, path, S.CELLS).where(F.col("run_id").isin(runs)).select("file_path").distinct()
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -60,9 +60,27 @@ def done_from_ledger(ledger: DataFrame, retry_errors: bool = True) -> DataFrame:
     done, like a path-keyed skip; the default retries files whose last run had
     errors.
     """
-    last = ledger.groupBy("file_path").agg(F.max_by("status", F.struct("run_at", "run_id")).alias("status"))
+    last = ledger.groupBy("file_path").agg(
+        F.max_by(F.struct("status", "modified_at", "file_hash"), F.struct("run_at", "run_id")).alias("last"))
     done = ["ok", "empty"] if retry_errors else ["ok", "partial", "empty"]
-    return last.where(F.col("status").isin(done)).select("file_path")
+    return last.where(F.col("last.status").isin(done)).select("file_path", "last.modified_at", "last.file_hash")
+
+
+def modified_since(candidates: DataFrame, done: DataFrame) -> DataFrame:
+    """Paths of done files whose content has changed: another modification time, then another hash.
+
+    Only files whose time differs from the ledger's are read (on executors,
+    for the hash).  A file that cannot be read counts as changed: its
+    conversion reports the error.
+    """
+    from ..operators.changes import hash_files
+
+    old = done.select("file_path", F.col("modified_at").alias("_then"), F.col("file_hash").alias("_was"))
+    touched = candidates.select("file_path", "modified_at").join(old, "file_path").where(
+        F.col("modified_at") != F.col("_then")).select("file_path", "_was")
+    now = hash_files(touched).select("file_path", F.col("file_hash").alias("_is"))
+    return touched.join(now, "file_path").where(~F.col("_was").eqNullSafe(F.col("_is")) | F.col("_is").isNull()).select(
+        "file_path")
 
 
 # ---------------------------------------------------------------------------
@@ -85,6 +103,53 @@ def _to_batch(rows: list[tuple], schema):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def _cell_batch(chunk: workbook.Cells, modified, schema):
+    """A stretch of cells as Arrow columns: what is the same for all its cells is repeated, not built row by row."""
+    import pyarrow as pa
+
+    n = len(chunk.values)
+    same = {"kind": "cell", "file_path": chunk.path, "file_name": chunk.name, "worksheet": chunk.sheet,
+            "source_modified_at": modified}
+    given = {"row": chunk.rows, "column": chunk.columns, "value": chunk.values}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(given[f.name], type=f.type) if f.name in given
+         else pa.repeat(pa.scalar(same.get(f.name), type=f.type), n) for f in schema], schema=schema)
+
+
+class _Out:
+    """Gathers decoded rows into Arrow batches: cells by the stretch, other rows of many units together."""
+
+    def __init__(self, batch_rows: int):
+        self.schema, self.batch_rows, self.rows = _arrow_schema(), batch_rows, []
+        self.cells, self.n_cells = [], 0
+
+    def add(self, chunk, modified):
+        """Batches that are full after a chunk of rows or cells."""
+        if isinstance(chunk, workbook.Cells):
+            self.cells.append(_cell_batch(chunk, modified, self.schema))
+            self.n_cells += len(chunk.values)
+            if self.n_cells >= self.batch_rows:
+                yield from self._joined()
+        else:
+            self.rows.extend(r + _PAD for r in chunk)
+
+    def file_row(self, path, name, status, n_sheets, n_empty, n_cells, n_errors, modified, file_hash):
+        self.rows.append(("file", path, name, None, None, None, None, None, None, None,
+                          status, n_sheets, n_empty, n_cells, n_errors, modified, file_hash, None))
+
+    def _joined(self):
+        import pyarrow as pa
+
+        if self.cells:
+            yield from pa.Table.from_batches(self.cells).combine_chunks().to_batches()
+        self.cells, self.n_cells = [], 0
+
+    def rest(self):
+        yield from self._joined()
+        if self.rows:
+            yield _to_batch(self.rows, self.schema)
+
+
 def file_status(n_sheets: int, n_empty: int, n_errors: int) -> str:
     """ok | partial (some sheets failed) | error (nothing read) | empty (only empty sheets)."""
     good = n_sheets - n_empty
@@ -104,12 +169,12 @@ def status_column(n_sheets, n_empty, n_errors):
     )
 
 
-_PAD = (None,) * 6
+_PAD = (None,) * 8
 
 UNITS = ("file_path string, modified_at timestamp, sheet_index int, weight bigint, range_start bigint, "
          "range_end bigint")
 RANGE_INDEX = ("file_path string, modified_at timestamp, sheet_index int, range_start bigint, range_end bigint, "
-               "n_rows bigint, cols array<bigint>")
+               "n_rows bigint, cols array<bigint>, failed string")
 
 
 def _plan_partition(batches, split_bytes: int, range_bytes: int):
@@ -136,83 +201,83 @@ def _plan_partition(batches, split_bytes: int, range_bytes: int):
 
 
 def _index_partition(batches):
-    """First pass over sheet byte ranges: non-empty row count and column numbers of each range."""
+    """First pass over sheet byte ranges: non-empty row count and column numbers of each range, or why it fails."""
     import pyarrow as pa
 
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(5)]
-        n_rows, used = [], []
+        n_rows, used, failed = [], [], []
         for path, _, idx, a, b in zip(*cols):
+            n, c, message = 0, [], None
             try:
                 n, c, _ = workbook.index_range(path, idx, a, b)
-            except Exception:  # the second pass reports the error for this range
-                n, c = 0, []
+            except Exception as e:
+                message = f"{type(e).__name__}: {e}"
             n_rows.append(n)
             used.append(c)
+            failed.append(message)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in range(5)] + [pa.array(n_rows, pa.int64()), pa.array(used, pa.list_(pa.int64()))],
-            names=["file_path", "modified_at", "sheet_index", "range_start", "range_end", "n_rows", "cols"],
+            [batch.column(i) for i in range(5)]
+            + [pa.array(n_rows, pa.int64()), pa.array(used, pa.list_(pa.int64())), pa.array(failed, pa.string())],
+            names=["file_path", "modified_at", "sheet_index", "range_start", "range_end", "n_rows", "cols", "failed"],
         )
 
 
 def _range_partition(batches, max_cells: int, batch_rows: int):
-    """Second pass over sheet byte ranges: cells numbered with the sheet-wide offset and column map."""
-    schema = _arrow_schema()
-    buf: list[tuple] = []
+    """Second pass over sheet byte ranges: cells numbered with the sheet-wide offset and column map.
+
+    A sheet any of whose ranges failed gives what it gives when it is decoded
+    whole: one error row and no cells.  The sheet's counts travel with its
+    first range, the file's hash with the first range of its first sheet.
+    """
+    out = _Out(batch_rows)
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(8)]
-        for path, modified, idx, a, b, offset, used, total in zip(*cols):
+        cols = [batch.column(i).to_pylist() for i in range(9)]
+        for path, modified, idx, a, b, offset, used, total, failed in zip(*cols):
             first = a == 0
             shown = workbook.plain_path(path)
+            name = shown.rsplit("/", 1)[-1]
             n_errors = 0
-            for rows in workbook.decode_range(path, idx, a, b, offset, used, total, first, max_cells=max_cells):
-                n_errors += sum(1 for r in rows if r[0] == "error")
-                buf.extend(r + _PAD for r in rows)
-                if len(buf) >= batch_rows:
-                    yield _to_batch(buf, schema)
-                    buf = []
-            # the sheet's counts travel with its first range; the others add only their errors
-            buf.append(("file", shown, shown.rsplit("/", 1)[-1], None, None, None, None, None, None, None,
-                        None, 1 if first else 0, int(first and total == 0), total * len(used) if first else 0,
-                        n_errors, modified))
-    if buf:
-        yield _to_batch(buf, schema)
+            if failed is not None:
+                n_errors = int(first)
+                if first:
+                    out.rows.append(workbook._error(shown, name, workbook.sheet_name(path, idx), failed) + _PAD)
+            else:
+                for chunk in workbook.decode_range(path, idx, a, b, offset, used, total, first, max_cells=max_cells):
+                    yield from out.add(chunk, modified)
+            read = first and failed is None
+            out.file_row(shown, name, None, int(read), int(read and total == 0), total * len(used) if read else 0,
+                         n_errors, modified, workbook.content_hash(path) if first and idx == 0 else None)
+    yield from out.rest()
 
 
 def _decode_partition(batches, max_cells: int, batch_rows: int):
     """Arrow batches of units (path, modified_at, sheet index) in, Arrow batches of decoded rows out.
 
     A unit is a whole workbook (sheet index -1) or one sheet of a large one.
-    Rows of many small workbooks are gathered into one batch of about
-    ``batch_rows`` rows (one Arrow conversion per batch, not per sheet).  After
-    each unit one ``file`` row carries its part of the file's ledger counts.
+    After each unit one ``file`` row carries its part of the file's ledger
+    counts; the first unit of a file also its hash.
     """
-    schema = _arrow_schema()
-    buf: list[tuple] = []
+    out = _Out(batch_rows)
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(3)]
         for path, modified, idx in zip(*cols):
             n_sheets = n_empty = n_cells = n_errors = 0
-            shown = name = workbook.plain_path(path)
-            name = shown.rsplit("/", 1)[-1]
+            shown = workbook.plain_path(path)
             sheet = None if idx is None or idx < 0 else idx
-            for rows in workbook.decode_path(path, max_cells=max_cells, sheet_index=sheet):
-                for r in rows:
-                    kind = r[0]
-                    if kind == "sheet":
-                        n_sheets += 1
-                        n_empty += r[7] == 0
-                        n_cells += r[7] * r[8]
-                    elif kind == "error":
-                        n_errors += 1
-                buf.extend(r + _PAD for r in rows)
-                if len(buf) >= batch_rows:
-                    yield _to_batch(buf, schema)
-                    buf = []
-            buf.append(("file", shown, name, None, None, None, None, None, None, None,
-                        file_status(n_sheets, n_empty, n_errors), n_sheets, n_empty, n_cells, n_errors, modified))
-    if buf:
-        yield _to_batch(buf, schema)
+            for chunk in workbook.decode_chunks(path, max_cells=max_cells, sheet_index=sheet):
+                if not isinstance(chunk, workbook.Cells):
+                    for r in chunk:
+                        if r[0] == "sheet":
+                            n_sheets += 1
+                            n_empty += r[7] == 0
+                            n_cells += r[7] * r[8]
+                        elif r[0] == "error":
+                            n_errors += 1
+                yield from out.add(chunk, modified)
+            out.file_row(shown, shown.rsplit("/", 1)[-1], file_status(n_sheets, n_empty, n_errors), n_sheets, n_empty,
+                         n_cells, n_errors, modified, None if sheet else workbook.content_hash(path))
+    yield from out.rest()
 
 
 def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
@@ -252,11 +317,11 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
         "file_path", "modified_at", F.lit(-1).alias("sheet_index"), F.col("size").alias("weight"))
     whole = whole.withColumn("range_start", F.lit(-1).cast("bigint")).withColumn("range_end", F.lit(-1).cast("bigint"))
     large_paths = paths_df.where(large)
-    if large_paths.limit(1).count() == 0:
+    if large_paths.isEmpty():
         units, ranges = whole, None
     else:
         planned = cut_lineage(
-            large_paths.repartition(floor, F.xxhash64("file_path"))
+            large_paths.repartition(max(floor, large_paths.count()), F.xxhash64("file_path"))
             .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS)
         )
         units = whole.unionByName(planned.where(F.col("range_start") < 0))
@@ -271,22 +336,27 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
         return decoded
     key = ["file_path", "sheet_index"]
     by_range = F.xxhash64("file_path", "sheet_index", "range_start")
+    tasks = max(floor, ranges.count())  # a range is a task's worth of bytes
     index = cut_lineage(
         ranges.select("file_path", "modified_at", "sheet_index", "range_start", "range_end")
-        .repartition(floor, by_range).mapInArrow(_index_partition, RANGE_INDEX)
+        .repartition(tasks, by_range).mapInArrow(_index_partition, RANGE_INDEX)
     )
-    # per sheet: all used columns (at most the sheet width) and the row total;
+    # per sheet: all used columns (a set, at most the sheet width), the row total and the first failure;
     # per range: rows in the ranges before it (a window over one row per range)
-    per_sheet = index.groupBy(*key).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("cols")))).alias("all_cols"),
+    totals = index.groupBy(*key).agg(
         F.sum("n_rows").alias("total_rows"),
+        F.min(F.when(F.col("failed").isNotNull(), F.struct("range_start", "failed"))).getField("failed").alias("failed"),
     )
+    used = index.select(*key, F.explode("cols").alias("col")).groupBy(*key).agg(
+        F.sort_array(F.collect_set("col")).alias("all_cols"))
+    per_sheet = totals.join(used, key, "left").withColumn(
+        "all_cols", F.coalesce("all_cols", F.array().cast("array<bigint>")))
     before = Window.partitionBy(*key).orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = index.withColumn("row_offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+    offsets = index.drop("failed").withColumn("row_offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
     work = offsets.join(per_sheet, key).select(
         "file_path", "modified_at", "sheet_index", "range_start", "range_end", "row_offset", "all_cols",
-        "total_rows")
-    ranged = work.repartition(floor, by_range).mapInArrow(
+        "total_rows", "failed")
+    ranged = work.repartition(tasks, by_range).mapInArrow(
         lambda it: _range_partition(it, max_cells, batch_rows), S.DECODED)
     return decoded.unionByName(ranged)
 
@@ -353,32 +423,25 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
     decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes,
                              split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
                              range_xml_bytes=range_xml_bytes)
-    # three kinds: concurrent writers per task instead of sorting each task by kind
-    key = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(key, "0")
-    spark.conf.set(key, "4")
-    try:
-        (
-            decoded.write.mode("overwrite")
-            .partitionBy("kind")
-            .option("maxRecordsPerFile", max_records_per_file)
-            .parquet(run_dir)
-        )
-    finally:
-        spark.conf.set(key, before)
+    (
+        decoded.write.mode("overwrite")
+        .partitionBy("kind")
+        .option("maxRecordsPerFile", max_records_per_file)
+        .parquet(run_dir)
+    )
     files = spark.read.schema(S.DECODED).parquet(f"{run_dir}/kind=file")
     # one instant for the whole run, fixed on the driver (a retried task writes the same value)
     run_at = F.lit(_dt.datetime.now(_dt.timezone.utc)).cast("timestamp")
     # a file split into sheet units has one partial row per unit: sum them
     per_file = files.groupBy("file_path").agg(
         *[F.sum(c).cast("bigint").alias(c) for c in ("n_sheets", "n_empty_sheets", "n_cells", "n_errors")],
-        F.max("modified_at").alias("modified_at"),
+        F.max("modified_at").alias("modified_at"), F.max("file_hash").alias("file_hash"),
     )
     ledger = per_file.select(
         F.lit(run_id).alias("run_id"), "file_path",
         status_column(F.col("n_sheets"), F.col("n_empty_sheets"), F.col("n_errors")).alias("status"),
         "n_sheets", "n_empty_sheets", "n_cells", "n_errors",
-        "modified_at", F.lit(None).cast("string").alias("file_hash"), run_at.alias("run_at"),
+        "modified_at", "file_hash", run_at.alias("run_at"),
     )
     ledger.write.mode("overwrite").parquet(f"{out}/ledger/{run_id}")
     return cells_io.read_ledger(spark, f"{out}/ledger/{run_id}")
@@ -397,29 +460,37 @@ def run(
     split_file_bytes: int = 8 << 20,
     split_xml_bytes: int = 32 << 20,
     range_xml_bytes: int = 64 << 20,
+    folders: DataFrame | None = None,
+    any_extension: bool = False,
 ) -> dict:
     """Convert the selected catalog files; return the run id and its totals.
 
     ``path_rule``: ``filter`` keeps files whose path contains ``marker``;
     ``gate`` converts the whole catalog but only if at least one marker folder
-    exists (else nothing is done); ``None`` converts the whole catalog.
+    exists (else nothing is done), ``folders`` (``catalog.folders``) adding
+    those without files; ``None`` converts the whole catalog.
 
     ``skip``: ``ledger`` (files done per ledger; files whose last run had
-    errors are retried), ``cells`` (any path present in the cells: the strict
-    path-keyed rule) or ``none``.  ``listing``: a fresh listing; catalog files
-    missing from it are left out.
+    errors are retried, files modified since are converted again and keep
+    their earlier cells as history), ``cells`` (any path present in the cells:
+    the strict path-keyed rule) or ``none``.  ``listing``: a fresh listing;
+    catalog files missing from it are left out.  ``any_extension``: files that
+    are no workbooks are taken too and become errors.
     """
     from . import cells_io
 
     run_id = run_id or uuid.uuid4().hex
     out = output_dir.rstrip("/")
-    candidates = catalog.where(paths.is_spreadsheet(paths.extension("file_path")))
+    candidates = catalog if any_extension else catalog.where(paths.is_spreadsheet(paths.extension("file_path")))
     if path_rule == "filter":
         candidates = candidates.where(paths.under_marker("file_path", marker))
     elif path_rule == "gate":
         from ..operators.catalog import marker_folders
 
-        if marker_folders(catalog, marker).isEmpty():
+        seen = marker_folders(catalog, marker)
+        if folders is not None:
+            seen = seen.unionByName(folders.where(paths.under_marker("folder", marker)).select("folder"))
+        if seen.isEmpty():
             return {"files": 0, "sheets": 0, "rows": 0, "errors": 0, "skipped": 0, "run_id": None}
     if listing is not None:
         candidates = only_existing(candidates, listing)
@@ -436,7 +507,10 @@ def run(
     if done is None:
         flagged = candidates.withColumn("_todo", F.lit(True))
     else:
-        flagged = candidates.join(done.select("file_path").distinct().withColumn("_done", F.lit(True)),
+        skipped = done.select("file_path").distinct()
+        if skip == "ledger" and "modified_at" in candidates.columns:
+            skipped = skipped.join(modified_since(candidates, done), "file_path", "left_anti")
+        flagged = candidates.join(skipped.withColumn("_done", F.lit(True)),
                                   "file_path", "left").withColumn("_todo", F.col("_done").isNull())
     # kept between the count and the decode job so the listing and the joins run
     # once (recomputed from lineage if an executor holding it is lost)
@@ -462,11 +536,15 @@ def run(
 
 
 def convert_files(spark: SparkSession, files: Sequence[str], output_dir: str, run_id: str | None = None) -> dict:
-    """Convert an explicit list of files (globs allowed): no catalog, no path rule, no skip."""
+    """Convert an explicit list of files (globs allowed): no catalog, no path rule, no skip.
+
+    An entry that is no file is refused (``ValueError``); a file that is no
+    workbook becomes an error of the run.
+    """
     from . import catalog as catalog_source
 
     return run(spark, catalog_source.from_paths(spark, files), output_dir, skip="none", path_rule=None,
-               run_id=run_id)
+               run_id=run_id, any_extension=True)
 
 
 def exit_code(totals: dict) -> int:

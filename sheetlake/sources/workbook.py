@@ -18,14 +18,24 @@ Rows are tuples in the order of ``schema.DECODED``:
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.etree import ElementTree as ET
 
-NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+import numpy as np
+
+from .files import open_input, plain_path
+
+# The namespaces of spreadsheet parts and of relationship ids, in the usual and in the strict form.
+NAMESPACES = {
+    "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}":
+        "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}",
+    "{http://purl.oclc.org/ooxml/spreadsheetml/main}": "{http://purl.oclc.org/ooxml/officeDocument/relationships}",
+}
 
 # Built-in number format ids that show dates or times.
 DATE_FORMAT_IDS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36,
@@ -85,15 +95,32 @@ def _col_index(letters: str) -> int:
     return n
 
 
-def _text_of(el) -> str:
+def _text_of(el, ns: str) -> str:
     """Text of a shared or inline string: its ``<t>``, or the ``<t>`` of its rich-text runs.
 
     Phonetic guides (``<rPh>``) also hold ``<t>`` elements; they are not part of the value.
     """
-    t = el.find(f"{NS_MAIN}t")
+    t = el.find(f"{ns}t")
     if t is not None:
         return t.text or ""
-    return "".join(r.findtext(f"{NS_MAIN}t", "") for r in el.findall(f"{NS_MAIN}r"))
+    return "".join(r.findtext(f"{ns}t", "") for r in el.findall(f"{ns}r"))
+
+
+def _sheet_list(zf: zipfile.ZipFile) -> tuple[ET.Element, str, list[tuple[str, str | None]]]:
+    """The workbook part, its namespace, and (name, part) of each sheet; no sheet list is an error."""
+    wb = ET.fromstring(zf.read("xl/workbook.xml"))
+    ns = wb.tag[: wb.tag.find("}") + 1]
+    if ns not in NAMESPACES:
+        raise ValueError(f"not a workbook: root element {wb.tag}")
+    rels = {}
+    if "xl/_rels/workbook.xml.rels" in zf.namelist():
+        for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            rels[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
+    sheets = [(s.get("name"), rels.get(s.get(f"{NAMESPACES[ns]}id"))) for s in wb.iter(f"{ns}sheet")]
+    if not sheets:
+        raise ValueError("the workbook lists no sheets")
+    return wb, ns, sheets
 
 
 def _is_date_format(code: str) -> bool:
@@ -104,43 +131,41 @@ def _is_date_format(code: str) -> bool:
 class _Book:
     def __init__(self, zf: zipfile.ZipFile):
         self.zf = zf
-        names = set(zf.namelist())
-        wb = ET.fromstring(zf.read("xl/workbook.xml"))
-        pr = wb.find(f"{NS_MAIN}workbookPr")
+        wb, self.ns, self.sheets = _sheet_list(zf)
+        ns, names = self.ns, set(zf.namelist())
+        pr = wb.find(f"{ns}workbookPr")
         self.epoch = _EPOCH_1904 if pr is not None and pr.get("date1904") in ("1", "true") else _EPOCH_1900
-        rels = {}
-        if "xl/_rels/workbook.xml.rels" in names:
-            for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")):
-                target = r.get("Target", "")
-                target = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
-                rels[r.get("Id")] = target
-        self.sheets = []
-        for s in wb.iter(f"{NS_MAIN}sheet"):
-            self.sheets.append((s.get("name"), rels.get(s.get(f"{NS_REL}id"))))
-        self.shared = []
-        if "xl/sharedStrings.xml" in names:
-            for _, el in ET.iterparse(zf.open("xl/sharedStrings.xml")):
-                if el.tag == f"{NS_MAIN}si":
-                    self.shared.append(_text_of(el))
-                    el.clear()
+        self._shared = None if "xl/sharedStrings.xml" in names else []
         self.date_styles = set()
         if "xl/styles.xml" in names:
             st = ET.fromstring(zf.read("xl/styles.xml"))
             custom = {}
-            for f in st.iter(f"{NS_MAIN}numFmt"):
+            for f in st.iter(f"{ns}numFmt"):
                 custom[int(f.get("numFmtId"))] = f.get("formatCode", "")
-            xfs = st.find(f"{NS_MAIN}cellXfs")
+            xfs = st.find(f"{ns}cellXfs")
             for i, xf in enumerate(xfs if xfs is not None else []):
                 fid = int(xf.get("numFmtId", "0"))
                 if fid in DATE_FORMAT_IDS or (fid in custom and _is_date_format(custom[fid])):
                     self.date_styles.add(i)
 
+    @property
+    def shared(self) -> list[str]:
+        """The shared strings, read when the first cell needs one."""
+        if self._shared is None:
+            held = []
+            for _, el in ET.iterparse(self.zf.open("xl/sharedStrings.xml")):
+                if el.tag == f"{self.ns}si":
+                    held.append(_text_of(el, self.ns))
+                    el.clear()
+            self._shared = held
+        return self._shared
+
     def value(self, c) -> str | None:
         t = c.get("t", "n")
         if t == "inlineStr":
-            is_ = c.find(f"{NS_MAIN}is")
-            return _text_of(is_) if is_ is not None else None
-        v = c.find(f"{NS_MAIN}v")
+            is_ = c.find(f"{self.ns}is")
+            return _text_of(is_, self.ns) if is_ is not None else None
+        v = c.find(f"{self.ns}v")
         if v is None or v.text is None:
             return None
         raw = v.text
@@ -160,7 +185,7 @@ class _Book:
         ``source``: a file object with the sheet XML (a row range) instead of the part.
         """
         row_no = 0
-        row_tag, cell_tag = f"{NS_MAIN}row", f"{NS_MAIN}c"
+        row_tag, cell_tag = f"{self.ns}row", f"{self.ns}c"
         letters_ix: dict[str, int] = {}
         digits = "0123456789"
         for _, el in ET.iterparse(source if source is not None else self.zf.open(part)):
@@ -191,59 +216,81 @@ def _error(path, name, sheet, message):
     return ("error", path, name, sheet, None, None, None, None, None, message)
 
 
+class Cells(NamedTuple):
+    """A stretch of a sheet's cells, by column: one entry per cell in rows, columns and values."""
+
+    path: str
+    name: str
+    sheet: str
+    rows: np.ndarray
+    columns: np.ndarray
+    values: list
+
+    def tuples(self) -> list[tuple]:
+        return [("cell", self.path, self.name, self.sheet, r, c, v, None, None, None)
+                for r, c, v in zip(self.rows.tolist(), self.columns.tolist(), self.values)]
+
+
+def _cell_chunks(path: str, name: str, sheet: str, rows, col_ix: dict[int, int], first_row: int,
+                 max_cells: int) -> Iterator[Cells]:
+    """The cells of rows [(number, [(column, text)])], empty ones included, at most ``max_cells`` at a time."""
+    width = len(col_ix)
+    held: list = []
+    start = first_row
+
+    def chunk() -> Cells:
+        n = len(held) // width
+        out = Cells(path, name, sheet, np.repeat(np.arange(start, start + n), width), np.tile(np.arange(1, width + 1), n), held)
+        return out
+
+    for _, found in rows:
+        values = [None] * width
+        for c, v in found:
+            values[col_ix[c] - 1] = v
+        held.extend(values)
+        if len(held) + width > max_cells:
+            yield chunk()
+            start += len(held) // width
+            held = []
+    if held:
+        yield chunk()
+
+
 # Sheet parts larger than this (uncompressed XML bytes) are read twice instead of held.
 TWO_PASS_BYTES = 64 << 20
 
 
 def _decode_sheet(book: _Book, path: str, name: str, sheet_name: str, part: str | None, max_cells: int,
-                  two_pass_bytes: int) -> Iterator[list[tuple]]:
-    """Rows of one sheet: its summary row, then its cells in chunks; an error row if it fails."""
+                  two_pass_bytes: int) -> Iterator[list[tuple] | Cells]:
+    """A sheet's summary row, then its cells in chunks; an error row if it fails, and then no cells."""
     try:
         if part is None:
             raise KeyError(f"no part for sheet {sheet_name!r}")
+        held = n_rows = None
         if book.part_size(part) <= two_pass_bytes:
             # one pass: the sheet's non-empty cells are held until its width is known
             held = list(book.iter_rows(part))
-            rows_seen = [r for r, _ in held]
-            cols_seen = sorted({c for _, found in held for c, _ in found})
-            source = held
+            n_rows, used = len(held), {c for _, found in held for c, _ in found}
         else:
-            # two passes: first only the used row/column numbers, then stream the values
-            rows_seen, cols = [], set()
-            for r, found in book.iter_rows(part):
-                rows_seen.append(r)
-                cols.update(c for c, _ in found)
-            cols_seen = sorted(cols)
-            source = None
+            # two passes: first only the used column numbers, then stream the values
+            n_rows, used = 0, set()
+            for _, found in book.iter_rows(part):
+                n_rows += 1
+                used.update(c for c, _ in found)
     except Exception as e:  # one bad sheet does not stop the file
         yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
         return
-    col_ix = {c: i + 1 for i, c in enumerate(cols_seen)}
-    width = len(cols_seen)
-    yield [("sheet", path, name, sheet_name, None, None, None, len(rows_seen), width, None)]
-    chunk = []
-    try:
-        for r_ix, (_, found) in enumerate(source if source is not None else book.iter_rows(part)):
-            values = [None] * width
-            for c, v in found:
-                values[col_ix[c] - 1] = v
-            for j, v in enumerate(values, start=1):
-                chunk.append(("cell", path, name, sheet_name, r_ix, j, v, None, None, None))
-                if len(chunk) >= max_cells:
-                    yield chunk
-                    chunk = []
-    except Exception as e:
-        yield [_error(path, name, sheet_name, f"{type(e).__name__}: {e}")]
-        return
-    if chunk:
-        yield chunk
+    col_ix = {c: i for i, c in enumerate(sorted(used), start=1)}
+    yield [("sheet", path, name, sheet_name, None, None, None, n_rows, len(col_ix), None)]
+    yield from _cell_chunks(path, name, sheet_name, held if held is not None else book.iter_rows(part), col_ix, 0, max_cells)
 
 
 def decode_bytes_file(fileobj, path: str, max_cells: int = 50_000,
-                      two_pass_bytes: int = TWO_PASS_BYTES, sheet_index: int | None = None) -> Iterator[list[tuple]]:
+                      two_pass_bytes: int = TWO_PASS_BYTES,
+                      sheet_index: int | None = None) -> Iterator[list[tuple] | Cells]:
     """Decode one workbook (or only its sheet number ``sheet_index``) from a seekable file object.
 
-    Yields lists of rows.  Memory: a sheet up to ``two_pass_bytes`` of XML is
+    Yields lists of summary and error rows, and stretches of cells.  Memory: a sheet up to ``two_pass_bytes`` of XML is
     held as its non-empty cells; a larger one is parsed twice (row/column
     numbers first, values second), holding only the index sets.
     """
@@ -269,13 +316,15 @@ def sheet_ranges(size: int, range_bytes: int) -> list[tuple[int, int]]:
     return [(i * step, (i + 1) * step if i < k - 1 else size + 1) for i in range(k)]
 
 
-def range_document(stream, start: int, end: int, chunk: int = 1 << 20) -> bytes | None:
-    """A well-formed sheet document holding only the rows whose start tag lies in [start, end).
+def range_document(stream, start: int, end: int, last: bool = False, chunk: int = 1 << 20) -> bytes | None:
+    """A sheet document holding only the rows whose start tag lies in [start, end).
 
     The decompressed stream is read from the beginning (deflate cannot seek),
     but only the rows of the range are kept and later parsed: the head up to
-    ``<sheetData>``, the range's rows, and closing tags.  None for a sheet
-    without rows.
+    ``<sheetData>``, the range's rows, and closing tags.  The ``last`` range
+    ends as the part itself does: it is read to its end, so a damaged end or a
+    wrong checksum shows here as it does when the part is read whole.  None
+    for a sheet without rows.
     """
     buf = bytearray()
     off = 0  # absolute offset of buf[0]
@@ -286,16 +335,16 @@ def range_document(stream, start: int, end: int, chunk: int = 1 << 20) -> bytes
         m = _SHEET_DATA.search(buf)
         if m:
             if m.group(2):  # <sheetData/>: no rows at all
-                return None
+                return bytes(buf) + stream.read() if last else None
             head, prefix = bytes(buf[:m.end()]), m.group(1) or b""
         elif not data:
-            return None
+            return bytes(buf) if last else None
     root = _ROOT_TAG.search(head, head.find(b"<", head.find(b"?>") + 1 if head.startswith(b"<?") else 0)).group(1)
     row_start = re.compile(rb"<" + re.escape(prefix) + rb"row[\s>/]")
     data_end = b"</" + prefix + b"sheetData"
     pos = len(head)  # scanning position inside buf
     begin = None
-    out = None
+    out = rest = None
     while True:
         if begin is None:
             m = row_start.search(buf, pos)
@@ -310,7 +359,7 @@ def range_document(stream, start: int, end: int, chunk: int = 1 << 20) -> bytes
                     break
                 continue
             if stop >= 0:
-                out = b""
+                out, rest = b"", stop
                 break
             keep = max(pos, len(buf) - 64)  # a tag split over two reads stays whole
             off += keep
@@ -323,27 +372,29 @@ def range_document(stream, start: int, end: int, chunk: int = 1 << 20) -> bytes
             stop = buf.find(data_end, begin)
             cut = min(x for x in (m.start() if m else -1, stop) if x >= 0) if (m or stop >= 0) else -1
             if cut >= 0:
-                out = bytes(buf[begin:cut])
+                out, rest = bytes(buf[begin:cut]), cut
                 break
             pos = max(begin, len(buf) - 64)
         data = stream.read(chunk)
         if not data:
-            out = bytes(buf[begin:]) if begin is not None else b""
+            out, rest = bytes(buf[begin:]) if begin is not None else b"", len(buf)
             break
         buf += data
+    if last:
+        return head + out + bytes(buf[rest:]) + stream.read()
     return head + out + b"</" + prefix + b"sheetData></" + root + b">"
 
 
 def _range_rows(book: "_Book", part: str, start: int, end: int):
     import io
 
-    doc = range_document(book.zf.open(part), start, end)
+    doc = range_document(book.zf.open(part), start, end, end > book.part_size(part))
     return [] if doc is None else book.iter_rows(part, source=io.BytesIO(doc))
 
 
 def index_range(path: str, sheet_index: int, start: int, end: int) -> tuple[int, list[int], str | None]:
     """Non-empty row count and column numbers of one byte range of a sheet (first pass of a split sheet)."""
-    with _open(path) as f:
+    with open_input(path) as f:
         book = _Book(zipfile.ZipFile(f))
         sheet_name, part = book.sheets[sheet_index]
         n, cols = 0, set()
@@ -353,34 +404,27 @@ def index_range(path: str, sheet_index: int, start: int, end: int) -> tuple[int,
     return n, sorted(cols), sheet_name
 
 
+def sheet_name(path: str, sheet_index: int) -> str | None:
+    """Name of a sheet, None if even that cannot be read."""
+    try:
+        with open_input(path) as f:
+            return _sheet_list(zipfile.ZipFile(f))[2][sheet_index][0]
+    except Exception:
+        return None
+
+
 def decode_range(path: str, sheet_index: int, start: int, end: int, row_offset: int, cols: list[int],
-                 total_rows: int, first: bool, max_cells: int = 50_000) -> Iterator[list[tuple]]:
+                 total_rows: int, first: bool, max_cells: int = 50_000) -> Iterator[list[tuple] | Cells]:
     """Cells of one byte range of a sheet, numbered with the sheet-wide row offset and column map."""
     shown = plain_path(path)
     name = shown.rsplit("/", 1)[-1]
-    sheet_name = None
-    try:
-        with _open(path) as f:
-            book = _Book(zipfile.ZipFile(f))
-            sheet_name, part = book.sheets[sheet_index]
-            if first:
-                yield [("sheet", shown, name, sheet_name, None, None, None, total_rows, len(cols), None)]
-            col_ix = {c: i + 1 for i, c in enumerate(cols)}
-            width = len(cols)
-            chunk = []
-            for r_ix, (_, found) in enumerate(_range_rows(book, part, start, end), start=row_offset):
-                values = [None] * width
-                for c, v in found:
-                    values[col_ix[c] - 1] = v
-                for j, v in enumerate(values, start=1):
-                    chunk.append(("cell", shown, name, sheet_name, r_ix, j, v, None, None, None))
-                    if len(chunk) >= max_cells:
-                        yield chunk
-                        chunk = []
-            if chunk:
-                yield chunk
-    except Exception as e:
-        yield [_error(shown, name, sheet_name, f"{type(e).__name__}: {e}")]
+    with open_input(path) as f:
+        book = _Book(zipfile.ZipFile(f))
+        sheet_name, part = book.sheets[sheet_index]
+        if first:
+            yield [("sheet", shown, name, sheet_name, None, None, None, total_rows, len(cols), None)]
+        col_ix = {c: i for i, c in enumerate(cols, start=1)}
+        yield from _cell_chunks(shown, name, sheet_name, _range_rows(book, part, start, end), col_ix, row_offset, max_cells)
 
 
 def plan_units(path: str, split_bytes: int, range_bytes: int | None = None) -> list[tuple]:
@@ -400,17 +444,10 @@ def plan_units(path: str, split_bytes: int, range_bytes: int | None = None) -> l
     if ext not in OOXML_EXTENSIONS:
         return [(-1, None, 0, -1, -1)]
     try:
-        with _open(path) as f:
+        with open_input(path) as f:
             zf = zipfile.ZipFile(f)
             sizes = {i.filename: i.file_size for i in zf.infolist()}
-            wb = ET.fromstring(zf.read("xl/workbook.xml"))
-            rels = {}
-            if "xl/_rels/workbook.xml.rels" in sizes:
-                for r in ET.fromstring(zf.read("xl/_rels/workbook.xml.rels")):
-                    target = r.get("Target", "")
-                    rels[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(
-                        "xl/" + target)
-            sheets = [(s.get("name"), rels.get(s.get(f"{NS_REL}id"))) for s in wb.iter(f"{NS_MAIN}sheet")]
+            _, _, sheets = _sheet_list(zf)
     except Exception:
         return [(-1, None, 0, -1, -1)]
     weights = [sizes.get(part, 0) if part else 0 for _, part in sheets]
@@ -426,35 +463,8 @@ def plan_units(path: str, split_bytes: int, range_bytes: int | None = None) -> l
     return units
 
 
-# Hadoop scheme names that pyarrow knows under another name.
-SCHEME_ALIASES = {"s3a": "s3", "s3n": "s3"}
-
-
-def _open(path: str):
-    """Open a path or URI for random access through pyarrow's file systems."""
-    from pyarrow import fs as pafs
-
-    if "://" in path:
-        scheme, rest = path.split("://", 1)
-        filesystem, inner = pafs.FileSystem.from_uri(f"{SCHEME_ALIASES.get(scheme, scheme)}://{rest}")
-    elif path.startswith("file:"):
-        filesystem, inner = pafs.LocalFileSystem(), path[len("file:"):]
-    else:
-        filesystem, inner = pafs.LocalFileSystem(), path
-    return filesystem.open_input_file(inner)
-
-
-def plain_path(path: str) -> str:
-    """``file:/x`` and ``file:///x`` -> ``/x``; other URIs unchanged."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES,
-                sheet_index: int | None = None) -> Iterator[list[tuple]]:
+def decode_chunks(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES,
+                  sheet_index: int | None = None) -> Iterator[list[tuple] | Cells]:
     """Decode the workbook at ``path`` (or one of its sheets); unsupported formats give one error row."""
     shown = plain_path(path)
     name = shown.rsplit("/", 1)[-1]
@@ -463,10 +473,28 @@ def decode_path(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PA
         yield [_error(shown, name, None, f"no decoder for {ext or 'files without extension'}")]
         return
     try:
-        f = _open(path)
+        f = open_input(path)
     except Exception as e:
         yield [_error(shown, name, None, f"{type(e).__name__}: {e}")]
         return
     with f:
         yield from decode_bytes_file(f, shown, max_cells=max_cells, two_pass_bytes=two_pass_bytes,
                                      sheet_index=sheet_index)
+
+
+def decode_path(path: str, **options) -> Iterator[list[tuple]]:
+    """``decode_chunks`` with every chunk as a list of rows."""
+    for chunk in decode_chunks(path, **options):
+        yield chunk.tuples() if isinstance(chunk, Cells) else chunk
+
+
+def content_hash(path: str) -> str | None:
+    """SHA-256 of a file's bytes, None if it cannot be read."""
+    digest = hashlib.sha256()
+    try:
+        with open_input(path) as f:
+            while chunk := f.read(1 << 20):
+                digest.update(chunk)
+    except Exception:
+        return None
+    return digest.hexdigest()

@@ -108,18 +108,3 @@ def write_xlsx(path, sheets: dict, offsets: dict | None = None) -> None:
         z.writestr("xl/styles.xml", styles)
         for i, x in enumerate(sheet_xml, start=1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", x)
-
-
-
-def open_for_write(path: str):
-    """Writable stream for a path or URI (parent folders created), through pyarrow's file systems."""
-    from pyarrow import fs as pafs
-
-    if "://" in path:
-        filesystem, inner = pafs.FileSystem.from_uri(path)
-    else:
-        filesystem, inner = pafs.LocalFileSystem(), path[5:] if path.startswith("file:") else path
-    parent = inner.rsplit("/", 1)[0]
-    if parent:
-        filesystem.create_dir(parent, recursive=True)
-    return filesystem.open_output_stream(inner)

@@ -80,7 +80,7 @@ def ingest_stream(
         sel = batch.where(paths.is_spreadsheet(paths.extension("file_path")))
         if sel.isEmpty():
             return
-        ingest.convert(batch.sparkSession, sel.select("file_path", "modified_at"), output_dir,
+        ingest.convert(batch.sparkSession, sel.select("file_path", "modified_at", "size"), output_dir,
                        f"{stream_id}-{batch_id:09d}")
 
     writer = listing.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)

@@ -41,7 +41,7 @@ def test_value_text_rules(tmp_path):
     p = tmp_path / "v.xlsx"
     write_xlsx(p, {"S": [[1e10, 1 / 3, -2.5, True], [dt.date(2024, 1, 31), dt.datetime(2024, 2, 1, 13, 5, 7), "x", False]]})
     vals = [c[3] for c in _cells(_rows(p))]
-    assert vals == ["10000000000", "0.333333", "-2.5", "true", "2024-01-31", "2024-02-01 13:05:07", "x", "false"]
+    assert vals == ["10000000000", "0.3333333333333333", "-2.5", "true", "2024-01-31", "2024-02-01 13:05:07", "x", "false"]
 
 
 def test_blank_rows_and_columns_dropped_and_renumbered(tmp_path):
