@@ -339,15 +339,15 @@ def roundtrip_check(spark, d):
         "row", *[as_text(F.col(c), types[c]).alias(f"column_{i}") for i, c in enumerate(cols, start=1)]
     )
     back = rs.to_wide(V.sheet_cells(spark, d, "supplier"), n_columns=4).drop("file_path", "worksheet")
-    tagged = (
-        orig.select(F.lit("rows").alias("k"))
-        .unionByName(orig.exceptAll(back).select(F.lit("missing").alias("k")))
-        .unionByName(back.exceptAll(orig).select(F.lit("extra").alias("k")))
-    )
-    return tagged.agg(
-        F.count(F.when(F.col("k") == "rows", 1)).alias("n_rows"),
-        F.count(F.when(F.col("k") == "missing", 1)).alias("n_missing"),
-        F.count(F.when(F.col("k") == "extra", 1)).alias("n_extra"),
+    # one shuffle of both sides: how often each row is in either
+    sides = orig.withColumn("side", F.lit(1)).unionByName(back.withColumn("side", F.lit(-1)))
+    surplus = sides.groupBy(*orig.columns).agg(
+        F.sum("side").alias("surplus"), F.count(F.when(F.col("side") > 0, 1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    return surplus.agg(
+        F.coalesce(F.sum("n"), zero).alias("n_rows"),
+        F.coalesce(F.sum(F.greatest("surplus", zero)), zero).alias("n_missing"),
+        F.coalesce(F.sum(F.greatest(-F.col("surplus"), zero)), zero).alias("n_extra"),
     )
 
 
@@ -412,11 +412,14 @@ def drop_blank_rows_cols(spark, d):
     "empty_sheet_skip",
     "SELECT 'customer_' || CAST(c.c_custkey AS VARCHAR) AS worksheet, CAST(3 * COUNT(o.o_orderkey) AS BIGINT) AS n_cells,"
     " CASE WHEN COUNT(o.o_orderkey) = 0 THEN 'empty' ELSE 'converted' END AS status "
-    "FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey",
+    "FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 40 "
+    "GROUP BY c.c_custkey",
 )
 def empty_sheet_skip(spark, d):
-    """One workbook, one sheet per customer holding its orders; customers without orders are empty sheets."""
-    o = V.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    """One workbook, one sheet per customer holding its large orders; customers without any are empty sheets."""
+    balance = V.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    o = V.table(spark, d, "orders").join(balance, "o_custkey").where(F.col("o_totalprice") > F.col("c_acctbal") * 40).select(
+        "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
     indexed = rs.with_row_index(o, ["o_orderkey"], ["o_custkey"])
     cells = rs.to_cells(
         indexed,
@@ -435,7 +438,7 @@ def empty_sheet_skip(spark, d):
 
 @register("worksheet_filter", with_ctes("SELECT * FROM cells WHERE worksheet = 'nation'", cells=SQL_CELLS))
 def worksheet_filter(spark, d):
-    return cl.select(V.cells(spark, d), worksheet="nation")
+    return cl.select(V.stored_cells(spark, d), worksheet="nation")
 
 
 @register(
@@ -447,7 +450,7 @@ def worksheet_filter(spark, d):
     ),
 )
 def header_row(spark, d):
-    return cl.header_row(V.cells(spark, d))
+    return cl.header_row(V.stored_cells(spark, d))
 
 
 @register(
@@ -460,7 +463,7 @@ def cells_per_file(spark, d):
 
 @register("processed_paths", with_ctes("SELECT DISTINCT file_path FROM cells", cells=SQL_CELLS))
 def processed_paths(spark, d):
-    return cl.processed_paths(V.cells(spark, d))
+    return cl.processed_paths(V.stored_cells(spark, d))
 
 
 PROCESSED_BALANCE = 5000
@@ -553,7 +556,7 @@ def run_stats(spark, d):
     ),
 )
 def output_summary(spark, d):
-    return cl.output_summary(V.cells(spark, d))
+    return cl.output_summary(V.stored_cells(spark, d))
 
 
 @register(
@@ -565,7 +568,7 @@ def output_summary(spark, d):
     ),
 )
 def preview_head(spark, d):
-    return cl.preview(V.cells(spark, d), "/data/SOV/customer.xlsx")
+    return cl.preview(V.stored_cells(spark, d), "/data/SOV/customer.xlsx")
 
 
 @register(
@@ -784,3 +787,219 @@ def ingest_workbooks(spark, d):
     )
     ingest.run(spark, catalog_source.scan(spark, [folder]), out, path_rule=None)
     return cells_io.read_cells(spark, out).select("file_name", "worksheet", "row", "column", "value")
+
+
+# Written workbooks, by number of the nation modulo 5: left as they are, a row's tag broken, a value changed under its
+# checksum, plain text in place of the workbook, a sheet without rows.
+SPOILED = ("good", "torn", "altered", "text", "empty")
+
+
+def _spoil(batches):
+    """Workbooks (path, kind) in; their bytes changed as the kind says."""
+    import io
+    import zipfile
+
+    from ..sources.files import open_input, open_output
+
+    for batch in batches:
+        for path, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if kind == "good":
+                continue
+            with open_input(path) as f:
+                book = zipfile.ZipFile(io.BytesIO(f.read()))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                for name in book.namelist():
+                    data = book.read(name)
+                    if name.startswith("xl/worksheets/"):
+                        if kind == "torn":
+                            at = data.rindex(b"<row")
+                            data = data[:at] + data[at:].replace(b"</c>", b"</d>", 1)
+                        elif kind == "empty":
+                            data = data[:data.index(b"<row")] + data[data.index(b"</sheetData"):]
+                    z.writestr(name, data)
+            data = out.getvalue()
+            if kind == "altered":
+                at = data.index(b"<v>", data.index(b'r="2"')) + 3
+                data = data[:at] + (b"7" if data[at:at + 1] != b"7" else b"8") + data[at + 1:]
+            with open_output(path) as f:
+                f.write(b"this is not a workbook" if kind == "text" else data)
+        yield batch
+
+
+_SQL_PARTS = (
+    "SELECT n AS nation, p + 1 AS part, least(" + str(WORKBOOK_ROWS) + ", c - p * " + str(WORKBOOK_ROWS) + ") AS rows FROM ("
+    "SELECT c_nationkey AS n, count(*) AS c, unnest(range((count(*) + " + str(WORKBOOK_ROWS - 1) + ") // " + str(WORKBOOK_ROWS) + ")) AS p"
+    " FROM customer GROUP BY c_nationkey)"
+)
+
+
+def _customer_workbooks(spark, d, folder):
+    """Customers of each nation as workbooks of 50 rows: number, name and balance under a header row."""
+    return synth.write_workbooks(
+        V.table(spark, d, "customer"), folder, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")), ["c_custkey"],
+        ["c_custkey", "c_name", "c_acctbal"], sheet="customers", rows_per_file=WORKBOOK_ROWS)
+
+
+@register(
+    "ingest_faults",
+    with_ctes(
+        "SELECT cut, 'nation_' || nation || '_part_' || part || '.xlsx' AS file_name, "
+        "CASE nation % 5 WHEN 0 THEN 'ok' WHEN 4 THEN 'empty' ELSE 'error' END AS status, "
+        "CAST(CASE WHEN nation % 5 IN (0, 4) THEN 1 ELSE 0 END AS BIGINT) AS n_sheets, "
+        "CAST(CASE nation % 5 WHEN 0 THEN 3 * (rows + 1) ELSE 0 END AS BIGINT) AS n_cells, "
+        "CAST(CASE WHEN nation % 5 IN (0, 4) THEN 0 ELSE 1 END AS BIGINT) AS n_errors, "
+        "CAST(CASE nation % 5 WHEN 0 THEN 3 * (rows + 1) ELSE 0 END AS BIGINT) AS stored_cells "
+        "FROM parts, (VALUES ('whole'), ('ranges')) AS t(cut)",
+        parts=_SQL_PARTS,
+    ),
+)
+def ingest_faults(spark, d):
+    """Good, damaged, empty and non-workbook files converted whole and cut into small byte ranges: ledger and cells."""
+    from ..session import scratch_dir, ship_package
+    from ..sources import catalog as catalog_source
+    from ..sources import cells_io, ingest
+
+    folder = scratch_dir(spark, "faults")
+    written = _customer_workbooks(spark, d, folder)
+    ship_package(spark)
+    nation = F.regexp_extract("file_path", r"nation_(\d+)_", 1).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k) for k in SPOILED]), F.pmod(nation, F.lit(5)) + 1)
+    written.select("file_path", kind.alias("kind")).mapInArrow(_spoil, "file_path string, kind string").count()
+    listed = catalog_source.scan(spark, [folder])
+    out = None
+    for cut, options in (("whole", {}), ("ranges", {"split_file_bytes": 0, "split_xml_bytes": 0, "range_xml_bytes": 700})):
+        to = scratch_dir(spark, "faults-out")
+        ingest.run(spark, listed, to, path_rule=None, **options)
+        stored = cells_io.read_cells(spark, to).groupBy("file_path").agg(F.count("*").alias("stored"))
+        one = cells_io.read_ledger(spark, f"{to}/ledger").join(stored, "file_path", "left").select(
+            F.lit(cut).alias("cut"), paths.base_name("file_path").alias("file_name"), "status", "n_sheets", "n_cells", "n_errors",
+            F.coalesce("stored", F.lit(0).cast("bigint")).alias("stored_cells"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Folders that names make awkward, by number of the nation modulo 4.
+AWKWARD = ("_x", ".y", "a [1]", "flat")
+
+
+@register(
+    "scan_tree",
+    with_ctes(
+        "SELECT kind, path FROM (SELECT 'file' AS kind, "
+        "CASE nation % 4 WHEN 0 THEN '_x' WHEN 1 THEN '.y' WHEN 2 THEN 'a [1]' ELSE 'flat' END || '/nation_' || nation || "
+        "'_part_' || part || '.xlsx' AS path FROM parts UNION ALL "
+        "SELECT 'folder', unnest(['_x', '.y', 'a [1]', 'flat', 'SOV', 'SOV/z']) UNION ALL SELECT 'marker', 'SOV/z')",
+        parts=_SQL_PARTS,
+    ),
+)
+def scan_tree(spark, d):
+    """Workbooks under hidden, bracketed and flat folders and a folder without files, listed on the executors."""
+    from ..session import scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources.files import filesystem, plain_path
+
+    folder = plain_path(scratch_dir(spark, "tree"))
+    pick = F.element_at(F.array(*[F.lit(k) for k in AWKWARD]), F.pmod(F.col("c_nationkey"), F.lit(4)).cast("int") + 1)
+    synth.write_workbooks(
+        V.table(spark, d, "customer"), folder, F.concat(pick, F.lit("/nation_"), F.col("c_nationkey").cast("string")), ["c_custkey"],
+        ["c_custkey", "c_name"], sheet="customers", rows_per_file=WORKBOOK_ROWS)
+    system, inner, _ = filesystem(f"{folder}/SOV/z")
+    system.create_dir(inner, recursive=True)
+    below = F.substring(F.col("path"), len(folder) + 2, 1_000)
+    files = catalog_source.scan(spark, [folder]).select(F.lit("file").alias("kind"), F.col("file_path").alias("path"))
+    dirs = catalog_source.folders(spark, [folder]).where(F.col("folder") != folder)
+    marked = dirs.where(paths.under_marker("folder")).select(F.lit("marker").alias("kind"), F.col("folder").alias("path"))
+    dirs = dirs.select(F.lit("folder").alias("kind"), F.col("folder").alias("path"))
+    return files.unionByName(dirs).unionByName(marked).select("kind", below.alias("path"))
+
+
+_SQL_TWICE = (
+    "SELECT 'nation_' || nation || '_part_' || part || '.xlsx' AS file_name, "
+    "CASE nation % 3 WHEN 0 THEN 'changed' WHEN 1 THEN 'touched' ELSE 'same' END AS state, "
+    "CAST(CASE nation % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS runs, "
+    "CAST(CASE nation % 3 WHEN 0 THEN 2 * (rows + 1) ELSE 3 * (rows + 1) END AS BIGINT) AS latest_cells, "
+    "CAST(CASE nation % 3 WHEN 0 THEN 5 * (rows + 1) ELSE 3 * (rows + 1) END AS BIGINT) AS all_cells FROM parts"
+)
+
+
+def _written_again(spark, d, folder):
+    """Workbooks of a third of the nations get other content, those of another third the same bytes at a later time."""
+    c = V.table(spark, d, "customer")
+    stem = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
+    third = F.pmod(F.col("c_nationkey"), F.lit(3))
+    synth.write_workbooks(c.where(third == 0), folder, stem, ["c_custkey"], ["c_custkey", "c_name"], sheet="customers",
+                          rows_per_file=WORKBOOK_ROWS)
+
+    def copied(batches):
+        from ..sources.files import open_input, open_output
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open_input(path) as f:
+                    data = f.read()
+                with open_output(path) as f:
+                    f.write(data)
+            yield batch
+
+    from ..sources import catalog as catalog_source
+
+    nation = F.regexp_extract("file_path", r"nation_(\d+)_", 1).cast("int")
+    catalog_source.list_files(spark, [folder]).where(F.pmod(nation, F.lit(3)) == 1).select("file_path").mapInArrow(
+        copied, "file_path string").count()
+
+
+@register("reconvert_modified", with_ctes(_SQL_TWICE, parts=_SQL_PARTS))
+def reconvert_modified(spark, d):
+    """Converted, changed and touched, converted again: runs of each file, cells of its latest version and of all."""
+    from ..operators.changes import detect
+    from ..session import cut_lineage, scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources import cells_io, ingest
+
+    folder, to = scratch_dir(spark, "changing"), scratch_dir(spark, "changing-out")
+    _customer_workbooks(spark, d, folder)
+    ingest.run(spark, catalog_source.scan(spark, [folder]), to, path_rule=None)
+    before = cut_lineage(cells_io.read_ledger(spark, f"{to}/ledger").select("file_path", "modified_at", "file_hash"))
+    _written_again(spark, d, folder)
+    listed = cut_lineage(catalog_source.scan(spark, [folder]))
+    status = detect(before, listed).select("file_path", "status")
+    ingest.run(spark, listed, to, path_rule=None)
+    touched = listed.select("file_path", F.col("modified_at").alias("now")).join(before, "file_path").where("now <> modified_at")
+    state = status.join(touched.select("file_path", F.lit(True).alias("t")), "file_path", "left").select(
+        "file_path", F.when(F.col("status") == "modified", "changed").when(F.col("t"), "touched").otherwise("same").alias("state"))
+    runs = cells_io.read_ledger(spark, f"{to}/ledger").groupBy("file_path").agg(F.count("*").alias("runs"))
+    latest = cells_io.read_cells(spark, to).groupBy("file_path").agg(F.count("*").alias("latest_cells"))
+    every = cells_io.read_cells(spark, to, latest_only=False).groupBy("file_path").agg(F.count("*").alias("all_cells"))
+    return state.join(runs, "file_path").join(latest, "file_path").join(every, "file_path").select(
+        paths.base_name("file_path").alias("file_name"), "state", "runs", "latest_cells", "all_cells")
+
+
+@register(
+    "stream_incremental",
+    with_ctes(
+        "SELECT 'nation_' || nation || '_part_' || part || '.xlsx' AS file_name, "
+        "CASE WHEN nation % 2 = 0 THEN 'first' ELSE 'second' END AS batch, CAST(3 * (rows + 1) AS BIGINT) AS n_cells FROM parts",
+        parts=_SQL_PARTS,
+    ),
+)
+def stream_incremental(spark, d):
+    """Two availableNow streams over a folder that grows in between: each file is converted once, by the run that saw it first."""
+    from ..session import cut_lineage, scratch_dir
+    from ..sources import cells_io
+    from ..streaming.stream import ingest_stream
+
+    folder, to, checkpoint = (scratch_dir(spark, f"stream{x}") for x in ("", "-out", "-checkpoint"))
+    c = V.table(spark, d, "customer")
+    stem = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
+    out = None
+    for batch, odd in (("first", 0), ("second", 1)):
+        synth.write_workbooks(c.where(F.pmod(F.col("c_nationkey"), F.lit(2)) == odd), folder, stem, ["c_custkey"],
+                              ["c_custkey", "c_name", "c_acctbal"], sheet="customers", rows_per_file=WORKBOOK_ROWS)
+        ingest_stream(spark, folder, to, checkpoint, path_rule=None).awaitTermination()
+        seen = cells_io.read_cells(spark, to).groupBy("file_name").agg(F.count("*").alias("n_cells"))
+        if out is not None:
+            seen = seen.join(out, "file_name", "left_anti")
+        seen = cut_lineage(seen.withColumn("batch", F.lit(batch)))
+        out = seen if out is None else out.unionByName(seen)
+    return out.select("file_name", "batch", "n_cells")

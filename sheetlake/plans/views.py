@@ -137,6 +137,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells written to a folder of Parquet and read back: what queries on stored cells scan."""
+    from ..session import scratch_dir
+    from ..sources import cells_io
+
+    folder = scratch_dir(spark, "cells")
+    cells_io.write_cells(cells(spark, sf_dir), folder)
+    return cells_io.read_cells(spark, folder)
+
+
 def _sql_text(table_name: str, col: str) -> str:
     # doubles go through fixed-point text; see functions.text
     doubles = {"s_acctbal", "c_acctbal"}
