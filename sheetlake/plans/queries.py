@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import paths
 from ..functions.text import as_text
@@ -827,6 +828,12 @@ def _spoil(batches):
         yield batch
 
 
+def _spoiled(written):
+    nation = F.regexp_extract("file_path", r"nation_(\d+)_", 1).cast("int")
+    kind = F.element_at(F.array(*[F.lit(k) for k in SPOILED]), F.pmod(nation, F.lit(5)) + 1)
+    return written.select("file_path", kind.alias("kind")).mapInArrow(_spoil, "file_path string, kind string")
+
+
 _SQL_PARTS = (
     "SELECT n AS nation, p + 1 AS part, least(" + str(WORKBOOK_ROWS) + ", c - p * " + str(WORKBOOK_ROWS) + ") AS rows FROM ("
     "SELECT c_nationkey AS n, count(*) AS c, unnest(range((count(*) + " + str(WORKBOOK_ROWS - 1) + ") // " + str(WORKBOOK_ROWS) + ")) AS p"
@@ -863,9 +870,7 @@ def ingest_faults(spark, d):
     folder = scratch_dir(spark, "faults")
     written = _customer_workbooks(spark, d, folder)
     ship_package(spark)
-    nation = F.regexp_extract("file_path", r"nation_(\d+)_", 1).cast("int")
-    kind = F.element_at(F.array(*[F.lit(k) for k in SPOILED]), F.pmod(nation, F.lit(5)) + 1)
-    written.select("file_path", kind.alias("kind")).mapInArrow(_spoil, "file_path string, kind string").count()
+    _spoiled(written).count()
     listed = catalog_source.scan(spark, [folder])
     out = None
     for cut, options in (("whole", {}), ("ranges", {"split_file_bytes": 0, "split_xml_bytes": 0, "range_xml_bytes": 700})):
@@ -1003,3 +1008,127 @@ def stream_incremental(spark, d):
         seen = cut_lineage(seen.withColumn("batch", F.lit(batch)))
         out = seen if out is None else out.unionByName(seen)
     return out.select("file_name", "batch", "n_cells")
+
+
+# ---------------------------------------------------------------------------
+# smaller operators on stored cells and runs
+
+
+@register(
+    "numbered_cells",
+    with_ctes(
+        "SELECT worksheet, \"column\" AS column_number, COUNT(value) AS n_values FROM cells WHERE value IS NOT NULL GROUP BY ALL",
+        cells=SQL_CELLS,
+    ),
+)
+def numbered_cells(spark, d):
+    """Stored cells whose column is its auto name: the number back from the name, cells without a value left out."""
+    from ..functions.text import column_name, column_number
+
+    named = cl.select(V.stored_cells(spark, d).withColumn("column", column_name("column")), non_null=True)
+    return named.groupBy("worksheet", column_number("column").alias("column_number")).agg(F.count("value").alias("n_values"))
+
+
+@register(
+    "unpivot_all_but",
+    "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS row, CAST(1 AS BIGINT) AS \"column\", "
+    "CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL "
+    "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT), CAST(2 AS BIGINT), r_name FROM region UNION ALL "
+    "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT), CAST(1 AS BIGINT), CAST(n_nationkey AS VARCHAR) FROM nation "
+    "UNION ALL SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT), CAST(2 AS BIGINT), n_name FROM nation "
+    "UNION ALL SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT), CAST(3 AS BIGINT), CAST(n_regionkey AS VARCHAR) "
+    "FROM nation",
+)
+def unpivot_all_but(spark, d):
+    """Every column but the row number becomes cells, without a list of columns."""
+    out = None
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey")):
+        one = rs.to_cells(rs.with_row_index(V.table(spark, d, name), [key])).select("row", "column", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "modified_text",
+    "SELECT event_id, " + V.SQL_ISO.format(t="ts") + " AS modified FROM events",
+)
+def modified_text(spark, d):
+    return V.table(spark, d, "events").select("event_id", ch.modified_text("ts").alias("modified"))
+
+
+@register(
+    "old_output",
+    with_ctes("SELECT worksheet, COUNT(*) AS n_cells, CAST(0 AS BIGINT) AS n_versions FROM cells GROUP BY worksheet", cells=SQL_CELLS),
+)
+def old_output(spark, d):
+    """Cells stored without a version column, read with one."""
+    from .. import schema
+    from ..session import scratch_dir
+    from ..sources import cells_io
+
+    folder = scratch_dir(spark, "old")
+    cells_io.write_cells(V.cells(spark, d), folder)
+    read = cells_io.read_cells(spark, folder, extra=schema.CELL_VERSION)
+    return read.groupBy("worksheet").agg(F.count("*").alias("n_cells"), F.count("source_modified_at").alias("n_versions"))
+
+
+@register(
+    "gated_runs",
+    with_ctes(
+        "SELECT 'no marker' AS run, CAST(0 AS BIGINT) AS files, CAST(0 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS errors, 0 AS code "
+        "UNION ALL SELECT 'empty marker folder', count(*), CAST(sum(3 * (rows + 1)) AS BIGINT), 0, 0 FROM parts "
+        "UNION ALL SELECT 'explicit list', 2, CAST(3 * ((SELECT rows FROM parts WHERE nation = 0 AND part = 1) + 1) AS BIGINT), 1, 2",
+        parts=_SQL_PARTS,
+    ),
+)
+def gated_runs(spark, d):
+    """The gate without and with a marker folder (one without files), and an explicit list with a file that is no workbook."""
+    from ..session import scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources import ingest
+    from ..sources.files import filesystem, open_output, plain_path
+
+    folder = plain_path(scratch_dir(spark, "gate"))
+    _customer_workbooks(spark, d, folder)
+    listed = catalog_source.scan(spark, [folder])
+
+    def totals(run, r):
+        return (run, r["files"], r["rows"], r["errors"], ingest.exit_code(r))
+
+    def gated(run):
+        return totals(run, ingest.run(spark, listed, scratch_dir(spark, "gate-out"), path_rule="gate",
+                                      folders=catalog_source.folders(spark, [folder])))
+
+    rows = [gated("no marker")]
+    system, inner, _ = filesystem(f"{folder}/SOV/2024")
+    system.create_dir(inner, recursive=True)
+    rows.append(gated("empty marker folder"))
+    with open_output(f"{folder}/notes.txt") as f:
+        f.write(b"not a workbook")
+    rows.append(totals("explicit list", ingest.convert_files(
+        spark, [f"{folder}/nation_0_part_1.xlsx", f"{folder}/notes.txt"], scratch_dir(spark, "gate-out"))))
+    schema = StructType.fromDDL("run string, files bigint, cells bigint, errors bigint, code int")
+    return literal_rows(spark, rows, schema)
+
+
+@register(
+    "run_ledger_totals",
+    with_ctes(
+        "SELECT count(*) AS files, CAST(sum(CASE WHEN nation % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS sheets, "
+        "CAST(sum(CASE WHEN nation % 5 = 0 THEN 3 * (rows + 1) ELSE 0 END) AS BIGINT) AS rows, "
+        "CAST(sum(CASE WHEN nation % 5 IN (0, 4) THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS skipped FROM parts",
+        parts=_SQL_PARTS,
+    ),
+)
+def run_ledger_totals(spark, d):
+    """Totals of a run over good, damaged, empty and non-workbook files, from its ledger."""
+    from ..session import scratch_dir, ship_package
+    from ..sources import catalog as catalog_source
+    from ..sources import cells_io, ingest
+
+    folder, to = scratch_dir(spark, "totals"), scratch_dir(spark, "totals-out")
+    written = _customer_workbooks(spark, d, folder)
+    ship_package(spark)
+    _spoiled(written).count()
+    ingest.run(spark, catalog_source.scan(spark, [folder]), to, path_rule=None)
+    return ingest.run_totals(cells_io.read_ledger(spark, f"{to}/ledger"))
