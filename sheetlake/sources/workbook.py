@@ -18,6 +18,7 @@ Rows are tuples in the order of ``schema.DECODED``:
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 import hashlib
 import posixpath
 import re
@@ -50,6 +51,7 @@ _EPOCH_1904 = _dt.datetime(1904, 1, 1)
 _NUMBER = re.compile(r"([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?")
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def stored_number_text(raw: str) -> str:
     """A stored number's text: its digits as they are, exponent expanded, needless zeros left out."""
     raw = raw.strip()
@@ -72,6 +74,7 @@ def number_text(x: float) -> str:
     return str(x) if x != x or x in (float("inf"), float("-inf")) else stored_number_text(repr(float(x)))
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def date_text(epoch: _dt.datetime, raw: str) -> str:
     """A date serial as text, to the millisecond; a serial that is no date stays a number."""
     try:
