@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from sheetlake.session import cut_lineage, ship_package, shuffle_partitions
 
-__all__ = ["BROADCAST_ROWS", "WORD", "cut", "join_small", "partitions", "table", "usable_vector", "words_in", "ready"]
+__all__ = ["BROADCAST_BYTES", "WORD", "cut", "join_small", "partitions", "table", "usable_vector", "words_in", "ready"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key list of at most this many rows (a few dozen bytes each) is broadcast; a longer one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A list of keys whose measured rows come to at most this many bytes is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 64 << 20
 
 cut = cut_lineage
 partitions = shuffle_partitions
@@ -34,13 +34,14 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_small(df: DataFrame, keys: DataFrame, on: list[str], how: str, n_keys: int) -> DataFrame:
-    """Join a wide frame with a list of keys whose row count was measured.
+def join_small(df: DataFrame, keys: DataFrame, on: list[str], how: str, n_keys: int, row_bytes: int = 40) -> DataFrame:
+    """Join a wide frame with a list of keys (or spans) of measured length.
 
-    Up to :data:`BROADCAST_ROWS` keys travel to the wide rows; beyond that both
-    sides are shuffled.  The result is the same either way.
+    Up to :data:`BROADCAST_BYTES` of them travel to the wide rows; beyond that
+    both sides are shuffled.  The result is the same either way.  Where rows
+    hold arrays, ``n_keys`` counts the elements.
     """
-    return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, how)
+    return df.join(F.broadcast(keys) if n_keys * row_bytes <= BROADCAST_BYTES else keys, on, how)
 
 
 def usable_vector(vec: Column) -> Column:

@@ -44,7 +44,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

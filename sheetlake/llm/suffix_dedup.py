@@ -92,8 +92,8 @@ def all_anchors(rows: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 found = [anchors(t.encode()) for t in some.column("text").to_pylist()]
                 n = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
@@ -107,12 +107,12 @@ def all_anchors(rows: DataFrame) -> DataFrame:
 def context_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram, context, left, right: the bytes around one occurrence of each wanted context (row, place, gram, context)."""
     lists = cut(wanted.groupBy("row").agg(F.collect_list(F.struct("place", "gram", "context")).alias("at")))
-    joined = join_small(rows.select("row", "text"), lists, ["row"], "inner", lists.count())
+    joined = join_small(rows.select("row", "text"), lists, ["row"], "inner", lists.agg(F.sum(F.size("at"))).head()[0] or 0)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 out: list[tuple] = []
                 for text, places in zip(some.column("text").to_pylist(), some.column("at").to_pylist(), strict=True):
                     raw = text.encode()
@@ -239,7 +239,7 @@ def resolved_by_window(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """row, spans: for each row with repeated strings, where they lie (from, to), not merged yet."""
+    """row, spans: for each row with repeated strings, where they lie (from, to); an end may be past that of the text."""
     found = cut(all_anchors(rows))
     kinds = cut(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
     groups = kinds.groupBy("gram").agg(F.count("*").alias("contexts"), F.max("n").alias("most")).where("contexts > 1 or most > 1")
@@ -257,21 +257,33 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     reach = LENGTH - GRAM  # a context that is repeated as a whole: all it holds
     start = F.greatest(F.col("s.from"), F.lit(-reach)) + F.col("place")
     end = F.least(F.col("s.to"), F.lit(LENGTH)) + F.col("place")
-    return at.groupBy("row").agg(F.collect_list(F.struct(F.greatest(start, F.lit(0)).alias("from"), end.alias("to"))).alias("spans"))
+    lists = at.groupBy("row").agg(F.collect_list(F.struct(F.greatest(start, F.lit(0)).alias("from"), end.alias("to"))).alias("spans"))
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), merged_lists(batch.column("spans"))], ["row", "spans"])
+
+    return lists.mapInArrow(joined, "row long, spans array<struct<from: long, to: long>>")
 
-def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
-    """The spans within a text of ``size`` bytes, touching ones made one."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["from"], min(s["to"], size)) for s in spans or ()):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
 
+def merged_lists(spans: pa.ListArray) -> pa.ListArray:
+    """Lists of spans (from, to), in each list those that touch made one."""
+    sizes = np.diff(spans.offsets.to_numpy())
+    fields = spans.flatten().flatten()
+    base = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 40  # lists one after the other on one line
+    start, end = fields[0].to_numpy() + base, fields[1].to_numpy() + base
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    rows = start[first] >> 40
+    low = (1 << 40) - 1
+    values = pa.StructArray.from_arrays([pa.array(start[first] & low), pa.array(end[last] & low)], ["from", "to"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
     """Every document without the bytes that a repeated string of :data:`LENGTH` bytes covers.
 
     Strings are judged on the input: all their occurrences go, overlapping ones
@@ -280,28 +292,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies of each other; a null id stays null.  An empty table gives no rows;
     other columns are ignored.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless not asked for, kept (the remaining bytes).
     """
     spark = ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     spans = cut(repeated_spans(rows))
-    joined = join_small(rows, spans, ["row"], "left", spans.count())
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    joined = join_small(rows, spans, ["row"], "left", spans.agg(F.sum(F.size("spans"))).head()[0] or 0)
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+              ("kept_sha256", pa.string()), *[("kept", pa.binary())] * with_bytes]
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some, out = batch.slice(at, 512), []
+            for at in range(0, batch.num_rows, 256):
+                some, out = batch.slice(at, 256), []
                 for doc, text, found in zip(*(some.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                     raw = text.encode()
-                    gone, parts, last = merged(found, len(raw)), [], 0
-                    for start, end in gone:
-                        parts.append(raw[last:start])
-                        last = end
+                    parts, last = [], 0
+                    for span in found or ():  # a span may end past the text
+                        parts.append(raw[last : span["from"]])
+                        last = min(span["to"], len(raw))
                     kept = b"".join([*parts, raw[last:]])
-                    out.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    row = (doc, len(raw), len(raw) - len(kept), len(found or ()), hashlib.sha256(kept).hexdigest())
+                    out.append((*row, kept) if with_bytes else row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    return joined.mapInArrow(
-        removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+                             + ", kept binary" * with_bytes)
