@@ -123,24 +123,26 @@ def sheets_to_cells(sheets: Sequence[tuple[DataFrame, str | Column, Mapping[str,
 
     Each entry: (frame, order key, lineage literals ``file_path``/``file_name``/
     ``worksheet``, value columns).  Every sheet becomes rows of (lineage, order
-    key as bigint, array of value texts); the union gets one skew-safe row index
-    per (file_path, worksheet) -- one lineage cut for all sheets instead of one
-    per sheet -- and ``posexplode`` turns each array into numbered cells (nulls
-    kept).
+    key in its own type, array of value texts); the union gets one skew-safe row
+    index per (file_path, worksheet) -- one lineage cut for all sheets instead
+    of one per sheet -- and ``posexplode`` turns each array into numbered cells
+    (nulls kept).
     """
+    orders = [df.select((F.col(o) if isinstance(o, str) else o).alias("k")).schema["k"].dataType for df, o, _, _ in sheets]
+    kinds = list(dict.fromkeys(orders))  # one order column for each type of key; a sheet fills its own
     parts = []
-    for df, order, lineage, cols in sheets:
+    for (df, order, lineage, cols), own in zip(sheets, orders):
         types = dict((f.name, f.dataType) for f in df.schema.fields)
         order_col = F.col(order) if isinstance(order, str) else order
         parts.append(df.select(
             *[F.lit(lineage[k]).alias(k) for k in ("file_path", "file_name", "worksheet")],
-            order_col.cast("bigint").alias("_sl_order"),
+            *[(order_col if kind == own else F.lit(None).cast(kind)).alias(f"_sl_order{i}") for i, kind in enumerate(kinds)],
             F.array(*[as_text(F.col(c), types[c]) for c in cols]).alias("_sl_values"),
         ))
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
-    indexed = with_row_index(stacked, ["_sl_order"], ["file_path", "worksheet"])
+    indexed = with_row_index(stacked, [f"_sl_order{i}" for i in range(len(kinds))], ["file_path", "worksheet"])
     cells = indexed.select("file_path", "file_name", "worksheet", "row",
                            F.posexplode("_sl_values").alias("_sl_pos", "value"))
     return cells.select("file_path", "file_name", "worksheet", "row",

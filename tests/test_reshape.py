@@ -98,3 +98,21 @@ def test_write_cells_layouts_read_back_whole(spark, tmp_path):
         cells_io.write_cells(cells.limit(0), out, buckets=4, layout=layout)  # appending nothing changes nothing
         back = cells_io.read_cells(spark, out)
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+
+
+def test_sheets_ordered_by_keys_of_any_type(spark):
+    import datetime as dt
+
+    from sheetlake.operators import reshape
+
+    def sheet(name, rows, kind):
+        frame = spark.createDataFrame(rows, f"k {kind}, v string").repartition(3)
+        return frame, "k", {"file_path": f"/{name}", "file_name": name, "worksheet": "s"}, ["v"]
+
+    cells = reshape.sheets_to_cells([
+        sheet("text", [("b", "2"), ("a", "1"), ("c", "3")], "string"),
+        sheet("fraction", [(1.75, "3"), (1.25, "1"), (1.5, "2")], "double"),
+        sheet("day", [(dt.date(2024, 1, 2), "2"), (dt.date(2024, 1, 1), "1")], "date"),
+        sheet("whole", [(10, "2"), (9, "1")], "long"),
+    ])
+    assert all(int(r.value) == r.row + 1 for r in cells.collect()) and cells.count() == 10
