@@ -100,6 +100,22 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM e)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f"""
 
+# every window of every text as hex digits, those that occur twice, their runs, and what is left between them
+_OP6 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY g) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+t AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM t GROUP BY doc_id, k),
+q AS (SELECT doc_id, count(*) AS m, CAST(sum(b - a) AS BIGINT) AS gone, list_concat([0], list(b ORDER BY a)) AS ends, list(a ORDER BY a) AS starts
+      FROM p GROUP BY doc_id),
+f AS (SELECT d.doc_id, h, n, coalesce(gone, 0) AS gone, coalesce(m, 0) AS m, coalesce(ends, [0]) AS ends,
+      list_concat(coalesce(starts, []), [n]) AS starts FROM d LEFT JOIN q ON q.doc_id = d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(m AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, m + 2), lambda j: substr(h, 2 * ends[j] + 1, 2 * (starts[j] - ends[j]))), ''))) AS kept_sha256
+FROM f"""
+
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 _OP9 = f"""
@@ -125,7 +141,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_jaccard": (op3_jaccard, _OP3),
     "op4_html_text": (op4_html_text, _OP4),
     "op5_warc": (op5_warc, _OP5),
-    "op6_suffix_dedup": (op6_suffix_dedup, None),
+    "op6_suffix_dedup": (op6_suffix_dedup, _OP6),
     "op7_pack": (op7_pack, None),
     "op8_secrets": (op8_secrets, None),
     "op9_topk": (op9_topk, _OP9),
