@@ -58,35 +58,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     The same guarantee as ``checkpoint()`` -- the result is on the shared file
     system, later stages never recompute (or re-randomise) its lineage, and a
     lost executor costs nothing -- but columnar and compressed instead of
     serialised rows.  Folders are named per call and left for the cluster's
-    checkpoint clean-up, like RDD checkpoints.
+    checkpoint clean-up, like RDD checkpoints; a caller that knows when its
+    frame is done gives a list (``made``) and passes it to ``drop_cuts``.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/sheetlake-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     _CUTS.setdefault(id(spark.sparkContext._jsc), []).append(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _CUTS: dict[int, list[str]] = {}
 
 
-def drop_lineage_cuts(spark: SparkSession) -> int:
-    """Delete the lineage-cut folders this context wrote; call when their frames are no longer used."""
+def drop_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these lineage-cut folders; nothing may read their frames any more."""
     sc = spark.sparkContext
-    paths = _CUTS.pop(id(sc._jsc), [])
-    jvm = sc._jvm
-    conf = sc._jsc.hadoopConfiguration()
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    known = _CUTS.get(id(sc._jsc), [])
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(conf).delete(hp, True)
+        if p in known:
+            known.remove(p)
+
+
+def drop_lineage_cuts(spark: SparkSession) -> int:
+    """Delete all lineage-cut folders this context wrote; call when their frames are no longer used."""
+    paths = list(_CUTS.get(id(spark.sparkContext._jsc), []))
+    drop_cuts(spark, paths)
     return len(paths)
 
 

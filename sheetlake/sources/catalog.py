@@ -216,6 +216,7 @@ def load_or_scan(spark: SparkSession, roots: Sequence[str], path: str, rescan: b
     if cached is not None and not missing:
         return cached.where(F.col("root").isin(usable))
     fresh = cut_lineage(scan(spark, missing)) if missing else S.empty(spark, S.CATALOG)
+    # the store is replaced below, so what stays of it is read from a copy
     kept = S.empty(spark, S.CATALOG) if cached is None else cut_lineage(cached.where(~F.col("root").isin(missing)))
     everything = kept.unionByName(fresh)
     try:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, drop_cuts, ship_package
 from . import workbook
 
 
@@ -283,7 +283,8 @@ def _decode_partition(batches, max_cells: int, batch_rows: int):
 def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int = 50_000,
                    n_files: int | None = None, batch_rows: int = 20_000, n_bytes: int | None = None,
                    bytes_per_task: int = 256 << 10, split_file_bytes: int = 8 << 20,
-                   split_xml_bytes: int = 32 << 20, range_xml_bytes: int = 64 << 20) -> DataFrame:
+                   split_xml_bytes: int = 32 << 20, range_xml_bytes: int = 64 << 20,
+                   cuts: list[str] | None = None) -> DataFrame:
     """Decode every selected workbook into ``schema.DECODED`` rows.
 
     ``selected`` needs ``file_path`` (a path or URI), optionally ``size`` and
@@ -300,7 +301,8 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     ``bytes_per_task`` of input (about a second of decoding; by file count when
     sizes are unknown), never fewer than two tasks per core.  Each task holds
     one workbook (or sheet) at a time and emits it in chunks of at most
-    ``max_cells`` rows.
+    ``max_cells`` rows.  ``cuts`` collects the lineage cuts of the planning,
+    which the frame reads until it has been written.
     """
     modified = F.col("modified_at") if "modified_at" in selected.columns else F.lit(None).cast("timestamp")
     size = F.col("size") if "size" in selected.columns else F.lit(None).cast("bigint")
@@ -322,7 +324,7 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     else:
         planned = cut_lineage(
             large_paths.repartition(max(floor, large_paths.count()), F.xxhash64("file_path"))
-            .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS)
+            .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS), cuts
         )
         units = whole.unionByName(planned.where(F.col("range_start") < 0))
         ranges = planned.where(F.col("range_start") >= 0)
@@ -339,7 +341,7 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     tasks = max(floor, ranges.count())  # a range is a task's worth of bytes
     index = cut_lineage(
         ranges.select("file_path", "modified_at", "sheet_index", "range_start", "range_end")
-        .repartition(tasks, by_range).mapInArrow(_index_partition, RANGE_INDEX)
+        .repartition(tasks, by_range).mapInArrow(_index_partition, RANGE_INDEX), cuts
     )
     # per sheet: all used columns (a set, at most the sheet width), the row total and the first failure;
     # per range: rows in the ranges before it (a window over one row per range)
@@ -420,15 +422,17 @@ def convert(spark: SparkSession, selected: DataFrame, output_dir: str, run_id: s
 
     out = output_dir.rstrip("/")
     run_dir = f"{out}/runs/run_id={run_id}"
+    cuts: list[str] = []
     decoded = read_workbooks(selected, files_per_task=files_per_task, n_files=n_files, n_bytes=n_bytes,
                              split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
-                             range_xml_bytes=range_xml_bytes)
+                             range_xml_bytes=range_xml_bytes, cuts=cuts)
     (
         decoded.write.mode("overwrite")
         .partitionBy("kind")
         .option("maxRecordsPerFile", max_records_per_file)
         .parquet(run_dir)
     )
+    drop_cuts(spark, cuts)
     files = spark.read.schema(S.DECODED).parquet(f"{run_dir}/kind=file")
     # one instant for the whole run, fixed on the driver (a retried task writes the same value)
     run_at = F.lit(_dt.datetime.now(_dt.timezone.utc)).cast("timestamp")
