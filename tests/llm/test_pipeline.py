@@ -34,6 +34,10 @@ def test_query_matches_sql(spark, name):
 def test_stages_one_after_the_other(spark):
     """Every stage does its work on what the one before kept; the last packs all of it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    secret = F.concat(F.substring("text", 1, 600), F.lit(' token = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('" '),
+                      F.expr("substring(text, 601)"))
+    docs = docs.withColumn("text", F.when((F.col("doc_id") % 9 == 3) & (F.char_length("text") > 1200), secret).otherwise(F.col("text")))
+    docs = P.cut(docs.withColumn("n_chars", F.char_length("text").cast("long")))
     names = [n for n, _ in P.STAGES]
     assert names == ["quality", "near_duplicates", "secrets", "mix_sources", "pack"]
     before, seen = docs, {}
