@@ -169,28 +169,37 @@ def encoder(path: str):
     """texts -> lists of ids, for a tokenizer file (.json), or faster for the same vocabulary as ranks (.tiktoken).
 
     With a file of ranks, texts that spell a special token go through the
-    tokenizer file of the same name, which reads it as that token.
+    tokenizer file of the same name, which reads it as that token; it is loaded
+    when the first such text comes.
     """
     from tokenizers import Tokenizer
 
     if not path.endswith(".tiktoken"):
         whole = Tokenizer.from_file(path)
         return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    import base64
+    import json
+
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(path, "rb") as lines:
-        pairs = [line.split() for line in lines if line.strip()]
-    import base64
-
-    fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs},
-                             special_tokens={})
-    whole = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
-    marks = [t.content for t in whole.get_added_tokens_decoder().values()]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    full = path.removesuffix(".tiktoken") + ".json"
+    with open(full) as described:
+        marks = [t["content"] for t in json.load(described)["added_tokens"]]
+    loaded: list[Tokenizer] = []
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [whole.encode(t, add_special_tokens=False).ids if any(m in t for m in marks) else fast.encode_ordinary(t)
-                for t in texts]
+        out = []
+        for t in texts:
+            if any(m in t for m in marks):
+                loaded.extend([Tokenizer.from_file(full)] * (not loaded))
+                out.append(loaded[0].encode(t, add_special_tokens=False).ids)
+            else:
+                out.append(fast.encode_ordinary(t))
+        return out
 
     return encode
 
