@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,15 @@ ORDER = 4
 #: Shards of the model; hot contexts are dealt over salted copies of a shard.
 SHARDS = 16
 #: Documents and bytes of a batch that is listed at once.
-BATCH_DOCS, BATCH_BYTES = 256, 2 << 20
+BATCH_DOCS, BATCH_BYTES = 256, 1 << 20
 #: Thresholds: this quantile of trusted perplexities times the margin, in bands of UTF-8 bytes.
 QUANTILE, MARGIN, BANDS = 0.995, 1.1, (64, 256, 1024)
 #: A language's band needs this many trusted texts for a threshold of its own; else the higher of language's and band's, else
 #: everything's.
 ENOUGH = 50
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Spreads the contexts over the shards.
+_MULT = 40_503
 
 
 def _codes(text: bytes) -> np.ndarray:
@@ -52,14 +54,11 @@ def _codes(text: bytes) -> np.ndarray:
 
 def _shard(context: np.ndarray, shards: int) -> np.ndarray:
     """By the last two bytes of the context."""
-    return (((context & 0xFFFF).astype(np.uint64) * _MULT) >> np.uint64(40)).astype(np.int64) % shards
+    return ((context & 0xFFFF) * _MULT >> 8) % shards
 
 
 def _shard_column(context: Column, shards: int) -> Column:
-    table = _shard(np.arange(1 << 16), shards)
-    blob = F.lit(bytes(table.astype(np.uint8)))
-    at = context.bitwiseAND(F.lit(0xFFFF)).cast("int") + 1
-    return F.conv(F.hex(F.substring(blob, at, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.shiftright(context.bitwiseAND(F.lit(0xFFFF)) * F.lit(_MULT), 8), F.lit(shards)).cast("int")
 
 
 def document_keys(text: Column, lang: Column) -> dict[str, Column]:
@@ -140,15 +139,16 @@ def _lists(docs: DataFrame, salts: int) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys = np.stack([batch.column("k1").to_numpy(), batch.column("k2").to_numpy()], 1)
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and end - at < BATCH_DOCS and (end == at or size + len(texts[end]) <= BATCH_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                codes = [_codes(t) for t in texts[at:end]]
+            while at < batch.num_rows:
+                # as many texts as fit, one at least
+                fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right"))
+                end = min(max(fit, at + 1), at + BATCH_DOCS, batch.num_rows)
+                some = batch.slice(at, end - at)
+                keys = np.stack([some.column("k1").to_numpy(), some.column("k2").to_numpy()], 1)
+                texts = [t.encode() for t in some.column("text").to_pylist()]
+                codes = [_codes(t) for t in texts]
                 local = np.repeat(np.arange(end - at), [len(c) for c in codes])
                 code = np.concatenate(codes)
                 item = np.sort((_shard(code >> 8, SHARDS) << 40) | (code << 8) | local)
@@ -167,7 +167,7 @@ def _lists(docs: DataFrame, salts: int) -> DataFrame:
                     rows["blob"].append(pack([
                         gram[new].astype(np.uint32), np.diff(np.append(new, len(gram))).astype(np.uint16),
                         (some & 0xFF).astype(np.uint8), np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.int64),
-                        keys[at:end] if shard == 0 else keys[:0]]))
+                        keys if shard == 0 else keys[:0]]))
                 number, at = number + 1, end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows["shard"], pa.int32()), pa.array(rows["batch"], pa.int64()), pa.array(rows["blob"], pa.binary())],

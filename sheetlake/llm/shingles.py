@@ -68,7 +68,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     at = 0
     while at < len(raw):
         end, size = at, 0
-        while end < len(raw) and (end == at or size + len(raw[end]) <= _STEP // 4):
+        while end < len(raw) and (end == at or size + len(raw[end]) <= _STEP // 16):
             size += len(raw[end]) + 1
             end += 1
         starts, words = word_hashes(b"\n".join(raw[at:end]))
