@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlake.llm.common import cut, join_small, ready
@@ -196,8 +196,9 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
         "set_id", "n", "cells", "prefix").withColumn("cid", F.monotonically_increasing_id()))
     postings = classes.select("cid", "n", "prefix", F.posexplode("prefix").alias("pos", "shingle")).select(
         "cid", "n", "pos", "shingle", F.when(F.col("pos") > 0, F.try_element_at("prefix", F.col("pos"))).alias("before"))
-    in_list = F.count("*").over(Window.partitionBy("shingle"))
-    lists = cut(postings.withColumn("members", in_list).where("members > 1"))
+    # lists of one class, by far the most, are counted away before rows meet
+    several = postings.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
+    lists = cut(postings.join(several, "shingle"))
     labels = None if lists.isEmpty() else _links(docs, k, threshold, classes, lists)
     members = named.select("doc_id", "n", "set_id", "k1", "k2").join(classes.select("set_id", "cid"), "set_id")
     label = F.col("cid")
@@ -218,9 +219,11 @@ def representatives(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     and text; of rows that repeat both, one stays.
     """
     rows = linked(docs, k, threshold, id_col, text_col)
-    first = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")) == 1
-    keys = cut(rows.where("component is not null").withColumn("stays", first).groupBy("k1", "k2").agg(
-        F.max("stays").alias("stays"), F.count("*").alias("rows")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"}))
+    rows = rows.where("component is not null")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
+    stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
+    keys = cut(rows.join(first, "component").groupBy("k1", "k2").agg(
+        F.max(stays).alias("stays"), F.count("*").alias("rows")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"}))
     gone = keys.where("not stays").select("__k1", "__k2")
     out = docs.withColumns({f"__{n}": c for n, c in _row_keys(id_col, text_col).items()})
     out = join_small(out, gone, ["__k1", "__k2"], "left_anti", gone.count())
