@@ -37,9 +37,21 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
+def masked(value: Column) -> Column:
+    """A header value without the magic: its dot percent-encoded, and values that already look so encoded once more."""
+    again = F.regexp_replace(value, r"WARC/1%(?=(?:25)*2E)", "WARC/1%25")
+    return F.replace(again, F.lit(MAGIC), F.lit("WARC/1%2E"))
+
+
+def unmasked(value: Column) -> Column:
+    """The value that :func:`masked` was given."""
+    plain = F.replace(value, F.lit("WARC/1%2E"), F.lit(MAGIC))
+    return F.regexp_replace(plain, r"WARC/1%25(?=(?:25)*2E)", "WARC/1%")
+
+
 def _line(name: str, value: Column) -> Column:
-    """A header line, nothing for null; line breaks in a value become spaces."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
+    """A header line, nothing for null; line breaks in a value become spaces, a magic is masked."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), masked(F.regexp_replace(value, r"[\r\n]+", " ")), F.lit("\r\n")), F.lit(""))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
@@ -77,7 +89,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_i
 
 
 _HEADER = re.compile(rb"[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
-_PIECES = "file string, split long, at long, length long, body_at long, body_size long, head binary, digest string, raw binary"
+_PIECES = "file string, file_size long, split long, at long, length long, body_at long, body_size long, head binary, digest string, raw binary"
 
 
 def _candidate(chunk: bytes) -> tuple[int, int, bytes] | None:
@@ -88,28 +100,28 @@ def _candidate(chunk: bytes) -> tuple[int, int, bytes] | None:
 
 
 def pieces(spark: SparkSession, path: str, all_bytes: bool = False) -> DataFrame:
-    """Every stretch from one magic to the next: file, split, place within the split, length, and its header if it has one.
+    """Every stretch from one magic to the next: file, its size, split, place within the split, length, and its header if it has one.
 
     A piece that holds its whole payload carries the payload's digest; another
     (a magic lies inside), or with ``all_bytes`` every piece, carries its bytes.
     """
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.col("value").cast("binary").alias("value"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
     names = [c.split()[0] for c in _PIECES.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()]
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.binary(), pa.string(), pa.binary()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, at = None, 0
         for batch in batches:
             out: list[tuple] = []
-            for file, split, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, file_size, split, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (file, split) != where:
                     where, at = (file, split), 0
                 head = _candidate(chunk)
                 whole = head is not None and head[0] + head[1] <= len(chunk)
                 digest = base64.b32encode(hashlib.sha1(chunk[head[0] : head[0] + head[1]]).digest()).decode() if whole else None
-                out.append((file, split, at, len(chunk), *(head or (None, None, None)), digest,
+                out.append((file, file_size, split, at, len(chunk), *(head or (None, None, None)), digest,
                             None if whole and not all_bytes else chunk))
                 at += len(chunk) + len(MAGIC)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
@@ -168,7 +180,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
     Offsets within a file come from the lengths of the pieces before, summed by
     split.  Payloads that hold a magic are put together from their pieces.
-    Bytes before the first record or after a broken one belong to no record.
+    A file whose chain of records does not start at its first byte and end at
+    its last fails: nothing after a broken or foreign stretch is left out unseen.
     """
     ready(spark)
     found = cut(pieces(spark, path))
@@ -182,6 +195,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     body_from = F.col("offset") + len(MAGIC) + F.col("body_at")
     links = heads.select("file", "split", "offset", (body_from + F.col("body_size") + len(END)).alias("successor"))
     true = cut(heads.drop("raw").join(reachable(links), ["file", "offset"], "left_semi"))
+    ends = true.groupBy("file").agg(F.max(body_from + F.col("body_size") + len(END)).alias("end"))
+    broken = found.groupBy("file").agg(F.max("file_size").alias("file_size")).join(ends, "file", "left").where(
+        "not (end <=> file_size)").orderBy("file").first()
+    if broken:
+        raise ValueError(f"records of {broken['file']} end at byte {broken['end'] or 0} of {broken['file_size']}")
     whole = true.where("digest is not null").select("file", "offset", "head", F.col("body_size").alias("payload_size"), "digest")
     torn = true.where("digest is null").select("file", "offset", "head", "body_at", "body_size",
                                                (body_from + F.col("body_size")).alias("past"))
@@ -196,7 +214,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     joined = F.expr(f"reduce(slice(parts, 2, size(parts)), parts[0].raw, (a, b) -> concat(a, CAST('{MAGIC}' AS BINARY), b.raw))")
     body = parts.withColumn("body", joined).withColumn(
         "body", F.expr("substring(body, CAST(body_at + 1 AS INT), CAST(body_size AS INT))"))
-    return whole.unionByName(body.where("octet_length(body) = body_size").select(
+    complete = F.when(F.octet_length("body") == F.col("body_size"), F.col("body")).otherwise(
+        F.raise_error(F.concat(F.lit("payload is not whole at "), "file", F.lit(" "), F.col("offset"))))
+    return whole.unionByName(body.withColumn("body", complete).select(
         "file", "offset", "head", F.col("body_size").alias("payload_size"), sha1_base32(F.col("body")).alias("digest")))
 
 
@@ -217,7 +237,7 @@ def page_records(spark: SparkSession, path: str, min_bytes: int = 0) -> DataFram
     head = F.col("head").cast("string")
     read = records(spark, path).select(
         "file", "offset", _header(head, "X-Page-Id").cast("long").alias("page_id"),
-        _header(head, "WARC-Target-URI").alias("url"), _header(head, "WARC-Type").alias("stored_as"),
+        unmasked(_header(head, "WARC-Target-URI")).alias("url"), _header(head, "WARC-Type").alias("stored_as"),
         _header(head, "X-Payload-Length").cast("long").alias("payload_bytes"),
         _header(head, "WARC-Payload-Digest").alias("stated"),
         _header(head, "X-Refers-To-Page").cast("long").alias("names"), "payload_size", "digest")

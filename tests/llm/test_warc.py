@@ -97,3 +97,32 @@ def test_pointer_jumping(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived(frame).isEmpty()
+
+
+@pytest.mark.parametrize("split", ["1k", "1m"])
+def test_magic_in_urls(spark, split):
+    """In the url of a response, of a revisited page and of a revisit; urls that look masked come back as they were."""
+    urls = ["http://h/WARC/1.0/spec", "http://h/2?WARC/1.WARC/1.1", "WARC/1.", "http://h/WARC/1%2E0", "WARC/1%252E/WARC/1%25", "http://h/WARC/1%2e"]
+    pages = [(i, url, f"body {i % 4} {FAKE}", "x") for i, url in enumerate(urls)] + [(99, "http://last", "last", "x")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = warc.archived(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.page_id: r.url for r in rows} == {p: url for p, url, *_ in pages} and len(rows) == len(pages)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=repr)
+    assert got == expected(pages)
+
+
+@pytest.mark.parametrize("damage", [lambda raw: raw[:-9], lambda raw: raw.replace(b"Content-Length", b"Content-Width", 2)])
+def test_a_file_that_is_not_all_records_fails(spark, tmp_path, damage):
+    path = scratch_dir(spark, "warc-test")
+    warc.write(spark.createDataFrame(PAGES, "page_id long, url string, html string, x string").coalesce(1), path)
+    (raw,) = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    (tmp_path / "whole.warc").write_bytes(raw)
+    assert warc.records(spark, str(tmp_path)).count() == len(PAGES)
+    (tmp_path / "damaged.warc").write_bytes(damage(raw))
+    with pytest.raises(ValueError, match="damaged.warc end at byte"):
+        warc.records(spark, str(tmp_path)).count()
