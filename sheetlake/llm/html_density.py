@@ -6,7 +6,8 @@ adds up the densities of its children.  The element with the largest sum holds
 the main text; the lowest density on the path from it to the body is the
 threshold that ancestors must not fall under to be part of the article.
 Elements that by name or class are not the article (menus, forms, adverts,
-comments, scripts and so on) are left out before.
+comments, scripts and so on) are left out before, but not the wrapper of the
+article, whatever its class says.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from sheetlake.llm.common import ready
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button "
-                    "form nav footer aside dialog menu input".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button input".split())
+#: Elements whose name marks them; those beside the text never count as its wrapper for the text alone.
+BESIDE = frozenset("nav footer aside dialog menu".split())
+NAMED = BESIDE | {"form"}
 #: Words of a class, id or role that mark what is not the article.
 MARKED = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion banner "
                    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar "
@@ -51,23 +54,28 @@ _OPEN_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "drop", "marked", "plain", "runs", "holds", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, marked: bool = False) -> None:
+        self.tag, self.parent, self.drop, self.marked = tag, parent, drop, marked
+        self.plain, self.runs, self.holds = 0, 0, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _left_out(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_article:
+def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Never text of the page."""
+    return tag in DROPPED or any(
+        name == "hidden" or name == "aria-hidden" and value == "true"
+        or name == "style" and re.search(r"display\s*:\s*none", value or "") is not None for name, value in attrs)
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """Not the article by name, class, id or role."""
+    if tag in NAMED or tag == "header" and not inside_article:
         return True
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value or ""):
-            return True
         if name in ("class", "id", "role") and value and tag not in ("html", "body", "main", "article"):
             words = set(_TOKENS.findall(value.lower()))
             if words & MARKED or not inside_article and words & HEADER_MARKS:
@@ -98,7 +106,7 @@ class Tree(HTMLParser):
                 self.root.children.append(self.body)
                 self.at = self.body
             return
-        node = Node(tag, self.at, _left_out(tag, attrs, self.articles > 0))
+        node = Node(tag, self.at, _hidden(tag, attrs), _marked(tag, attrs, self.articles > 0))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -146,6 +154,45 @@ def _ordered(top: Node) -> list[Node]:
     return out
 
 
+def settle_marks(body: Node) -> None:
+    """Leaves marked elements out, except those that wrap the article.
+
+    A mark does not count on an element that holds article or main elements
+    while there is none outside marked elements, nor on one with most of the
+    body's unlinked text (where an article lies outside: in several blocks).
+    """
+    for node in reversed(_ordered(body)):
+        inside = [c for c in node.children if isinstance(c, Node) and not c.drop]
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        node.plain = 0 if node.tag == "a" else own + sum(c.plain for c in inside)
+        node.runs = sum(c.runs for c in inside) + (own > 0 and node.tag not in INLINE)
+        node.holds = any(c.holds or c.tag in ("article", "main") and c.plain for c in inside)
+    free, todo = False, [body]
+    while todo and not free:
+        barred: list[Node] = []
+        while todo:
+            node = todo.pop()
+            free = free or node.tag in ("article", "main") and node.plain > 0
+            for c in node.children:
+                if isinstance(c, Node) and not c.drop:
+                    if not c.marked:
+                        todo.append(c)
+                    elif c.holds:
+                        barred.append(c)
+        if not free:
+            for node in barred:
+                node.marked = False
+            todo = barred
+    todo = [body]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node) and not c.drop:
+                wraps = c.tag not in BESIDE and 2 * c.plain > body.plain and (not free or c.runs > 1)
+                c.drop = c.marked and not wraps
+                if not c.drop:
+                    todo.append(c)
+
+
 def measure(top: Node) -> list[Node]:
     """Sets characters, tags, link characters, link tags and the composite density of every element; parents first."""
     nodes = _ordered(top)
@@ -169,6 +216,7 @@ def measure(top: Node) -> list[Node]:
 def main_node(page: Tree) -> Node | None:
     """The element that holds the article."""
     body = page.body or page.root
+    settle_marks(body)
     blocks = [n for n in measure(body) if n.tag not in INLINE]
     if not body.chars:
         return None

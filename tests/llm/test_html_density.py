@@ -55,3 +55,15 @@ def test_rows(spark):
     out = {(r.page_id, r.url): (r.text, r.n_chars) for r in H.main_texts(frame).collect()}
     assert out[1, "u"] == (TEXT, len(TEXT)) and out[None, None] == ("", 0) and out[4, "w"][1] == 999_999
     assert H.main_texts(frame).count() == 5 and H.main_texts(frame.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("mark", ["site has-sidebar", "page with-nav", "no-ad content", "content has-comments", "overflow-hidden"])
+@pytest.mark.parametrize("html", [
+    f"<body><div class='MARK'><article>{BODY}</article></div><p>{P3}</p></body>",
+    f"<body><div class='MARK'><div class='MARK'><main>{BODY}</main></div><section class='comments'><article><p>{P1}</p></article></section></div>",
+    f"<body><div class='MARK'>{BODY}<div class='comments'><p>{P3}</p></div></div></body>",
+    f"<body><form class='MARK'><nav>{MENU}</nav><div>{BODY}</div></form><div class='ad'>{P3}</div></body>",
+    f"<body><article>{BODY}<aside><article><p>{P1}</p></article></aside></article><div class='MARK'>{P1 * 9}</div></body>",
+])
+def test_marks_on_wrappers(html, mark):
+    assert H.article(html.replace("MARK", mark)) == TEXT
