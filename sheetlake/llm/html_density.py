@@ -4,7 +4,10 @@ For every element the density is its characters per tag, adjusted for links:
 text that is mostly link text counts for little.  The density sum of an element
 adds up the densities of its children.  The element with the largest sum holds
 the main text; the lowest density on the path from it to the body is the
-threshold that ancestors must not fall under to be part of the article.
+threshold that what stands beside the path must reach to be part of the
+article.  Inside the element, and in unlinked paragraphs and headings, short
+text is text; only parts that are mostly links must reach the threshold.  An
+article element on the path bounds the text, the innermost if there are more.
 Elements that by name or class are not the article (menus, forms, adverts,
 comments, scripts and so on) are left out before, but not the wrapper of the
 article, whatever its class says.
@@ -40,6 +43,8 @@ MARKED = frozenset("ad ads advert adverts advertisement advertising adsbygoogle
                    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall "
                    "share sharing social search login hidden".split())
 HEADER_MARKS = frozenset("header siteheader pageheader".split())
+#: Running text: a short one without links is text all the same.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr br".split())
 #: An element of these names ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                    "hr main menu nav ol p pre section table ul".split())
@@ -227,17 +232,31 @@ def main_node(page: Tree) -> Node | None:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    for node in reversed(path):  # an article or main element on the path bounds the text
-        if node.tag in ("article", "main"):
+    for node in path:  # the innermost article element on the path is the text
+        if node.tag == "article":
             return node
+    main = next((n for n in path if n.tag == "main"), None)
+    if main is not None:
+        path = path[: path.index(main) + 1]
     threshold = min(n.density for n in path)
-    for node in path[1:-1]:  # from the best outwards, short of the body
-        if node.density >= threshold:
-            best = node
-    if best.parent is body:
-        beside = [n for n in body.children if isinstance(n, Node) and not n.drop and n.density >= threshold and n is not best]
-        return body if beside else best
-    return best
+    inside = {id(n) for n in path}
+    for node in _ordered(best)[1:]:
+        node.drop = node.density < threshold and _mostly_links(node) and not _in_running_text(node)
+    for node in path[1:]:
+        for c in node.children:
+            if isinstance(c, Node) and not c.drop and id(c) not in inside:
+                short = c.link_chars == 0 and (c.tag in RUNNING or c.tag in INLINE)
+                c.drop = c.chars > 0 and not short and c.density < threshold
+    return path[-1]
+
+
+def _mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
+def _in_running_text(node: Node) -> bool:
+    """A link in a sentence, not one of a list: an inline element, or a heading or paragraph that stands among others."""
+    return node.tag in INLINE or node.tag in RUNNING
 
 
 def text_of(top: Node) -> str:

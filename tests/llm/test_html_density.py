@@ -67,3 +67,32 @@ def test_rows(spark):
 ])
 def test_marks_on_wrappers(html, mark):
     assert H.article(html.replace("MARK", mark)) == TEXT
+
+
+TEASER = "<div><a href='/t'>A teaser of another story, linked as a whole</a><a href='/u'>and one more of them</a></div>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><div class='page'><div>{MENU}</div><div>{BODY}</div></div></body>",
+    f"<body><div><div><div>{MENU}</div></div><div><div>{BODY}</div></div><div>{TEASER}{MENU}</div></div></body>",
+    f"<body><div><div>{BODY}</div><div>{TEASER * 4}</div></div></body>",
+    f"<body><div><table><tr><td>{MENU}</td><td>{BODY}</td><td>{TEASER}</td></tr></table></div></body>",
+    f"<body><div><div>{BODY}{MENU}</div></div></body>",
+    f"<body><main><article>{BODY}</article>{MENU}</main></body>",
+    f"<body><main><div>{BODY}</div><div>{MENU}</div></main></body>",
+    f"<body><article><p>{P3}</p><article>{BODY}</article>{MENU}</article></body>",
+    f"<body><div><div>{BODY}</div><div>{'<div>side</div>' * 8}</div></div></body>",
+    f"<body><div>{MENU}</div><div>{BODY}</div><div>{MENU}</div></body>",
+])
+def test_unmarked_boilerplate_is_left_out(html):
+    assert H.article(html) == TEXT
+
+
+def test_short_and_linked_parts_of_the_text_stay():
+    link = "See <a href='/x'>this</a> and <a href='/y'>that</a>."
+    inside = f"<body><div><div>{MENU}</div><div>{BODY}<p>Yes.</p><p>{link}</p><ul><li>milk</li><li>eggs</li></ul></div></div></body>"
+    assert H.article(inside) == f"{TEXT} Yes. See this and that. milk eggs"
+    beside = f"<body><div><h1>Head</h1><p>Yes.</p><div>{BODY}</div><div>{MENU}</div></div></body>"
+    assert H.article(beside) == f"Head Yes. {TEXT}"
+    halves = f"<body><div><div>{BODY}</div><div>{MENU}</div><div><p>{P1}</p><p>{P2}</p></div></div></body>"
+    assert H.article(halves) == f"{TEXT} {P1} {P2}"
