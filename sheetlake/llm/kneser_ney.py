@@ -4,7 +4,8 @@ The n-grams are runs of four bytes of the UTF-8 text.  Trusted documents are
 those labelled good and not toxic.  One half of them (by a hash of the text)
 trains the model, the other half sets the thresholds: in each language and
 length band, a high quantile of the perplexities of trusted text, with a
-margin.  Documents above their threshold are rejected.
+margin, looser while a language has few of them.  Documents above their
+threshold are rejected; a language without such texts is not judged.
 
 Counting and smoothing are joins and aggregations of count tables.  To score
 documents, tasks turn batches of them into lists "n-gram: which documents, how
@@ -34,9 +35,10 @@ SHARDS = 16
 BATCH_DOCS, BATCH_BYTES = 256, 1 << 20
 #: Thresholds: this quantile of trusted perplexities times the margin, in bands of UTF-8 bytes.
 QUANTILE, MARGIN, BANDS = 0.995, 1.1, (64, 256, 1024)
-#: A language's band needs this many trusted texts for a threshold of its own; else the higher of language's and band's, else
-#: everything's.
-ENOUGH = 50
+#: Held-out trusted texts from which the quantile of a language, or of its band, counts alone.  With fewer it is mixed, in
+#: proportion, with a looser bound: for a language LOOSER times the higher of its own quantile and that of the length band,
+#: for its band the higher of the language's bound and the length band's.
+ENOUGH, LOOSER = 50, 1.5
 
 #: Spreads the contexts over the shards.
 _MULT = 40_503
@@ -282,9 +284,21 @@ def band_of(size: Column) -> Column:
     return out
 
 
-def _cell(gid: Column, lang: Column, band: Column) -> Column:
-    """The name of a cell of the cube over language and band; its grouping id says which of them it has."""
-    return F.concat_ws("/", gid.cast("string"), F.when(gid.isin(0, 1), lang), F.when(gid.isin(0, 2), band.cast("string")))
+def limits_of(held: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """(lang, band, threshold) of every language with held-out trusted texts: lang, band, perplexity."""
+    level = [F.count("*").alias("n"), (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("t")]
+    cells = cut(held.cube("lang", "band").agg(F.grouping_id().alias("gid"), *level))
+    bands = F.explode(F.sequence(F.lit(0), F.lit(len(BANDS)))).alias("band")
+    langs = cells.where("gid = 1").select("lang", F.col("n").alias("n_lang"), F.col("t").alias("t_lang"), bands)
+    own = cells.where("gid = 0").select("lang", "band", F.col("n").alias("n_own"), F.col("t").alias("t_own"))
+    across = cells.where(f"gid = 2 and n >= {ENOUGH}").select("band", F.col("t").alias("t_band"))
+    everything = cells.where("gid = 3").select(F.col("t").alias("t_all"))
+    rows = langs.join(own, ["lang", "band"], "left").join(F.broadcast(across), "band", "left").crossJoin(F.broadcast(everything))
+    share = lambda n: F.least(F.coalesce(F.col(n), F.lit(0)) / ENOUGH, F.lit(1.0))
+    mixed = lambda n, tight, loose: share(n) * F.coalesce(tight, F.lit(0.0)) + (1 - share(n)) * loose
+    of_lang = mixed("n_lang", F.col("t_lang"), LOOSER * F.greatest("t_lang", F.coalesce("t_band", "t_all")))
+    loose = F.greatest(of_lang, F.col("t_band"), F.col("t_own"))
+    return rows.select("lang", "band", mixed("n_own", F.col("t_own"), loose).alias("threshold"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -294,9 +308,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A document is trusted if a label row of its id says quality 1 and none says
     quality 0 or toxic 1.  Null and empty texts have no perplexity and are not
     kept.  A null language is a language of its own.  Without trusted text
-    nothing can be judged and every document with text is kept.  Repeated rows
-    are judged alike; a null id is never trusted; an empty table gives no rows;
-    other columns are ignored.
+    nothing can be judged and every document with text is kept; so are those of
+    a language of which no trusted text was held out.  Repeated rows alike; a null id is never trusted; an empty table gives no rows; other
+    columns are ignored.
 
     Returns doc_id, lang, perplexity, threshold, keep, and the hashes k1, k2 of language and text.
     """
@@ -318,17 +332,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return narrow.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (~F.col("bare")).alias("keep"), "k1", "k2")
     found = cut(scores(rows.select("k1", "k2", "text"), model(training)))
     held = trusted.where("not trains").select("lang", "band", "k1", "k2").join(found, ["k1", "k2"])
-    level = [F.count("*").alias("n"), (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")]
-    cells = held.cube("lang", "band").agg(F.grouping_id().alias("gid"), *level).where(f"n >= {ENOUGH} or gid = 3")
-    limits = {r["key"]: r["threshold"] for r in cells.select(
-        _cell(F.col("gid"), F.col("lang"), F.col("band")).alias("key"), "threshold").collect()}  # a few rows for each language
-    if limits:
-        table = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))])
-        at = lambda gid: F.try_element_at(table, _cell(F.lit(gid), F.col("lang"), F.col("band")))
-        threshold = F.coalesce(at(0), F.greatest(at(1), at(2)), at(3))  # of language and band; of either; of everything
-    else:
-        threshold = F.lit(None).cast("double")
-    out = narrow.join(found, ["k1", "k2"], "left").withColumn("threshold", threshold)
+    limits = cut(limits_of(held, quantile, margin))
+    out = join_small(narrow.join(found, ["k1", "k2"], "left"), limits, ["lang", "band"], "left", limits.count())
     keep = ~F.col("bare") & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(keep, F.lit(False)).alias("keep"), "k1", "k2")
 

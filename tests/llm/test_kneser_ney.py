@@ -78,3 +78,17 @@ def test_odd_rows(spark, odd_documents, no_documents):
     none = labels.limit(0)
     assert K.kept(odd_documents, none).count() == odd_documents.where("text <> ''").count()
     assert K.judged(no_documents, labels).isEmpty() and K.kept(no_documents, none).isEmpty()
+
+
+def test_rare_languages_are_not_judged_by_another(spark):
+    """A language with few held-out texts has thresholds of its own level, one with none is kept."""
+    held = [("en", 3, 4.0 + i / 100) for i in range(100)] + [("fr", 3, 9.0 + i / 10) for i in range(5)]
+    limits = K.limits_of(spark.createDataFrame(held, "lang string, band int, perplexity double"), 0.995, 1.1).collect()
+    got = {(r.lang, r.band): r.threshold for r in limits}
+    assert got["en", 3] == pytest.approx(4.99 * 1.1, rel=0.01) and len(got) == 8
+    assert all(9.4 * 1.1 < got["fr", band] <= 9.4 * 1.1 * K.LOOSER for band in range(4))
+    docs = [(i, f"the cat number {i} sat on the mat and looked at dog {i * 7}", "en") for i in range(240)]
+    docs += [(1000 + i, f"żółw {i} śpi pod mchem, jeż gna w gąszcz", "pl") for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    out = K.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).where("lang = 'pl'").collect()
+    assert len(out) == 5 and all(r.keep and r.threshold is None and r.perplexity > 0 for r in out)
