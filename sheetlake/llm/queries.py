@@ -171,15 +171,16 @@ WITH p AS (SELECT lang, row_number() OVER () AS piece, list_filter(string_split_
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
 w AS (SELECT lang, piece, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM p),
 q AS (SELECT lang, w, lead(w) OVER o AS x, lead(w, 2) OVER o AS y, lead(w, 3) OVER o AS z FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
-f AS (SELECT lang, k, CASE k WHEN 1 THEN [w] WHEN 2 THEN [w, x] WHEN 3 THEN [w, x, y] ELSE [w, x, y, z] END AS ws, CAST(count(*) AS HUGEINT) AS f
+f AS MATERIALIZED (SELECT lang, k, CASE k WHEN 1 THEN [w] WHEN 2 THEN [w, x] WHEN 3 THEN [w, x, y] ELSE [w, x, y, z] END AS ws, CAST(count(*) AS HUGEINT) AS f
       FROM q, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k = 1 OR k = 2 AND x IS NOT NULL OR k = 3 AND y IS NOT NULL OR k = 4 AND z IS NOT NULL
       GROUP BY ALL HAVING k = 1 OR count(*) >= 30),
 n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, ws, f AS a FROM f WHERE k > 1),
-s AS (SELECT c.lang, c.k, c.ws, c.a, j.j, x.f AS l, y.f AS r, 2000000 * c.a // (x.f + y.f) AS score
-      FROM c JOIN (SELECT unnest([1, 2, 3]) AS j) j ON j.j < c.k
-      JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, j.j) JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, j.j + 1, c.k)
-      QUALIFY row_number() OVER (PARTITION BY c.lang, c.ws ORDER BY score, j.j) = 1),
+e AS MATERIALIZED (SELECT c.*, j, list_slice(ws, 1, j) AS head, list_slice(ws, j + 1, k) AS tail FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+h AS MATERIALIZED (SELECT e.*, f.f AS l FROM e JOIN f ON f.lang = e.lang AND f.ws = e.head),
+s AS (SELECT h.lang, h.k, h.ws, h.a, j, l, f.f AS r, 2000000 * h.a // (l + f.f) AS score
+      FROM h JOIN f ON f.lang = h.lang AND f.ws = h.tail
+      QUALIFY row_number() OVER (PARTITION BY h.lang, h.ws ORDER BY score, j) = 1),
 i AS (SELECT DISTINCT lang, list_slice(ws, t, t + m - 1) AS ws, a AS longer
       FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS t) WHERE m < k AND t + m - 1 <= k),
 m AS (SELECT lang, ws, max(longer) AS longer FROM i GROUP BY lang, ws),
