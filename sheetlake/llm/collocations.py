@@ -3,8 +3,9 @@
 Texts become chunks of word numbers, written once.  Words get ids by falling
 frequency; neighbouring ids are counted chunk by chunk: ids are split into
 square tiles, a tile with many pairs is counted by its cells' addresses with
-one ``bincount``, all sparse tiles together as sorted coordinates.  Spark sums
-the chunks' counts, pair by pair.  The frequent pairs then get ids by falling
+one ``bincount``, all sparse tiles together as sorted coordinates.  The chunks'
+counts travel packed, dealt by a hash of the pair, and are added up bucket by
+bucket; a pair has one count a chunk, so no bucket is hot.  The frequent pairs then get ids by falling
 frequency themselves and the same step counts neighbouring pairs, which are
 three-word phrases, and once more for four: a phrase can only be frequent if
 its beginning and its end are.
@@ -25,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import BROADCAST_BYTES, cut, ready
+from sheetlake.llm.common import BROADCAST_BYTES, cut, lean, partitions, ready
+from sheetlake.llm.shingles import mixed
 from sheetlake.operators.reshape import with_row_index
 
 #: Occurrences of a phrase, its longest length, phrases reported a language.
@@ -38,6 +40,8 @@ CHUNK, TILE_BITS, DENSE = 1 << 19, 9, 1 << 14
 STEP = 1 << 20
 #: Bytes of a pair in a broadcast lookup, its sides and id and their sorted copies.
 PAIR_BYTES = 48
+#: Words a bucket of pairs is made for, about: a bucket's counts are added up in one piece.
+BUCKET_WORDS = 1 << 19
 
 #: Bytes that end a piece become line feeds, tabs blanks, capital letters small ones.
 _PLAIN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -188,25 +192,90 @@ class Lookup:
 _CHUNKS = "chunk long, own int, ids binary"
 
 
-def _counted(with_chunk: bool):
-    """A row for each pair of a chunk: first, second, occurrences (and the chunk)."""
+def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pair of a chunk: chunk, first, second."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b, _ = pair_counts(np.frombuffer(batch.column("ids")[i].as_py(), np.int64), batch.column("own")[i].as_py())
+            for at in range(0, len(a), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                chunk = np.full(len(a[part]), batch.column("chunk")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, a[part], b[part])], ["chunk", "a", "b"])
+
+
+def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted coordinates, the counts of equal ones added up."""
+    if not len(a):
+        return a, b, n
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.add.reduceat(n[order], first)
+
+
+_PACKED = "bucket long, a binary, b binary, n binary"
+
+
+def _bucketed(buckets: int):
+    """The pairs of a chunk, packed by a hash of the pair: one row a bucket with its coordinates and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b, n = pair_counts(np.frombuffer(batch.column("ids")[i].as_py(), np.int64), batch.column("own")[i].as_py())
-                for at in range(0, len(a), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    if with_chunk:
-                        chunk = np.full(len(a[part]), batch.column("chunk")[i].as_py(), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, a[part], b[part])], ["chunk", "a", "b"])
-                    else:
-                        some = n[part] > 0
-                        yield pa.RecordBatch.from_arrays([pa.array(x[part][some]) for x in (a, b, n)], ["a", "b", "n"])
+                some = n > 0
+                a, b, n = a[some], b[some], n[some]
+                if not len(a):
+                    continue
+                bucket = (mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+                ends = np.append(first[1:], len(order))
+                packed = [pa.array([x[order[f:e]].astype(np.int64).tobytes() for f, e in zip(first, ends, strict=True)], pa.binary())
+                          for x in (a, b, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), *packed], ["bucket", "a", "b", "n"])
+
+    return run
+
+
+def _summed(least: int):
+    """Buckets in order, each with its rows together: the pairs with at least ``least`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def frequent() -> pa.RecordBatch:
+            a, b, n = total()
+            some = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, n)], ["a", "b", "n"])
+
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now and held:
+                    yield frequent()
+                    held, size = [], 0
+                now = bucket
+                held.append(tuple(np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("a", "b", "n")))
+                size += len(held[-1][0])
+                if size >= 4 * BUCKET_WORDS and len(held) > 1:  # equal pairs of many chunks are one
+                    held = [total()]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield frequent()
 
     return run
 
 
+def _frequent_pairs(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """a, b, n of the neighbouring ids with at least ``least`` occurrences in all chunks."""
+    packed = chunks.mapInArrow(lean(_bucketed(buckets)), _PACKED)
+    dealt = packed.repartition(partitions(chunks.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(_summed(least)), "a long, b long, n long")
+
+
 def _renumbered(lookup_of):
     """The chunks with the ids of the pairs in place of those of their parts."""
 
@@ -231,12 +300,12 @@ def _next_level(chunks: DataFrame, pairs: DataFrame, broadcast_bytes: int) -> Da
     if pairs.count() * PAIR_BYTES <= broadcast_bytes:
         table = pairs.select("a", "b", "id").toArrow()
         known = spark.sparkContext.broadcast(Lookup(*(table.column(c).to_numpy() for c in ("a", "b", "id"))))
-        return cut(chunks.mapInArrow(_renumbered(lambda batch, i: known.value), _CHUNKS))
-    own = chunks.mapInArrow(_counted(True), "chunk long, a long, b long").join(pairs.select("a", "b", "id"), ["a", "b"])
+        return cut(chunks.mapInArrow(lean(_renumbered(lambda batch, i: known.value)), _CHUNKS))
+    own = chunks.mapInArrow(lean(_pairs_of_chunks), "chunk long, a long, b long").join(pairs.select("a", "b", "id"), ["a", "b"])
     lists = own.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("a", "b", "id")).alias("found")).select(
         "of", "found.a", "found.b", "found.id")
     return cut(chunks.join(lists, F.col("chunk") == F.col("of"), "left").drop("of").mapInArrow(
-        _renumbered(lambda batch, i: Lookup(*(_numbers(batch.column(c)[i]) for c in ("a", "b", "id")))), _CHUNKS))
+        lean(_renumbered(lambda batch, i: Lookup(*(_numbers(batch.column(c)[i]) for c in ("a", "b", "id"))))), _CHUNKS))
 
 
 def _word_chunks(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -256,7 +325,7 @@ def _word_chunks(texts: DataFrame, words: DataFrame) -> DataFrame:
                     [batch.column("chunk").slice(i, 1), batch.column("own").slice(i, 1), pa.array([number[codes].tobytes()], pa.binary())],
                     ["chunk", "own", "ids"])
 
-    return cut(texts.select("chunk", "own", "codes").join(lists, F.col("chunk") == F.col("of"), "left").drop("of").mapInArrow(run, _CHUNKS))
+    return cut(texts.select("chunk", "own", "codes").join(lists, F.col("chunk") == F.col("of"), "left").drop("of").mapInArrow(lean(run), _CHUNKS))
 
 
 # -- phrases ---------------------------------------------------------------------
@@ -274,19 +343,20 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
     """
     ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = cut(rows.mapInArrow(_chunked(chunk, longest - 1),
+    texts = cut(rows.mapInArrow(lean(_chunked(chunk, longest - 1)),
                                 "chunk long, lang string, own int, codes binary, words array<string>, times array<long>"))
     times = texts.select("lang", F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(
         F.sum("w.times").alias("occurrences"))
     totals = texts.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    n_words = texts.agg(F.sum("own")).head()[0] or 0
+    buckets = max(4 * partitions(docs.sparkSession), -(-n_words // BUCKET_WORDS))
     frequent = times.where(F.col("occurrences") >= least)
     level = cut(with_row_index(frequent, [F.desc("occurrences"), "lang", "phrase"], name="id")).select(
         "lang", F.lit(1).alias("words"), "id", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("second"), "phrase",
         "occurrences", F.array("occurrences").alias("heads"), F.array("occurrences").alias("tails"))
     every, chunks = level, _word_chunks(texts, level)
     for words in range(2, longest + 1):
-        counted = chunks.mapInArrow(_counted(False), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        pairs = cut(with_row_index(counted.where(F.col("n") >= least), [F.desc("n"), "a", "b"], name="id"))
+        pairs = cut(with_row_index(_frequent_pairs(chunks, least, buckets), [F.desc("n"), "a", "b"], name="id"))
         if words < longest:
             chunks = _next_level(chunks, pairs, broadcast_bytes)
         head = level.select("lang", F.col("id").alias("a"), F.col("phrase").alias("start"), "heads")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlake.session import cut_lineage, ship_package, shuffle_partitions
 
-__all__ = ["BROADCAST_BYTES", "WORD", "cut", "join_small", "partitions", "table", "usable_vector", "words_in", "ready"]
+__all__ = ["BROADCAST_BYTES", "WORD", "cut", "join_small", "lean", "partitions", "table", "usable_vector", "words_in", "ready"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +30,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task's function that gives what it has freed back to the system when it ends: workers live on and take the next task."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
