@@ -2,7 +2,7 @@
 
 Two public vocabularies read every whole text: a byte-level one gives the
 characters a token and the entropy of the tokens, a piece vocabulary with byte
-fallback the share of pieces that are bare bytes.  Texts that no vocabulary
+fallback the share of characters that it can only spell as bare bytes.  Texts that no vocabulary
 fits (encoded blobs, broken encodings, character soup) take many tokens a
 character or fall back to bytes; texts that say the same again and again have
 little entropy for their length.  What is usual differs by language: rejection
@@ -13,20 +13,22 @@ all documents that pass the base rules.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, ready
+from sheetlake.llm.common import cut, lean, ready
 
 #: Base rules: a text needs this many words; at most this percentage of them may stand in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A fence lies this many quartile distances beyond the quartile, and at least a margin (thousandths of the measure).
 REACH = 3.0
-MARGIN = {"chars_per_token": 600, "byte_share": 20, "entropy": 60}
+MARGIN = {"chars_per_token": 150, "byte_share": 20, "entropy": 60}
 #: Texts are tokenised in slices of at most this many characters, cut after white space where there is some.
 SLICE = 100_000
 
@@ -41,12 +43,17 @@ def repeated_words(words: list[str]) -> int:
     """Words that lie in three-word windows which occur twice or more, the first occurrence included."""
     if len(words) < 4:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    # pairs, then triples, as exact numbers
-    _, pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
-    _, triples, times = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = times[triples] > 1
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    pairs, size = ids[:-2] * len(number) + ids[1:-1], len(number) ** 2
+    if size * len(number) >= 1 << 63:  # numbers of pairs that occur, to stay exact
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs * len(number) + ids[2:]
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    again = np.isin(windows, twice)
     covered = np.zeros(len(words), bool)
     for shift in range(3):
         covered[shift : shift + len(again)] |= again
@@ -72,7 +79,12 @@ def slices(text: str, size: int = SLICE) -> list[str]:
 
 
 class Vocabularies:
-    """The byte-level vocabulary (ranks) and the piece vocabulary with byte fallback."""
+    """The byte-level vocabulary (ranks) and the piece vocabulary with byte fallback.
+
+    Of the second only the alphabet is asked: a character that is no piece is
+    spelt as its bytes wherever it stands, so which characters fall back needs
+    no segmentation.  White space, of which line feeds are no pieces, is left out.
+    """
 
     def __init__(self, ranks_path: str, pieces_path: str):
         import base64
@@ -84,21 +96,19 @@ class Vocabularies:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes = tiktoken.Encoding(ranks_path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
+        pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+        alphabet = {p for p in map(pieces.id_to_piece, range(pieces.vocab_size())) if len(p) == 1}
+        self.covered = re.compile(f"[{re.escape(''.join(sorted(alphabet)))}\\x09-\\x0D\\x20]+")
 
     def measured(self, text: str) -> tuple[int, int, int, int]:
-        """(tokens, characters a token, share of byte pieces, entropy over its maximum), the last three in thousandths."""
+        """(tokens, characters a token, share of characters that fall back to bytes, entropy over its maximum), from the second on in thousandths."""
         if not text:
             return 0, 0, 0, 1000
-        parts = slices(text)
-        tokens = np.concatenate([np.asarray(self.bytes.encode_ordinary(p), np.int64) for p in parts])
-        pieces = np.concatenate([np.asarray(ids, np.int64) for ids in self.pieces.encode(parts, num_threads=1)])
+        tokens = np.concatenate([self.bytes.encode_to_numpy(p, disallowed_special=()) for p in slices(text)])
         n = len(tokens)
-        times = np.bincount(np.unique(tokens, return_inverse=True)[1])
+        times = np.unique(tokens, return_counts=True)[1]
         spread = float(np.log2(n) - (times * np.log2(times)).sum() / n) / float(np.log2(n)) if n > 1 else 1.0
-        byte_share = float(self.is_byte[pieces].mean()) if len(pieces) else 0.0
-        return n, round(1000 * len(text) / n), round(1000 * byte_share), round(1000 * spread)
+        return n, round(1000 * len(text) / n), round(1000 * len(self.covered.sub("", text)) / len(text)), round(1000 * spread)
 
 
 _LOADED: dict[tuple[str, str], Vocabularies] = {}
@@ -117,16 +127,16 @@ def measured(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "
         vocabularies = _LOADED.get(key) or _LOADED.setdefault(key, Vocabularies(*key))
         for batch in batches:
             out = []
-            for doc, lang, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for doc, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 words = _WORD.findall(text)
-                out.append((doc.as_py(), lang.as_py(), len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)),
+                out.append((doc, lang, len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)),
                             repeated_lines(text), repeated_words(words), *vocabularies.measured(text)))
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                                              [f.split()[0] for f in _OUT.split(", ")])
 
-    return rows.mapInArrow(run, _OUT)
+    return rows.mapInArrow(lean(run), _OUT)
 
 
 def base_failed() -> Column:
