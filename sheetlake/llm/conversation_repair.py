@@ -15,6 +15,7 @@ in order, with the script of edits ahead of the turns it belongs to.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import deque
 from collections.abc import Iterator
@@ -105,6 +106,12 @@ class Search:
         return None
 
 
+@functools.lru_cache(maxsize=1 << 15)
+def cheapest(roles: str, kinds: str, entry: int, goals: tuple[int, ...], tail: bool) -> tuple[int, str] | None:
+    """``Search.run``; conversations that look alike, as most short ones do, are searched once a task."""
+    return Search(roles, kinds, goals, tail).run(entry)
+
+
 def audit(script: str) -> str:
     """The edits' initials: u and a are insertions, U and A new roles."""
     return script.translate(str.maketrans("uaUA", "IIRR"))
@@ -119,7 +126,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cost, script = [None] * 16, [None] * 16
             for entry in (0,) if begins else range(4):
                 for exit_ in (0,) if ends else range(4):
-                    if (got := Search(r, k, _ENDS if ends else (exit_,), ends).run(entry)) is not None:
+                    if (got := cheapest(r, k, entry, _ENDS if ends else (exit_,), ends)) is not None:
                         cost[4 * entry + exit_], script[4 * entry + exit_] = got
             costs.append(cost), scripts.append(script)
         yield pa.RecordBatch.from_arrays(
