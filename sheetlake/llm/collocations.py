@@ -1,11 +1,13 @@
 """Phrases whose words occur together unusually often, by direct-address tiles over frequency-ranked ids.
 
-Texts become chunks of word numbers, written once.  Words get ids by falling
-frequency; neighbouring ids are counted chunk by chunk: ids are split into
-square tiles, a tile with many pairs is counted by its cells' addresses with
-one ``bincount``, all sparse tiles together as sorted coordinates.  The chunks'
-counts travel packed, dealt by a hash of the pair, and are added up bucket by
-bucket; a pair has one count a chunk, so no bucket is hot.  The frequent pairs then get ids by falling
+Texts become chunks of word numbers, written once, with the chunk's words dealt
+to buckets.  Words are added up bucket by bucket and get ids by falling
+frequency; the ids go back to the chunks the same way.  Neighbouring ids are
+counted chunk by chunk: ids are split into square tiles, a tile with many pairs
+is counted by its cells' addresses with one ``bincount``, all sparse tiles
+together as sorted coordinates.  The chunks' counts travel packed, dealt by a
+hash of the pair, and are added up bucket by bucket; a pair has one count a
+chunk, so no bucket is hot.  The frequent pairs then get ids by falling
 frequency themselves and the same step counts neighbouring pairs, which are
 three-word phrases, and once more for four: a phrase can only be frequent if
 its beginning and its end are.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetlake.llm.common import BROADCAST_BYTES, cut, lean, partitions, ready
-from sheetlake.llm.shingles import mixed
+from sheetlake.llm.shingles import mixed, word_hashes
 from sheetlake.operators.reshape import with_row_index
 
 #: Occurrences of a phrase, its longest length, phrases reported a language.
@@ -35,7 +37,9 @@ LEAST, LONGEST, REPORTED = 30, 4, 2000
 #: A longer candidate with at least this percentage of the occurrences stands for a phrase inside it.
 COVERED = 80
 #: Words of a chunk; ids of a side of a tile (2^9); pairs that make a tile dense.
-CHUNK, TILE_BITS, DENSE = 1 << 19, 9, 1 << 14
+CHUNK, TILE_BITS, DENSE = 1 << 18, 9, 1 << 14
+#: Buckets that words are dealt to: four times the shuffle partitions, within these bounds.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Bytes of a text cut into words at a time.
 STEP = 1 << 20
 #: Bytes of a pair in a broadcast lookup, its sides and id and their sorted copies.
@@ -74,15 +78,14 @@ class _Buffer:
         self.parts.append(np.array([_END], np.int32))
         self.size += 1
 
-    def taken(self, ahead: int) -> tuple[int, bytes, list[str], list[int]]:
-        """(words that start phrases here, codes, vocabulary, occurrences); the last ``ahead`` codes also start the next chunk."""
+    def taken(self, ahead: int) -> tuple[np.ndarray, int, list[bytes], np.ndarray]:
+        """(codes, how many of them start phrases here, vocabulary, occurrences); the last ``ahead`` codes also start the next chunk."""
         codes = np.concatenate(self.parts)
         words = [w for w, c in self.numbers.items() if c >= 0]
         own = len(codes) - ahead
         times = np.bincount(codes[:own][codes[:own] >= 0], minlength=len(words))
-        left = [None if c == _END else words[c] for c in codes[own:]]
-        self.restart(left)
-        return own, codes.tobytes(), [w.decode() for w in words], times.tolist()
+        self.restart([None if c == _END else words[c] for c in codes[own:]])
+        return codes, own, words, times
 
 
 def steps(plain: bytes, size: int = STEP) -> Iterator[bytes]:
@@ -97,17 +100,48 @@ def steps(plain: bytes, size: int = STEP) -> Iterator[bytes]:
         at = end
 
 
-def _chunked(size: int, ahead: int):
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, in four bytes each where that is enough."""
+    kind = np.int32 if not len(numbers) or -(1 << 31) <= numbers.min() <= numbers.max() < 1 << 31 else np.int64
+    return (b"4" if kind is np.int32 else b"8") + numbers.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if raw[:1] == b"4" else np.int64, offset=1).astype(np.int64)
+
+
+def _slices(key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by key, and (key, from, to) of each key in it."""
+    order = np.argsort(key, kind="stable")
+    if not len(key):
+        return order, []
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    return order, list(zip(key[order[first]].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True))
+
+
+#: A chunk (words null): language, starts, word occurrences, codes; or the words of a chunk that fall in a bucket: their codes,
+#: themselves and their occurrences.
+_TEXTS = "chunk long, lang string, own int, n long, codes binary, bucket int, code binary, words binary, times binary"
+
+
+def _chunked(size: int, ahead: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, count()
         buffers: defaultdict[str, _Buffer] = defaultdict(_Buffer)
 
         def chunk(lang: str, keep: int) -> pa.RecordBatch:
-            own, codes, words, times = buffers[lang].taken(keep)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + next(made)], pa.int64()), pa.array([lang], pa.string()), pa.array([own], pa.int32()),
-                 pa.array([codes], pa.binary()), pa.array([words], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int64()))],
-                ["chunk", "lang", "own", "codes", "words", "times"])
+            codes, own, words, times = buffers[lang].taken(keep)
+            number = base + next(made)
+            bucket = (word_hashes(b"\n".join(words))[1] % np.uint64(buckets)).astype(np.int64)
+            order, parts = _slices(bucket)
+            ordered = [words[i] for i in order]
+            none = [None] * len(parts)
+            columns = ([number] * (len(parts) + 1), [lang] * (len(parts) + 1), [own, *none], [int(times.sum()), *none], [_packed(codes), *none],
+                       [None, *(p[0] for p in parts)], [None, *(_packed(order[f:e]) for _, f, e in parts)],
+                       [None, *(b"\n".join(ordered[f:e]) for _, f, e in parts)], [None, *(_packed(times[order[f:e]]) for _, f, e in parts)])
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                              [f.split()[0] for f in _TEXTS.split(", ")])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -126,6 +160,91 @@ def _chunked(size: int, ahead: int):
     return run
 
 
+# -- words -----------------------------------------------------------------------
+
+
+def _words_summed(least: int):
+    """Buckets in order, each with its rows together: bucket, lang, word, n of the words with at least ``least`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, defaultdict(lambda: defaultdict(int))
+
+        def frequent() -> pa.RecordBatch:
+            out = [(now, lang, word.decode(), n) for lang, words in seen.items() for word, n in words.items() if n >= least]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)],
+                                              ["bucket", "lang", "phrase", "occurrences"])
+
+        for batch in batches:
+            for bucket, lang, words, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "words", "times")), strict=True):
+                if bucket != now:
+                    if seen:
+                        yield frequent()
+                        seen.clear()
+                    now = bucket
+                own = seen[lang]
+                for word, n in zip(words.split(b"\n"), _unpacked(times).tolist(), strict=True):
+                    own[word] += n
+        if seen:
+            yield frequent()
+
+    return run
+
+
+def _words_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets in order, in each first its frequent words with their ids, then the words of chunks: chunk, codes and ids of the frequent ones."""
+    now, ids = None, {}
+    for batch in batches:
+        out = []
+        for bucket, chunk, lang, words, code, number in zip(
+                *(batch.column(c).to_pylist() for c in ("bucket", "chunk", "lang", "words", "code", "id")), strict=True):
+            if bucket != now:
+                now, ids = bucket, {}
+            if chunk is None:
+                ids[lang, words] = number
+                continue
+            found = [ids.get((lang, w), -1) for w in words.split(b"\n")]
+            found = np.array(found, np.int64)
+            hit = found >= 0
+            if hit.any():
+                out.append((chunk, _packed(_unpacked(code)[hit]), _packed(found[hit])))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                         ["chunk", "code", "known"])
+
+
+def _words_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in order, in each first the lists of codes and ids, then its own codes: the chunk with ids in place of codes."""
+    now, codes, ids = None, [], []
+    for batch in batches:
+        for chunk, own, code, known, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "own", "code", "known", "codes")), strict=True):
+            if chunk != now:
+                now, codes, ids = chunk, [], []
+            if text is None:
+                codes.append(_unpacked(code)), ids.append(_unpacked(known))
+                continue
+            text = _unpacked(text)
+            number = np.full(int(text.max(initial=-1)) + 2, -1, np.int64)  # the end's code is -1: the last entry, which stays -1
+            if codes:
+                number[np.concatenate(codes)] = np.concatenate(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([_packed(number[text])], pa.binary())],
+                                             ["chunk", "own", "ids"])
+
+
+def _word_chunks(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Chunks of word ids: the parts of their vocabularies meet the frequent words bucket by bucket, what is found returns to the chunk."""
+    tasks = partitions(texts.sparkSession)
+    parts = texts.where("words is not null").select("bucket", "chunk", "lang", "words", "code", F.lit(None).cast("long").alias("id"))
+    known = words.select("bucket", F.lit(None).cast("long").alias("chunk"), "lang", F.encode("phrase", "UTF-8").alias("words"),
+                         F.lit(None).cast("binary").alias("code"), "id")
+    met = parts.unionByName(known).repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
+    lists = met.mapInArrow(lean(_words_known), "chunk long, code binary, known binary").select(
+        "chunk", F.lit(None).cast("int").alias("own"), "code", "known", F.lit(None).cast("binary").alias("codes"))
+    whole = texts.where("words is null").select("chunk", "own", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("binary").alias("known"), "codes")
+    both = lists.unionByName(whole).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("own").asc_nulls_first())
+    return cut(both.mapInArrow(lean(_words_numbered), _CHUNKS))
+
+
 # -- pairs -----------------------------------------------------------------------
 
 
@@ -196,7 +315,7 @@ def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """A row for each pair of a chunk: chunk, first, second."""
     for batch in batches:
         for i in range(batch.num_rows):
-            a, b, _ = pair_counts(np.frombuffer(batch.column("ids")[i].as_py(), np.int64), batch.column("own")[i].as_py())
+            a, b, _ = pair_counts(_unpacked(batch.column("ids")[i].as_py()), batch.column("own")[i].as_py())
             for at in range(0, len(a), 1 << 16):
                 part = slice(at, at + (1 << 16))
                 chunk = np.full(len(a[part]), batch.column("chunk")[i].as_py(), np.int64)
@@ -213,7 +332,7 @@ def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return a[first], b[first], np.add.reduceat(n[order], first)
 
 
-_PACKED = "bucket long, a binary, b binary, n binary"
+_PAIRS = "bucket long, a binary, b binary, n binary"
 
 
 def _bucketed(buckets: int):
@@ -222,18 +341,14 @@ def _bucketed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, n = pair_counts(np.frombuffer(batch.column("ids")[i].as_py(), np.int64), batch.column("own")[i].as_py())
+                a, b, n = pair_counts(_unpacked(batch.column("ids")[i].as_py()), batch.column("own")[i].as_py())
                 some = n > 0
                 a, b, n = a[some], b[some], n[some]
                 if not len(a):
                     continue
-                bucket = (mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-                ends = np.append(first[1:], len(order))
-                packed = [pa.array([x[order[f:e]].astype(np.int64).tobytes() for f, e in zip(first, ends, strict=True)], pa.binary())
-                          for x in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), *packed], ["bucket", "a", "b", "n"])
+                order, parts = _slices((mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+                packed = [pa.array([_packed(x[order[f:e]]) for _, f, e in parts], pa.binary()) for x in (a, b, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), *packed], ["bucket", "a", "b", "n"])
 
     return run
 
@@ -258,7 +373,7 @@ def _summed(least: int):
                     yield frequent()
                     held, size = [], 0
                 now = bucket
-                held.append(tuple(np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("a", "b", "n")))
+                held.append(tuple(_unpacked(batch.column(c)[i].as_py()) for c in ("a", "b", "n")))
                 size += len(held[-1][0])
                 if size >= 4 * BUCKET_WORDS and len(held) > 1:  # equal pairs of many chunks are one
                     held = [total()]
@@ -271,7 +386,7 @@ def _summed(least: int):
 
 def _frequent_pairs(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
     """a, b, n of the neighbouring ids with at least ``least`` occurrences in all chunks."""
-    packed = chunks.mapInArrow(lean(_bucketed(buckets)), _PACKED)
+    packed = chunks.mapInArrow(lean(_bucketed(buckets)), _PAIRS)
     dealt = packed.repartition(partitions(chunks.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lean(_summed(least)), "a long, b long, n long")
 
@@ -282,10 +397,10 @@ def _renumbered(lookup_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                ids = _unpacked(batch.column("ids")[i].as_py())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("chunk").slice(i, 1), batch.column("own").slice(i, 1),
-                     pa.array([lookup_of(batch, i).next_ids(ids).tobytes()], pa.binary())], ["chunk", "own", "ids"])
+                     pa.array([_packed(lookup_of(batch, i).next_ids(ids))], pa.binary())], ["chunk", "own", "ids"])
 
     return run
 
@@ -308,26 +423,6 @@ def _next_level(chunks: DataFrame, pairs: DataFrame, broadcast_bytes: int) -> Da
         lean(_renumbered(lambda batch, i: Lookup(*(_numbers(batch.column(c)[i]) for c in ("a", "b", "id"))))), _CHUNKS))
 
 
-def _word_chunks(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Chunks of word ids: each chunk's vocabulary meets the ids of the frequent words in a join."""
-    listed = texts.select("chunk", "lang", F.posexplode("words").alias("code", "word"))
-    lists = listed.join(words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).groupBy(F.col("chunk").alias("of")).agg(
-        F.collect_list(F.struct("code", "id")).alias("found")).select("of", "found.code", "found.id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-                number = np.full(max(int(codes.max(initial=-1)), 0) + 2, -1, np.int64)
-                number[_numbers(batch.column("code")[i]).astype(np.int64)] = _numbers(batch.column("id")[i])
-                # the gap's code is -1: the last entry, which stays -1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk").slice(i, 1), batch.column("own").slice(i, 1), pa.array([number[codes].tobytes()], pa.binary())],
-                    ["chunk", "own", "ids"])
-
-    return cut(texts.select("chunk", "own", "codes").join(lists, F.col("chunk") == F.col("of"), "left").drop("of").mapInArrow(lean(run), _CHUNKS))
-
-
 # -- phrases ---------------------------------------------------------------------
 
 
@@ -343,18 +438,18 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
     """
     ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = cut(rows.mapInArrow(lean(_chunked(chunk, longest - 1)),
-                                "chunk long, lang string, own int, codes binary, words array<string>, times array<long>"))
-    times = texts.select("lang", F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(
-        F.sum("w.times").alias("occurrences"))
-    totals = texts.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    n_words = texts.agg(F.sum("own")).head()[0] or 0
-    buckets = max(4 * partitions(docs.sparkSession), -(-n_words // BUCKET_WORDS))
-    frequent = times.where(F.col("occurrences") >= least)
-    level = cut(with_row_index(frequent, [F.desc("occurrences"), "lang", "phrase"], name="id")).select(
+    tasks = partitions(docs.sparkSession)
+    texts = cut(rows.mapInArrow(lean(_chunked(chunk, longest - 1, min(max(4 * tasks, LEAST_BUCKETS), MOST_BUCKETS))), _TEXTS))
+    totals = texts.where("words is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    n_words = texts.agg(F.sum("n")).head()[0] or 0
+    buckets = max(4 * tasks, -(-n_words // BUCKET_WORDS))
+    dealt = texts.where("words is not null").select("bucket", "lang", "words", "times").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    frequent = dealt.mapInArrow(lean(_words_summed(least)), "bucket int, lang string, phrase string, occurrences long")
+    numbered = cut(with_row_index(frequent, [F.desc("occurrences"), "lang", "phrase"], name="id"))
+    level = numbered.select(
         "lang", F.lit(1).alias("words"), "id", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("second"), "phrase",
         "occurrences", F.array("occurrences").alias("heads"), F.array("occurrences").alias("tails"))
-    every, chunks = level, _word_chunks(texts, level)
+    every, chunks = level, _word_chunks(texts, numbered)
     for words in range(2, longest + 1):
         pairs = cut(with_row_index(_frequent_pairs(chunks, least, buckets), [F.desc("n"), "a", "b"], name="id"))
         if words < longest:
