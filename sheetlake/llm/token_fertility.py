@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, lean, ready
+from sheetlake.llm.common import cut, join_small, lean, ready
 
 #: Base rules: a text needs this many words; at most this percentage of them may stand in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -177,10 +177,11 @@ def judged(docs: DataFrame, ranks_path: str, pieces_path: str, reach: float = RE
     table gives no rows; other columns are ignored.
     """
     measures = cut(measured(docs, ranks_path, pieces_path, id_col, text_col, lang_col))
-    fences = bands(measures, reach, margin)
+    fences = cut(bands(measures, reach, margin))  # a row for each language and length class
     inside = F.lit(True)
     for m in _MEASURES:
         inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    joined = measures.withColumns({"band_lang": _cell()[0], "band_length": _cell()[1]}).join(fences, ["band_lang", "band_length"], "left")
+    placed = measures.withColumns({"band_lang": _cell()[0], "band_length": _cell()[1]})
+    joined = join_small(placed, fences, ["band_lang", "band_length"], "left", fences.count(), row_bytes=200)
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop(
         "band_lang", "band_length")
