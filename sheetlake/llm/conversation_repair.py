@@ -37,6 +37,8 @@ _SPACE = r"\x20\x09-\x0D"
 _NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 _DUE = ("u", "u", "a", "u")
 _ENDS = (0, 3)
+#: States that can follow a state.
+_LATER = ({0, 1, 2, 3}, {1, 2, 3}, {2, 3}, {2, 3})
 _FULL = {"u": "user", "a": "assistant"}
 _NEVER = 1 << 60
 
@@ -59,6 +61,9 @@ class Search:
         for i in range(self.n - 1, -1, -1):
             least = DELETE if kinds[i] == "-" else min(DELETE, TRUNCATED * (kinds[i] == "t") + (KEEP if roles[i] in "sua" else REROLE))
             self.rest[i] = self.rest[i + 1] + least
+        # to end before the first user turn all turns but a system turn have to go
+        if max(goals) < 2:
+            self.rest = [max(r, DELETE * (self.n - i - max(goals))) for i, r in enumerate(self.rest)]
         # failed states: a lower bound of what is left, raised by each failure
         self.need: dict[tuple[int, int], int] = {}
         self.path: list[str] = []
@@ -85,6 +90,8 @@ class Search:
             return True
         least: int | None = None
         for letter, cost, j, after in self.edits(i, state):
+            if _LATER[after].isdisjoint(self.goals):
+                continue
             if cost + self.left(j, after) <= budget:
                 self.path.append(letter)
                 if self.found(j, after, budget - cost):
@@ -99,7 +106,7 @@ class Search:
     def run(self, state: int) -> tuple[int, str] | None:
         """(cost, script) of the cheapest edits, the ASCII-least of them; None where the goals cannot be reached."""
         bound, most = self.left(0, state), DELETE * self.n + 4 * INSERT
-        while bound <= most:
+        while bound <= most and not _LATER[state].isdisjoint(self.goals):
             if self.found(0, state, bound):
                 return bound, "".join(self.path)
             bound = self.left(0, state)
