@@ -96,8 +96,25 @@ def display_time(text: Column | str) -> Column:
 
 
 def clean(text: Column | str) -> Column:
-    """Trimmed text, blank becomes null."""
-    return F.nullif(F.trim(_c(text)), F.lit(""))
+    """Text without white space of any kind at its ends; blank becomes null."""
+    return F.nullif(F.regexp_replace(_c(text), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", ""), F.lit(""))
+
+
+def resolved(path: Column | str, base: str = "/") -> Column:
+    """Canonical form of a path, from its text alone: no ``.``, ``..``, repeated or last slashes.
+
+    A relative path is taken from ``base``.  One fold over the path's parts; what
+    lies above the root is the root.  The scheme and authority of a URI stay.
+    """
+    p = posix(path)
+    scheme = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9+.-]+://[^/]*)", 1)
+    rest = F.substring(p, F.length(scheme) + 1, F.length(p))
+    whole = F.when(F.startswith(rest, F.lit("/")) | (scheme != ""), rest).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), rest))
+    folded = F.aggregate(
+        F.split(whole, "/"), F.lit(""),
+        lambda done, part: F.when(part.isin("", "."), done)
+        .when(part == "..", F.regexp_replace(done, r"/[^/]*\z", "")).otherwise(F.concat(done, F.lit("/"), part)))
+    return F.concat(scheme, F.when(folded == "", F.lit("/")).otherwise(folded))
 
 
 def looks_like_header(text: Column | str, keywords=HEADER_KEYWORDS) -> Column:

@@ -51,26 +51,40 @@ def marker_folders(listing: DataFrame, marker: str = paths.DEFAULT_MARKER, path:
     return all_folders(listing, path).where(paths.under_marker("folder", marker)).orderBy("folder")
 
 
-def clean_directory_list(entries: DataFrame, existing_dirs: DataFrame) -> DataFrame:
-    """Directory list read from a sheet's first column, cleaned and checked.
+def directory_entries(entries: DataFrame, base: str = "/") -> DataFrame:
+    """Directories named in a sheet's first column: ``directory``, ``mentions``.
 
     ``entries``: cells of one sheet (``row``, ``column``, ``value``).  Column 1
-    only; a first row that looks like a header is dropped; values trimmed;
-    blanks dropped; distinct; ``valid`` = the directory exists in
-    ``existing_dirs`` (column ``folder``); ``mentions`` = how often it was listed.
+    only; a first row that looks like a header is dropped; white space around a
+    value goes, blanks are dropped; different spellings of one path (``.``,
+    ``..``, repeated and last slashes) are one directory.
     """
     first = entries.where(F.col("column") == 1)
     header = (F.col("row") == 0) & paths.looks_like_header("value")
     cleaned = first.where(~header | F.col("value").isNull()).select(paths.clean("value").alias("directory"))
-    listed = cleaned.where(F.col("directory").isNotNull()).groupBy("directory").agg(
-        F.count(F.lit(1)).alias("mentions")
-    )
-    known = existing_dirs.select(F.col("folder").alias("directory")).distinct().withColumn("valid", F.lit(True))
-    return listed.join(known, "directory", "left").select(
+    return cleaned.where(F.col("directory").isNotNull()).groupBy(paths.resolved("directory", base).alias("directory")).agg(
+        F.count(F.lit(1)).alias("mentions"))
+
+
+def clean_directory_list(entries: DataFrame, existing_dirs: DataFrame, base: str = "/") -> DataFrame:
+    """Directory list read from a sheet's first column, cleaned and checked against ``existing_dirs`` (column ``folder``).
+
+    ``valid`` = the directory is among them; ``mentions`` = how often it was
+    listed, in any spelling.  ``sources.catalog.existing`` looks at the file
+    system instead.
+    """
+    known = existing_dirs.select(paths.resolved("folder", base).alias("directory")).distinct().withColumn("valid", F.lit(True))
+    return directory_entries(entries, base).join(known, "directory", "left").select(
         "directory", F.coalesce("valid", F.lit(False)).alias("valid"), "mentions"
     )
 
 
+def directory_counts(listed: DataFrame) -> DataFrame:
+    """One row: how many listed directories are valid, how many are not, and all mentions."""
+    return listed.agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"),
+                      F.coalesce(F.sum("mentions"), F.lit(0)).cast("bigint").alias("mentions"))
+
+
 def all_folders(listing: DataFrame, path: str = "file_path") -> DataFrame:
     """Every folder that holds at least one listed file, at any depth."""
     one = listing.select(paths.parent(path).alias("_parent"), F.col(path).alias("_path")).groupBy("_parent").agg(
