@@ -8,12 +8,12 @@ Scale notes
   partition and sheet) gives each partition its offset, and every row adds its
   position inside the partition.  A sheet holding a third of all rows is spread
   over many partitions like any other.
-* ``to_cells`` is one ``Expand`` (narrow, no shuffle) after a per-column text
-  cast, so mixed column types never meet before they are text.
+* ``to_cells`` makes one array of a row's texts and explodes it with positions
+  (narrow, no shuffle); its plan is as small for 16,384 columns as for ten.
 * ``to_wide`` is a partial + final aggregate on (sheet, row) (sort-based, as
-  ``max`` over text is; measured faster here than collecting (column, value)
-  pairs into a map); the column list is passed so Spark does not run a
-  distinct job.
+  ``max`` over text is); the column list is passed so Spark does not run a
+  distinct job.  Sheets of more than 64 columns are pivoted by blocks of 64
+  columns, and a row's blocks are put together by number.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import as_text, column_name
 from ..session import cut_lineage
 
+#: Columns of a pivot up to which each is its own aggregate; wider sheets go by blocks of as many.
+BLOCK = 64
+
 _POS = "_sl_pos"
 _PID = "_sl_pid"
 
@@ -105,19 +109,26 @@ def to_cells(
         (v if isinstance(v, Column) else (F.col(v) if v in df.columns else F.lit(v))).alias(k)
         for k, v in lineage.items()
     ]
+    # one array a row, so the plan does not grow with the number of columns
     wide = df.select(
         *lineage_cols,
         F.col(row).cast("bigint").alias("row"),
         *[F.col(k) for k in keep],
-        *[as_text(F.col(c), types[c]).alias(str(i)) for i, c in enumerate(values, start=1)],
+        _texts(values, types).alias("_sl_values"),
     )
-    named = [str(i) for i in range(1, len(values) + 1)]
-    long = wide.unpivot(list(lineage) + ["row"] + list(keep), named, "column", "value")
-    # value columns are named by their number, so the unpivoted name casts straight to it
-    col = F.col("column").cast("bigint") if column_as == "number" else F.concat(F.lit("column_"), F.col("column"))
+    long = wide.select(*lineage, "row", *keep, F.posexplode("_sl_values").alias("_sl_at", "value"))
+    number = (F.col("_sl_at") + 1).cast("bigint")
+    col = number if column_as == "number" else F.concat(F.lit("column_"), number.cast("string"))
     return long.select(*lineage, "row", *keep, col.alias("column"), "value")
 
 
+def _texts(columns: Sequence[str], types: Mapping[str, T.DataType]) -> Column:
+    """One array of the columns' texts; texts as they are go in by name, as SQL, thousands of them in one call."""
+    if all(isinstance(types[c], T.StringType) for c in columns):
+        return F.expr("array({})".format(", ".join("`{}`".format(c.replace("`", "``")) for c in columns)))
+    return F.array(*[as_text(F.col(c), types[c]) for c in columns])
+
+
 def sheets_to_cells(sheets: Sequence[tuple[DataFrame, str | Column, Mapping[str, str], Sequence[str]]]) -> DataFrame:
     """Many wide sheets of different widths -> one cell table, in one pass.
 
@@ -166,38 +177,70 @@ def to_wide(
             # distinct column numbers: bounded by the widest sheet, not by the data
             n_columns = cells.agg(F.max("column")).first()[0] or 0
         columns = list(range(1, int(n_columns) + 1))
+    columns = list(columns)
     pick = {"max": F.max, "min": F.min, "first": F.first}[agg]
-    wide = cells.groupBy(*index).pivot("column", list(columns)).agg(pick("value"))
-    return wide.select(*index, *[F.col(str(c)).alias(f"column_{c}") for c in columns])
+    if len(columns) <= BLOCK:
+        wide = cells.groupBy(*index).pivot("column", columns).agg(pick("value"))
+        return wide.select(*index, *[F.col(str(c)).alias(f"column_{c}") for c in columns])
+    # wide sheets: blocks of columns, then the blocks of a row by number; the plan has one branch a column of a block
+    at = F.pmod(F.col("column") - 1, F.lit(BLOCK))
+    blocks = cells.where(F.col("column").between(min(columns), max(columns))).groupBy(
+        *index, F.floor((F.col("column") - 1) / BLOCK).cast("int").alias("_sl_block")).agg(
+        F.array(*[pick(F.when(at == i, F.col("value"))) for i in range(BLOCK)]).alias("_sl_values"))
+    rows = blocks.groupBy(*index).agg(F.map_from_entries(F.collect_list(F.struct("_sl_block", "_sl_values"))).alias("_sl_map"))
+    last = (max(columns) - 1) // BLOCK
+    none = F.array_repeat(F.lit(None).cast("string"), BLOCK)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda b: F.coalesce(F.try_element_at("_sl_map", b), none)))
+    flat = rows.select(*index, whole.alias("_sl_whole"))
+    # as SQL text: thousands of columns in one call
+    return flat.selectExpr(*[f"`{i}`" for i in index], *[f"_sl_whole[{c - 1}] AS column_{c}" for c in columns])
 
 
 def drop_blank(cells: DataFrame, keys: Sequence[str] = ("file_path", "worksheet")) -> DataFrame:
     """Drop rows and columns whose cells are all null, then renumber densely.
 
-    Rows stay 0-based, columns 1-based, per sheet.  Row renumbering uses the
-    skew-safe index over the distinct kept rows; column renumbering is a window
-    over at most the sheet width.
+    Rows stay 0-based, columns 1-based, per sheet.  Which rows and columns of a
+    sheet are used is kept as bitmaps, one for 32,768 rows or columns: a few KB
+    a sheet.  A cell's new row is the number of bits before its own, plus those
+    of the sheet's earlier bitmaps.  Cells are shuffled once at most, to meet
+    the bitmap of their row; the sheet's column bitmaps travel with it.
     """
     keys = list(keys)
-    has_value = F.max(F.col("value").isNotNull().cast("int")) == 1
-    rows = (
-        cells.groupBy(*keys, "row").agg(has_value.alias("_keep")).where("_keep").drop("_keep")
-    )
-    rows = with_row_index(rows, ["row"], keys, name="_new_row")
-    cols = cells.groupBy(*keys, "column").agg(has_value.alias("_keep")).where("_keep").drop("_keep")
-    cols = cols.withColumn(
-        "_new_col", F.row_number().over(Window.partitionBy(*keys).orderBy("column")).cast("bigint")
-    )
-    out = cells.join(rows, keys + ["row"], "inner").join(cols, keys + ["column"], "inner")
-    ordered = []
-    for c in cells.columns:
-        if c == "row":
-            ordered.append(F.col("_new_row").alias("row"))
-        elif c == "column":
-            ordered.append(F.col("_new_col").alias("column"))
-        else:
-            ordered.append(F.col(c))
-    return out.select(*ordered)
+    used = cells.where(F.col("value").isNotNull())
+    rows = _bitmaps(used, keys, F.col("row") + 1).select(
+        *keys, F.col("_bucket").alias("_rows"), F.col("_bits").alias("_row_bits"), F.col("_before").alias("_row_before"))
+    columns = _bitmaps(used, keys, F.col("column")).groupBy(*keys).agg(
+        F.collect_list(F.struct("_bucket", "_bits", "_before")).alias("_columns"))
+    out = cells.withColumn("_rows", F.bitmap_bucket_number(F.col("row") + 1)).join(rows.join(columns, keys), [*keys, "_rows"])
+    mine = F.get(F.filter("_columns", lambda c: c["_bucket"] == F.bitmap_bucket_number(F.col("column"))), 0)
+    out = out.withColumn("_column", mine).withColumn("_at", F.bitmap_bit_position(F.col("row") + 1)).withColumn(
+        "_on", F.bitmap_bit_position(F.col("column")))
+    out = out.where(_bit(F.col("_row_bits"), F.col("_at")) & _bit(F.col("_column._bits"), F.col("_on")))
+    new = {"row": F.col("_row_before") + _bits_before(F.col("_row_bits"), F.col("_at")),
+           "column": F.col("_column._before") + _bits_before(F.col("_column._bits"), F.col("_on")) + 1}
+    return out.select(*[new[c].cast("bigint").alias(c) if c in new else F.col(c) for c in cells.columns])
+
+
+def _bitmaps(used: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """The numbers of each group as bitmaps: keys, bucket, bits, and how many numbers lie in earlier buckets."""
+    bits = used.groupBy(*keys, F.bitmap_bucket_number(number).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return bits.withColumn("_before", F.coalesce(F.sum(F.bitmap_count("_bits")).over(earlier), F.lit(0)))
+
+
+def _byte(bits: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+
+
+def _bit(bits: Column, at: Column) -> Column:
+    return F.coalesce(F.getbit(_byte(bits, at), (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def _bits_before(bits: Column, at: Column) -> Column:
+    """Number of bits set before a position."""
+    whole = F.bitmap_count(F.substring(bits, F.lit(1), F.floor(at / 8).cast("int")))
+    return whole + F.bit_count(_byte(bits, at).bitwiseAND((F.pow(F.lit(2), at % 8) - 1).cast("int")))
 
 
 def named_columns(cells: DataFrame) -> DataFrame:
