@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import paths
-from ..session import cut_lineage, drop_cuts, ship_package
+from ..operators.reshape import with_row_index
+from ..session import cut_lineage, drop_cuts, scratch_dir, ship_package
 from . import workbook
 
 
@@ -53,17 +54,15 @@ def only_existing(catalog: DataFrame, listing: DataFrame, key: str = "file_path"
     return catalog.join(listing.select(key), key, "left_semi")
 
 
-def done_from_ledger(ledger: DataFrame, retry_errors: bool = True) -> DataFrame:
-    """Paths whose latest ledger status counts as done.
+#: Ledger states that count as done, by skip rule: without errors, or seen at all.
+DONE = {"ledger": ("ok", "empty"), "seen": ("ok", "empty", "partial", "error")}
 
-    ``retry_errors=False`` treats any file with an ``ok``/``partial`` run as
-    done, like a path-keyed skip; the default retries files whose last run had
-    errors.
-    """
+
+def done_from_ledger(ledger: DataFrame, states: Sequence[str] = DONE["ledger"]) -> DataFrame:
+    """Paths whose latest ledger status counts as done; by default files whose last run had errors do not."""
     last = ledger.groupBy("file_path").agg(
         F.max_by(F.struct("status", "modified_at", "file_hash"), F.struct("run_at", "run_id")).alias("last"))
-    done = ["ok", "empty"] if retry_errors else ["ok", "partial", "empty"]
-    return last.where(F.col("last.status").isin(done)).select("file_path", "last.modified_at", "last.file_hash")
+    return last.where(F.col("last.status").isin(list(states))).select("file_path", "last.modified_at", "last.file_hash")
 
 
 def modified_since(candidates: DataFrame, done: DataFrame) -> DataFrame:
@@ -171,83 +170,96 @@ def status_column(n_sheets, n_empty, n_errors):
 
 _PAD = (None,) * 8
 
-UNITS = ("file_path string, modified_at timestamp, sheet_index int, weight bigint, range_start bigint, "
-         "range_end bigint")
-RANGE_INDEX = ("file_path string, modified_at timestamp, sheet_index int, range_start bigint, range_end bigint, "
-               "n_rows bigint, cols array<bigint>, failed string")
+UNITS = "file_path string, modified_at timestamp, sheet_index int, weight bigint, cut boolean"
+PARTS = ("file_path string, modified_at timestamp, sheet_index int, sheet string, number int, part string, bytes bigint, "
+         "failed string")
+PART_INDEX = PARTS + ", n_rows bigint, cols array<bigint>"
 
 
 def _plan_partition(batches, split_bytes: int, range_bytes: int):
-    """(path, modified_at, size) of large files in; units out: whole file, sheets, or sheet byte ranges."""
+    """(path, modified_at, size) of large files in; units out: whole file, sheets, or sheets to be cut into parts."""
     import pyarrow as pa
 
+    types = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int32(), pa.int64(), pa.bool_()]
     for batch in batches:
-        paths, mods, sizes = (batch.column(i).to_pylist() for i in range(3))
-        out = ([], [], [], [], [], [])
-        for path, mod, size in zip(paths, mods, sizes):
+        out = []
+        for path, mod, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
             units = workbook.plan_units(path, split_bytes, range_bytes)
-            total = sum(u[2] for u in units) or 1
-            for idx, _, w, a, b in units:
-                # weight in file bytes, shared out by the sheets' XML sizes
-                weight = int((size or 0) * w / total) if idx >= 0 else size
-                for col, v in zip(out, (path, mod, idx, weight, a, b)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.string()), pa.array(out[1], pa.timestamp("us", tz="UTC")),
-             pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()),
-             pa.array(out[5], pa.int64())],
-            names=["file_path", "modified_at", "sheet_index", "weight", "range_start", "range_end"],
-        )
+            total = sum(u[1] for u in units) or 1
+            # weight in file bytes, shared out by the sheets' XML sizes
+            out += [(path, mod, i, int((size or 0) * w / total) if i >= 0 else size, cut) for i, w, cut in units]
+        cols = zip(*out) if out else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                         names=["file_path", "modified_at", "sheet_index", "weight", "cut"])
+
+
+def _parts_schema():
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", tz="UTC")}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in PARTS.split(", "))])
+
+
+def _cut_partition(batches, part_bytes: int, folder: str):
+    """Sheets (path, modified_at, index) in; their parts out, stored below ``folder``; a sheet that fails is one row without."""
+    for batch in batches:
+        for path, mod, idx in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            sheet, out, message = workbook.sheet_name(path, idx), [], None
+            try:
+                for number, part, size in workbook.cut_sheet(path, idx, part_bytes, folder):
+                    out.append((path, mod, idx, sheet, number, part, size, None))
+            except Exception as e:
+                out, message = [], f"{type(e).__name__}: {e}"
+            yield _to_batch(out or [(path, mod, idx, sheet, 0, None, 0, message)], _parts_schema())
 
 
 def _index_partition(batches):
-    """First pass over sheet byte ranges: non-empty row count and column numbers of each range, or why it fails."""
+    """First pass over parts: non-empty row count and column numbers of each, or why it fails."""
     import pyarrow as pa
 
+    reader = workbook.Parts()
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
         n_rows, used, failed = [], [], []
-        for path, _, idx, a, b in zip(*cols):
-            n, c, message = 0, [], None
+        for path, part, message in zip(*(batch.column(c).to_pylist() for c in ("file_path", "part", "failed"))):
+            n, c = 0, []
             try:
-                n, c, _ = workbook.index_range(path, idx, a, b)
+                if message is None:
+                    n, c = reader.index(path, part)
             except Exception as e:
                 message = f"{type(e).__name__}: {e}"
             n_rows.append(n)
             used.append(c)
             failed.append(message)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in range(5)]
-            + [pa.array(n_rows, pa.int64()), pa.array(used, pa.list_(pa.int64())), pa.array(failed, pa.string())],
-            names=["file_path", "modified_at", "sheet_index", "range_start", "range_end", "n_rows", "cols", "failed"],
-        )
+            [*(batch.column(i) for i in range(7)), pa.array(failed, pa.string()), pa.array(n_rows, pa.int64()),
+             pa.array(used, pa.list_(pa.int64()))], names=[f.split()[0] for f in PART_INDEX.split(", ")])
 
 
-def _range_partition(batches, max_cells: int, batch_rows: int):
-    """Second pass over sheet byte ranges: cells numbered with the sheet-wide offset and column map.
+def _part_partition(batches, max_cells: int, batch_rows: int):
+    """Second pass over parts: cells numbered with the sheet-wide offset and column map.
 
-    A sheet any of whose ranges failed gives what it gives when it is decoded
+    A sheet any of whose parts failed gives what it gives when it is decoded
     whole: one error row and no cells.  The sheet's counts travel with its
-    first range, the file's hash with the first range of its first sheet.
+    first part, the file's hash with the first part of its first sheet.
     """
-    out = _Out(batch_rows)
+    out, reader = _Out(batch_rows), workbook.Parts()
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(9)]
-        for path, modified, idx, a, b, offset, used, total, failed in zip(*cols):
-            first = a == 0
+        names = ("file_path", "modified_at", "sheet_index", "sheet", "number", "part", "row_offset", "all_cols", "total_rows", "failed")
+        for path, modified, idx, sheet, number, part, offset, used, total, failed in zip(*(batch.column(c).to_pylist() for c in names)):
+            first = number == 0
             shown = workbook.plain_path(path)
             name = shown.rsplit("/", 1)[-1]
-            n_errors = 0
             if failed is not None:
-                n_errors = int(first)
                 if first:
-                    out.rows.append(workbook._error(shown, name, workbook.sheet_name(path, idx), failed) + _PAD)
+                    out.rows.append(workbook._error(shown, name, sheet, failed) + _PAD)
             else:
-                for chunk in workbook.decode_range(path, idx, a, b, offset, used, total, first, max_cells=max_cells):
+                if first:
+                    out.rows.append(("sheet", shown, name, sheet, None, None, None, total, len(used), None) + _PAD)
+                for chunk in reader.decode(path, sheet, part, offset, used, max_cells=max_cells):
                     yield from out.add(chunk, modified)
             read = first and failed is None
             out.file_row(shown, name, None, int(read), int(read and total == 0), total * len(used) if read else 0,
-                         n_errors, modified, workbook.content_hash(path) if first and idx == 0 else None)
+                         int(first and failed is not None), modified, workbook.content_hash(path) if first and idx == 0 else None)
     yield from out.rest()
 
 
@@ -315,52 +327,59 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     wanted = -(-n_bytes // max(1, bytes_per_task)) if n_bytes else -(-total // max(1, files_per_task))
     parts = max(1, min(max(floor, wanted), 256 * max(1, total)))
     large = F.col("size") > F.lit(split_file_bytes)
-    whole = paths_df.where(~large | F.col("size").isNull()).select(
+    units = paths_df.where(~large | F.col("size").isNull()).select(
         "file_path", "modified_at", F.lit(-1).alias("sheet_index"), F.col("size").alias("weight"))
-    whole = whole.withColumn("range_start", F.lit(-1).cast("bigint")).withColumn("range_end", F.lit(-1).cast("bigint"))
-    large_paths = paths_df.where(large)
-    if large_paths.isEmpty():
-        units, ranges = whole, None
-    else:
+    large_paths, cut_sheets = paths_df.where(large), None
+    if not large_paths.isEmpty():
         planned = cut_lineage(
             large_paths.repartition(max(floor, large_paths.count()), F.xxhash64("file_path"))
             .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS), cuts
         )
-        units = whole.unionByName(planned.where(F.col("range_start") < 0))
-        ranges = planned.where(F.col("range_start") >= 0)
+        units = units.unionByName(planned.where("not cut").drop("cut"))
+        cut_sheets = planned.where("cut")
     # spread on a hash, not on the path itself: a repartition identical to an
     # exchange below it (the de-duplication's) would be dropped as redundant and
     # that exchange, carrying only paths, coalesced by AQE into a single task
     spread = units.repartition(parts, F.xxhash64("file_path", "sheet_index"))
     decoded = spread.select("file_path", "modified_at", "sheet_index").mapInArrow(
         lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
-    if ranges is None:
-        return decoded
-    key = ["file_path", "sheet_index"]
-    by_range = F.xxhash64("file_path", "sheet_index", "range_start")
-    tasks = max(floor, ranges.count())  # a range is a task's worth of bytes
-    index = cut_lineage(
-        ranges.select("file_path", "modified_at", "sheet_index", "range_start", "range_end")
-        .repartition(tasks, by_range).mapInArrow(_index_partition, RANGE_INDEX), cuts
-    )
+    n_cut = 0 if cut_sheets is None else cut_sheets.count()
+    return decoded.unionByName(_read_in_parts(cut_sheets, n_cut, range_xml_bytes, max_cells, batch_rows, bytes_per_task, cuts)) if n_cut else decoded
+
+
+def _read_in_parts(sheets: DataFrame, n_sheets: int, part_bytes: int, max_cells: int, batch_rows: int, bytes_per_task: int,
+                   cuts: list[str] | None) -> DataFrame:
+    """``schema.DECODED`` rows of huge sheets: inflated once into stored parts of whole rows, which are counted, then decoded."""
+    spark = sheets.sparkSession
+    folder = scratch_dir(spark, "parts")
+    if cuts is not None:
+        cuts.append(folder)
+    stored = cut_lineage(
+        sheets.select("file_path", "modified_at", "sheet_index").repartition(n_sheets, F.xxhash64("file_path", "sheet_index"))
+        .mapInArrow(lambda it: _cut_partition(it, part_bytes, folder), PARTS), cuts)
+    size = stored.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    # XML is about ten times its file; neighbouring parts share the opened workbook
+    tasks = max(1, min(size["n"], max(2 * spark.sparkContext.defaultParallelism, size["bytes"] // (10 * bytes_per_task))))
+    spread = [F.xxhash64("file_path", "sheet_index", "number")]
+    order = ["file_path", "sheet_index", "number"]
+    index = cut_lineage(stored.repartition(tasks, *spread).sortWithinPartitions(*order).mapInArrow(_index_partition, PART_INDEX), cuts)
     # per sheet: all used columns (a set, at most the sheet width), the row total and the first failure;
-    # per range: rows in the ranges before it (a window over one row per range)
+    # per part: rows in the parts before it (a window over one row per part)
+    key = ["file_path", "sheet_index"]
     totals = index.groupBy(*key).agg(
         F.sum("n_rows").alias("total_rows"),
-        F.min(F.when(F.col("failed").isNotNull(), F.struct("range_start", "failed"))).getField("failed").alias("failed"),
+        F.min(F.when(F.col("failed").isNotNull(), F.struct("number", "failed"))).getField("failed").alias("failed"),
     )
     used = index.select(*key, F.explode("cols").alias("col")).groupBy(*key).agg(
         F.sort_array(F.collect_set("col")).alias("all_cols"))
     per_sheet = totals.join(used, key, "left").withColumn(
         "all_cols", F.coalesce("all_cols", F.array().cast("array<bigint>")))
-    before = Window.partitionBy(*key).orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = index.drop("failed").withColumn("row_offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
     work = offsets.join(per_sheet, key).select(
-        "file_path", "modified_at", "sheet_index", "range_start", "range_end", "row_offset", "all_cols",
-        "total_rows", "failed")
-    ranged = work.repartition(tasks, by_range).mapInArrow(
-        lambda it: _range_partition(it, max_cells, batch_rows), S.DECODED)
-    return decoded.unionByName(ranged)
+        "file_path", "modified_at", "sheet_index", "sheet", "number", "part", "row_offset", "all_cols", "total_rows", "failed")
+    return work.repartition(tasks, *spread).sortWithinPartitions(*order).mapInArrow(
+        lambda it: _part_partition(it, max_cells, batch_rows), S.DECODED)
 
 
 # ---------------------------------------------------------------------------
@@ -466,6 +485,8 @@ def run(
     range_xml_bytes: int = 64 << 20,
     folders: DataFrame | None = None,
     any_extension: bool = False,
+    max_files: int | None = None,
+    first_part: int = 0,
 ) -> dict:
     """Convert the selected catalog files; return the run id and its totals.
 
@@ -477,9 +498,12 @@ def run(
     ``skip``: ``ledger`` (files done per ledger; files whose last run had
     errors are retried, files modified since are converted again and keep
     their earlier cells as history), ``cells`` (any path present in the cells:
-    the strict path-keyed rule) or ``none``.  ``listing``: a fresh listing;
+    the strict path-keyed rule), ``seen`` (as ``ledger``, but files with errors
+    only once they are modified) or ``none``.  ``listing``: a fresh listing;
     catalog files missing from it are left out.  ``any_extension``: files that
-    are no workbooks are taken too and become errors.
+    are no workbooks are taken too and become errors.  ``max_files``: convert
+    them as runs ``<run_id>-<n>`` of at most so many files, ``n`` from
+    ``first_part`` on, each with its own ledger.
     """
     from . import cells_io
 
@@ -500,8 +524,8 @@ def run(
         candidates = only_existing(candidates, listing)
     keep = ["file_path"] + [c for c in ("modified_at", "size") if c in candidates.columns]
     candidates = candidates.select(*keep).dropDuplicates(["file_path"])
-    if skip == "ledger":
-        done = done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger"))
+    if skip in DONE:
+        done = done_from_ledger(cells_io.read_ledger(spark, f"{out}/ledger"), DONE[skip])
     elif skip == "cells":
         done = cells_io.processed_paths(spark, out)
     else:
@@ -512,7 +536,7 @@ def run(
         flagged = candidates.withColumn("_todo", F.lit(True))
     else:
         skipped = done.select("file_path").distinct()
-        if skip == "ledger" and "modified_at" in candidates.columns:
+        if skip in DONE and "modified_at" in candidates.columns:
             skipped = skipped.join(modified_since(candidates, done), "file_path", "left_anti")
         flagged = candidates.join(skipped.withColumn("_done", F.lit(True)),
                                   "file_path", "left").withColumn("_todo", F.col("_done").isNull())
@@ -527,11 +551,21 @@ def run(
         ).first()
         todo = flagged.where("_todo")
         totals = {"files": 0, "sheets": 0, "rows": 0, "errors": 0}
-        if c["todo"]:
-            ledger_run = convert(spark, todo, out, run_id, files_per_task, n_files=c["todo"], n_bytes=c["bytes"],
-                                 split_file_bytes=split_file_bytes, split_xml_bytes=split_xml_bytes,
-                                 range_xml_bytes=range_xml_bytes)
-            totals = run_totals(ledger_run).first().asDict()
+        options = {"files_per_task": files_per_task, "split_file_bytes": split_file_bytes, "split_xml_bytes": split_xml_bytes,
+                   "range_xml_bytes": range_xml_bytes}
+        if c["todo"] and max_files is None:
+            parts = [(run_id, todo, c["todo"], c["bytes"])]
+        elif 0 < c["todo"] <= (max_files or 0):
+            parts = [(f"{run_id}-{first_part:05d}", todo, c["todo"], c["bytes"])]
+        elif c["todo"]:
+            numbered = cut_lineage(with_row_index(todo, ["file_path"], name="_n").withColumn("_part", F.floor(F.col("_n") / max_files)))
+            parts = [(f"{run_id}-{first_part + k:05d}", numbered.where(F.col("_part") == k), min(max_files, c["todo"] - k * max_files), None)
+                     for k in range(-(-c["todo"] // max_files))]
+        else:
+            parts = []
+        for part_id, files, n, size_of in parts:
+            one = run_totals(convert(spark, files, out, part_id, n_files=n, n_bytes=size_of, **options)).first()
+            totals = {k: v + one[k] for k, v in totals.items()}
     finally:
         flagged.unpersist()
     totals["skipped"] = int(c["n"] - c["todo"])

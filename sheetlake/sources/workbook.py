@@ -20,16 +20,19 @@ from __future__ import annotations
 import datetime as _dt
 import functools
 import hashlib
+import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import numpy as np
 
-from .files import open_input, plain_path
+from .files import open_input, open_output, plain_path
 
 # The namespaces of spreadsheet parts and of relationship ids, in the usual and in the strict form.
 NAMESPACES = {
@@ -131,6 +134,40 @@ def _is_date_format(code: str) -> bool:
     return stripped.lower() != "general" and bool(_DATE_TOKENS.search(stripped))
 
 
+# A cell as writers usually spell it; a sheet with any cell that is spelt otherwise is read by the XML parser alone.
+_CELL = re.compile(
+    rb'<c r="([A-Z]{1,3})[0-9]{1,7}"(?: s="([0-9]+)")?(?: t="([a-zA-Z]+)")?(?:/>|>(?:<f[^>]*/>|<f[^>]*>[^<]*</f>)?'
+    rb'(?:<v/>|<v>([^<]*)</v>)?(?:<is>(?:<t/>|<t(?: [^>]*)?>([^<]*)</t>)?</is>)?</c>)')
+_CELL_TAG = re.compile(rb"<c[\s>/]")
+_PREFIXED = re.compile(rb"<[A-Za-z_][\w.-]*:(?:c|row|sheetData|worksheet)[\s>/]")
+_ROW_NUMBER = re.compile(rb"[^>]*?\sr=\"([0-9]+)\"")
+_REFERENCE = re.compile(r"&(?:#([0-9]+)|#x([0-9A-Fa-f]+)|(lt|gt|amp|quot|apos));")
+_ENTITY = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def _plain(raw: bytes) -> str:
+    """Text between two tags, references resolved."""
+    text = raw.decode()
+    if "&" not in text:
+        return text
+    return _REFERENCE.sub(lambda m: chr(int(m[1])) if m[1] else chr(int(m[2], 16)) if m[2] else _ENTITY[m[3]], text)
+
+
+def _is_plain(data: bytes, ns: str) -> bool:
+    """Whether a sheet document is well-formed UTF-8 XML without anything that needs the XML parser to read its cells."""
+    head = data[:512]
+    root = b'<worksheet xmlns="' + ns.strip("{}").encode() + b'"'
+    if root not in head or (b"encoding=" in head and not re.search(rb"encoding=[\"']utf-8[\"']", head, re.IGNORECASE)):
+        return False
+    if b"<!" in data or b"\r" in data or data.count(b"<?") > head.startswith(b"<?xml") or _PREFIXED.search(data):
+        return False
+    try:
+        expat.ParserCreate(namespace_separator="}").Parse(data, True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
 class _Book:
     def __init__(self, zf: zipfile.ZipFile):
         self.zf = zf
@@ -211,6 +248,47 @@ class _Book:
             if found:
                 yield row_no, found
 
+    def text(self, kind: bytes, style: bytes, raw: bytes, inline: bytes) -> str | None:
+        """``value`` of a cell from the bytes of its type, style, ``<v>`` and inline text."""
+        if kind == b"inlineStr":
+            return _plain(inline)
+        if not raw:
+            return None
+        if kind == b"s":
+            return self.shared[int(raw)]
+        if kind in (b"", b"n"):
+            if style and self.date_styles and int(style) in self.date_styles:
+                return date_text(self.epoch, raw.decode())
+            return stored_number_text(raw.decode())
+        return ("true" if raw.strip() in (b"1", b"true") else "false") if kind == b"b" else (
+            _plain(raw) if kind in (b"str", b"e", b"d") else stored_number_text(_plain(raw)))
+
+    def document_rows(self, data: bytes) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+        """``iter_rows`` of a sheet document in memory: by one pattern over its cells where it is plain, else parsed."""
+        if not _is_plain(data, self.ns):
+            yield from self.iter_rows("", source=io.BytesIO(data))
+            return
+        begin = re.search(rb"<sheetData(?:\s[^>]*)?>", data)
+        body = data[begin.end():data.rfind(b"</sheetData>")] if begin and not begin[0].endswith(b"/>") else b""
+        rows = body.split(b"<row")[1:]
+        found = [_CELL.findall(r) for r in rows]
+        if sum(map(len, found)) != len(_CELL_TAG.findall(body)):
+            yield from self.iter_rows("", source=io.BytesIO(data))
+            return
+        number, columns = 0, {}
+        text = functools.lru_cache(maxsize=1 << 14)(self.text)
+        for row, cells in zip(rows, found, strict=True):
+            m = _ROW_NUMBER.match(row)
+            number = int(m[1]) if m else number + 1
+            out = []
+            for letters, style, kind, raw, inline in cells:
+                value = text(kind, style, raw, inline)
+                if value:
+                    column = columns.get(letters) or columns.setdefault(letters, _col_index(letters.decode()))
+                    out.append((column, value))
+            if out:
+                yield number, out
+
     def part_size(self, part: str) -> int:
         return self.zf.getinfo(part).file_size
 
@@ -272,7 +350,7 @@ def _decode_sheet(book: _Book, path: str, name: str, sheet_name: str, part: str
         held = n_rows = None
         if book.part_size(part) <= two_pass_bytes:
             # one pass: the sheet's non-empty cells are held until its width is known
-            held = list(book.iter_rows(part))
+            held = list(book.document_rows(book.zf.read(part)))
             n_rows, used = len(held), {c for _, found in held for c, _ in found}
         else:
             # two passes: first only the used column numbers, then stream the values
@@ -312,99 +390,88 @@ _SHEET_DATA = re.compile(rb"<([A-Za-z_][\w.-]*:)?sheetData\b[^>]*?(/?)>")
 _ROOT_TAG = re.compile(rb"<([A-Za-z_][\w.:-]*)[\s>]")
 
 
-def sheet_ranges(size: int, range_bytes: int) -> list[tuple[int, int]]:
-    """Byte ranges [start, end) of a sheet's XML for about ``range_bytes`` each."""
-    k = max(1, -(-size // max(1, range_bytes)))
-    step = -(-size // k)
-    return [(i * step, (i + 1) * step if i < k - 1 else size + 1) for i in range(k)]
-
+def sheet_documents(stream, part_bytes: int, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """A sheet's XML, read once from its beginning to its end, as documents of about ``part_bytes`` that hold whole rows.
 
-def range_document(stream, start: int, end: int, last: bool = False, chunk: int = 1 << 20) -> bytes | None:
-    """A sheet document holding only the rows whose start tag lies in [start, end).
-
-    The decompressed stream is read from the beginning (deflate cannot seek),
-    but only the rows of the range are kept and later parsed: the head up to
-    ``<sheetData>``, the range's rows, and closing tags.  The ``last`` range
-    ends as the part itself does: it is read to its end, so a damaged end or a
-    wrong checksum shows here as it does when the part is read whole.  None
-    for a sheet without rows.
+    Each document has the sheet's head and closing tags.  The last one ends as
+    the sheet itself does, so what is wrong there shows when it is parsed; a
+    sheet without rows is one document.
     """
     buf = bytearray()
-    off = 0  # absolute offset of buf[0]
-    head = None
-    while head is None:
+    begin = None
+    while begin is None:
         data = stream.read(chunk)
         buf += data
-        m = _SHEET_DATA.search(buf)
-        if m:
-            if m.group(2):  # <sheetData/>: no rows at all
-                return bytes(buf) + stream.read() if last else None
-            head, prefix = bytes(buf[:m.end()]), m.group(1) or b""
-        elif not data:
-            return bytes(buf) if last else None
+        begin = _SHEET_DATA.search(buf)
+        if not data or (begin and begin.group(2)):  # no sheetData, or one without rows
+            yield bytes(buf) + stream.read()
+            return
+    head, prefix = bytes(buf[:begin.end()]), begin.group(1) or b""
     root = _ROOT_TAG.search(head, head.find(b"<", head.find(b"?>") + 1 if head.startswith(b"<?") else 0)).group(1)
-    row_start = re.compile(rb"<" + re.escape(prefix) + rb"row[\s>/]")
-    data_end = b"</" + prefix + b"sheetData"
-    pos = len(head)  # scanning position inside buf
-    begin = None
-    out = rest = None
+    tail = b"</" + prefix + b"sheetData></" + root + b">"
+    row_start, data_end = re.compile(rb"<" + re.escape(prefix) + rb"row[\s>/]"), b"</" + prefix + b"sheetData"
+    del buf[:begin.end()]
+    seen = 0  # up to here no cut can lie
     while True:
-        if begin is None:
-            m = row_start.search(buf, pos)
-            while m and off + m.start() < start:
-                m = row_start.search(buf, m.end())
-            stop = buf.find(data_end, pos)
-            if m and (stop < 0 or m.start() < stop):
-                begin = m.start()
-                pos = m.end()
-                if off + begin >= end:
-                    out = b""
-                    break
-                continue
-            if stop >= 0:
-                out, rest = b"", stop
-                break
-            keep = max(pos, len(buf) - 64)  # a tag split over two reads stays whole
-            off += keep
-            del buf[:keep]
-            pos = 0
-        else:
-            m = row_start.search(buf, pos)
-            while m and off + m.start() < end:
-                m = row_start.search(buf, m.end())
-            stop = buf.find(data_end, begin)
-            cut = min(x for x in (m.start() if m else -1, stop) if x >= 0) if (m or stop >= 0) else -1
-            if cut >= 0:
-                out, rest = bytes(buf[begin:cut]), cut
-                break
-            pos = max(begin, len(buf) - 64)
+        end = buf.find(data_end, seen)
+        m = row_start.search(buf, max(seen, part_bytes)) if len(buf) > part_bytes else None
+        while m and (end < 0 or m.start() < end):
+            yield head + bytes(buf[:m.start()]) + tail
+            end -= m.start() if end >= 0 else 0
+            del buf[:m.start()]
+            m = row_start.search(buf, part_bytes) if len(buf) > part_bytes else None
+        if end >= 0:
+            break
+        seen = max(0, len(buf) - 64)  # a tag split over two reads stays whole
         data = stream.read(chunk)
         if not data:
-            out, rest = bytes(buf[begin:]) if begin is not None else b"", len(buf)
             break
         buf += data
-    if last:
-        return head + out + bytes(buf[rest:]) + stream.read()
-    return head + out + b"</" + prefix + b"sheetData></" + root + b">"
+    yield head + bytes(buf) + stream.read()
 
 
-def _range_rows(book: "_Book", part: str, start: int, end: int):
-    import io
-
-    doc = range_document(book.zf.open(part), start, end, end > book.part_size(part))
-    return [] if doc is None else book.iter_rows(part, source=io.BytesIO(doc))
-
-
-def index_range(path: str, sheet_index: int, start: int, end: int) -> tuple[int, list[int], str | None]:
-    """Non-empty row count and column numbers of one byte range of a sheet (first pass of a split sheet)."""
+def cut_sheet(path: str, sheet_index: int, part_bytes: int, folder: str) -> Iterator[tuple[int, str, int]]:
+    """Inflate a sheet once and store its documents, deflated, below ``folder``: (number, file, bytes of XML)."""
+    stem = hashlib.sha256(f"{path}:{sheet_index}".encode()).hexdigest()[:32]
     with open_input(path) as f:
-        book = _Book(zipfile.ZipFile(f))
-        sheet_name, part = book.sheets[sheet_index]
+        book = zipfile.ZipFile(f)
+        _, part = _sheet_list(book)[2][sheet_index]
+        with book.open(part) as stream:
+            for number, document in enumerate(sheet_documents(stream, part_bytes)):
+                target = f"{folder}/{stem}-{number:06d}"
+                with open_output(target) as out:
+                    out.write(zlib.compress(document, 1))
+                yield number, target, len(document)
+
+
+class Parts:
+    """Reads stored parts; a workbook's strings and styles stay open for the parts that follow."""
+
+    def __init__(self):
+        self.path = self.book = self.file = None
+
+    def rows(self, path: str, part: str) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+        if path != self.path:
+            if self.file is not None:
+                self.file.close()
+            self.file = open_input(path)
+            self.path, self.book = path, _Book(zipfile.ZipFile(self.file))
+        with open_input(part) as f:
+            return self.book.document_rows(zlib.decompress(f.read()))
+
+    def index(self, path: str, part: str) -> tuple[int, list[int]]:
+        """Non-empty row count and column numbers of one part (first pass of a split sheet)."""
         n, cols = 0, set()
-        for _, found in _range_rows(book, part, start, end):
+        for _, found in self.rows(path, part):
             n += 1
             cols.update(c for c, _ in found)
-    return n, sorted(cols), sheet_name
+        return n, sorted(cols)
+
+    def decode(self, path: str, sheet: str, part: str, row_offset: int, cols: list[int], max_cells: int = 50_000) -> Iterator[Cells]:
+        """Cells of one part, numbered with the sheet-wide row offset and column map."""
+        shown = plain_path(path)
+        col_ix = {c: i for i, c in enumerate(cols, start=1)}
+        yield from _cell_chunks(shown, shown.rsplit("/", 1)[-1], sheet, self.rows(path, part), col_ix, row_offset, max_cells)
 
 
 def sheet_name(path: str, sheet_index: int) -> str | None:
@@ -416,54 +483,33 @@ def sheet_name(path: str, sheet_index: int) -> str | None:
         return None
 
 
-def decode_range(path: str, sheet_index: int, start: int, end: int, row_offset: int, cols: list[int],
-                 total_rows: int, first: bool, max_cells: int = 50_000) -> Iterator[list[tuple] | Cells]:
-    """Cells of one byte range of a sheet, numbered with the sheet-wide row offset and column map."""
-    shown = plain_path(path)
-    name = shown.rsplit("/", 1)[-1]
-    with open_input(path) as f:
-        book = _Book(zipfile.ZipFile(f))
-        sheet_name, part = book.sheets[sheet_index]
-        if first:
-            yield [("sheet", shown, name, sheet_name, None, None, None, total_rows, len(cols), None)]
-        col_ix = {c: i for i, c in enumerate(cols, start=1)}
-        yield from _cell_chunks(shown, name, sheet_name, _range_rows(book, part, start, end), col_ix, row_offset, max_cells)
-
-
 def plan_units(path: str, split_bytes: int, range_bytes: int | None = None) -> list[tuple]:
-    """Work units of one workbook: ``(sheet index, sheet name, XML bytes, range start, range end)``.
+    """Work units of one workbook: ``(sheet index, XML bytes, whether the sheet is to be cut into parts)``.
 
-    ``[(-1, None, bytes, -1, -1)]`` is the whole file; otherwise one unit per
-    sheet, and a sheet of more than ``range_bytes`` of XML becomes several
-    byte-range units (range -1/-1 means the whole sheet).
+    ``[(-1, bytes, False)]`` is the whole file; otherwise one unit per sheet.
 
     Only the zip directory and the workbook part are read.  A workbook whose
     sheet XML adds up to more than ``split_bytes`` is cut into its sheets so
-    that one large workbook is decoded by many tasks; anything that cannot be
-    planned stays one whole unit (its decoding reports the error).
+    that one large workbook is decoded by many tasks; a sheet of more than
+    ``range_bytes`` of XML is cut further.  Anything that cannot be planned
+    stays one whole unit (its decoding reports the error).
     """
     shown = plain_path(path)
     ext = ("." + shown.rsplit(".", 1)[-1].lower()) if "." in shown.rsplit("/", 1)[-1] else ""
     if ext not in OOXML_EXTENSIONS:
-        return [(-1, None, 0, -1, -1)]
+        return [(-1, 0, False)]
     try:
         with open_input(path) as f:
             zf = zipfile.ZipFile(f)
             sizes = {i.filename: i.file_size for i in zf.infolist()}
             _, _, sheets = _sheet_list(zf)
     except Exception:
-        return [(-1, None, 0, -1, -1)]
+        return [(-1, 0, False)]
     weights = [sizes.get(part, 0) if part else 0 for _, part in sheets]
-    big_sheet = range_bytes is not None and any(w > range_bytes for w in weights)
-    if (len(sheets) <= 1 and not big_sheet) or sum(weights) <= split_bytes:
-        return [(-1, None, sum(weights), -1, -1)]
-    units = []
-    for i, ((sheet_name, _), w) in enumerate(zip(sheets, weights)):
-        if range_bytes is not None and w > range_bytes:
-            units.extend((i, sheet_name, b - a if b <= w else w - a, a, b) for a, b in sheet_ranges(w, range_bytes))
-        else:
-            units.append((i, sheet_name, w, -1, -1))
-    return units
+    cut = [range_bytes is not None and w > range_bytes for w in weights]
+    if (len(sheets) <= 1 and not any(cut)) or sum(weights) <= split_bytes:
+        return [(-1, sum(weights), False)]
+    return list(zip(range(len(sheets)), weights, cut))
 
 
 def decode_chunks(path: str, max_cells: int = 50_000, two_pass_bytes: int = TWO_PASS_BYTES,

@@ -165,21 +165,60 @@ def test_decoded_values_follow_the_text_rules(tmp_path_factory, grid):
     assert cells == want
 
 
-def test_range_document_with_prefixed_tags():
+def test_sheet_documents_hold_whole_rows_and_read_the_sheet_once():
     import io
     from xml.etree import ElementTree as ET
 
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rows = "".join(f'<x:row r="{i}"><x:c r="A{i}"><x:v>{i}</x:v></x:c></x:row>' for i in range(1, 51))
-    xml = (f'<?xml version="1.0"?><x:worksheet xmlns:x="{ns}"><x:dimension ref="A1:A50"/>'
-           f'<x:sheetData>{rows}</x:sheetData><x:pageMargins/></x:worksheet>').encode()
-    size = len(xml)
-    seen = []
-    for a, b in workbook.sheet_ranges(size, 200):
-        doc = workbook.range_document(io.BytesIO(xml), a, b, chunk=64)
-        root = ET.fromstring(doc)
-        seen += [int(r.get("r")) for r in root.iter(f"{{{ns}}}row")]
-    assert seen == list(range(1, 51))
+    for prefix in ("x:", ""):
+        rows = "".join(f'<{prefix}row r="{i}"><{prefix}c r="A{i}"><{prefix}v>{i}</{prefix}v></{prefix}c></{prefix}row>' for i in range(1, 51))
+        xml = (f'<?xml version="1.0"?><{prefix}worksheet xmlns{":x" if prefix else ""}="{ns}"><{prefix}dimension ref="A1:A50"/>'
+               f'<{prefix}sheetData>{rows}</{prefix}sheetData><{prefix}pageMargins/></{prefix}worksheet>').encode()
+
+        class Once(io.BytesIO):
+            read_bytes = 0
+
+            def read(self, n=-1):
+                out = super().read(n)
+                Once.read_bytes += len(out)
+                return out
+
+        for size, chunk in ((200, 64), (1, 7), (10**9, 1 << 20)):
+            Once.read_bytes = 0
+            documents = list(workbook.sheet_documents(Once(xml), size, chunk))
+            seen = [int(r.get("r")) for d in documents for r in ET.fromstring(d).iter(f"{{{ns}}}row")]
+            assert seen == list(range(1, 51)) and Once.read_bytes == len(xml)
+            assert (len(documents) == 1) == (size == 10**9)
+    none = f'<worksheet xmlns="{ns}"><sheetData/></worksheet>'.encode()
+    assert list(workbook.sheet_documents(io.BytesIO(none), 10)) == [none]
+
+
+def test_pattern_and_parser_read_the_same_cells(tmp_path):
+    """Sheets read by the cell pattern and, spelt so that it does not apply, by the XML parser."""
+    import zipfile
+
+    p = tmp_path / "p.xlsx"
+    write_xlsx(p, {"S": [[1, "a & b <c>", 2.5, True, dt.date(2024, 1, 31), None], [None, "\u00e9\u4e2d", -1e-7, False, dt.datetime(2024, 1, 1, 6), "x"]]})
+    inline = (b'<c r="F1" t="inlineStr"><is><t xml:space="preserve"> in &amp; line &#x41;</t></is></c><c r="G1" t="str"><f>A1&amp;"x"</f>'
+              b'<v>1x</v></c><c r="H1" t="e"><v>#N/A</v></c><c r="I1" s="1"/><c r="J1"><v></v></c></row>')
+    edits = {"plain": lambda x: x, "comment": lambda x: x.replace(b"<sheetData>", b"<!-- c --><sheetData>"),
+             "reordered": lambda x: x.replace(b'<c r="F1" t="inlineStr">', b'<c t="inlineStr" r="F1">'),
+             "cdata": lambda x: x.replace(b"<v>1x</v>", b"<v><![CDATA[1x]]></v>"),
+             "rich": lambda x: x.replace(b'<t xml:space="preserve"> in &amp; line &#x41;</t>', b'<r><t xml:space="preserve"> in &amp; </t></r><r><t>line A</t></r>')}
+    got = {}
+    for name, edit in edits.items():
+        out = tmp_path / f"{name}.xlsx"
+        with zipfile.ZipFile(p) as zin, zipfile.ZipFile(out, "w") as zout:
+            for item in zin.namelist():
+                data = zin.read(item)
+                if item.startswith("xl/worksheets/"):
+                    data = edit(data.replace(b"</row>", inline, 1))
+                    assert workbook._is_plain(data, "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}") == (name not in ("comment", "cdata"))
+                zout.writestr(item, data)
+        got[name] = _cells(_rows(out))
+    assert all(g == got["plain"] for g in got.values())
+    values = [c[3] for c in got["plain"]][:8]
+    assert values == ["1", "a & b <c>", "2.5", "true", "2024-01-31", " in & line A", "1x", "#N/A"]
 
 
 def test_1904_date_system(tmp_path):
