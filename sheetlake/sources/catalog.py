@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import logging
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,6 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import paths
 from ..session import cut_lineage, ship_package
-from .cells_io import _exists
 from .files import filesystem, plain_path
 
 _log = logging.getLogger(__name__)
@@ -34,8 +34,7 @@ TREE = T.StructType([
     T.StructField("message", T.StringType(), True),
 ])
 
-# Case-insensitive glob of the spreadsheet extensions (.xls, .xlsx, .xlsm, .xlsb), for streams.
-SPREADSHEET_GLOB = "*.{[xX][lL][sS],[xX][lL][sS][xXmMbB]}"
+_ROOTS = T.StructType([T.StructField("root", T.StringType())])
 
 
 def check_roots(roots: Sequence[str]) -> tuple[list[str], list[tuple[str, str]]]:
@@ -58,33 +57,80 @@ def check_roots(roots: Sequence[str]) -> tuple[list[str], list[tuple[str, str]]]
     return usable, skipped
 
 
-def _listed(batches: Iterator) -> Iterator:
-    """Folders (path, root) in, their entries out."""
-    import pyarrow as pa
+#: Entries of a folder that a listing task hands on at a time.
+PAGE = 10_000
+
+
+def _entries(path: str) -> Iterator[tuple]:
+    """(path, kind, size, modification time) of a folder's entries, one by one; local files come without the last two.
+
+    A local folder is read as its directory stream, so its names are never held
+    together; other file systems answer with the folder's list.
+    """
+    import os
+
     from pyarrow import fs as pafs
 
     kinds = {pafs.FileType.File: "file", pafs.FileType.Directory: "folder"}
+    system, inner, prefix = filesystem(path)
+    if isinstance(system, pafs.LocalFileSystem):
+        with os.scandir(inner) as entries:
+            for e in entries:
+                kind = "folder" if e.is_dir() else "file" if e.is_file() else None
+                if kind:
+                    yield prefix + e.path, kind, None, None
+        return
+    for i in system.get_file_info(pafs.FileSelector(inner, recursive=False)):
+        if i.type in kinds:
+            yield prefix + i.path, kinds[i.type], i.size if i.is_file else None, i.mtime
+
+
+def _tree_batch(rows: list[tuple]):
+    import pyarrow as pa
+
     types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string()]
+    cols = zip(*rows) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=TREE.names)
+
+
+def _listed(batches: Iterator) -> Iterator:
+    """Folders (path, root) in, their entries out, a page at a time."""
     for batch in batches:
         for path, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
             try:
-                system, inner, prefix = filesystem(path)
-                rows = [
-                    (prefix + i.path, root, kinds[i.type], i.size if i.is_file else None, i.mtime, None)
-                    for i in system.get_file_info(pafs.FileSelector(inner, recursive=False)) if i.type in kinds
-                ]
+                for entry, kind, size, at in _entries(path):
+                    rows.append((entry, root, kind, size, at, None))
+                    if len(rows) >= PAGE:
+                        yield _tree_batch(rows)
+                        rows = []
             except Exception as e:
-                rows = [(path, root, "error", None, None, f"{type(e).__name__}: {e}")]
-            for at in range(0, len(rows), 10_000):
-                cols = list(zip(*rows[at:at + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=TREE.names)
+                rows.append((path, root, "error", None, None, f"{type(e).__name__}: {e}"))
+            yield _tree_batch(rows)
+
+
+def _looked_up(batches: Iterator) -> Iterator:
+    """Tree rows of files without size and time in, with both out; a file that is gone by now has no row."""
+    from pyarrow import fs as pafs
+
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            system, inner, _ = filesystem(row["path"])
+            info = system.get_file_info([inner])[0]
+            if info.type == pafs.FileType.File:
+                out.append((row["path"], row["root"], "file", info.size, info.mtime, None))
+        yield _tree_batch(out)
 
 
 def tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Every file and folder below the usable roots (the roots included as folders), and errors: ``TREE`` rows.
 
     One small job per level of the tree; a level's folders are spread over the
-    executors.  Overlapping roots list their common part once for each.
+    executors.  A task reads a folder as a stream of names and hands them on in
+    pages; sizes and times are asked for afterwards, by all tasks alike, so one
+    folder with very many files is neither held whole nor looked up by one task.
+    Overlapping roots list their common part once for each.
     """
     usable, _ = check_roots(roots)
     if not usable:
@@ -92,13 +138,39 @@ def tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     ship_package(spark)
     most = 4 * spark.sparkContext.defaultParallelism
     level = S.literal_rows(spark, [(r, r, "folder", None, None, None) for r in usable], TREE)
-    out, n = level, len(usable)
+    found, n = level, len(usable)
     while n:
         folders = level.where("kind = 'folder'").select("path", "root")
         level = cut_lineage(folders.repartition(min(n, most), F.xxhash64("path")).mapInArrow(_listed, TREE))
-        out = out.unionByName(level)
+        found = found.unionByName(level)
         n = level.where("kind = 'folder'").count()
-    return out
+    bare = (F.col("kind") == "file") & F.col("modified_at").isNull()
+    asked = found.where(bare).repartition(most, F.xxhash64("path", "root")).mapInArrow(_looked_up, TREE)
+    return cut_lineage(found.where(~bare).unionByName(asked))
+
+
+def existing(directories: DataFrame, column: str = "directory") -> DataFrame:
+    """``directories`` with ``valid``: whether tasks find a directory of that name in the file system."""
+    ship_package(directories.sparkSession)
+
+    def looked(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        for batch in batches:
+            names, valid = batch.column(0).to_pylist(), []
+            for name in names:
+                try:
+                    system, inner, _ = filesystem(name)
+                    valid.append(system.get_file_info([inner])[0].type == pafs.FileType.Directory)
+                except Exception:  # no such file system, no access
+                    valid.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(valid, pa.bool_())], names=["_directory", "valid"])
+
+    names = directories.select(column).where(F.col(column).isNotNull()).distinct()
+    checked = names.mapInArrow(looked, "_directory string, valid boolean")
+    return directories.join(checked, F.col(column) == F.col("_directory"), "left").drop("_directory").withColumn(
+        "valid", F.coalesce("valid", F.lit(False)))
 
 
 def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
@@ -172,28 +244,53 @@ def from_paths(spark: SparkSession, files: Sequence[str], discovered_at: str | N
     return S.literal_rows(spark, rows, S.CATALOG).withColumn("extension", paths.extension("file_path"))
 
 
-def save(catalog: DataFrame, path: str) -> None:
-    """Write the catalog (Parquet) beside the old one, then put it in its place: a failed write leaves the old one."""
-    sc = catalog.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    path = path.rstrip("/")
-    new, old, here = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("-new", "-old", ""))
-    catalog.select(*[f.name for f in S.CATALOG.fields]).write.mode("overwrite").parquet(path + "-new")
-    fs = here.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(here):
-        fs.rename(here, old)
-    if not fs.rename(new, here):
-        raise OSError(f"catalog could not be put in place: {path}")
-    fs.delete(old, True)
+# A catalog store is a folder of versions.  A version counts once its mark is there, which is written last; the highest
+# one is the store's content.  Nothing is renamed or replaced, so readers always find a whole catalog.
+_MARK = "COMMITTED"
+
+
+def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[str]:
+    """Folders of the store's versions, in order (a few: older ones are deleted)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v*" + (f"/{_MARK}" if committed else ""))
+    found = pattern.getFileSystem(conf).globStatus(pattern) or []
+    return sorted(str((st.getPath().getParent() if committed else st.getPath()).toString()) for st in found)
+
+
+def write_version(catalog: DataFrame, path: str, roots: Sequence[str]) -> str:
+    """Write a version of the store without its mark: it does not count yet."""
+    spark = catalog.sparkSession
+    last = max((int(v.rsplit("/v", 1)[1].split("-")[0]) for v in _versions(spark, path, committed=False)), default=0)
+    version = f"{path.rstrip('/')}/v{last + 1:09d}-{uuid.uuid4().hex[:8]}"
+    catalog.select(*[f.name for f in S.CATALOG.fields]).write.parquet(f"{version}/catalog")
+    S.literal_rows(spark, [(r,) for r in roots], _ROOTS).write.parquet(f"{version}/roots")
+    return version
+
+
+def save(catalog: DataFrame, path: str, roots: Sequence[str] = ()) -> None:
+    """Add a version to the store at ``path``: the catalog and the roots it covers; the one before stays for its readers."""
+    spark = catalog.sparkSession
+    version = write_version(catalog, path, roots)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{version}/{_MARK}")
+    fs = mark.getFileSystem(conf)
+    fs.create(mark, False).close()
+    done = _versions(spark, path)
+    for old in _versions(spark, path, committed=False):
+        if len(done) > 1 and old < done[-2]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.CATALOG).parquet(path)
+    """The catalog in the store's latest version; an empty one if it has none."""
+    done = _versions(spark, path)
+    return spark.read.schema(S.CATALOG).parquet(f"{done[-1]}/catalog") if done else S.empty(spark, S.CATALOG)
 
 
-def _roots_file(path: str) -> str:
-    return path.rstrip("/") + "-roots"
+def covered(spark: SparkSession, path: str) -> list[str]:
+    """Roots that the store's latest version covers, those without spreadsheets included (one row a root)."""
+    done = _versions(spark, path)
+    return [r[0] for r in spark.read.schema(_ROOTS).parquet(f"{done[-1]}/roots").distinct().collect()] if done else []
 
 
 def load_or_scan(spark: SparkSession, roots: Sequence[str], path: str, rescan: bool = False) -> DataFrame:
@@ -205,25 +302,17 @@ def load_or_scan(spark: SparkSession, roots: Sequence[str], path: str, rescan: b
     not stop the caller.
     """
     usable, _ = check_roots(roots)
-    cached, known = None, []
-    if _exists(spark, path):
-        try:
-            cached = load(spark, path)
-            known = [r[0] for r in spark.read.schema("root string").parquet(_roots_file(path)).distinct().collect()]
-        except Exception:
-            cached, known = None, []
+    try:
+        known, cached = covered(spark, path), load(spark, path)
+    except Exception as e:
+        _log.warning("catalog store not readable: %s", e)
+        known, cached = [], S.empty(spark, S.CATALOG)
     missing = [r for r in usable if rescan or r not in known]
-    if cached is not None and not missing:
+    if not missing:
         return cached.where(F.col("root").isin(usable))
-    fresh = cut_lineage(scan(spark, missing)) if missing else S.empty(spark, S.CATALOG)
-    # the store is replaced below, so what stays of it is read from a copy
-    kept = S.empty(spark, S.CATALOG) if cached is None else cut_lineage(cached.where(~F.col("root").isin(missing)))
-    everything = kept.unionByName(fresh)
+    everything = cached.where(~F.col("root").isin(missing)).unionByName(cut_lineage(scan(spark, missing)))
     try:
-        save(everything, path)
-        names = sorted({*(k for k in known if k not in missing), *missing})
-        S.literal_rows(spark, [(r,) for r in names], T.StructType([T.StructField("root", T.StringType())])).write.mode(
-            "overwrite").parquet(_roots_file(path))
+        save(everything, path, sorted({*known, *missing}))
     except Exception as e:
         _log.warning("catalog not saved: %s", e)
     return everything.where(F.col("root").isin(usable))

@@ -1,53 +1,35 @@
-"""Incremental conversion as a file stream.
+"""Incremental conversion as a stream.
 
-"Convert only what is new" is a file stream: the ``binaryFile`` streaming
-source remembers every path it has handed out in its checkpoint, so each
-trigger sees only files not seen before -- the path-keyed skip rule, kept by
-Spark instead of a scan of the output.  Each micro-batch goes through the same
-decode/write step as a batch run, under the run id ``<stream>-<batch_id>``;
-that step overwrites the run's own folders, so a replayed batch does not
-duplicate cells.
+Every micro-batch lists the tree on the executors and converts what the ledger
+does not have yet, or has with other content.  The listing is the batch scan's
+own: no name is special, and a file changed in place is converted again, which
+a file source -- it skips names that start with ``_`` or ``.`` and remembers
+paths only -- would not do.  The stream itself is a clock: one row a
+micro-batch, its offset kept in the checkpoint.
 
-A file modified in place at a known path is not picked up again (same as the
-path-keyed rule); detecting those is a batch job (``operators.changes``).
+What a micro-batch converts goes to runs of its own, ``<stream>-<batch>-<n>``.
+A replayed batch starts after the runs that its first attempt completed, whose
+files the ledger has by then; a run that was cut off has no ledger, is not
+read, and its files are converted again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import paths
 from ..sources import catalog as catalog_source
 from ..sources import ingest
+from ..sources.cells_io import count_matching
 
 
-BINARY_FILE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("modificationTime", T.TimestampType(), False),
-    T.StructField("length", T.LongType(), False),
-    T.StructField("content", T.BinaryType(), True),
-])
+#: More files than a run can have: one run a micro-batch.
+ALL = 1 << 31
 
 
-def file_stream(spark: SparkSession, root: str, glob: str = catalog_source.SPREADSHEET_GLOB,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming listing of new spreadsheet files under ``root`` (bytes pruned)."""
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-    )
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    df = reader.load(root)
-    return df.select(
-        paths.absolute("path").alias("file_path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+def ticks(spark: SparkSession) -> DataFrame:
+    """A row each micro-batch: one for every ``availableNow`` start, or one a processing-time trigger."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
 
 def ingest_stream(
@@ -66,24 +48,22 @@ def ingest_stream(
 
     ``available_now`` processes everything new and stops (a scheduled run);
     otherwise ``processing_time`` sets a trigger interval for a long-running job.
-    ``max_files_per_trigger`` bounds each micro-batch (a backlog of a million
-    files becomes many bounded batches, each a replay-safe run).
+    ``max_files_per_trigger`` bounds each run (a backlog of a million files
+    becomes many bounded runs, each with its own ledger).  A file that failed is
+    tried again when it has changed, not at every trigger.
     """
     if path_rule not in ("filter", None):
-        # a gate would mark the files of a skipped batch as seen, so they would never be converted
+        # a gate would leave the files of a skipped batch out, without a trace
         raise ValueError("streams support path_rule='filter' or None; use ingest.run for the gate")
-    listing = file_stream(spark, root, max_files_per_trigger=max_files_per_trigger)
-    if path_rule == "filter":
-        listing = listing.where(paths.under_marker("file_path", marker))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        sel = batch.where(paths.is_spreadsheet(paths.extension("file_path")))
-        if sel.isEmpty():
-            return
-        ingest.convert(batch.sparkSession, sel.select("file_path", "modified_at", "size"), output_dir,
-                       f"{stream_id}-{batch_id:09d}")
+        session = batch.sparkSession
+        run_id = f"{stream_id}-{batch_id:09d}"
+        done = count_matching(session, f"{output_dir.rstrip('/')}/ledger/{run_id}-*")
+        ingest.run(session, catalog_source.scan(session, [root]), output_dir, skip="seen", run_id=run_id, path_rule=path_rule,
+                   marker=marker, max_files=max_files_per_trigger or ALL, first_part=done)
 
-    writer = listing.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    writer = ticks(spark).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
