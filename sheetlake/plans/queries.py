@@ -166,7 +166,7 @@ def browser_listing(spark, d):
     )
 
 
-# Directory list sheet: a header, then one entry per customer with stray spaces:
+# Directory list sheet: a header, then one entry per customer with stray white space and in several spellings:
 # blank for customers in debt, empty (null) for the household segment; the
 # folder part follows the segment, so some entries name folders that exist and
 # some do not.
@@ -176,9 +176,12 @@ def _dir_entry(acctbal, nationkey, segment):
         .when(segment == "FURNITURE", F.lit("/sov/"))
         .otherwise(F.lit("/SOV_data/"))
     )
-    path = F.concat(F.lit("  /data/"), F.lower(segment), part, F.lit("y"), nationkey.cast("string"), F.lit(" "))
+    # the same folder in four spellings
+    spelt = F.element_at(F.array(F.lit(""), F.lit("./"), F.lit("/"), F.lit("none/../")), F.pmod(nationkey, F.lit(4)) + 1)
+    last = F.when(nationkey > 12, F.lit("/ \n")).otherwise(F.lit("\t"))
+    path = F.concat(F.lit(" \t/data/"), spelt, F.lower(segment), part, F.lit("y"), nationkey.cast("string"), last)
     return (
-        F.when(acctbal < 0, F.lit("   "))
+        F.when(acctbal < 0, F.lit(" \t \n"))
         .when(segment == "HOUSEHOLD", F.lit(None).cast("string"))
         .otherwise(path)
     )
@@ -190,30 +193,35 @@ SQL_DIR_ENTRIES = """
   SELECT CAST(0 AS BIGINT), CAST(2 AS BIGINT), 'Name'
   UNION ALL
   SELECT row, CAST(1 AS BIGINT),
-         CASE WHEN c_acctbal < 0 THEN '   ' WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL
-              ELSE '  /data/' || lower(c_mktsegment)
+         CASE WHEN c_acctbal < 0 THEN ' ' || chr(9) || ' ' || chr(10) WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL
+              ELSE ' ' || chr(9) || '/data/' || CASE c_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN './' WHEN 2 THEN '/' ELSE 'none/../' END
+                   || lower(c_mktsegment)
                    || CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN '/SOV/'
                            WHEN c_mktsegment = 'FURNITURE' THEN '/sov/' ELSE '/SOV_data/' END
-                   || 'y' || CAST(c_nationkey AS VARCHAR) || ' ' END
+                   || 'y' || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_nationkey > 12 THEN '/ ' || chr(10) ELSE chr(9) END END
   FROM (SELECT *, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS row FROM customer)
   UNION ALL
   SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT), CAST(2 AS BIGINT), c_name FROM customer
 """
 
 
-@register(
-    "directory_list_clean",
-    with_ctes(
-        "SELECT directory, EXISTS (SELECT 1 FROM folders f WHERE f.folder = l.directory) AS valid, mentions "
-        "FROM (SELECT directory, COUNT(*) AS mentions FROM ("
-        "  SELECT nullif(trim(value), '') AS directory FROM entries WHERE \"column\" = 1 AND NOT ("
-        "    row = 0 AND coalesce(contains(lower(value), 'path') OR contains(lower(value), 'folder') "
-        "    OR contains(lower(value), 'directory'), false))"
-        ") WHERE directory IS NOT NULL GROUP BY directory) l",
-        files=SQL_FILES, folders=SQL_FOLDERS, entries=SQL_DIR_ENTRIES,
-    ),
+# a path's parts folded to its canonical text
+SQL_RESOLVED = (
+    "list_reduce(list_prepend('', string_split({p}, '/')), lambda done, part: CASE WHEN part IN ('', '.') THEN done "
+    "WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)"
 )
-def directory_list_clean(spark, d):
+SQL_LISTED = (
+    "SELECT directory, COUNT(*) AS mentions FROM (SELECT " + SQL_RESOLVED.format(p="value") + " AS directory FROM ("
+    "  SELECT nullif(regexp_replace(value, '^\\s+|\\s+$', '', 'g'), '') AS value FROM entries WHERE \"column\" = 1 AND NOT ("
+    "    row = 0 AND coalesce(contains(lower(value), 'path') OR contains(lower(value), 'folder') "
+    "    OR contains(lower(value), 'directory'), false))"
+    ") WHERE value IS NOT NULL) GROUP BY directory"
+)
+SQL_LIST_CHECKED = "SELECT directory, EXISTS (SELECT 1 FROM folders f WHERE f.folder = l.directory) AS valid, mentions FROM listed l"
+_LIST_CTES = {"files": SQL_FILES, "folders": SQL_FOLDERS, "entries": SQL_DIR_ENTRIES, "listed": SQL_LISTED}
+
+
+def _directory_sheet(spark, d):
     c = V.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name", "c_acctbal")
     sheet = rs.with_row_index(c, ["c_custkey"]).withColumn("row", F.col("row") + 1)
     body = rs.to_cells(
@@ -225,8 +233,58 @@ def directory_list_clean(spark, d):
         columns=["entry", "c_name"],
     )
     header = literal_rows(spark, [(0, 1, "Directory Path"), (0, 2, "Name")], CELL_AT)
-    entries = body.unionByName(header)
-    return cat.clean_directory_list(entries, cat.all_folders(V.files(spark, d)))
+    return body.unionByName(header)
+
+
+@register("directory_list_clean", with_ctes(SQL_LIST_CHECKED, **_LIST_CTES))
+def directory_list_clean(spark, d):
+    return cat.clean_directory_list(_directory_sheet(spark, d), cat.all_folders(V.files(spark, d)))
+
+
+@register(
+    "directory_counts",
+    with_ctes("SELECT count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid, CAST(sum(mentions) AS BIGINT) AS mentions "
+              f"FROM ({SQL_LIST_CHECKED})", **_LIST_CTES),
+)
+def directory_counts(spark, d):
+    return cat.directory_counts(cat.clean_directory_list(_directory_sheet(spark, d), cat.all_folders(V.files(spark, d))))
+
+
+@register(
+    "directory_list_checked",
+    "SELECT c_mktsegment AS directory, c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS valid, count(*) AS mentions FROM customer GROUP BY 1",
+)
+def directory_list_checked(spark, d):
+    """Listed directories looked up in the file system by tasks: two exist, one is a file, the others are not there."""
+    from ..session import scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources.files import filesystem, open_output, plain_path
+
+    folder = plain_path(scratch_dir(spark, "listed"))
+    for name in ("AUTOMOBILE", "BUILDING"):
+        system, inner, _ = filesystem(f"{folder}/{name}")
+        system.create_dir(inner, recursive=True)
+    with open_output(f"{folder}/FURNITURE") as f:
+        f.write(b"a file, not a directory")
+    sheet = rs.with_row_index(V.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey"])
+    entry = F.concat(F.lit(f"{folder}/./"), F.col("c_mktsegment"), F.lit("//x/../\t"))
+    cells = rs.to_cells(sheet.select("row", entry.alias("entry")), columns=["entry"])
+    checked = catalog_source.existing(cat.directory_entries(cells))
+    return checked.select(paths.base_name("directory").alias("directory"), "valid", "mentions")
+
+
+@register(
+    "absolute_paths",
+    with_ctes("SELECT file_path, file_path AS one_slash, file_path AS three_slashes, replace(file_path, '/', '\\') AS windows, "
+              "file_path AS posix FROM files", files=SQL_FILES),
+)
+def absolute_paths(spark, d):
+    """Listing URIs in their usual forms, and separators of the other kind, as plain paths."""
+    backslashes = F.translate("file_path", "/", "\\")
+    return V.files(spark, d).select(
+        "file_path", paths.absolute(F.concat(F.lit("file:"), "file_path")).alias("one_slash"),
+        paths.absolute(F.concat(F.lit("file://"), "file_path")).alias("three_slashes"),
+        backslashes.alias("windows"), paths.posix(backslashes).alias("posix"))
 
 
 # ---------------------------------------------------------------------------
@@ -352,6 +410,26 @@ def roundtrip_check(spark, d):
     )
 
 
+# A sheet of 5,000 columns: each order's customer under its place among the order keys.
+WIDE = 5_000
+
+
+@register(
+    "wide_roundtrip",
+    f"SELECT CAST(o_orderkey // {WIDE} AS BIGINT) AS row, CAST(o_orderkey % {WIDE} + 1 AS BIGINT) AS \"column\", "
+    "CAST(o_custkey AS VARCHAR) AS value FROM orders",
+)
+def wide_roundtrip(spark, d):
+    """Cells of a sheet of 5,000 columns, pivoted to wide and unpivoted again; empty places left out."""
+    from ..session import cut_lineage
+
+    cells = V.table(spark, d, "orders").select(
+        F.floor(F.col("o_orderkey") / WIDE).alias("row"), (F.col("o_orderkey") % WIDE + 1).cast("bigint").alias("column"),
+        F.col("o_custkey").cast("string").alias("value"))
+    wide = cut_lineage(rs.to_wide(cells, index=["row"], n_columns=WIDE))  # stored, as a wide sheet would be
+    return rs.to_cells(wide).where(F.col("value").isNotNull()).select("row", "column", "value")
+
+
 # Supplier sheet whose rows of suppliers in debt are blank, plus a blank third column.
 def _blanked_supplier(spark, d):
     s = V.table(spark, d, "supplier")
@@ -884,6 +962,191 @@ def ingest_faults(spark, d):
     return out
 
 
+def _widened(batches):
+    """Workbooks of one sheet get a second one with the same rows, an empty one and, by name, one that is torn."""
+    import io
+    import re
+    import zipfile
+
+    from ..sources.files import open_input, open_output
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open_input(path) as f:
+                book = zipfile.ZipFile(io.BytesIO(f.read()))
+            parts = {name: book.read(name) for name in book.namelist()}
+            sheet = parts["xl/worksheets/sheet1.xml"]
+            bare = sheet[:sheet.index(b"<row")] + sheet[sheet.index(b"</sheetData"):]
+            torn = sheet.replace(b"</row>", b"</rwo>", 1)
+            odd = int(re.search(r"nation_(\d+)_", path)[1]) % 2
+            more = [("again", sheet), ("bare", bare)] + [("torn", torn)] * odd
+            sheets, rels = parts["xl/workbook.xml"], parts["xl/_rels/workbook.xml.rels"]
+            kind = re.search(rb'Type="([^"]*/worksheet)"', rels)[1]
+            for i, (name, xml) in enumerate(more, start=2):
+                parts[f"xl/worksheets/sheet{i}.xml"] = xml
+                sheets = sheets.replace(b"</sheets>", f'<sheet name="{name}" sheetId="{i}" r:id="rId{i}"/></sheets>'.encode())
+                rels = rels.replace(b"</Relationships>", b'<Relationship Id="rId%d" Type="%s" Target="worksheets/sheet%d.xml"/></Relationships>'
+                                    % (i, kind, i))
+            parts["xl/workbook.xml"], parts["xl/_rels/workbook.xml.rels"] = sheets, rels
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, data in parts.items():
+                    z.writestr(name, data)
+            with open_output(path) as f:
+                f.write(out.getvalue())
+        yield batch
+
+
+@register(
+    "ingest_partial",
+    with_ctes(
+        "SELECT cut, 'nation_' || nation || '_part_' || part || '.xlsx' AS file_name, CASE nation % 2 WHEN 1 THEN 'partial' ELSE 'ok' END AS status, "
+        "CAST(3 AS BIGINT) AS n_sheets, CAST(1 AS BIGINT) AS n_empty_sheets, CAST(6 * (rows + 1) AS BIGINT) AS n_cells, "
+        "CAST(nation % 2 AS BIGINT) AS n_errors, CASE nation % 2 WHEN 1 THEN 'torn' END AS failed_sheets, "
+        "CAST(3 * (rows + 1) AS BIGINT) AS again_cells FROM parts, (VALUES ('whole'), ('sheets'), ('parts')) AS t(cut)",
+        parts=_SQL_PARTS,
+    ),
+)
+def ingest_partial(spark, d):
+    """Workbooks of three good or empty sheets, every other with a torn one too, read whole, by sheet and in parts of a sheet."""
+    from ..session import scratch_dir, ship_package
+    from ..sources import catalog as catalog_source
+    from ..sources import cells_io, ingest
+
+    folder = scratch_dir(spark, "partial")
+    ship_package(spark)
+    _customer_workbooks(spark, d, folder).select("file_path").mapInArrow(_widened, "file_path string").count()
+    listed = catalog_source.scan(spark, [folder])
+    out = None
+    for cut, options in (("whole", {}), ("sheets", {"split_file_bytes": 0, "split_xml_bytes": 0}),
+                         ("parts", {"split_file_bytes": 0, "split_xml_bytes": 0, "range_xml_bytes": 700})):
+        to = scratch_dir(spark, "partial-out")
+        run_id = ingest.run(spark, listed, to, path_rule=None, **options)["run_id"]
+        again = cells_io.read_cells(spark, to).where("worksheet = 'again'").groupBy("file_path").agg(F.count("*").alias("again_cells"))
+        failed = spark.read.parquet(f"{to}/runs/run_id={run_id}/kind=error").groupBy("file_path").agg(
+            F.array_join(F.sort_array(F.collect_list("worksheet")), ",").alias("failed_sheets"))
+        one = cells_io.read_ledger(spark, f"{to}/ledger").join(again, "file_path", "left").join(failed, "file_path", "left").select(
+            F.lit(cut).alias("cut"), paths.base_name("file_path").alias("file_name"), "status", "n_sheets", "n_empty_sheets", "n_cells",
+            "n_errors", "failed_sheets", "again_cells")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "flat_folder",
+    "SELECT 'c_' || CAST(c_custkey AS VARCHAR) || '.xlsx' AS file_name, CAST(octet_length(encode(c_name)) AS BIGINT) AS size, true AS timed "
+    "FROM customer",
+)
+def flat_folder(spark, d):
+    """One folder with a file for each customer: read as a stream of names, looked up by all tasks."""
+    from ..session import scratch_dir, ship_package
+    from ..sources import catalog as catalog_source
+    from ..sources.files import plain_path
+
+    folder = plain_path(scratch_dir(spark, "flat"))
+    ship_package(spark)
+
+    def written(batches):
+        from ..sources.files import open_output
+
+        for batch in batches:
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open_output(f"{folder}/c_{key}.xlsx") as f:
+                    f.write(name.encode())
+            yield batch.select(["c_custkey"])
+
+    V.table(spark, d, "customer").select("c_custkey", "c_name").repartition(8).mapInArrow(written, "c_custkey bigint").count()
+    return catalog_source.scan(spark, [folder]).select(
+        paths.base_name("file_path").alias("file_name"), "size", F.col("modified_at").isNotNull().alias("timed"))
+
+
+@register(
+    "catalog_store",
+    with_ctes(
+        "SELECT step, root, CAST(CASE WHEN step = 'rescan' AND root = 'even' THEN n + 1 ELSE n END AS BIGINT) AS n_files FROM "
+        "(SELECT CASE nation % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS root, count(*) AS n FROM parts GROUP BY 1) n, "
+        "(VALUES ('first', 'even'), ('cached and fresh', 'even'), ('cached and fresh', 'odd'), ('write cut off', 'even'), "
+        "('write cut off', 'odd'), ('rescan', 'even'), ('rescan', 'odd')) AS t(step, asked) WHERE asked = root "
+        "UNION ALL SELECT 'skipped', why, 1 FROM (VALUES ('does not exist'), ('is not a directory')) AS s(why)",
+        parts=_SQL_PARTS,
+    ),
+)
+def catalog_store(spark, d):
+    """A store filled root by root, a later version that is cut off before it counts, a rescan; roots that are no directories."""
+    from ..session import cut_lineage, scratch_dir
+    from ..sources import catalog as catalog_source
+    from ..sources.files import open_output, plain_path
+
+    top, store = plain_path(scratch_dir(spark, "roots")), scratch_dir(spark, "store")
+    pick = F.when(F.col("c_nationkey") % 2 == 0, "even/nation_").otherwise("odd/nation_")
+    synth.write_workbooks(V.table(spark, d, "customer"), top, F.concat(pick, F.col("c_nationkey").cast("string")), ["c_custkey"],
+                          ["c_custkey", "c_name"], sheet="customers", rows_per_file=WORKBOOK_ROWS)
+    even, odd = f"{top}/even", f"{top}/odd"
+    with open_output(f"{top}/file.xls") as f:
+        f.write(b"not a root")
+    out = None
+
+    def add(step, listed):
+        nonlocal out
+        one = cut_lineage(listed.groupBy(paths.base_name("root").alias("root")).agg(F.count("*").alias("n_files")).withColumn("step", F.lit(step)))
+        out = one if out is None else out.unionByName(one)
+
+    roots = [even, f"{top}/nothing", f"{top}/file.xls"]
+    add("first", catalog_source.load_or_scan(spark, roots, store))
+    with open_output(f"{even}/late.xlsx") as f:
+        f.write(b"added after the scan")
+    add("cached and fresh", catalog_source.load_or_scan(spark, [even, odd], store))
+    catalog_source.write_version(catalog_source.load(spark, store).where("root like '%odd'"), store, [odd])
+    add("write cut off", catalog_source.load_or_scan(spark, [even, odd], store))
+    add("rescan", catalog_source.load_or_scan(spark, [even, odd], store, rescan=True))
+    _, skipped = catalog_source.check_roots(roots)
+    reasons = literal_rows(spark, [(why, 1, "skipped") for _, why in skipped],
+                           StructType.fromDDL("root string, n_files bigint, step string"))
+    return out.unionByName(reasons).select("step", "root", "n_files")
+
+
+@register(
+    "footer_report",
+    with_ctes(
+        "SELECT 'customer' AS what, count(*) AS n_rows, min(c_name) AS least FROM customer UNION ALL "
+        "SELECT 'part', count(*), min(p_name) FROM part UNION ALL SELECT 'pages', count(*), min(url) FROM pages UNION ALL "
+        "SELECT 'written cells', count(*), min(file_name) FROM cells",
+        cells=SQL_CELLS,
+    ),
+)
+def footer_report(spark, d):
+    """Rows and smallest text of Parquet files from their footers: given tables, and the cell files of an output."""
+    from ..session import scratch_dir
+    from ..sources import cells_io
+
+    out = None
+    for name, column in (("customer", "c_name"), ("part", "p_name"), ("pages", "url")):
+        files = literal_rows(spark, [(f, None) for f in V.table(spark, d, name).inputFiles()], StructType.fromDDL("path string, size bigint"))
+        one = cells_io.footers(files, column).agg(F.sum("n_rows").alias("n_rows"), F.min("least").alias("least")).withColumn("what", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    to = scratch_dir(spark, "footers")
+    cells_io.write_cells(V.cells(spark, d), f"{to}/runs/run_id=one/kind=cell")
+    written = cells_io.output_files_report(spark, to, limit=1 << 30).agg(
+        F.sum("n_rows").alias("n_rows"), F.min("source_file").alias("least")).withColumn("what", F.lit("written cells"))
+    return out.unionByName(written).select("what", "n_rows", "least")
+
+
+@register(
+    "empty_frames",
+    with_ctes("SELECT 'cells' AS frame, worksheet AS key, count(*) AS n FROM cells GROUP BY worksheet UNION ALL "
+              "SELECT 'catalog', extension, count(*) FROM catalog GROUP BY extension", cells=SQL_CELLS, **CAT),
+)
+def empty_frames(spark, d):
+    """Frames without rows keep their schema: a union with them changes neither rows nor columns."""
+    from .. import schema
+
+    cells = schema.empty(spark, schema.CELLS).unionByName(V.cells(spark, d).select(*schema.CELL_COLUMNS))
+    listed = schema.empty(spark, schema.CATALOG).unionByName(V.catalog(spark, d), allowMissingColumns=True)
+    return cells.groupBy(F.col("worksheet").alias("key")).agg(F.count("*").alias("n")).withColumn("frame", F.lit("cells")).unionByName(
+        listed.groupBy(F.col("extension").alias("key")).agg(F.count("*").alias("n")).withColumn("frame", F.lit("catalog"))).select(
+        "frame", "key", "n")
+
+
 # Folders that names make awkward, by number of the nation modulo 4.
 AWKWARD = ("_x", ".y", "a [1]", "flat")
 
@@ -984,30 +1247,35 @@ def reconvert_modified(spark, d):
     "stream_incremental",
     with_ctes(
         "SELECT 'nation_' || nation || '_part_' || part || '.xlsx' AS file_name, "
-        "CASE WHEN nation % 2 = 0 THEN 'first' ELSE 'second' END AS batch, CAST(3 * (rows + 1) AS BIGINT) AS n_cells FROM parts",
+        "CASE WHEN nation % 2 = 1 OR nation % 3 = 0 THEN 'second' ELSE 'first' END AS batch, "
+        "CAST(CASE WHEN nation % 6 = 0 THEN 2 ELSE 1 END AS BIGINT) AS runs, "
+        "CAST(CASE WHEN nation % 6 = 0 THEN 2 ELSE 3 END * (rows + 1) AS BIGINT) AS n_cells FROM parts",
         parts=_SQL_PARTS,
     ),
 )
 def stream_incremental(spark, d):
-    """Two availableNow streams over a folder that grows in between: each file is converted once, by the run that saw it first."""
-    from ..session import cut_lineage, scratch_dir
+    """Two availableNow streams over a tree with hidden and bracketed folders; in between files are added and a third of them changed."""
+    from ..session import scratch_dir
     from ..sources import cells_io
     from ..streaming.stream import ingest_stream
 
     folder, to, checkpoint = (scratch_dir(spark, f"stream{x}") for x in ("", "-out", "-checkpoint"))
-    c = V.table(spark, d, "customer")
-    stem = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
-    out = None
-    for batch, odd in (("first", 0), ("second", 1)):
-        synth.write_workbooks(c.where(F.pmod(F.col("c_nationkey"), F.lit(2)) == odd), folder, stem, ["c_custkey"],
-                              ["c_custkey", "c_name", "c_acctbal"], sheet="customers", rows_per_file=WORKBOOK_ROWS)
-        ingest_stream(spark, folder, to, checkpoint, path_rule=None).awaitTermination()
-        seen = cells_io.read_cells(spark, to).groupBy("file_name").agg(F.count("*").alias("n_cells"))
-        if out is not None:
-            seen = seen.join(out, "file_name", "left_anti")
-        seen = cut_lineage(seen.withColumn("batch", F.lit(batch)))
-        out = seen if out is None else out.unionByName(seen)
-    return out.select("file_name", "batch", "n_cells")
+    c, nation = V.table(spark, d, "customer"), F.col("c_nationkey")
+    pick = F.element_at(F.array(*[F.lit(k) for k in AWKWARD]), F.pmod(nation, F.lit(4)).cast("int") + 1)
+    stem = F.concat(pick, F.lit("/nation_"), nation.cast("string"))
+
+    def written(which, columns):
+        synth.write_workbooks(c.where(which), folder, stem, ["c_custkey"], columns, sheet="customers", rows_per_file=WORKBOOK_ROWS)
+
+    written(nation % 2 == 0, ["c_custkey", "c_name", "c_acctbal"])
+    ingest_stream(spark, folder, to, checkpoint, path_rule=None).awaitTermination()
+    written(nation % 2 == 1, ["c_custkey", "c_name", "c_acctbal"])
+    written(nation % 6 == 0, ["c_custkey", "c_name"])
+    ingest_stream(spark, folder, to, checkpoint, path_rule=None).awaitTermination()
+    batch = F.when(F.max("run_id").startswith("stream-000000000"), "first").otherwise("second")
+    runs = cells_io.read_ledger(spark, f"{to}/ledger").groupBy("file_path").agg(batch.alias("batch"), F.count("*").alias("runs"))
+    cells = cells_io.read_cells(spark, to).groupBy("file_path").agg(F.count("*").alias("n_cells"))
+    return runs.join(cells, "file_path").select(paths.base_name("file_path").alias("file_name"), "batch", "runs", "n_cells")
 
 
 # ---------------------------------------------------------------------------
