@@ -13,7 +13,7 @@ three-word phrases, and once more for four: a phrase can only be frequent if
 its beginning and its end are.
 
 No list is held whole by a task or the driver: the lookups that renumber a
-chunk come by a join, or by broadcast as long as they were counted to be short.
+chunk come bucket by bucket, or by broadcast while they are counted to be short.
 """
 
 from __future__ import annotations
@@ -38,14 +38,14 @@ LEAST, LONGEST, REPORTED = 30, 4, 2000
 COVERED = 80
 #: Words of a chunk; ids of a side of a tile (2^9); pairs that make a tile dense.
 CHUNK, TILE_BITS, DENSE = 1 << 18, 9, 1 << 14
-#: Buckets that words are dealt to: four times the shuffle partitions, within these bounds.
+#: Buckets that words are dealt to: the shuffle partitions, within these bounds.
 LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Bytes of a text cut into words at a time.
 STEP = 1 << 20
 #: Bytes of a pair in a broadcast lookup, its sides and id and their sorted copies.
 PAIR_BYTES = 48
-#: Words a bucket of pairs is made for, about: a bucket's counts are added up in one piece.
-BUCKET_WORDS = 1 << 19
+#: Words of the corpus that a bucket of pairs is made for, about: a bucket's counts are added up in one piece.
+BUCKET_WORDS = 1 << 20
 
 #: Bytes that end a piece become line feeds, tabs blanks, capital letters small ones.
 _PLAIN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -297,29 +297,20 @@ class Lookup:
         order = np.argsort(key)
         self.key, self.ids = key[order], ids[order]
 
-    def next_ids(self, ids: np.ndarray) -> np.ndarray:
-        """The id of the pair that starts at each place but the last."""
-        if not len(self.key) or len(ids) < 2:
-            return np.full(max(0, len(ids) - 1), -1, np.int64)
-        x, y = (np.minimum(np.searchsorted(side, part), len(side) - 1) for side, part in ((self.a, ids[:-1]), (self.b, ids[1:])))
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.key) or not len(a):
+            return np.full(len(a), -1, np.int64)
+        x, y = (np.minimum(np.searchsorted(side, part), len(side) - 1) for side, part in ((self.a, a), (self.b, b)))
         key = x * len(self.b) + y
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        hit = (self.a[x] == ids[:-1]) & (self.b[y] == ids[1:]) & (self.key[at] == key)
-        return np.where(hit, self.ids[at], -1)
-
+        return np.where((self.a[x] == a) & (self.b[y] == b) & (self.key[at] == key), self.ids[at], -1)
 
-_CHUNKS = "chunk long, own int, ids binary"
+    def next_ids(self, ids: np.ndarray) -> np.ndarray:
+        """The id of the pair that starts at each place but the last."""
+        return self.of(ids[:-1], ids[1:])
 
 
-def _pairs_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each pair of a chunk: chunk, first, second."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            a, b, _ = pair_counts(_unpacked(batch.column("ids")[i].as_py()), batch.column("own")[i].as_py())
-            for at in range(0, len(a), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                chunk = np.full(len(a[part]), batch.column("chunk")[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk, a[part], b[part])], ["chunk", "a", "b"])
+_CHUNKS = "chunk long, own int, ids binary"
 
 
 def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,23 +323,27 @@ def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return a[first], b[first], np.add.reduceat(n[order], first)
 
 
-_PAIRS = "bucket long, a binary, b binary, n binary"
+_PAIRS = "bucket long, chunk long, a binary, b binary, n binary"
 
 
-def _bucketed(buckets: int):
-    """The pairs of a chunk, packed by a hash of the pair: one row a bucket with its coordinates and counts."""
+def _bucketed(buckets: int, all_listed: bool):
+    """The pairs of a chunk, packed by a hash of the pair: one row a bucket with its coordinates and counts.
+
+    Unless all are asked for, pairs that start in another chunk are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b, n = pair_counts(_unpacked(batch.column("ids")[i].as_py()), batch.column("own")[i].as_py())
-                some = n > 0
+                some = slice(None) if all_listed else n > 0
                 a, b, n = a[some], b[some], n[some]
                 if not len(a):
                     continue
                 order, parts = _slices((mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
                 packed = [pa.array([_packed(x[order[f:e]]) for _, f, e in parts], pa.binary()) for x in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), *packed], ["bucket", "a", "b", "n"])
+                chunk = pa.array([batch.column("chunk")[i].as_py()] * len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), chunk, *packed], ["bucket", "chunk", "a", "b", "n"])
 
     return run
 
@@ -365,7 +360,7 @@ def _summed(least: int):
         def frequent() -> pa.RecordBatch:
             a, b, n = total()
             some = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, n)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.full(len(a), now), a, b, n)], ["bucket", "a", "b", "n"])
 
         for batch in batches:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
@@ -385,42 +380,87 @@ def _summed(least: int):
 
 
 def _frequent_pairs(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
-    """a, b, n of the neighbouring ids with at least ``least`` occurrences in all chunks."""
-    packed = chunks.mapInArrow(lean(_bucketed(buckets)), _PAIRS)
+    """bucket, a, b, n of the neighbouring ids with at least ``least`` occurrences in all chunks."""
+    packed = chunks.mapInArrow(lean(_bucketed(buckets, False)), _PAIRS).drop("chunk")
     dealt = packed.repartition(partitions(chunks.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lean(_summed(least)), "a long, b long, n long")
+    return dealt.mapInArrow(lean(_summed(least)), "bucket long, a long, b long, n long")
 
 
-def _renumbered(lookup_of):
-    """The chunks with the ids of the pairs in place of those of their parts."""
+def _renumbered(known):
+    """The chunks with the ids of the pairs in place of those of their parts, by a broadcast lookup."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = _unpacked(batch.column("ids")[i].as_py())
+                ids = known.value.next_ids(_unpacked(batch.column("ids")[i].as_py()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk").slice(i, 1), batch.column("own").slice(i, 1),
-                     pa.array([_packed(lookup_of(batch, i).next_ids(ids))], pa.binary())], ["chunk", "own", "ids"])
+                    [batch.column("chunk").slice(i, 1), batch.column("own").slice(i, 1), pa.array([_packed(ids)], pa.binary())], ["chunk", "own", "ids"])
 
     return run
 
 
 def _numbers(listed) -> np.ndarray:
-    return listed.values.to_numpy(zero_copy_only=False) if listed.is_valid else np.empty(0, np.int64)
+    return listed.values.to_numpy(zero_copy_only=False)
 
 
-def _next_level(chunks: DataFrame, pairs: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """Chunks of pair ids: ``pairs`` holds a, b and id of the frequent ones."""
-    spark = chunks.sparkSession
+def _pairs_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets in order, in each first its frequent pairs, then the packed pairs of chunks: the frequent ones of each chunk with their ids."""
+    now, look = None, None
+    for batch in batches:
+        out = []
+        for i, (bucket, chunk) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), strict=True)):
+            if chunk is None:
+                now, look = bucket, Lookup(*(_numbers(batch.column(c)[i]) for c in ("x", "y", "id")))
+            elif bucket == now:  # else none of the bucket's pairs is frequent
+                a, b = (_unpacked(batch.column(c)[i].as_py()) for c in ("a", "b"))
+                found = look.of(a, b)
+                hit = found >= 0
+                if hit.any():
+                    out.append((chunk, _packed(a[hit]), _packed(b[hit]), _packed(found[hit])))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["chunk", "a", "b", "known"])
+
+
+def _pairs_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in order, in each first its lists of pairs and ids, then its own ids: the chunk with the pairs' ids."""
+    now, lists = None, []
+    for batch in batches:
+        for i, (chunk, own) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("own").to_pylist(), strict=True)):
+            if chunk != now:
+                now, lists = chunk, []
+            if own is None:
+                lists.append([_unpacked(batch.column(c)[i].as_py()) for c in ("a", "b", "known")])
+                continue
+            none = [np.empty(0, np.int64)]
+            look = Lookup(*(np.concatenate([*none, *(x[c] for x in lists)]) for c in range(3)))
+            ids = look.next_ids(_unpacked(batch.column("ids")[i].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), pa.array([_packed(ids)], pa.binary())],
+                                             ["chunk", "own", "ids"])
+
+
+def _next_level(chunks: DataFrame, pairs: DataFrame, buckets: int, broadcast_bytes: int) -> DataFrame:
+    """Chunks of pair ids: ``pairs`` holds bucket, a, b and id of the frequent ones.
+
+    A short list is broadcast; else its pairs meet those of the chunks bucket by
+    bucket, and what is found returns to the chunk, as the words do.
+    """
+    spark, tasks = chunks.sparkSession, partitions(chunks.sparkSession)
     if pairs.count() * PAIR_BYTES <= broadcast_bytes:
         table = pairs.select("a", "b", "id").toArrow()
         known = spark.sparkContext.broadcast(Lookup(*(table.column(c).to_numpy() for c in ("a", "b", "id"))))
-        return cut(chunks.mapInArrow(lean(_renumbered(lambda batch, i: known.value)), _CHUNKS))
-    own = chunks.mapInArrow(lean(_pairs_of_chunks), "chunk long, a long, b long").join(pairs.select("a", "b", "id"), ["a", "b"])
-    lists = own.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("a", "b", "id")).alias("found")).select(
-        "of", "found.a", "found.b", "found.id")
-    return cut(chunks.join(lists, F.col("chunk") == F.col("of"), "left").drop("of").mapInArrow(
-        lean(_renumbered(lambda batch, i: Lookup(*(_numbers(batch.column(c)[i]) for c in ("a", "b", "id"))))), _CHUNKS))
+        return cut(chunks.mapInArrow(lean(_renumbered(known)), _CHUNKS))
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    parts = chunks.mapInArrow(lean(_bucketed(buckets, True)), _PAIRS).select(
+        "bucket", "chunk", "a", "b", *nothing("array<long>", "x", "y", "id"))
+    lists = pairs.groupBy("bucket").agg(F.collect_list(F.struct("a", "b", "id")).alias("p")).select(
+        "bucket", *nothing("long", "chunk"), *nothing("binary", "a", "b"), F.col("p.a").alias("x"), F.col("p.b").alias("y"), F.col("p.id").alias("id"))
+    met = parts.unionByName(lists).repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
+    found = met.mapInArrow(lean(_pairs_known), "chunk long, a binary, b binary, known binary").select(
+        "chunk", *nothing("int", "own"), "a", "b", "known", *nothing("binary", "ids"))
+    whole = chunks.select("chunk", "own", *nothing("binary", "a", "b", "known"), "ids")
+    both = found.unionByName(whole).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("own").asc_nulls_first())
+    return cut(both.mapInArrow(lean(_pairs_numbered), _CHUNKS))
 
 
 # -- phrases ---------------------------------------------------------------------
@@ -439,10 +479,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
     ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tasks = partitions(docs.sparkSession)
-    texts = cut(rows.mapInArrow(lean(_chunked(chunk, longest - 1, min(max(4 * tasks, LEAST_BUCKETS), MOST_BUCKETS))), _TEXTS))
+    texts = cut(rows.mapInArrow(lean(_chunked(chunk, longest - 1, min(max(tasks, LEAST_BUCKETS), MOST_BUCKETS))), _TEXTS))
     totals = texts.where("words is null").groupBy("lang").agg(F.sum("n").alias("n"))
     n_words = texts.agg(F.sum("n")).head()[0] or 0
-    buckets = max(4 * tasks, -(-n_words // BUCKET_WORDS))
+    buckets = 16 + n_words // BUCKET_WORDS
     dealt = texts.where("words is not null").select("bucket", "lang", "words", "times").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     frequent = dealt.mapInArrow(lean(_words_summed(least)), "bucket int, lang string, phrase string, occurrences long")
     numbered = cut(with_row_index(frequent, [F.desc("occurrences"), "lang", "phrase"], name="id"))
@@ -453,7 +493,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, chunk:
     for words in range(2, longest + 1):
         pairs = cut(with_row_index(_frequent_pairs(chunks, least, buckets), [F.desc("n"), "a", "b"], name="id"))
         if words < longest:
-            chunks = _next_level(chunks, pairs, broadcast_bytes)
+            chunks = _next_level(chunks, pairs, buckets, broadcast_bytes)
         head = level.select("lang", F.col("id").alias("a"), F.col("phrase").alias("start"), "heads")
         tail = level.select(F.col("id").alias("b"), F.substring_index("phrase", " ", -1).alias("end"), "tails")
         level = cut(pairs.join(head, "a").join(tail, "b").select(
