@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, join_small, ready
+from sheetlake.llm.common import cut, join_small, lean, ready
 from sheetlake.llm.components import components
 from sheetlake.llm.shingles import mixed, shingle_sets
 
@@ -73,7 +73,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         total = np.sum([np.frombuffer(c, np.int64) for c in rows.column("counts").to_pylist()], axis=0)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").withColumn(
+    parts = docs.select("text").mapInArrow(lean(count), "chunk int, counts binary").withColumn(
         "part", F.pmod(F.spark_partition_id(), F.lit(64)))
     for keys in (("chunk", "part"), ("chunk",)):  # many tasks add up in two steps
         parts = parts.groupBy(*keys).applyInArrow(add, "chunk int, counts binary")
@@ -119,7 +119,7 @@ def profiles(docs: DataFrame, k: int, t: int) -> DataFrame:
                     [*(f.name for f in kept), "n", "set_id", "cells", "prefix"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(profile, f"{schema}, n long, set_id binary, cells array<short>, prefix array<long>")
+    return docs.mapInArrow(lean(profile), f"{schema}, n long, set_id binary, cells array<short>, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, k: int, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -135,7 +135,7 @@ def whole_sets(docs: DataFrame, k: int, wanted: DataFrame, n_wanted: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.binary()),
                                                   pa.array([s for _, s in found], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    all_sets = docs.select("text").mapInArrow(sets, "set_id binary, shingles array<long>")
+    all_sets = docs.select("text").mapInArrow(lean(sets), "set_id binary, shingles array<long>")
     return join_small(all_sets, wanted, ["set_id"], "inner", n_wanted).select("cid", "shingles").dropDuplicates(["cid"])
 
 

@@ -4,24 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_STEP = 4 << 20
+#: Bytes of a long text whose words are hashed at a time.
+_STEP = 1 << 20
 _rng = np.random.Generator(np.random.Philox(key=2_718_281_828))
-#: Random values of the 256 bytes, and of a word's place in a shingle.
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random values of a word's place in a shingle.
 _PLACE = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,9 +22,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _word_hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])])
-    return starts, mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    # the sum of a random value for each byte at its place in the word: no byte's value depends on another's
+    behind = np.cumsum(sizes)
+    letters = data[~space]
+    place = np.arange(len(letters)) - np.repeat(behind - sizes, sizes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(((place.astype(np.uint64) << np.uint64(8)) | letters) * _ODD + _ODD))])
+    return starts, mixed(total[behind] - total[behind - sizes] + sizes.astype(np.uint64) * _ODD)
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +60,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     at = 0
     while at < len(raw):
         end, size = at, 0
-        while end < len(raw) and (end == at or size + len(raw[end]) <= _STEP // 16):
+        while end < len(raw) and (end == at or size + len(raw[end]) <= _STEP // 4):
             size += len(raw[end]) + 1
             end += 1
         starts, words = word_hashes(b"\n".join(raw[at:end]))

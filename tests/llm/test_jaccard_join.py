@@ -80,3 +80,31 @@ def test_representatives_and_odd_rows(odd_documents, no_documents):
     ids = [r.doc_id for r in out.collect()]
     assert ids.count(1) == 1 and 11 not in ids and ids.count(10) == 2 and {2, 3, 4, 5, 6, 8} <= set(ids) and 9 not in ids
     assert J.linked(no_documents).isEmpty() and J.representatives(no_documents).isEmpty()
+
+
+def test_structured_words_are_told_apart(spark):
+    """Two words without an equal letter at any place, in a pattern that some hashes cannot tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word + " " + word), (4, word)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 1)}
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    from sheetlake.llm import shingles
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc\u00e9") for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    text = (" \t\n".join(words) + " ").encode()
+    starts, hashes = shingles.word_hashes(text)
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    alone = [int(shingles.word_hashes(w.encode())[1][0]) for w in words]
+    assert alone == hashes.tolist()
+    old, shingles._STEP = shingles._STEP, 500
+    try:
+        again = shingles.word_hashes(text)
+    finally:
+        shingles._STEP = old
+    assert again[0].tolist() == starts.tolist() and again[1].tolist() == hashes.tolist()
