@@ -15,13 +15,15 @@ and an anchor that occurs once belongs to no repeated string.
 * The repeated windows go back to the documents as intervals, which are merged
   and cut out.
 
-Documents are numbered by their place in the scan, so ``docs`` has to be a
-table (or any frame whose rows come in the same order when it is read again).
+Documents are numbered by their place in the scan of a table; a frame that is
+more than a filtered table, whose rows might come in another order when it is
+read again, is written first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,23 +32,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetlake.llm.common import cut, join_small, partitions, ready
-from sheetlake.llm.shingles import _BYTE, _power, mixed
+from sheetlake.llm.shingles import mixed
 from sheetlake.llm.suffix_array import suffix_array
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, GRAM = 200, 64
 #: Bytes that are one symbol of a suffix array; contexts in one array.
 PIECE, BATCH = 16, 2_048
-#: Anchors with more distinct contexts than this are resolved window by window, spread over all tasks.
-GROUP = 100_000
+#: More distinct contexts of an anchor than this are split by the bytes beside it.
+GROUP = 2_048
 #: Bytes of a text hashed at a time.
-_STEP = 4 << 20
+_STEP = 1 << 20
+#: Strings are hashed as polynomials over a prime field, twice: a prime of 31 bits and two points.
+_PRIME = (1 << 31) - 1
+_POINTS = (1_103_515_245, 715_827_883)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _prefix_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    up, down = _power(len(data) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])]), down
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for 0 <= x < 2**62."""
+    x = (x & _PRIME) + (x >> 31)
+    x = (x & _PRIME) + (x >> 31)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _power(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a point and of its inverse."""
+    if point not in _powers or len(_powers[point][0]) < n:
+        out = []
+        for base in (point, pow(point, -1, _PRIME)):
+            row = np.ones(1, np.int64)
+            while len(row) < max(n, 1 << 12):
+                row = np.concatenate([row, _reduced(row * pow(base, len(row), _PRIME))])
+            out.append(row)
+        _powers[point] = (out[0], out[1])
+    return _powers[point]
+
+
+class Hashes:
+    """Hashes of the strings of a text, by first and last place."""
+
+    def __init__(self, text: bytes):
+        data = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+        # at most 2**8 * 2**31 a byte and 2**22 bytes: the sums stay below 2**62
+        self.parts = [(np.concatenate([np.zeros(1, np.int64), np.cumsum(data * up[: len(data)])]), down)
+                      for up, down in (_power(p, len(data) + 1) for p in _POINTS)]
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        one, two = (_reduced(_reduced(total[last] - total[first]) * down[first]) for total, down in self.parts)
+        return mixed((one.astype(np.uint64) << np.uint64(31)) | two.astype(np.uint64))
 
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +98,9 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
             keep = (place >= at) & (place < at + _STEP)
             out.append((place[keep], one[keep], two[keep]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-    total, down = _prefix_hashes(text)
-    h = mixed((total[gram:] - total[:-gram]) * down[: len(text) - gram + 1])
+    hashes = Hashes(text)
+    starts = np.arange(len(text) - gram + 1)
+    h = hashes.of(starts, starts + gram)
     # the smallest hash of each window, the last of equal ones: its place is in the low bits
     low = np.uint64(0xFFFFFF)
     best = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
@@ -77,12 +112,20 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         best = np.minimum(best[: len(best) - (width - span)], best[width - span :])
     place = np.unique((low - (best & low)).astype(np.int64))
     first, last = np.maximum(place - reach, 0), np.minimum(place + length, len(text))
-    context = (total[last] - total[first]) * down[first]
+    context = hashes.of(first, last)
     shape = ((place - first) * 1_000 + (last - place)).astype(np.uint64)  # contexts cut by an end of the text differ in shape
     return place, h[place], mixed(context ^ mixed(shape))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame is a table's rows in the order of its files, with columns chosen and rows filtered at most."""
+    steps = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(re.match(r"[\s:+-]*(?:Project|Filter|Relation) ", line + " ") or "Relation [" in line for line in steps if line.strip())
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if not _is_scan(docs):
+        docs = cut(docs.select(id_col, text_col))
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -151,17 +194,18 @@ def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_windows(grams: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """[context, d]: whether another context has the same window that starts d bytes before the anchor.
+def repeated_windows(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """[context, d]: whether another context of its group has the same window that starts d bytes before the anchor.
 
-    All contexts of an anchor are in; ``right`` starts with the anchor itself.
+    All contexts of a group are in; ``right`` starts with the anchor itself.
     """
     reach = length - GRAM
     l_rows, l_size = _matrix(left, reach, backwards=True)
     r_rows, r_size = _matrix(right, length)
     l_order, l_common = _ordered(l_rows)
     r_order, r_common = _ordered(r_rows)
-    n = len(grams)
+    n = len(groups)
+    _, group = np.unique(groups, return_inverse=True)  # a context can be in several groups, where it must not meet itself
     out = np.zeros((n, reach + 1), bool)
     l_class, r_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(reach + 1):
@@ -169,7 +213,7 @@ def repeated_windows(grams: np.ndarray, left: list[bytes], right: list[bytes], l
         l_class[l_order] = np.concatenate([[0], np.cumsum(l_common < d)])
         r_class[r_order] = np.concatenate([[0], np.cumsum(r_common < length - d)])
         takes = np.flatnonzero((l_size >= d) & (r_size >= length - d))
-        key = l_class[takes] * n + r_class[takes]
+        key = (l_class[takes] * n + r_class[takes]) * n + group[takes]
         by = np.argsort(key, kind="stable")
         same = key[by[1:]] == key[by[:-1]]
         out[takes[by[1:][same]], d] = True
@@ -185,10 +229,49 @@ def _runs(mask: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     return [(int(r), -int(e) + 1, length - int(s)) for r, s, e in zip(row, start, end, strict=True)]
 
 
-def resolved(contexts: DataFrame) -> DataFrame:
-    """gram, context, spans: what of each context is repeated in another of its anchor.  contexts: gram, context, left, right."""
+def _split(hot: DataFrame) -> DataFrame:
+    """Each context of a group under two new ones: with half of the open bytes to the right, or to the left, made part of the anchor.
+
+    A window around the anchor reaches at least half of what it has besides to
+    one side, so two contexts with the same window meet in one of the two.
+    """
+    more = F.ceil((F.lit(LENGTH - GRAM) - F.col("l") - F.col("r")) / 2).cast("int")
+    right = hot.withColumn("r", F.col("r") + more).where(F.octet_length("right") >= F.lit(GRAM) + F.col("r")).withColumn(
+        "key", F.xxhash64("key", F.lit("r"), F.substring("right", F.lit(GRAM + 1), F.col("r"))))
+    left = hot.withColumn("l", F.col("l") + more).where(F.octet_length("left") >= F.col("l")).withColumn(
+        "key", F.xxhash64("key", F.lit("l"), F.substring("left", F.octet_length("left") - F.col("l") + 1, F.col("l"))))
+    return right.unionByName(left)
+
+
+def resolved(contexts: DataFrame, group: int | None = None) -> DataFrame:
+    """gram, context, spans: what of each context is repeated in another of its anchor.  contexts: gram, context, left, right.
+
+    Groups of more than ``group`` contexts are split by the bytes beside the
+    anchor until they are small, or until the whole window is part of it: then
+    all its contexts have it.
+    """
+    group = group or GROUP
+    level = contexts.dropDuplicates(["gram", "context"]).withColumns({"key": F.col("gram"), "l": F.lit(0), "r": F.lit(0)})
+    found = None
+    while True:
+        level = cut(level)
+        sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = level.join(sizes, "key")
+        small = _resolved_groups(sized.where(F.col("n") <= group))
+        found = small if found is None else found.unionByName(small)
+        hot = sized.where(F.col("n") > group).drop("n")
+        if hot.isEmpty():
+            return found.groupBy("gram", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        whole = F.col("l") + F.col("r") >= LENGTH - GRAM
+        span = F.struct((-F.col("l")).alias("from"), (F.lit(LENGTH) - F.col("l")).alias("to"))
+        found = found.unionByName(hot.where(whole).select("gram", "context", F.array(span).alias("spans")))
+        level = _split(hot.where(~whole))
+
+
+def _resolved_groups(contexts: DataFrame) -> DataFrame:
+    """``resolved`` for contexts in groups (key) that fit a task."""
     spark = contexts.sparkSession
-    dealt = contexts.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "context")
+    dealt = contexts.repartition(partitions(spark), "key").sortWithinPartitions("key", "context")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -196,18 +279,16 @@ def resolved(contexts: DataFrame) -> DataFrame:
         def close(rows: list[tuple]) -> pa.RecordBatch:
             found: dict[int, list] = {}
             if rows:
-                mask = repeated_windows(np.array([r[0] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
+                mask = repeated_windows(np.array([r[0] for r in rows]), [r[3] for r in rows], [r[4] for r in rows])
                 for i, start, end in _runs(mask, LENGTH):
                     found.setdefault(i, []).append({"from": start, "to": end})
             kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in found], pa.int64()), pa.array([rows[i][1] for i in found], pa.int64()),
+                [pa.array([rows[i][1] for i in found], pa.int64()), pa.array([rows[i][2] for i in found], pa.int64()),
                  pa.array(list(found.values()), kind)], ["gram", "context", "spans"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "left", "right")), strict=True):
-                if held and held[-1][:2] == row[:2]:
-                    continue  # one occurrence for each context
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "gram", "context", "left", "right")), strict=True):
                 if len(held) >= BATCH and held[-1][0] != row[0]:
                     yield close(held)
                     held = []
@@ -217,39 +298,14 @@ def resolved(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "gram long, context long, spans array<struct<from: int, to: int>>")
 
 
-def resolved_by_window(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: every window by its hash, counted over all tasks."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gram, context, left, right in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "left", "right")), strict=True):
-                total, down = _prefix_hashes(left + right)
-                d = np.arange(max(0, LENGTH - len(right)), len(left) + 1)
-                start = len(left) - d
-                h = mixed((total[start + LENGTH] - total[start]) * down[start])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(d), gram)), pa.array(np.full(len(d), context)), pa.array(d.astype(np.int32)),
-                     pa.array(h.view(np.int64))], ["gram", "context", "d", "window"])
-
-    once = contexts.dropDuplicates(["gram", "context"])
-    every = cut(once.mapInArrow(windows, "gram long, context long, d int, window long"))
-    twice = every.groupBy("gram", "d", "window").count().where("count > 1").drop("count")
-    span = F.struct((-F.col("d")).alias("from"), (F.lit(LENGTH) - F.col("d")).cast("int").alias("to"))
-    return every.join(twice, ["gram", "d", "window"], "left_semi").groupBy("gram", "context").agg(F.collect_list(span).alias("spans"))
-
-
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """row, spans: for each row with repeated strings, where they lie (from, to); an end may be past that of the text."""
     found = cut(all_anchors(rows))
     kinds = cut(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")))
     groups = kinds.groupBy("gram").agg(F.count("*").alias("contexts"), F.max("n").alias("most")).where("contexts > 1 or most > 1")
     kinds = cut(kinds.join(groups.select("gram", "contexts"), "gram"))
-    several = kinds.where("contexts > 1").select("one.row", "one.place", "gram", "context", "contexts")
-    texts = lambda some: context_bytes(rows, some.drop("contexts"))
-    spans = resolved(texts(several.where(F.col("contexts") <= GROUP)))
-    hot = several.where(F.col("contexts") > GROUP)
-    if not hot.isEmpty():
-        spans = spans.unionByName(resolved_by_window(texts(hot)))
+    several = kinds.where("contexts > 1").select("one.row", "one.place", "gram", "context")
+    spans = resolved(context_bytes(rows, several))
     whole = F.array(F.struct(F.lit(-LENGTH).alias("from"), F.lit(2 * LENGTH).alias("to")))
     spans = cut(kinds.where("n > 1").select("gram", "context", whole.alias("spans")).unionByName(
         spans.join(kinds.where("n > 1"), ["gram", "context"], "left_anti")))

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sheetlake.llm import suffix_dedup as D
@@ -45,7 +46,7 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize(("batch", "group", "step"), [(2048, 100_000, 4 << 20), (3, 100_000, 300), (50, 2, 4 << 20)])
+@pytest.mark.parametrize(("batch", "group", "step"), [(2048, 2048, 4 << 20), (3, 2048, 300), (50, 2, 4 << 20), (4, 5, 4 << 20)])
 def test_against_every_window(spark, monkeypatch, batch, group, step):
     monkeypatch.setattr(D, "GROUP", group)
     monkeypatch.setattr(D, "BATCH", batch)
@@ -73,3 +74,40 @@ def test_odd_rows(odd_documents, no_documents):
     assert by[1].n_removed == by[1].n_bytes > 0 and by[11].n_removed == by[11].n_bytes and by[2].n_bytes == 0
     assert by[8].n_removed == 70_000 and by[9].n_spans == 1 and by[6].n_removed == 0
     assert D.deduplicated(no_documents).isEmpty()
+
+
+def test_hashes_tell_structured_words_apart():
+    """Words that a polynomial modulo a power of two cannot tell apart."""
+    word = b"a"
+    for _ in range(11):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    at = np.array([0]), np.array([len(word)])
+    assert D.Hashes(word).of(*at) != D.Hashes(other).of(*at)
+    rng = random.Random(6)
+    text = bytes(rng.randrange(256) for _ in range(5000)) * 2
+    first = np.arange(0, 4900)
+    assert (D.Hashes(text).of(first, first + 64) == D.Hashes(text).of(first + 5000, first + 5064)).all()
+    assert len(np.unique(D.Hashes(text).of(first, first + 64))) == len(first)
+    x = np.array([0, 1, D._PRIME - 1, D._PRIME, D._PRIME + 1, 2**62 - 1], np.int64)
+    assert D._reduced(x).tolist() == [int(v) % D._PRIME for v in x]
+
+
+def test_hot_anchor(spark):
+    """Many texts around one string: its contexts are split by what lies beside it, and nothing is lost."""
+    rng = random.Random(7)
+    letters = "abcdefgh"
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    core, sides = noise(64), [noise(70) for _ in range(4)]
+    texts = [noise(140) + core + noise(140) for _ in range(60)]
+    texts += [noise(100) + rng.choice(sides) + core + rng.choice(sides) + noise(100) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    contexts = spark.createDataFrame(
+        [(5, i, t[max(0, t.index(core) - 136) : t.index(core)].encode(), t[t.index(core) : t.index(core) + 200].encode()) for i, t in enumerate(texts)],
+        "gram long, context long, left binary, right binary")
+    covered = lambda spans: {b for s in spans for b in range(s["from"], s["to"])}
+    whole, split = ({r.context: covered(r.spans) for r in D.resolved(contexts, g).collect()} for g in (10_000, 7))
+    assert whole == split and len(whole) > 20
+    assert D._is_scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")) and not D._is_scan(frame)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.deduplicated(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts])
