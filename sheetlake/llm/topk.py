@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sheetlake.llm.common import ready, usable_vector
 from sheetlake.llm.vector_blocks import grid, packed, unpacked
 
-#: Numbers of segments, coarse to fine.
-LEVELS = (1, 4, 16)
+#: Numbers of segments, coarse to fine; the finest level of a vector has a segment for each component.
+LEVELS = (1, 4, 16, 64, 256, 1024)
 #: Vectors in a candidate block and in a query block.
 BLOCK_ROWS, QUERY_ROWS = 1024, 256
 
@@ -53,41 +53,46 @@ def _doubles_do(q: np.ndarray, c: np.ndarray) -> bool:
     return np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1]) < 2.0**52
 
 
+def levels_of(dim: int) -> list[int]:
+    return [n for n in LEVELS if n < dim] + [dim]
+
+
 class Candidates:
     """The candidates of a task with their norms and segment statistics."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
         self.ids, self.data, self.norm = ids, data, (data * data).sum(1)
-        self.levels = [segment_statistics(data, n) for n in LEVELS]
+        self.levels = [segment_statistics(data, n) for n in levels_of(data.shape[1])]
 
 
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, c: Candidates, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, candidate row, score) of each query's k best candidates, ties to the smaller id."""
+    """(query row, candidate row, score) of each query's k best candidates, ties to the smaller id.
+
+    From level to level only queries and candidates that are part of a
+    surviving pair are looked at; exact scores are computed for the most
+    promising pairs of a level, which set the floor, and for the last survivors.
+    """
     norm = (q * q).sum(1)
     alive = q_ids[:, None] != c.ids[None]
     floor = np.full(len(q), -np.inf)
     n_top = min(k, len(c.ids))
-    for level, stats in zip(LEVELS, c.levels, strict=True):
-        bound = score_bounds(segment_statistics(q, level), stats, norm, c.norm)
-        bound[~alive] = -np.inf
-        # exact scores of the k most promising candidates give the score that others must reach
-        top = np.argpartition(bound, bound.shape[1] - n_top, axis=1)[:, -n_top:]
-        rows = np.repeat(np.arange(len(q)), n_top)
-        score = exact_scores(q[rows], c.data[top.ravel()]).astype(np.float64).reshape(top.shape)
-        score[~np.take_along_axis(alive, top, 1)] = -np.inf
-        if n_top == k:
-            floor = np.maximum(floor, score.min(1))
-        alive &= bound >= floor[:, None]
-    if alive.mean() > 1 / 16 and _doubles_do(q, c.data):  # many survivors: their scores as one product
-        score = q @ c.data.T
-        score[~alive] = -np.inf
-        last = np.partition(score, score.shape[1] - n_top, axis=1)[:, -n_top]
-        i, j = np.nonzero((score >= last[:, None]) & alive)
-        score = score[i, j]
-    else:
-        i, j = np.nonzero(alive)
-        score = np.concatenate([exact_scores(q[i[at : at + 65_536]], c.data[j[at : at + 65_536]])
-                                for at in range(0, len(i), 65_536)] or [np.empty(0)])
+    for level, stats in zip(levels_of(q.shape[1]), c.levels, strict=True):
+        rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(rows):
+            break
+        some = np.ix_(rows, cols)
+        bound = score_bounds(segment_statistics(q[rows], level), stats[cols], norm[rows], c.norm[cols])
+        bound[~alive[some]] = -np.inf
+        if n_top == k and len(cols) >= k:
+            # exact scores of the k most promising candidates give the score that others must reach
+            top = np.argpartition(bound, len(cols) - k, axis=1)[:, -k:]
+            score = exact_scores(q[np.repeat(rows, k)], c.data[cols[top.ravel()]]).astype(np.float64).reshape(top.shape)
+            score[~np.take_along_axis(alive[some], top, 1)] = -np.inf
+            floor[rows] = np.maximum(floor[rows], score.min(1))
+        alive[some] &= bound >= floor[rows][:, None]
+    i, j = np.nonzero(alive)
+    score = np.concatenate([exact_scores(q[i[at : at + 65_536]], c.data[j[at : at + 65_536]])
+                            for at in range(0, len(i), 65_536)] or [np.empty(0)])
     order = np.lexsort((c.ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
