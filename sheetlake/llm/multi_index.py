@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from sheetlake.llm.common import cut, ready, usable_vector
 
-#: Centroids for each half.
-CENTROIDS = 16
+#: Centroids for each half: four times the fourth root of the number of vectors, so a cell's share falls as its square root.
+LEAST_CENTROIDS, MOST_CENTROIDS = 8, 256
 #: The codebooks are fitted on at most this many vectors, those with the smallest hash of id and vector.
 SAMPLE_ROWS = 20_000
-#: A walk ends when its cells hold this share of all vectors, and no fewer than LEAST of them.  Most neighbours in the
-#: test vectors are hardly nearer than the rest; a recall of 0.94 takes this share there.
-SHARE, LEAST = 0.6, 2_000
+#: A walk ends when its cells hold a share of all vectors: the one at which walks over the sample, from this many of its
+#: vectors, find this part of their nearest neighbours in the sample.  In the whole table neighbours are nearer still.
+TESTED, FOUND = 400, 0.97
 #: Vectors of a cell in one task: larger cells are dealt to several.
 CELL_ROWS = 4_096
 
@@ -70,15 +70,40 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -
     return cells
 
 
+def centroids_for(n: int) -> int:
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, round(4 * n**0.25))))
+
+
+def calibrated(sample: np.ndarray, one: np.ndarray, two: np.ndarray, k: int, tested: int = TESTED, found: float = FOUND) -> float:
+    """The share of the sample that walks have to take in to find this part of the ``k`` nearest neighbours of some of its vectors."""
+    half = one.shape[1]
+    n = len(sample)
+    if n < 2:
+        return 1.0
+    d1, d2 = squared(sample[:, :half], one), squared(sample[:, half:], two)
+    cell = d1.argmin(1) * len(two) + d2.argmin(1)
+    held = np.bincount(cell, minlength=len(one) * len(two))
+    shares = []
+    for q in range(0, n, max(1, n // tested)):
+        gap = np.square(sample - sample[q]).sum(1)
+        gap[q] = np.inf
+        near = np.argpartition(gap, min(k, n - 1) - 1)[: min(k, n - 1)]
+        order = walk(d1[q], d2[q], held, n)
+        seen = dict(zip(order, np.cumsum(held[order]), strict=True))
+        shares += [seen[int(c)] / n for c in cell[near]]
+    return float(np.quantile(shares, found))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+            centroids: int | None = None, share: float | None = None) -> DataFrame:
     """Each query's ``k`` nearest rows found, by Euclidean distance in double precision.
 
-    Every usable row is indexed; only the codebooks come from a bounded sample
+    Every usable row is indexed; only the codebooks and the share of the
+    vectors that a walk takes in come from a bounded sample
     (:data:`SAMPLE_ROWS`).  Rows that are null, empty, all zero, hold null or
     non-finite components or have no id take no part.  Vectors of a dimension
     other than the most common one (ties: the smaller) take no part either.
@@ -104,8 +129,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     half = max(1, dims["d"] // 2)
     order = F.xxhash64(F.lit(1), "id", "vec")
     sample = np.array([r.vec for r in clean.orderBy(order, "id").limit(SAMPLE_ROWS).select("vec").collect()])
-    books = spark.sparkContext.broadcast((codebook(sample[:, :half], centroids),
-                                          codebook(sample[:, half:], centroids) if dims["d"] > 1 else np.zeros((1, 0))))
+    centroids = centroids or centroids_for(dims["count"])
+    both = codebook(sample[:, :half], centroids), codebook(sample[:, half:], centroids) if dims["d"] > 1 else np.zeros((1, 0))
+    share = calibrated(sample, *both, k) if share is None else share
+    books = spark.sparkContext.broadcast(both)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
@@ -118,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     counts = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most K * K rows
     held = np.zeros(len(books.value[0]) * len(books.value[1]), np.int64)
     held[list(counts)] = list(counts.values())
-    enough = max(least, int(np.ceil(share * held.sum())))
+    enough = int(np.ceil(share * held.sum()))
     held_at = spark.sparkContext.broadcast(held)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,24 +77,56 @@ def test_large_components_stay_exact():
 
 def test_multi_index_finds_all_when_it_walks_all(spark):
     data = [r for r in rows() if r[1] is None or len(r[1]) != 3]
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in multi_index.nearest(frame(spark, data), query()).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in multi_index.nearest(frame(spark, data), query(), share=1.0).collect())
     want = exact(data, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False, lambda v: any(v))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
 
 
-def test_multi_index_recall(spark):
-    """Production parameters on the driver's vectors, against brute force."""
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+@pytest.mark.parametrize("kind,share", [("spread", 1.0), ("clustered", 0.3)])
+def test_multi_index_recall(spark, kind, share):
+    """Production parameters on vectors without and with structure, more than the codebooks have cells, against brute force."""
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(6_000, 32))
+    if kind == "clustered":
+        data = data * 0.3 + rng.normal(size=(80, 32))[rng.integers(0, 80, len(data))] * 2
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
     got = multi_index.nearest(vectors, F.col("vec_id") % 100 == 0).toPandas()
-    table = vectors.toPandas()
-    ids, data = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), np.float64)
     hits = 0
     for q, found in got.groupby("query_id"):
-        gap = np.square(data - data[ids == q][0]).sum(1)
-        gap[ids == q] = np.inf
-        hits += len(set(ids[np.argpartition(gap, 10)[:10]]) & set(found["vec_id"]))
-    assert len(got) == 10 * (ids % 100 == 0).sum() and hits >= 0.9 * len(got)
+        gap = np.square(data - data[q]).sum(1)
+        gap[q] = np.inf
+        hits += len(set(np.argpartition(gap, 10)[:10].tolist()) & set(found["vec_id"]))
+    assert len(got) == 10 * 60 and hits >= 0.9 * len(got)
+    books = [multi_index.codebook(part, multi_index.centroids_for(len(data))) for part in (data[:, :16], data[:, 16:])]
+    walked = multi_index.calibrated(data, *books, 10)
+    assert 0 < walked <= share
+
+
+def test_centroids_grow_with_the_table():
+    sizes = [multi_index.centroids_for(n) for n in (1, 500, 50_000, 10**6, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 8 and sizes[-1] == 256 and multi_index.centroids_for(10**6) == 126
+
+
+def test_few_exact_scores(spark, monkeypatch):
+    """Of the pairs of the driver's vectors, fewer than a twentieth get an exact score."""
+    seen = [0]
+    exact_scores = topk.exact_scores
+
+    def counted(q, c):
+        seen[0] += len(q)
+        return exact_scores(q, c)
+
+    monkeypatch.setattr(topk, "exact_scores", counted)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    usable = [(i, v) for i, v in zip(table["vec_id"], table["embedding"], strict=True) if v is not None and np.isfinite(np.asarray(v, float)).all()]
+    ids, data = np.array([i for i, _ in usable]), np.floor(256 * np.array([v for _, v in usable], float))
+    asked = ids % 50 == 0
+    i, j, score = topk.best_of_block(ids[asked], data[asked], topk.Candidates(ids, data), 5)
+    assert seen[0] < 0.05 * asked.sum() * len(ids) and len(i) == 5 * asked.sum()
+    whole = data[asked] @ data.T
+    whole[ids[asked][:, None] == ids[None]] = -np.inf
+    assert (np.sort(whole, 1)[:, :-6:-1] == score.reshape(-1, 5)).all()
 
 
 def test_walk_goes_by_summed_distance():
