@@ -5,12 +5,14 @@ text that is mostly link text counts for little.  The density sum of an element
 adds up the densities of its children.  The element with the largest sum holds
 the main text; the lowest density on the path from it to the body is the
 threshold that what stands beside the path must reach to be part of the
-article.  Inside the element, and in unlinked paragraphs and headings, short
-text is text; only parts that are mostly links must reach the threshold.  An
-article element on the path bounds the text, the innermost if there are more.
-Elements that by name or class are not the article (menus, forms, adverts,
-comments, scripts and so on) are left out before, but not the wrapper of the
-article, whatever its class says.
+article.  Inside the element, inside an article element and in unlinked
+paragraphs and headings, short text is text; only parts that are mostly links
+must reach the threshold.  An article element on the path bounds the text, the
+innermost if there are more.  Elements that by name or class are not the
+article (menus, forms, adverts, comments, scripts and so on) are left out
+before, but not the wrapper of the article, whatever its class says, and no
+inline element.  A class in which a marked word is only one of several
+(``share-price``) is a hint: density decides.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ MARKED = frozenset("ad ads advert adverts advertisement advertising adsbygoogle
                    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall "
                    "share sharing social search login hidden".split())
 HEADER_MARKS = frozenset("header siteheader pageheader".split())
+#: Words that say what kind of box an element is, and nothing about its text: with marked words only, a name is a mark.
+BOXES = frozenset("area bar block body bottom box button buttons card col column container content element field fixed footer form "
+                  "global group head header heading holder icon icons inner input item items label large left link links list "
+                  "main module outer page panel post posts row right section site slot small sticky text title top unit view "
+                  "wrap wrapper zone article articles".split())
 #: Running text: a short one without links is text all the same.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr br".split())
 #: An element of these names ends an open paragraph.
@@ -59,10 +66,10 @@ _OPEN_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "marked", "plain", "runs", "holds", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "drop", "marked", "hint", "plain", "runs", "holds", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, marked: bool = False) -> None:
-        self.tag, self.parent, self.drop, self.marked = tag, parent, drop, marked
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, marked: str = "") -> None:
+        self.tag, self.parent, self.drop, self.marked, self.hint = tag, parent, drop, marked == "name", marked == "hint"
         self.plain, self.runs, self.holds = 0, 0, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -76,16 +83,24 @@ def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         or name == "style" and re.search(r"display\s*:\s*none", value or "") is not None for name, value in attrs)
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    """Not the article by name, class, id or role."""
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
+    """Whether an element is not the article: ``name`` by its own, class, id or role, ``hint`` if that has a marked word, else empty.
+
+    Inline elements are part of the text that they stand in, whatever their class.
+    """
     if tag in NAMED or tag == "header" and not inside_article:
-        return True
+        return "name"
+    hint = ""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and tag not in ("html", "body", "main", "article"):
-            words = set(_TOKENS.findall(value.lower()))
-            if words & MARKED or not inside_article and words & HEADER_MARKS:
-                return True
-    return False
+        if name in ("class", "id", "role") and value and tag not in INLINE and tag not in ("html", "body", "main", "article"):
+            for one in value.lower().split():
+                words = [w for w in _TOKENS.findall(one) if not w.isdigit()]
+                marks = [w for w in words if w in MARKED or not inside_article and w in HEADER_MARKS]
+                if marks and all(w in marks or w in BOXES for w in words):
+                    return "name"
+                if marks:
+                    hint = "hint"
+    return hint
 
 
 class Tree(HTMLParser):
@@ -95,6 +110,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.at, self.body, self.articles = self.root, None, 0
+        self.open: dict[str, int] = {}  # open elements by name
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -107,6 +123,7 @@ class Tree(HTMLParser):
             self._close(*SIBLINGS[tag])
         if tag == "body":
             if self.body is None:
+                self._up_to_root()
                 self.body = Node("body", self.root)
                 self.root.children.append(self.body)
                 self.at = self.body
@@ -115,6 +132,7 @@ class Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -136,11 +154,21 @@ class Tree(HTMLParser):
         """The element and all open ones inside it end."""
         at = self.at
         while at is not node.parent:
+            self.open[at.tag] -= 1
             self.articles -= at.tag in ("article", "main")
             at = at.parent
         self.at = at
 
+    def _up_to_root(self) -> None:
+        if self.at is not self.root:
+            at = self.at
+            while at.parent is not self.root:
+                at = at.parent
+            self._up(at)
+
     def _close(self, names: set[str], bounds: set[str]) -> None:
+        if not any(self.open.get(n) for n in names):
+            return
         at = self.at
         while at is not self.root and at is not self.body and at.tag not in bounds:
             if at.tag in names:
@@ -188,14 +216,17 @@ def settle_marks(body: Node) -> None:
             for node in barred:
                 node.marked = False
             todo = barred
-    todo = [body]
-    while todo:
-        for c in todo.pop().children:
+    beside = [(body, False)]
+    while beside:
+        node, within = beside.pop()
+        within = within or node.tag in ("article", "main")
+        for c in node.children:
             if isinstance(c, Node) and not c.drop:
                 wraps = c.tag not in BESIDE and 2 * c.plain > body.plain and (not free or c.runs > 1)
-                c.drop = c.marked and not wraps
+                # where there is an article, a hint is enough for what stands beside it
+                c.drop = c.marked and not wraps or c.hint and free and not within and not c.holds
                 if not c.drop:
-                    todo.append(c)
+                    beside.append((c, within))
 
 
 def measure(top: Node) -> list[Node]:
@@ -232,22 +263,21 @@ def main_node(page: Tree) -> Node | None:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    for node in path:  # the innermost article element on the path is the text
-        if node.tag == "article":
-            return node
-    main = next((n for n in path if n.tag == "main"), None)
-    if main is not None:
-        path = path[: path.index(main) + 1]
+    # the innermost article element bounds the text, else a main element
+    bound = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), body)
+    path = path[: path.index(bound) + 1]
     threshold = min(n.density for n in path)
     inside = {id(n) for n in path}
-    for node in _ordered(best)[1:]:
-        node.drop = node.density < threshold and _mostly_links(node) and not _in_running_text(node)
-    for node in path[1:]:
-        for c in node.children:
-            if isinstance(c, Node) and not c.drop and id(c) not in inside:
-                short = c.link_chars == 0 and (c.tag in RUNNING or c.tag in INLINE)
-                c.drop = c.chars > 0 and not short and c.density < threshold
-    return path[-1]
+    for node in _ordered(bound if bound.tag == "article" else best)[1:]:
+        if id(node) not in inside:
+            node.drop = _mostly_links(node) and (node.density < threshold or node.hint) and not _in_running_text(node)
+    if bound.tag != "article":
+        for node in path[1:]:
+            for c in node.children:
+                if isinstance(c, Node) and not c.drop and id(c) not in inside:
+                    short = c.link_chars == 0 and (c.tag in RUNNING or c.tag in INLINE)
+                    c.drop = c.chars > 0 and not short and c.density < threshold
+    return bound
 
 
 def _mostly_links(node: Node) -> bool:

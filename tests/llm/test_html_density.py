@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from sheetlake.llm import html_density as H
@@ -96,3 +98,22 @@ def test_short_and_linked_parts_of_the_text_stay():
     assert H.article(beside) == f"Head Yes. {TEXT}"
     halves = f"<body><div><div>{BODY}</div><div>{MENU}</div><div><p>{P1}</p><p>{P2}</p></div></div></body>"
     assert H.article(halves) == f"{TEXT} {P1} {P2}"
+
+
+@pytest.mark.parametrize("part,text", [
+    ("<p>Some <b class='ad'>bold</b> words</p>", "Some bold words"), ("<p>An <span class='alert'>alert</span> word</p>", "An alert word"),
+    ("<p><em class='notice'>Mind</em> it</p>", "Mind it"), ("<div class='share-price'>The share price rose by a tenth.</div>", "The share price rose by a tenth."),
+    ("<section id='search-algorithms'><p>Binary search halves.</p></section>", "Binary search halves."),
+    ("<div class='share-buttons'>Tell others</div>", ""), ("<div id='comments-area'><p>I disagree with all of this, says a reader.</p></div>", ""),
+    (f"<div>{MENU}</div>", ""), (f"<div class='share-price'>{MENU}</div>", ""), (f"<section>{MENU}</section>", ""), (MENU, "")])
+@pytest.mark.parametrize("html", [f"<body><article>{BODY}PART</article></body>", f"<body><div>{BODY}PART</div></body>",
+                                  f"<body><nav>{MENU}</nav><main>{BODY}PART</main><div>{MENU}</div></body>"])
+def test_marked_words_in_running_text(html, part, text):
+    assert H.article(html.replace("PART", part)) == f"{TEXT} {text}".strip()
+
+
+@pytest.mark.parametrize("open_,close", [("<div>", "</div>"), ("<div>", ""), ("<ul><li>", ""), ("<table><tr><td>", ""), ("<p><span>", "")])
+def test_deep_pages_take_linear_time(open_, close):
+    start = time.process_time()
+    assert H.article(f"<body>{open_ * 20_000}{BODY}{close * 20_000}</body>") == TEXT
+    assert time.process_time() - start < 4
