@@ -1,9 +1,10 @@
 """Secret scanning with SQL functions only: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long token with digits or a known key format.  The forest
+A candidate is a long token with digits, a known key format, or whatever is
+assigned to a name like ``password``, of any length and alphabet.  The forest
 looks at its length, its characters and the transitions between their classes,
-how much of it dictionary words cover, the path (here: the document's source)
-and the words around it.  It learns from labelled findings: a table of them if
+how much of it dictionary words cover, the parts of the path (here: the
+document's source) and the words around it.  It learns from labelled findings: a table of them if
 there is one, else findings whose nature a rule settles (provider formats and
 assignments to names like ``password`` against numbers and plain words); it
 then decides on all candidates, those without a rule included.
@@ -24,10 +25,15 @@ PROVIDERS = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-
 #: Names whose assigned value is a secret.
 NAMES = r"(?:pass|passwd|password|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)"
 #: A long token with a digit, or a provider's format.
-CANDIDATE = (rf"(?<![A-Za-z0-9+/_-])(?:{PROVIDERS}|(?=[A-Za-z+/_-]{{0,64}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
-             r"(?![A-Za-z0-9+/_-])")
-#: Stands around candidates while a text is cut; such characters of the text itself count as spaces.
-_MARK = "\x01"
+TOKEN = (rf"(?<![A-Za-z0-9+/_-])(?:{PROVIDERS}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
+         r"(?![A-Za-z0-9+/_-])")
+_ASSIGNS = rf"(?i:{NAMES})[\w-]{{0,64}}[\"']?[ \t]*[:=][ \t]*"
+#: What stands before a candidate (groups 1 and 3) and the candidate (groups 2, 4, 5): a quoted value of such a name, an
+#: unquoted one without punctuation at its end, or a token.
+CANDIDATE = rf"({_ASSIGNS}[\"'])([^\"'\n]+)(?=[\"'])|({_ASSIGNS})([^\s\"']*[^\s\"'.,;:!?)\]}}>])|({TOKEN})"
+#: Stands around candidates while a text is cut; where the text has such characters they are spelt out until it is whole again.
+_MARK, _ESCAPE = "\x01", "\x02"
+_SPELT = ((_ESCAPE, _ESCAPE + "\x04"), (_MARK, _ESCAPE + "\x03"))
 #: The forest, and the most labelled findings of either kind that it is fitted on (those with the smallest hash).
 TREES, TREE_DEPTH, TRAINING_ROWS, SEED = 24, 7, 20_000, 11
 #: A candidate is a secret from this share of the trees' votes on.
@@ -36,13 +42,21 @@ VOTES = 0.5
 WORD_LETTERS = 3
 
 FEATURES = ["length", "digits", "upper", "lower", "distinct", "class_changes", "case_changes", "hex", "padded", "covered",
-            "assigned", "named", "quoted", "before_known", "after_known", "before_letters", "after_letters", "path_kind", "path_test"]
+            "assigned", "named", "quoted", "before_known", "after_known", "before_letters", "after_letters",
+            "path_depth", "path_config", "path_code", "path_test"]
 
 
 def _pieces(text: Column) -> Column:
-    """The text cut around its candidates: every second element is one."""
-    clean = F.translate(text, _MARK, " ")
-    return F.split(F.regexp_replace(clean, CANDIDATE, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    """The text, spelt out, cut around its candidates: every second element is one."""
+    for plain, spelt in _SPELT:
+        text = F.replace(text, F.lit(plain), F.lit(spelt))
+    return F.split(F.regexp_replace(text, CANDIDATE, f"$1$3{_MARK}$2$4$5{_MARK}"), _MARK, -1)
+
+
+def _whole(piece: Column) -> Column:
+    for plain, spelt in reversed(_SPELT):
+        piece = F.replace(piece, F.lit(spelt), F.lit(plain))
+    return piece
 
 
 def document_keys(text: Column) -> dict[str, Column]:
@@ -56,9 +70,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"),
         *[c.alias(n) for n, c in document_keys(text).items()], _pieces(text).alias("pieces"))
     found = F.transform(F.sequence(F.lit(1), F.floor(F.size("pieces") / 2).cast("int")), lambda i: F.struct(
-        i.alias("place"), F.element_at("pieces", i * 2).alias("candidate"),
-        F.right(F.element_at("pieces", i * 2 - 1), F.lit(80)).alias("before"),
-        F.left(F.element_at("pieces", i * 2 + 1), F.lit(80)).alias("after")))
+        i.alias("place"), _whole(F.element_at("pieces", i * 2)).alias("candidate"),
+        F.right(_whole(F.element_at("pieces", i * 2 - 1)), F.lit(80)).alias("before"),
+        F.left(_whole(F.element_at("pieces", i * 2 + 1)), F.lit(80)).alias("after")))
     return rows.withColumn("found", F.explode(found)).select("doc_id", "path", "found.*", "k1", "k2")
 
 
@@ -86,10 +100,12 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "case_changes": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "hex": flag(c.rlike("^[0-9a-f]+$") & c.rlike("[a-f]")), "padded": flag(c.rlike("=$")),
         "assigned": flag(F.col("before").rlike(r"[:=]\s*[\"']?$")),
-        "named": flag(F.col("before").rlike(rf"(?i){NAMES}[a-z]*[\"']?\s*[:=]\s*[\"']?$")),
+        "named": flag(F.col("before").rlike(rf"{_ASSIGNS}[\"']?$")),
         "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "before_letters": F.char_length(last).cast("double"), "after_letters": F.char_length(first).cast("double"),
-        "path_kind": F.pmod(F.xxhash64(path), F.lit(16)).cast("double"),
+        "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
+        "path_config": flag(path.rlike(r"(?i)\.(?:env|ini|ya?ml|json|toml|conf|cfg|properties|pem|key|tf)$|(?:^|/)\.env|config")),
+        "path_code": flag(path.rlike(r"(?i)\.(?:py|js|ts|java|go|rb|rs|c|cc|cpp|cs|php|sh|sql|ipynb|scala|kt)$|code|repo|git")),
         "path_test": flag(path.rlike("(?i)test|example|sample|doc"))})
     # dictionary words in the candidate and beside it, looked up once for each distinct candidate and neighbours
     key = ["candidate", "last", "first"]
@@ -109,8 +125,10 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 def settled(rows: DataFrame) -> Column:
     """1 for findings that a rule calls a secret, 0 for those it calls none, null for the others."""
     c = F.col("candidate")
-    secret = c.rlike(f"^(?:{PROVIDERS})$") | ((F.col("named") == 1) & (c.rlike("[A-Za-z]")) & (F.col("covered") < 0.5))
-    plain = c.rlike("^[0-9_/+-]+=*$") | (F.col("covered") > 0.6) | c.rlike(r"^[A-Za-z]{1,3}(?:[/_-][A-Za-z]*)*[0-9]{1,4}$")
+    # a short word of letters after a name may be either
+    telling = c.rlike("[A-Za-z]") & (c.rlike("[^A-Za-z]") | (F.col("length") >= 8))
+    secret = c.rlike(f"^(?:{PROVIDERS})$") | ((F.col("named") == 1) & telling & (F.col("covered") < 0.5))
+    plain = c.rlike("^[0-9_/+-]+=*$") | c.rlike("^[A-Za-z]{1,3}$") | (F.col("covered") > 0.6) | c.rlike(r"^[A-Za-z]{1,3}(?:[/_-][A-Za-z]*)*[0-9]{1,4}$")
     return F.when(secret, 1.0).when(plain, 0.0)
 
 
@@ -166,6 +184,7 @@ def redacted(docs: DataFrame, dictionary: DataFrame, text_col: str = "text", n_c
     # places are 1, 2, ..., their pieces 2, 4, ...
     masked = F.array_join(F.transform(_pieces(text), lambda p, i: F.when(
         (i % 2 == 1) & F.array_contains("__places", ((i + 1) / 2).cast("int")), F.lit(mask)).otherwise(p)), "")
+    masked = _whole(masked)
     out = out.withColumn("__text", F.when(F.col("__places").isNotNull(), masked).otherwise(text))
     if n_chars_col and n_chars_col in docs.columns:
         out = out.withColumn(n_chars_col, F.when(F.col("__places").isNotNull() & (F.col(n_chars_col) == F.char_length(text)),
