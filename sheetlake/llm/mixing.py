@@ -17,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, join_small, partitions, ready, words_in
+from sheetlake.llm.common import cut, join_small, lean, partitions, ready, words_in
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -87,25 +87,33 @@ def pivot(size: np.ndarray, part: np.ndarray, draw: np.ndarray) -> tuple[np.ndar
 def _rounded(key_seed: int):
     """A task's chunks, streamed: every row out once, rounded, or marked as the residual of its chunk."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-        def close() -> pd.DataFrame:
-            chunk = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            key = [int(chunk["source_no"].iloc[0]) & (2**63 - 1), (key_seed << 32) + int(chunk["chunk"].iloc[0])]
-            draw = np.random.Generator(np.random.Philox(key=key)).random(len(chunk))
-            part, left = pivot(chunk["size"].to_numpy(float), chunk["part"].to_numpy(float), draw)
-            chunk = chunk.assign(part=part, left=np.arange(len(chunk)) == left)
-            held.clear()
-            return chunk
+        def place(batch: pa.RecordBatch) -> tuple[int, int]:
+            return batch.column("source_no")[0].as_py(), batch.column("chunk")[0].as_py()
 
-        for frame in frames:
-            for _, rows in frame.groupby(["source_no", "chunk"], sort=False):
-                if held and (held[0]["chunk"].iloc[0] != rows["chunk"].iloc[0] or held[0]["source_no"].iloc[0] != rows["source_no"].iloc[0]):
-                    yield close()
-                held.append(rows)
+        def close() -> list[pa.RecordBatch]:
+            chunk = pa.Table.from_batches(held).combine_chunks()
+            source, number = place(held[0])
+            draw = np.random.Generator(np.random.Philox(key=[source & (2**63 - 1), (key_seed << 32) + number])).random(chunk.num_rows)
+            part, left = pivot(chunk.column("size").to_numpy().astype(float), chunk.column("part").to_numpy().astype(float), draw)
+            held.clear()
+            return chunk.set_column(chunk.schema.get_field_index("part"), "part", pa.array(part)).append_column(
+                "left", pa.array(np.arange(len(part)) == left)).to_batches()
+
+        for batch in batches:
+            source, number = batch.column("source_no").to_numpy(), batch.column("chunk").to_numpy()
+            new = np.flatnonzero((source[1:] != source[:-1]) | (number[1:] != number[:-1])) + 1
+            for at, end in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if end == at:
+                    continue
+                some = batch.slice(at, end - at)
+                if held and place(held[0]) != place(some):
+                    yield from close()
+                held.append(some)
         if held:
-            yield close()
+            yield from close()
 
     return run
 
@@ -125,10 +133,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Returns doc_id, size, source_size, target, taken (words), copies, source and the row's hashes tie, tie2.
     """
     spark = ready(docs.sparkSession)
-    rows = cut(docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         words_in(F.col(text_col)).alias("size"),
-        *[c.alias(n) for n, c in _keys(seed, id_col, text_col, source_col).items()]))
+        *[c.alias(n) for n, c in _keys(seed, id_col, text_col, source_col).items()])
+    # rows that repeat all of these are counted, then numbered, so that they spread over the chunks like any others
+    often = rows.groupBy("doc_id", "source", "size", "tie", "tie2").agg(F.count("*").cast("int").alias("again"))
+    rows = cut(often.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("again")))))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, ceiling)
     counts = rows.groupBy("source").count().withColumnRenamed("count", "n").withColumnRenamed("source", "source_of")
     plan = cut(sources.join(counts, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of").withColumn(
@@ -139,16 +150,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     whole = F.floor(F.col("ratio") + 1e-12)
     spread = spread.withColumn("ratio", ratio).withColumn("whole", whole.cast("long")).withColumn(
         "part", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - whole)).otherwise(0.0)).drop("ratio")
-    columns = ["doc_id", "source", "source_no", "size", "source_size", "target", "tie", "tie2", "whole", "part", "n"]
+    columns = ["doc_id", "source", "source_no", "size", "source_size", "target", "tie", "tie2", "again", "whole", "part", "n"]
     level, done, schema = spread.select(*columns), None, None
     number, most = 0, plan.agg(F.max("n")).head()[0] or 0
     while True:
         chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk))
-        dealt = level.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + number), "tie"), chunks).cast("long"))
+        dealt = level.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + number), "tie", "again"), chunks).cast("long"))
         dealt = dealt.repartition(partitions(spark), "source_no", "chunk").sortWithinPartitions(
-            "source_no", "chunk", F.desc("size"), "tie", "tie2")
+            "source_no", "chunk", F.desc("size"), "tie", "tie2", "again")
         schema = schema or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", left boolean"
-        out = cut(dealt.mapInPandas(_rounded(seed + number), schema))
+        out = cut(dealt.mapInArrow(lean(_rounded(seed + number)), schema))
         number += 1
         most = -(-most // chunk)
         if most <= 1:
