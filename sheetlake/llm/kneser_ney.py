@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, join_small, partitions, ready
+from sheetlake.llm.common import cut, join_small, lean, partitions, ready
 
 ORDER = 4
-#: Shards of the model; hot contexts are dealt over salted copies of a shard.
-SHARDS = 16
+#: N-grams of a shard of the model, about, and shards at least; hot contexts are dealt over salted copies of a shard.
+SHARD_ROWS, SHARDS = 1 << 18, 16
 #: Documents and bytes of a batch that is listed at once.
 BATCH_DOCS, BATCH_BYTES = 256, 1 << 20
 #: Thresholds: this quantile of trusted perplexities times the margin, in bands of UTF-8 bytes.
@@ -82,7 +82,7 @@ def counts(texts: DataFrame) -> DataFrame:
                     code, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
-    return texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(lean(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("c"))
 
 
 def discounts(table: DataFrame) -> list[float]:
@@ -126,7 +126,7 @@ def model(texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 # -- scoring -----------------------------------------------------------------
 
 
-def _lists(docs: DataFrame, salts: int) -> DataFrame:
+def _lists(docs: DataFrame, shards: int, salts: int) -> DataFrame:
     """shard, salt, batch, blob: the n-grams of a batch of documents that belong to a shard, with documents and counts.
 
     The first shard of a batch also names its documents.
@@ -153,13 +153,13 @@ def _lists(docs: DataFrame, salts: int) -> DataFrame:
                 codes = [_codes(t) for t in texts]
                 local = np.repeat(np.arange(end - at), [len(c) for c in codes])
                 code = np.concatenate(codes)
-                item = np.sort((_shard(code >> 8, SHARDS) << 40) | (code << 8) | local)
+                item = np.sort((_shard(code >> 8, shards) << 40) | (code << 8) | local)
                 first = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.empty(0, int)
                 often = np.diff(np.append(first, len(item)))
                 item = item[first]
                 rows: dict[str, list] = {"shard": [], "batch": [], "blob": []}
-                edges = np.searchsorted(item >> 40, np.arange(SHARDS + 1))
-                for shard in range(SHARDS):
+                edges = np.searchsorted(item >> 40, np.arange(shards + 1))
+                for shard in range(shards):
                     some, n = item[edges[shard] : edges[shard + 1]], often[edges[shard] : edges[shard + 1]]
                     if not len(some) and shard:
                         continue
@@ -175,7 +175,7 @@ def _lists(docs: DataFrame, salts: int) -> DataFrame:
                     [pa.array(rows["shard"], pa.int32()), pa.array(rows["batch"], pa.int64()), pa.array(rows["blob"], pa.binary())],
                     list(rows))
 
-    return docs.select("k1", "k2", "text").mapInArrow(listed, "shard int, batch long, blob binary").withColumn(
+    return docs.select("k1", "k2", "text").mapInArrow(lean(listed), "shard int, batch long, blob binary").withColumn(
         "salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
 
 
@@ -217,7 +217,10 @@ def scores(docs: DataFrame, trained: tuple[list[DataFrame], list[DataFrame]]) ->
     spark = docs.sparkSession
     probabilities, weights = trained
     tasks = partitions(spark)
-    salts = max(1, 4 * tasks // SHARDS)
+    shards, grams = SHARDS, probabilities[-1].count()
+    while shards * SHARD_ROWS < grams and shards < 1 << 16:  # a shard is some of the 2^16 two-byte contexts
+        shards *= 2
+    salts = max(1, 4 * tasks // shards)
     # tables of one and two bytes: at most 256 and 65,536 rows
     low = {"p": {o: _sorted_table(probabilities[o - 1].collect()) for o in (1, 2)}, "g": {2: _sorted_table(weights[1].collect())}}
     low["unseen"] = weights[0].head()["g"] / 256
@@ -234,13 +237,13 @@ def scores(docs: DataFrame, trained: tuple[list[DataFrame], list[DataFrame]]) ->
     for order in (3, 4):
         for kind, frame, code, value in ((order, probabilities[order - 1], "code", "p"), (10 + order, weights[order - 1], "context", "g")):
             context = F.shiftright(code, 8) if kind < 10 else F.col(code)
-            part = frame.select(_shard_column(context, SHARDS).alias("shard"), F.lit(kind).alias("kind"),
+            part = frame.select(_shard_column(context, shards).alias("shard"), F.lit(kind).alias("kind"),
                                 F.col(code).alias("code"), F.col(value).alias("value"))
             parts = part if parts is None else parts.unionByName(part)
     shards = parts.groupBy("shard", "kind").applyInArrow(packed_rows, "shard int, kind int, batch long, blob binary").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # the rows of a shard's model come before the lists that they score; a list is read, scored and dropped
-    together = shards.unionByName(_lists(docs, salts).withColumn("kind", F.lit(100))).repartition(
+    together = shards.unionByName(_lists(docs, shards, salts).withColumn("kind", F.lit(100))).repartition(
         tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +272,7 @@ def scores(docs: DataFrame, trained: tuple[list[DataFrame], list[DataFrame]]) ->
                     [pa.array([number.as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(ln[rows]),
                      pa.array(n[rows].astype(np.int64)), name(0), name(1)], ["batch", "local", "ln", "n", "k1", "k2"])
 
-    partial = together.mapInArrow(scored, "batch long, local int, ln double, n long, k1 long, k2 long")
+    partial = together.mapInArrow(lean(scored), "batch long, local int, ln double, n long, k1 long, k2 long")
     summed = partial.groupBy("batch", "local").agg(F.sum("ln").alias("ln"), F.sum("n").alias("n"), F.max("k1").alias("k1"),
                                                    F.max("k2").alias("k2"))
     # equal documents have equal sums up to the order of adding: one of them stands for all
