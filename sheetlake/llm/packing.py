@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, partitions, ready
+from sheetlake.llm.common import cut, lean, partitions, ready
 
 #: Tokens of a sequence; the id that ends a document.
 LENGTH, END_ID = 2048, 0
@@ -204,9 +204,6 @@ def encoder(path: str):
     return encode
 
 
-_ENCODERS: dict[str, object] = {}
-
-
 def cut_points(n: int, length: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole sequences, the first piece takes what is left over."""
     first = n % length or min(n, length)
@@ -218,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, encoder(tokenizer))
+        encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 some = batch.slice(at, BATCH)
@@ -232,7 +229,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(tokenised), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, nodes: int = NODES, id_col: str = "doc_id",
@@ -242,6 +239,10 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, nodes: int = N
     Null and empty texts are one piece with the end id alone.  Rows that repeat
     a doc_id or a whole row are packed each for itself; a null doc_id stays
     null.  An empty table gives no rows; other columns are ignored.
+    n_sequences and least_sequences, the same in all rows, tell how many
+    sequences there are and the lower bound ceil(tokens / length): where they
+    are equal the packing is optimal, else the search ended after ``nodes``
+    nodes with the best it had found, or showed that the bound cannot be met.
     """
     spark = ready(docs.sparkSession)
     rows = cut(pieces(docs, tokenizer, length, id_col, text_col))
@@ -259,6 +260,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, nodes: int = N
             taken[size] += n * times
             place += n * size
         sequence += times
+    least = -(-int((have * np.arange(length + 1)).sum()) // length)
     plan = spark.sparkContext.broadcast({s: np.array(v, np.int64).T for s, v in slots.items()})
 
     # rank among the pieces of a length: by rank in a bucket, after the buckets before it
@@ -287,4 +289,5 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, nodes: int = N
                                              [*keep.schema.names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(
-        seated, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        lean(seated), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumns(
+        {"n_sequences": F.lit(sequence).cast("long"), "least_sequences": F.lit(least).cast("long")})
