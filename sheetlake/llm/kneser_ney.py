@@ -217,10 +217,10 @@ def scores(docs: DataFrame, trained: tuple[list[DataFrame], list[DataFrame]]) ->
     spark = docs.sparkSession
     probabilities, weights = trained
     tasks = partitions(spark)
-    shards, grams = SHARDS, probabilities[-1].count()
-    while shards * SHARD_ROWS < grams and shards < 1 << 16:  # a shard is some of the 2^16 two-byte contexts
-        shards *= 2
-    salts = max(1, 4 * tasks // shards)
+    n_shards, grams = SHARDS, probabilities[-1].count()
+    while n_shards * SHARD_ROWS < grams and n_shards < 1 << 16:  # a shard is some of the 2^16 two-byte contexts
+        n_shards *= 2
+    salts = max(1, 4 * tasks // n_shards)
     # tables of one and two bytes: at most 256 and 65,536 rows
     low = {"p": {o: _sorted_table(probabilities[o - 1].collect()) for o in (1, 2)}, "g": {2: _sorted_table(weights[1].collect())}}
     low["unseen"] = weights[0].head()["g"] / 256
@@ -237,13 +237,13 @@ def scores(docs: DataFrame, trained: tuple[list[DataFrame], list[DataFrame]]) ->
     for order in (3, 4):
         for kind, frame, code, value in ((order, probabilities[order - 1], "code", "p"), (10 + order, weights[order - 1], "context", "g")):
             context = F.shiftright(code, 8) if kind < 10 else F.col(code)
-            part = frame.select(_shard_column(context, shards).alias("shard"), F.lit(kind).alias("kind"),
+            part = frame.select(_shard_column(context, n_shards).alias("shard"), F.lit(kind).alias("kind"),
                                 F.col(code).alias("code"), F.col(value).alias("value"))
             parts = part if parts is None else parts.unionByName(part)
     shards = parts.groupBy("shard", "kind").applyInArrow(packed_rows, "shard int, kind int, batch long, blob binary").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # the rows of a shard's model come before the lists that they score; a list is read, scored and dropped
-    together = shards.unionByName(_lists(docs, shards, salts).withColumn("kind", F.lit(100))).repartition(
+    together = shards.unionByName(_lists(docs, n_shards, salts).withColumn("kind", F.lit(100))).repartition(
         tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

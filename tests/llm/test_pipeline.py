@@ -19,7 +19,7 @@ SQL = sorted(name for name, (_, sql) in Q.REGISTRY.items() if sql)
 @pytest.mark.parametrize("name", SQL)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     query, sql = Q.REGISTRY[name]
     got, want = query(spark, SF), con.execute(sql)
@@ -70,4 +70,5 @@ def test_stages_one_after_the_other(spark):
 
 def test_run_is_the_stages(spark):
     out = P.run(spark, SF)
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "least_sequences"]
+    assert out.count() > 50
