@@ -42,17 +42,20 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("k", "t", "short"), [(3, 90, 32), (3, 90, 2), (5, 80, 3)])
-def test_against_all_pairs(spark, monkeypatch, k, t, short):
+@pytest.mark.parametrize(("k", "t", "short", "spread"), [(3, 90, 32, False), (3, 90, 2, True), (5, 80, 3, False)])
+def test_against_all_pairs(spark, monkeypatch, k, t, short, spread):
     rng = random.Random(k)
     monkeypatch.setattr(J, "SHORT", short)
+    if spread:  # as if the list of sets were too long to be broadcast, and sets of three documents hot
+        monkeypatch.setattr(J, "SET_BYTES", 1 << 40)
+        monkeypatch.setattr(J, "SET_ROWS", 2)
     texts = []
     for size in (4, 9, 30, 150):
         base = [f"b{rng.randrange(60)}" for _ in range(size)]
         texts += [edited(rng, base, rng.randrange(0, 1 + size // 25)) for _ in range(25)]
         texts += [" ".join(base[: rng.randrange(1, size + 1)]) for _ in range(8)] + [" ".join(base).upper()]
     texts += [None, "", " \n ", "one", "One", "one two", "ONE\ttwo", " ", "É é", "é É"]
-    rows = list(enumerate(texts)) + [(None, texts[0]), (7, texts[30]), (7, texts[30])]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (7, texts[30]), (7, texts[30])] + [(800 + i, texts[40]) for i in range(9)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.linked(frame, k, t).collect()]
     key = lambda x: tuple((v is None, v or 0) for v in x)
