@@ -1340,6 +1340,36 @@ def old_output(spark, d):
     return read.groupBy("worksheet").agg(F.count("*").alias("n_cells"), F.count("source_modified_at").alias("n_versions"))
 
 
+@register(
+    "runs_read",
+    with_ctes(
+        "SELECT worksheet, count(*) AS n_cells, CAST(CASE worksheet WHEN 'nation' THEN count(value) ELSE 0 END AS BIGINT) AS rewritten "
+        "FROM cells GROUP BY worksheet UNION ALL SELECT 'all processed paths', count(DISTINCT file_path), 0 FROM cells",
+        cells=SQL_CELLS,
+    ),
+)
+def runs_read(spark, d):
+    """An output of three runs: one of all sheets, one that wrote a sheet again, one cut off before its ledger."""
+    from .. import schema
+    from ..session import scratch_dir
+    from ..sources import cells_io
+
+    to, cells = scratch_dir(spark, "runs"), V.cells(spark, d)
+    again = cells.where(F.col("worksheet") == "nation").withColumn("value", F.concat(F.col("value"), F.lit("!")))
+    for run_id, written in (("one", cells), ("two", again), ("cut-off", cells)):
+        cells_io.write_cells(written, f"{to}/runs/run_id={run_id}/kind=cell")
+    for day, (run_id, written) in enumerate((("one", cells), ("two", again)), start=1):
+        done = {"run_id": F.lit(run_id), "status": F.lit("ok"), "run_at": F.make_timestamp(F.lit(2024), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0))}
+        files = written.groupBy("file_path").agg(F.count("*").alias("n_cells"))
+        files.select(*[(done[f.name] if f.name in done else F.col(f.name) if f.name in files.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                       for f in schema.LEDGER.fields]).write.parquet(f"{to}/ledger/{run_id}")
+    latest = cells_io.read_cells(spark, to).groupBy("worksheet").agg(
+        F.count("*").alias("n_cells"), F.count(F.when(F.col("value").endswith("!"), 1)).alias("rewritten"))
+    seen = cells_io.processed_paths(spark, to).agg(F.count("*").alias("n_cells")).select(
+        F.lit("all processed paths").alias("worksheet"), "n_cells", F.lit(0).cast("bigint").alias("rewritten"))
+    return latest.unionByName(seen)
+
+
 @register(
     "gated_runs",
     with_ctes(
