@@ -77,6 +77,10 @@ def modified_since(candidates: DataFrame, done: DataFrame) -> DataFrame:
     old = done.select("file_path", F.col("modified_at").alias("_then"), F.col("file_hash").alias("_was"))
     touched = candidates.select("file_path", "modified_at").join(old, "file_path").where(
         F.col("modified_at") != F.col("_then")).select("file_path", "_was")
+    # few files are touched between two runs: they are written, and where there is none nothing is hashed
+    touched = cut_lineage(touched)
+    if touched.isEmpty():
+        return touched.select("file_path")
     now = hash_files(touched).select("file_path", F.col("file_hash").alias("_is"))
     return touched.join(now, "file_path").where(~F.col("_was").eqNullSafe(F.col("_is")) | F.col("_is").isNull()).select(
         "file_path")
