@@ -54,12 +54,13 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_small(df: DataFrame, keys: DataFrame, on: list[str], how: str, n_keys: int, row_bytes: int = 40) -> DataFrame:
+def join_small(df: DataFrame, keys: DataFrame, on: list[str], how: str, n_keys: int, row_bytes: int = 100) -> DataFrame:
     """Join a wide frame with a list of keys (or spans) of measured length.
 
     Up to :data:`BROADCAST_BYTES` of them travel to the wide rows; beyond that
-    both sides are shuffled.  The result is the same either way.  Where rows
-    hold arrays, ``n_keys`` counts the elements.
+    both sides are shuffled.  The result is the same either way.  A row of a few
+    numbers takes about 100 bytes once it is hashed; where rows hold arrays,
+    ``n_keys`` counts the elements and ``row_bytes`` is an element's.
     """
     return df.join(F.broadcast(keys) if n_keys * row_bytes <= BROADCAST_BYTES else keys, on, how)
 

@@ -150,7 +150,7 @@ def all_anchors(rows: DataFrame) -> DataFrame:
 def context_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """gram, context, left, right: the bytes around one occurrence of each wanted context (row, place, gram, context)."""
     lists = cut(wanted.groupBy("row").agg(F.collect_list(F.struct("place", "gram", "context")).alias("at")))
-    joined = join_small(rows.select("row", "text"), lists, ["row"], "inner", lists.agg(F.sum(F.size("at"))).head()[0] or 0)
+    joined = join_small(rows.select("row", "text"), lists, ["row"], "inner", lists.agg(F.sum(F.size("at"))).head()[0] or 0, 40)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +353,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     spans = cut(repeated_spans(rows))
-    joined = join_small(rows, spans, ["row"], "left", spans.agg(F.sum(F.size("spans"))).head()[0] or 0)
+    joined = join_small(rows, spans, ["row"], "left", spans.agg(F.sum(F.size("spans"))).head()[0] or 0, 40)
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
               ("kept_sha256", pa.string()), *[("kept", pa.binary())] * with_bytes]
 
