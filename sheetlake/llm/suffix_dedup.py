@@ -40,7 +40,7 @@ LENGTH, GRAM = 200, 64
 #: Bytes that are one symbol of a suffix array; contexts in one array.
 PIECE, BATCH = 16, 2_048
 #: More distinct contexts of an anchor than this are split by the bytes beside it.
-GROUP = 2_048
+GROUP = 1 << 15
 #: Bytes of a text hashed at a time.
 _STEP = 1 << 20
 #: Strings are hashed as polynomials over a prime field, twice: a prime of 31 bits and two points.
