@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sheetlake.llm.common import cut, ready, usable_vector
 
-#: Centroids for each half: four times the fourth root of the number of vectors, so a cell's share falls as its square root.
+#: Centroids for each half: the fourth root of the number of vectors, so there are about as many cells as vectors in one.
 LEAST_CENTROIDS, MOST_CENTROIDS = 8, 256
 #: The codebooks are fitted on at most this many vectors, those with the smallest hash of id and vector.
 SAMPLE_ROWS = 20_000
@@ -71,7 +71,7 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -
 
 
 def centroids_for(n: int) -> int:
-    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, round(4 * n**0.25))))
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, round(n**0.25))))
 
 
 def calibrated(sample: np.ndarray, one: np.ndarray, two: np.ndarray, k: int, tested: int = TESTED, found: float = FOUND) -> float:
@@ -179,13 +179,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(found.items(), kinds, strict=True)})
 
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL_ROWS)).cast("int")
+    # at most K * K rows
     sizes = index.groupBy("cell").agg(F.count("*").alias("n")).select("cell", pieces.alias("pieces"))
     asked = cut(index.where("is_query").select("id", "vec").distinct().withColumn(
         "query", F.monotonically_increasing_id())).mapInArrow(
             visits, "id long, vec array<double>, query long, cells array<int>")
-    asked = asked.withColumn("cell", F.explode("cells")).drop("cells").join(sizes, "cell").withColumn(
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells").join(F.broadcast(sizes), "cell").withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    stored = index.drop("is_query").join(sizes, "cell").withColumn(
+    stored = index.drop("is_query").join(F.broadcast(sizes), "cell").withColumn(
         "piece", F.pmod(F.xxhash64("id", "vec"), F.col("pieces")).cast("int")).drop("pieces")
     near = asked.groupBy("cell", "piece").cogroup(stored.groupBy("cell", "piece")).applyInArrow(
         rank, "query long, query_id long, vec_id long, score double")

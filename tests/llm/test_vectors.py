@@ -105,7 +105,7 @@ def test_multi_index_recall(spark, kind, share):
 
 def test_centroids_grow_with_the_table():
     sizes = [multi_index.centroids_for(n) for n in (1, 500, 50_000, 10**6, 10**9, 10**12)]
-    assert sizes == sorted(sizes) and sizes[0] == 8 and sizes[-1] == 256 and multi_index.centroids_for(10**6) == 126
+    assert sizes == sorted(sizes) and sizes[0] == 8 and sizes[-1] == 256 and multi_index.centroids_for(10**6) == 32
 
 
 def test_few_exact_scores(spark, monkeypatch):
