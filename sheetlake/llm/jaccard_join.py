@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import BROADCAST_BYTES, cut, join_small, lean, ready
+from sheetlake.llm.common import cut, join_small, lean, ready
 from sheetlake.llm.components import components
 from sheetlake.llm.shingles import mixed, shingle_sets
 
@@ -42,8 +43,6 @@ SHORT = 32
 HUB_ROUNDS = 3
 #: Texts hashed at a time.
 _TEXTS = 512
-#: Bytes of a listed set; documents of a set that meet its row in one task.
-SET_BYTES, SET_ROWS = 100, 100_000
 
 
 def _need(n, t: int):
@@ -93,10 +92,9 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big")
 
 
-def profiles(docs: DataFrame, k: int, t: int) -> DataFrame:
+def profiles(docs: DataFrame, k: int, t: int, rank: Broadcast) -> DataFrame:
     """The columns of every document but its text, with n (set size), set_id, cells and prefix (rarest first)."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    rank = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = rank.value, set()
@@ -187,13 +185,14 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
     component_id.  An empty table gives no rows; other columns are ignored.
 
     Returns doc_id, n_shingles, component_id, the component's own number
-    (null for a document that links with none) and the hashes k1, k2 of id and
-    text.
+    (null without words) and the hashes k1, k2 of id and text.
     """
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[c.alias(n) for n, c in _row_keys(id_col, text_col).items()])
-    rows = cut(profiles(docs, k, threshold))
+    rank = spark.sparkContext.broadcast(frequencies(docs, k))
+    rows = cut(profiles(docs, k, threshold, rank))
+    rank.destroy()  # the rows are written: neither the driver nor the executors need it any more
     named = rows.where("set_id is not null")
     classes = cut(named.where("prefix is not null").dropDuplicates(["set_id"]).select(
         "set_id", "n", "cells", "prefix").withColumn("cid", F.monotonically_increasing_id()))
@@ -203,48 +202,22 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
     several = postings.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
     lists = cut(postings.join(several, "shingle"))
     labels = None if lists.isEmpty() else _links(docs, k, threshold, classes, lists)
-    # what is known of a set: its documents, the smallest of them, and its component
-    sets = named.groupBy("set_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
-    known = classes.select("set_id", "cid").join(sets, "set_id")
+    members = named.select("doc_id", "n", "set_id", "k1", "k2").join(classes.select("set_id", "cid"), "set_id")
     label = F.col("cid")
     if labels is not None:
-        known = known.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+        members = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
         label = F.coalesce("label", "cid")
-    known = cut(known.select("set_id", "copies", "first", label.alias("component")))
-    # most sets are alone and have one document; the others' components are named after their smallest document
-    joint = known.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"), F.sum("copies").alias("rows"))
-    joint = cut(joint.where("rows > 1").select("component", "component_id"))
-    several = join_small(known, joint, ["component"], "inner", joint.count())
-    several = cut(several.select("set_id", "copies", "component", "component_id"))
-    members = _placed(named.select("doc_id", "n", "set_id", "k1", "k2"), several, several.count())
-    alone = F.col("component").isNull()
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-               "component", "k1", "k2"]
-    bare = rows.where("set_id is null").withColumns({"component_id": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
-    return members.select(*columns).unionByName(bare.select(*columns))
-
-
-def _placed(members: DataFrame, sets: DataFrame, n_sets: int) -> DataFrame:
-    """Documents with the component of their set, null for the sets that are not listed.
-
-    A list that is too long to be broadcast meets the documents by a shuffle in
-    which a set with very many documents has several copies of its row, one for
-    each of the tasks that its documents are dealt to.
-    """
-    if n_sets * SET_BYTES <= BROADCAST_BYTES:
-        return members.join(F.broadcast(sets.drop("copies")), "set_id", "left")
-    salts = F.greatest(F.lit(1), F.ceil(F.col("copies") / SET_ROWS)).cast("int")
-    hot = cut(sets.where(salts > 1).select("set_id", salts.alias("salts")))  # at most one for SET_ROWS documents
-    dealt = join_small(members, hot, ["set_id"], "left", hot.count()).withColumn(
-        "salt", F.pmod(F.xxhash64("k1", "k2", "doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    spread = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("copies")
-    return dealt.join(spread, ["set_id", "salt"], "left").drop("salt")
+    members = members.withColumn("component", label)
+    first = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "k1", "k2"]
+    bare = rows.where("set_id is null").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return members.join(first, "component").select(*columns).unionByName(bare.select(*columns))
 
 
 def representatives(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id (null last).
 
-    Texts without words or links stay.  Which documents go is decided on hashes of id
+    Texts without words stay.  Which documents go is decided on hashes of id
     and text; of rows that repeat both, one stays.
     """
     rows = linked(docs, k, threshold, id_col, text_col)
