@@ -175,8 +175,8 @@ def status_column(n_sheets, n_empty, n_errors):
 _PAD = (None,) * 8
 
 UNITS = "file_path string, modified_at timestamp, sheet_index int, weight bigint, cut boolean"
-PARTS = ("file_path string, modified_at timestamp, sheet_index int, sheet string, number int, part string, bytes bigint, "
-         "failed string")
+PARTS = ("file_path string, modified_at timestamp, sheet_index int, sheet string, number int, part string, at bigint, length bigint, "
+         "bytes bigint, bundle int, failed string")
 PART_INDEX = PARTS + ", n_rows bigint, cols array<bigint>"
 
 
@@ -204,38 +204,57 @@ def _parts_schema():
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in PARTS.split(", "))])
 
 
-def _cut_partition(batches, part_bytes: int, folder: str):
-    """Sheets (path, modified_at, index) in; their parts out, stored below ``folder``; a sheet that fails is one row without."""
-    for batch in batches:
-        for path, mod, idx in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            sheet, out, message = workbook.sheet_name(path, idx), [], None
-            try:
-                for number, part, size in workbook.cut_sheet(path, idx, part_bytes, folder):
-                    out.append((path, mod, idx, sheet, number, part, size, None))
-            except Exception as e:
-                out, message = [], f"{type(e).__name__}: {e}"
-            yield _to_batch(out or [(path, mod, idx, sheet, 0, None, 0, message)], _parts_schema())
+def _cut_partition(batches, part_bytes: int, bundle_bytes: int, folder: str, batch_rows: int = 10_000):
+    """Sheets (path, modified_at, index) in; their parts out; a sheet that fails is one row without.
+
+    A task stores all its parts in one file of its own below ``folder``.  Parts
+    of a sheet that follow each other form bundles of about ``bundle_bytes``.
+    """
+    from .files import open_output
+
+    target, store, rows = f"{folder}/{uuid.uuid4().hex}", None, []
+    try:
+        for batch in batches:
+            for path, mod, idx in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if store is None:
+                    store = open_output(target)
+                sheet, out, message, before = workbook.sheet_name(path, idx), [], None, 0
+                try:
+                    for number, at, length, size in workbook.cut_sheet(path, idx, part_bytes, store):
+                        out.append((path, mod, idx, sheet, number, target, at, length, size, before // bundle_bytes, None))
+                        before += size
+                except Exception as e:
+                    out, message = [], f"{type(e).__name__}: {e}"
+                rows += out or [(path, mod, idx, sheet, 0, None, None, None, 0, 0, message)]
+                if len(rows) >= batch_rows:
+                    yield _to_batch(rows, _parts_schema())
+                    rows = []
+        if rows:
+            yield _to_batch(rows, _parts_schema())
+    finally:
+        if store is not None:
+            store.close()
 
 
 def _index_partition(batches):
     """First pass over parts: non-empty row count and column numbers of each, or why it fails."""
     import pyarrow as pa
 
-    reader = workbook.Parts()
+    reader, given = workbook.Parts(), _parts_schema().names
     for batch in batches:
         n_rows, used, failed = [], [], []
-        for path, part, message in zip(*(batch.column(c).to_pylist() for c in ("file_path", "part", "failed"))):
+        for path, *part, message in zip(*(batch.column(c).to_pylist() for c in ("file_path", "part", "at", "length", "failed"))):
             n, c = 0, []
             try:
                 if message is None:
-                    n, c = reader.index(path, part)
+                    n, c = reader.index(path, *part)
             except Exception as e:
                 message = f"{type(e).__name__}: {e}"
             n_rows.append(n)
             used.append(c)
             failed.append(message)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(7)), pa.array(failed, pa.string()), pa.array(n_rows, pa.int64()),
+            [*(batch.column(c) for c in given[:-1]), pa.array(failed, pa.string()), pa.array(n_rows, pa.int64()),
              pa.array(used, pa.list_(pa.int64()))], names=[f.split()[0] for f in PART_INDEX.split(", ")])
 
 
@@ -248,8 +267,8 @@ def _part_partition(batches, max_cells: int, batch_rows: int):
     """
     out, reader = _Out(batch_rows), workbook.Parts()
     for batch in batches:
-        names = ("file_path", "modified_at", "sheet_index", "sheet", "number", "part", "row_offset", "all_cols", "total_rows", "failed")
-        for path, modified, idx, sheet, number, part, offset, used, total, failed in zip(*(batch.column(c).to_pylist() for c in names)):
+        names = ("file_path", "modified_at", "sheet_index", "sheet", "number", "row_offset", "all_cols", "total_rows", "failed", "part", "at", "length")
+        for path, modified, idx, sheet, number, offset, used, total, failed, *part in zip(*(batch.column(c).to_pylist() for c in names)):
             first = number == 0
             shown = workbook.plain_path(path)
             name = shown.rsplit("/", 1)[-1]
@@ -334,9 +353,11 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     units = paths_df.where(~large | F.col("size").isNull()).select(
         "file_path", "modified_at", F.lit(-1).alias("sheet_index"), F.col("size").alias("weight"))
     large_paths, cut_sheets = paths_df.where(large), None
-    if not large_paths.isEmpty():
+    n_large = large_paths.count()
+    if n_large:
+        # planning reads a file's zip directory only: many files to a task
         planned = cut_lineage(
-            large_paths.repartition(max(floor, large_paths.count()), F.xxhash64("file_path"))
+            large_paths.repartition(max(floor, -(-n_large // max(1, files_per_task))), F.xxhash64("file_path"))
             .mapInArrow(lambda it: _plan_partition(it, split_xml_bytes, range_xml_bytes), UNITS), cuts
         )
         units = units.unionByName(planned.where("not cut").drop("cut"))
@@ -347,24 +368,34 @@ def read_workbooks(selected: DataFrame, files_per_task: int = 32, max_cells: int
     spread = units.repartition(parts, F.xxhash64("file_path", "sheet_index"))
     decoded = spread.select("file_path", "modified_at", "sheet_index").mapInArrow(
         lambda it: _decode_partition(it, max_cells, batch_rows), S.DECODED)
-    n_cut = 0 if cut_sheets is None else cut_sheets.count()
-    return decoded.unionByName(_read_in_parts(cut_sheets, n_cut, range_xml_bytes, max_cells, batch_rows, bytes_per_task, cuts)) if n_cut else decoded
+    parted = None if cut_sheets is None else _read_in_parts(cut_sheets, range_xml_bytes, max_cells, batch_rows, bytes_per_task, cuts)
+    return decoded if parted is None else decoded.unionByName(parted)
 
 
-def _read_in_parts(sheets: DataFrame, n_sheets: int, part_bytes: int, max_cells: int, batch_rows: int, bytes_per_task: int,
-                   cuts: list[str] | None) -> DataFrame:
-    """``schema.DECODED`` rows of huge sheets: inflated once into stored parts of whole rows, which are counted, then decoded."""
+def _read_in_parts(sheets: DataFrame, part_bytes: int, max_cells: int, batch_rows: int, bytes_per_task: int,
+                   cuts: list[str] | None) -> DataFrame | None:
+    """``schema.DECODED`` rows of huge sheets: inflated once into stored parts of whole rows, which are counted, then decoded.
+
+    Tasks follow the bytes, not the number of sheets or parts: a sheet or a
+    part that fills a task has one of its own, small ones share.  None if there
+    are no sheets.
+    """
+    given = sheets.agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).first()
+    if not given["n"]:
+        return None
     spark = sheets.sparkSession
     folder = scratch_dir(spark, "parts")
     if cuts is not None:
         cuts.append(folder)
+    floor, bundle_bytes = 2 * spark.sparkContext.defaultParallelism, 10 * max(1, bytes_per_task)  # XML is about ten times its file
     stored = cut_lineage(
-        sheets.select("file_path", "modified_at", "sheet_index").repartition(n_sheets, F.xxhash64("file_path", "sheet_index"))
-        .mapInArrow(lambda it: _cut_partition(it, part_bytes, folder), PARTS), cuts)
+        sheets.select("file_path", "modified_at", "sheet_index")
+        .repartition(min(given["n"], max(floor, (given["bytes"] or 0) // max(1, bytes_per_task))), F.xxhash64("file_path", "sheet_index"))
+        .mapInArrow(lambda it: _cut_partition(it, part_bytes, bundle_bytes, folder), PARTS), cuts)
     size = stored.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-    # XML is about ten times its file; neighbouring parts share the opened workbook
-    tasks = max(1, min(size["n"], max(2 * spark.sparkContext.defaultParallelism, size["bytes"] // (10 * bytes_per_task))))
-    spread = [F.xxhash64("file_path", "sheet_index", "number")]
+    # neighbouring parts share the opened workbook
+    tasks = max(1, min(size["n"], max(floor, size["bytes"] // bundle_bytes)))
+    spread = [F.xxhash64("file_path", "sheet_index", "bundle")]
     order = ["file_path", "sheet_index", "number"]
     index = cut_lineage(stored.repartition(tasks, *spread).sortWithinPartitions(*order).mapInArrow(_index_partition, PART_INDEX), cuts)
     # per sheet: all used columns (a set, at most the sheet width), the row total and the first failure;
@@ -381,7 +412,8 @@ def _read_in_parts(sheets: DataFrame, n_sheets: int, part_bytes: int, max_cells:
     before = Window.partitionBy(*key).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = index.drop("failed").withColumn("row_offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
     work = offsets.join(per_sheet, key).select(
-        "file_path", "modified_at", "sheet_index", "sheet", "number", "part", "row_offset", "all_cols", "total_rows", "failed")
+        "file_path", "modified_at", "sheet_index", "sheet", "number", "part", "at", "length", "bundle", "row_offset", "all_cols", "total_rows",
+        "failed")
     return work.repartition(tasks, *spread).sortWithinPartitions(*order).mapInArrow(
         lambda it: _part_partition(it, max_cells, batch_rows), S.DECODED)
 

@@ -14,6 +14,7 @@ from sheetlake.functions import paths
 from sheetlake.operators import catalog as cat
 from sheetlake.operators import reshape as rs
 from sheetlake.sources import catalog, cells_io, ingest
+from sheetlake.sources.files import plain_path
 from sheetlake.streaming import stream
 
 
@@ -168,3 +169,22 @@ def test_a_replayed_batch_keeps_what_its_first_attempt_did(spark, tmp_path):
     again = ingest.run(spark, listed(), out, skip="seen", run_id="b", path_rule=None, max_files=2,
                        first_part=cells_io.count_matching(spark, f"{out}/ledger/b-*"))
     assert again["files"] == 1 and again["skipped"] == 3 and cells_io.read_cells(spark, out).count() == 4
+
+
+def test_small_workbooks_cut_into_parts_share_tasks_and_part_files(spark, tmp_path, monkeypatch):
+    most = 2 * spark.sparkContext.defaultParallelism
+    (tmp_path / "in").mkdir()
+    for k in range(3 * most):
+        write_xlsx(tmp_path / f"in/b{k}.xlsx", {"a": [[r, f"{k} {r}"] for r in range(40)], "b": [[f"x{r}"] for r in range(30 + k % 3)]})
+    listed, made = catalog.scan(spark, [str(tmp_path / "in")]), []
+    monkeypatch.setattr(ingest, "drop_cuts", lambda _, folders: made.extend(folders))
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    ingest.run(spark, listed, whole, path_rule=None)
+    assert not made
+    totals = ingest.run(spark, listed, parts, path_rule=None, split_file_bytes=0, split_xml_bytes=0, range_xml_bytes=300)
+    assert totals["errors"] == 0 and totals["sheets"] == 6 * most
+    # plan, stored parts, their list, their index: a file to a task, and no more tasks than the bytes need
+    files = [sum(not name.startswith((".", "_")) for name in os.listdir(plain_path(folder))) for folder in made]
+    assert len(files) == 4 and 0 < min(files) and max(files) <= most
+    one, other = cells_io.read_cells(spark, whole), cells_io.read_cells(spark, parts)
+    assert one.count() == other.count() > 0 and one.exceptAll(other).isEmpty()
