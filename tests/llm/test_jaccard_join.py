@@ -108,3 +108,21 @@ def test_word_hashes_do_not_depend_on_the_place():
     finally:
         shingles._STEP = old
     assert again[0].tolist() == starts.tolist() and again[1].tolist() == hashes.tolist()
+
+
+def test_components_of_stars_need_no_round_and_others_end_with_the_round_that_makes_them(spark, monkeypatch):
+    from sheetlake.llm import components as module
+
+    written, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda frame: written.append(cut(frame)) or written[-1])
+
+    def labels(edges):
+        written.clear()
+        found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        return found, len(written)
+
+    stars = [(1, 5), (6, 1), (1, 1), (5, 1), (2, 9)]
+    assert labels(stars) == ({5: 1, 6: 1, 9: 2}, 1)
+    assert labels([(7, 7)]) == ({}, 1)
+    found, n = labels([(1, 2), (2, 3), (4, 3), (8, 9)])
+    assert found == {2: 1, 3: 1, 4: 1, 9: 8} and n == 3
