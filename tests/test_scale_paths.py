@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,38 @@ def test_small_workbooks_cut_into_parts_share_tasks_and_part_files(spark, tmp_pa
     assert len(files) == 4 and 0 < min(files) and max(files) <= most
     one, other = cells_io.read_cells(spark, whole), cells_io.read_cells(spark, parts)
     assert one.count() == other.count() > 0 and one.exceptAll(other).isEmpty()
+
+
+def test_damaged_sheets_among_shared_part_files_fail_alone(spark, tmp_path, monkeypatch):
+    most = 2 * spark.sparkContext.defaultParallelism
+    (tmp_path / "in").mkdir()
+    for k in range(2 * most):
+        path = tmp_path / f"in/b{k}.xlsx"
+        write_xlsx(path, {"a": [[r, f"{k} {r}"] for r in range(40)]})
+        if k % 3 == 1:
+            with zipfile.ZipFile(path) as z:
+                held = {n: z.read(n) for n in z.namelist()}
+            held["xl/worksheets/sheet1.xml"] = held["xl/worksheets/sheet1.xml"].replace(b"</c>", b"</d>", 1)
+            with zipfile.ZipFile(path, "w") as z:
+                for n, data in held.items():
+                    z.writestr(n, data)
+        elif k % 3 == 2:  # a value changed under its checksum
+            with zipfile.ZipFile(path) as z:
+                held = {n: z.read(n) for n in z.namelist()}
+            with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+                for n, data in held.items():
+                    z.writestr(n, data)
+            data = path.read_bytes()
+            at = data.index(b"<v>", data.index(b"<sheetData")) + 3
+            path.write_bytes(data[:at] + b"8" + data[at + 1:])
+    listed, made = catalog.scan(spark, [str(tmp_path / "in")]), []
+    monkeypatch.setattr(ingest, "drop_cuts", lambda _, folders: made.extend(folders))
+    facts = []
+    for name, options in (("whole", {}), ("parts", {"split_file_bytes": 0, "split_xml_bytes": 0, "range_xml_bytes": 300})):
+        out = str(tmp_path / name)
+        totals = ingest.run(spark, listed, out, path_rule=None, **options)
+        ledger = cells_io.read_ledger(spark, f"{out}/ledger").select("file_path", "status", "n_sheets", "n_cells", "n_errors", "file_hash")
+        facts.append((totals["errors"], {tuple(r) for r in ledger.collect()}, cells_io.read_cells(spark, out).count()))
+    assert facts[0] == facts[1] and facts[0][0] == sum(k % 3 > 0 for k in range(2 * most))
+    stored = [f for f in made if "-parts-" in f]
+    assert len(stored) == 1 and 0 < sum(not n.startswith(".") for n in os.listdir(plain_path(stored[0]))) <= most
