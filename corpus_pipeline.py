@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetlake.llm import jaccard_join, kneser_ney, mixing, packing, secret_scan
-from sheetlake.llm.common import cut, table
+from sheetlake.llm.common import cut, release_driver, table
 from sheetlake.llm.queries import tokenizer_path
 
 
@@ -51,4 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release_driver(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

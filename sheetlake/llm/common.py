@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlake.session import cut_lineage, ship_package, shuffle_partitions
+from sheetlake.session import cut_lineage, release_driver, ship_package, shuffle_partitions
 
-__all__ = ["BROADCAST_BYTES", "WORD", "cut", "join_small", "lean", "partitions", "table", "usable_vector", "words_in", "ready"]
+__all__ = ["BROADCAST_BYTES", "WORD", "cut", "join_small", "lean", "partitions", "release_driver", "table", "usable_vector", "words_in", "ready"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlake.llm.common import cut, join_small, lean, ready
+from sheetlake.llm.common import cut, join_small, lean, ready, release_driver
 from sheetlake.llm.components import components
 from sheetlake.llm.shingles import mixed, shingle_sets
 
@@ -161,6 +161,8 @@ def _suffix(t: int, x: str, y: str) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The links among distinct pairs (a, b): both whole sets, each pair once.  Pairs are a written table."""
     n = pairs.count()
+    if not n:
+        return pairs
     right = join_small(sets.withColumnsRenamed({"cid": "b", "shingles": "two"}), pairs, ["b"], "inner", n)
     hubs = pairs.select(F.col("a").alias("cid")).distinct()
     left = join_small(sets, hubs, ["cid"], "left_semi", n).withColumnsRenamed({"cid": "a", "shingles": "one"})
@@ -226,11 +228,11 @@ def representatives(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
     keys = cut(rows.join(first, "component").groupBy("k1", "k2").agg(
         F.max(stays).alias("stays"), F.count("*").alias("rows")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"}))
+    n_gone, n = keys.agg(F.count_if(~F.col("stays")), F.count_if(F.expr("stays and rows > 1"))).head()
     gone = keys.where("not stays").select("__k1", "__k2")
     out = docs.withColumns({f"__{n}": c for n, c in _row_keys(id_col, text_col).items()})
-    out = join_small(out, gone, ["__k1", "__k2"], "left_anti", gone.count())
+    out = join_small(out, gone, ["__k1", "__k2"], "left_anti", n_gone)
     repeated = keys.where("stays and rows > 1").select("__k1", "__k2")
-    n = repeated.count()
     if n:
         one = join_small(out, repeated, ["__k1", "__k2"], "left_semi", n).dropDuplicates(["__k1", "__k2"])
         out = join_small(out, repeated, ["__k1", "__k2"], "left_anti", n).unionByName(one)
@@ -241,32 +243,31 @@ def _links(docs: DataFrame, k: int, t: int, classes: DataFrame, lists: DataFrame
     """(node, label) over the classes that share a prefix shingle and link."""
     about = classes.select("cid", "n", "cells")
     short = lists.where(F.col("members") <= SHORT).withColumn("label", F.col("cid"))
-    long = cut(lists.where(F.col("members") > SHORT))
-    pairs = _joined(short, about, t)
-    if not long.isEmpty():
-        pairs = pairs.unionByName(_stars(long.withColumn("label", F.col("cid")), about, t, 0)).distinct()
+    # one row per class with its places in long lists: in each round a label meets its class, not every posting
+    places = cut(lists.where(F.col("members") > SHORT).groupBy("cid", "n").agg(
+        F.collect_list(F.struct("shingle", "pos", "before")).alias("places")))
+    pairs, any_long = _joined(short, about, t), not places.isEmpty()
+    if any_long:
+        pairs = pairs.unionByName(_stars(_postings(places.withColumn("label", F.col("cid"))), about, t, 0)).distinct()
     pairs = cut(pairs)
     # the texts are read once more, for the sets of all classes that can take part in a verification
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long.select("cid")).distinct()
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(places.select("cid")).distinct()
     wanted = cut(wanted.join(classes.select("cid", "set_id"), "cid"))
     sets = cut(whole_sets(docs, k, wanted, wanted.count()))
-    labels, tested = None, pairs
+    labels, now, tested = None, None, pairs
     for turn in range(1, HUB_ROUNDS + 2):
+        release_driver(docs.sparkSession)
         found = _verified(pairs, sets, t)
-        if labels is not None:
-            found = cut(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        if found.isEmpty():
-            labels = None
-            now = long.withColumn("label", F.col("cid"))
-        else:
-            labels = components(found)
-            now = long.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        if turn > HUB_ROUNDS:
-            break
-        several = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        now = cut(now.join(several.select("shingle"), "shingle", "left_semi"))
-        if now.isEmpty():
+        new = not found.isEmpty()
+        if new:  # without a new link the components are those of the round before
+            labels = components(found if labels is None else found.unionByName(
+                labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if turn > HUB_ROUNDS or not any_long:
             break
+        if new or now is None:
+            now = _open(places, labels)
+            if now.isEmpty():
+                break
         pairs = _stars(now, about, t, turn) if turn < HUB_ROUNDS else _joined(now, about, t)
         swapped = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = cut(pairs.join(swapped, ["a", "b"], "left_anti"))
@@ -274,6 +275,21 @@ def _links(docs: DataFrame, k: int, t: int, classes: DataFrame, lists: DataFrame
     return labels
 
 
+def _postings(places: DataFrame) -> DataFrame:
+    """A row for each place of a labelled class in a long list."""
+    return places.select("cid", "n", "label", F.inline("places"))
+
+
+def _open(places: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings, with the labels of their classes, of the long lists that hold several components."""
+    label = F.col("cid")
+    if labels is not None:
+        places, label = places.join(labels.withColumnRenamed("node", "cid"), "cid", "left"), F.coalesce("label", "cid")
+    now = _postings(places.withColumn("label", label))
+    several = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return cut(now.join(several.select("shingle"), "shingle", "left_semi"))
+
+
 def _stars(now: DataFrame, about: DataFrame, t: int, turn: int) -> DataFrame:
     """Distinct pairs (a, b) of the hub of each list with the others of another component."""
     # the first hub is the class with the shingle furthest in front; then the front one of a component drawn anew each turn

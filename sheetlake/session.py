@@ -7,6 +7,7 @@ one is only made for local sessions where none is set.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -100,6 +101,16 @@ def drop_lineage_cuts(spark: SparkSession) -> int:
     return len(paths)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """Let go of what finished jobs have left on the driver: plans, broadcasts, the entries of their shuffles.
+
+    The driver of many short jobs would rather grow to its limit than collect.
+    Spark asks for the same every half hour (``spark.cleaner.periodicGC.interval``).
+    """
+    gc.collect()  # frames that Python has dropped hold their plans no longer
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -126,3 +126,21 @@ def test_components_of_stars_need_no_round_and_others_end_with_the_round_that_ma
     assert labels([(7, 7)]) == ({}, 1)
     found, n = labels([(1, 2), (2, 3), (4, 3), (8, 9)])
     assert found == {2: 1, 3: 1, 4: 1, 9: 8} and n == 3
+
+
+def test_labels_meet_classes_and_not_the_postings_of_long_lists(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(300)]
+    rows = list(enumerate(edited(rng, base, rng.randrange(1, 5)) for _ in range(80)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met, join = [], type(frame).join
+
+    def counted(self, other, on=None, how=None):
+        if isinstance(on, str) and on == "cid" and how == "left":
+            met.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(frame), "join", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked(frame, 5, 80).collect())
+    assert got == sorted(brute(rows, 5, 80))
+    assert len(met) > 1 and max(met) <= len(rows)

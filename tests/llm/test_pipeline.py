@@ -72,3 +72,19 @@ def test_run_is_the_stages(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "least_sequences"]
     assert out.count() > 50
+
+
+def test_the_driver_lets_go_of_a_finished_stage(spark, monkeypatch):
+    jvm, seen = spark.sparkContext._jvm, []
+
+    def collections():
+        beans = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if not any(n in b.getName() for n in ("Young", "Concurrent", "Copy")))
+
+    def stage(spark, docs, sf_dir):
+        seen.append(collections())
+        return docs
+
+    monkeypatch.setattr(P, "STAGES", [(n, stage) for n in ("one", "two", "three")])
+    assert P.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(seen) == 3 and seen[0] < seen[1] < seen[2]
