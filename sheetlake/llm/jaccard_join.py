@@ -190,11 +190,13 @@ def linked(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_
     (null without words) and the hashes k1, k2 of id and text.
     """
     spark = ready(docs.sparkSession)
+    release_driver(spark)  # this is the operator of the most jobs: it begins without what others left
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[c.alias(n) for n, c in _row_keys(id_col, text_col).items()])
     rank = spark.sparkContext.broadcast(frequencies(docs, k))
     rows = cut(profiles(docs, k, threshold, rank))
     rank.destroy()  # the rows are written: neither the driver nor the executors need it any more
+    release_driver(spark)
     named = rows.where("set_id is not null")
     classes = cut(named.where("prefix is not null").dropDuplicates(["set_id"]).select(
         "set_id", "n", "cells", "prefix").withColumn("cid", F.monotonically_increasing_id()))
@@ -224,6 +226,7 @@ def representatives(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     """
     rows = linked(docs, k, threshold, id_col, text_col)
     rows = rows.where("component is not null")
+    release_driver(docs.sparkSession)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
     stays = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
     keys = cut(rows.join(first, "component").groupBy("k1", "k2").agg(

@@ -7,11 +7,13 @@ one is only made for local sessions where none is set.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -106,9 +108,19 @@ def release_driver(spark: SparkSession) -> None:
 
     The driver of many short jobs would rather grow to its limit than collect.
     Spark asks for the same every half hour (``spark.cleaner.periodicGC.interval``).
+    What the JVM has freed outside its heap (compilers, compression, threads that
+    ended) the C library keeps for later; it is given back to the system too.
     """
     gc.collect()  # frames that Python has dropped hold their plans no longer
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by reflection: the server's own class is not public
+    invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    call = spark.sparkContext._gateway.new_array(jvm.Object, 4)  # bean, command, no parameters, no signature
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # a JVM without this command (before 17.0.9, or not on glibc) goes on as it is
+        invoke.invoke(server, call)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -144,3 +144,15 @@ def test_labels_meet_classes_and_not_the_postings_of_long_lists(spark, monkeypat
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.linked(frame, 5, 80).collect())
     assert got == sorted(brute(rows, 5, 80))
     assert len(met) > 1 and max(met) <= len(rows)
+
+
+def test_the_driver_is_released_before_the_join_begins_after_its_profiles_and_before_what_stays_is_decided(spark, monkeypatch):
+    seen = []
+    for name in ("release_driver", "frequencies", "profiles", "whole_sets", "join_small"):
+        kept = getattr(J, name)
+        monkeypatch.setattr(J, name, lambda *a, name=name, kept=kept, **b: seen.append(name) or kept(*a, **b))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in J.representatives(docs).collect()) == [1, 3]
+    assert seen[:4] == ["release_driver", "frequencies", "profiles", "release_driver"] and seen[4:].count("release_driver") >= 2
+    assert seen[len(seen) - seen[::-1].index("release_driver") :] == ["join_small"]

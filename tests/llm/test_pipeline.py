@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from sheetlake.llm import kneser_ney, mixing, secret_scan
 from sheetlake.llm import queries as Q
+from sheetlake.session import release_driver
 from test_jaccard_join import brute
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +93,26 @@ def test_the_driver_lets_go_of_a_finished_stage(spark, monkeypatch):
     monkeypatch.setattr(P, "STAGES", [(n, stage) for n in ("one", "two", "three")])
     assert P.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert len(seen) == 3 and seen[0] < seen[1] < seen[2]
+
+
+def test_the_driver_gives_back_what_it_freed_outside_the_heap(spark):
+    jvm, data, room = spark.sparkContext._jvm, os.urandom(70_000), bytearray(80_000)
+    rollup = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    heap = jvm.java.lang.Runtime.getRuntime()
+
+    def outside():  # MB in use that are not heap
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", rollup.read_text())[1]) / 1024 - heap.totalMemory() / 2**20
+
+    held = [jvm.java.util.zip.Deflater() for _ in range(600)]
+    for d in held:
+        d.setInput(data), d.finish(), d.deflate(room)
+    for i, d in enumerate(held):
+        if i % 20:  # those left keep the freed ones from the end of the C library's memory
+            d.end()
+    for _ in range(3):
+        jvm.System.gc()
+    before = outside()
+    release_driver(spark)
+    assert outside() < before - 40
+    for d in held:
+        d.end()
